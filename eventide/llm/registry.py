@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import exact_dedup, langid, packing, simhash
+from eventide.llm import exact_dedup, langid, line_dedup, merkle, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, net, held_out=held_out)
 
 
+def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "n_chunks", "removed_chunks", "removed_chars")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -33,11 +42,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op6_exact_dedup, op7_packing, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op5_merkle_fingerprints, op6_exact_dedup, op7_packing, op9_line_dedup, op10_simhash)}
 
 _SPACE = "'[ \\t\\n\\x0b\\f\\r]+'"
 
 ORACLES: dict[str, str] = {
+    "op5_merkle_fingerprints": merkle.ORACLE,
+    "op9_line_dedup": line_dedup.ORACLE,
     "op6_exact_dedup": f"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), {_SPACE}, ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
