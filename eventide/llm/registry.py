@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import exact_dedup, langid, line_dedup, merkle, packing, simhash
+from eventide.llm import bpe_table, chat, exact_dedup, langid, line_dedup, merkle, packing, simhash, url_rules, warc
+from eventide.llm.base import materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,34 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, net, held_out=held_out)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    log = chat.message_events(_table(spark, sf_dir, "conversations")).union(chat.message_events(extra))
+    return chat.read_back(chat.format_conversations(log))
+
+
+def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_table.encode_documents(_table(spark, sf_dir, "documents"), digest=True)
+
+
+def op4_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = materialise(warc.write_archives(_table(spark, sf_dir, "pages")), "warc")
+    return warc.read_archives(chunks)
+
+
+#: Fixed by contract.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(bad, url_rules.BLOCK).otherwise(url_rules.ALLOW).alias("label"))
+    mined = url_rules.mine(pages.select("page_id", "url").join(labels, "page_id"))
+    return url_rules.judge(pages, URL_RULES, mined)
+
+
 def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
@@ -42,11 +71,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op5_merkle_fingerprints, op6_exact_dedup, op7_packing, op9_line_dedup, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_bpe_roundtrip, op4_warc_roundtrip, op5_merkle_fingerprints, op6_exact_dedup, op7_packing, op8_url_rules, op9_line_dedup, op10_simhash)}
 
 _SPACE = "'[ \\t\\n\\x0b\\f\\r]+'"
 
 ORACLES: dict[str, str] = {
+    "op4_warc_roundtrip": warc.ORACLE,
     "op5_merkle_fingerprints": merkle.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op6_exact_dedup": f"""
