@@ -1 +1 @@
-"""Event-volatility analytics on Spark."""
+"""Event-volatility analytics on Spark: DataFrame in, DataFrame out."""

@@ -10,15 +10,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(name: str, oracle: str | None = None):
-    """Decorator: put a query into the catalog."""
+def register(name: str, oracle: str | None = None, dates: str = ""):
+    """Decorator: put a query into the catalog.
+
+    ``dates`` names the result's date and timestamp columns; both engines return them as ISO text, so that
+    results compare without regard to a client's date types.
+    """
 
     def put(f):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = f
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            found = {c for c, kind in df.dtypes if kind in ("date", "timestamp")}
+            if oracle is not None and found != set(dates.split()):
+                raise ValueError(f"{name}: date columns are {sorted(found)}, declared {dates.split()}")
+            return df.withColumns({c: df[c].cast("string") for c in sorted(found)}) if found else df
+
+        run.__name__ = name
+        QUERIES[name] = run
         if oracle is not None:
-            ORACLES[name] = oracle
+            casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in dates.split())
+            ORACLES[name] = f"SELECT * REPLACE ({casts}) FROM ({oracle.strip()})" if casts else oracle
         return f
 
     return put

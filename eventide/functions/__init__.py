@@ -1 +1 @@
-"""Event-volatility analytics on Spark."""
+"""Functions from Columns to Columns."""

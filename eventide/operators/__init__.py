@@ -1 +1 @@
-"""Event-volatility analytics on Spark."""
+"""Operators: functions from DataFrames to DataFrames."""

@@ -1 +1 @@
-"""Event-volatility analytics on Spark."""
+"""Registered queries, each next to its DuckDB twin."""

@@ -1 +1 @@
-"""Event-volatility analytics on Spark."""
+"""Readers, writers and pluggable data sources."""

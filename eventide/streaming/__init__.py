@@ -1 +1 @@
-"""Event-volatility analytics on Spark."""
+"""Structured Streaming twins of batch operators."""
