@@ -37,7 +37,7 @@ def student_t_two_sided(t: Column, df: Column, steps: int = 200) -> Column:
         inner = F.aggregate(F.sequence(F.lit(1), F.lit(steps - 1)), F.lit(0.0), lambda acc, i: acc + F.when(i % 2 == 1, 4.0).otherwise(2.0) * f(i * step))
         return (f(F.lit(0.0)) + inner + f(top)) * step / 3
 
-    return 1 - simpson(theta) / simpson(F.lit(math.pi / 2))
+    return F.greatest(F.lit(0.0), 1 - simpson(theta) / simpson(F.lit(math.pi / 2)))
 
 
 def verdict(low: Column, win: Column, weak: float = 0.65) -> Column:

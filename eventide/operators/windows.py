@@ -10,6 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def asof(left: DataFrame, right: DataFrame, on: tuple[str, str], cols: list[str], by: list[str] = (), how: str = "lt", bucket: str = "year") -> DataFrame:
@@ -86,12 +87,11 @@ def expanding(by: str, at: str, current: bool = True):
 def expanding_rank(df: DataFrame, x: str, by: str, at: str, out: str) -> DataFrame:
     """pct rank of each value among all values so far, ties averaged, current row included, nulls skipped.
 
-    A Fenwick-free merge is not expressible in SQL frames without keeping whole histories per row, so each
-    key's series is scanned once in pandas with a sorted list: n log n instead of n^2.
+    SQL frames would keep a whole history for every row, so each key's series is scanned once in pandas with a sorted list: n log n instead of n^2.
     """
     import bisect
 
-    schema = df.schema.add(out, "double")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
     names = [f.name for f in schema]
 
     def scan(pdf):
