@@ -3,8 +3,8 @@
 Documents are dealt into blocks of about ``block_bytes`` of text by a hash of the identifier. Each block
 lists its distinct words (the vocabulary's own pre-tokenisation); the lists are dealt again by a hash of
 the word, where every distinct word of the corpus is encoded exactly once; the ids travel back to the blocks
-that asked. There ids are joined to each document's words by position, and decoded through a join of ids
-with the vocabulary's pieces. The vocabulary alone is held by every task, and its size is fixed.
+that asked. There each distinct word's ids are joined with the vocabulary's pieces once, and ids and pieces are
+joined to each document's words by position. The vocabulary alone is held by every task, and its size is fixed.
 
 Texts travel once, compressed. Word lists travel packed, one row for each (block, word bucket), so a word
 that every document holds costs one entry per block. A task holds one block and its words, or the distinct words
@@ -17,6 +17,7 @@ strings in a text become their id, as the library does; an empty table gives an
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +31,9 @@ from pyspark.sql import functions as F
 from eventide.llm.base import buffered
 from eventide.llm.bpe import _UNUSUAL, default_vocabulary, fast_encoding, id_to_piece, library_tokenizer, special_tokens
 
+#: Fixed value: the split pattern of the byte-level vocabularies.
+_KNOWN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 _DEALT = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary()), ("block", pa.int64())])
 _WORDS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("words", pa.binary())])
 _IDS = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("ids", pa.binary())])
@@ -42,7 +46,15 @@ def _splitter(path: str):
     import public_tokenizers
 
     special = sorted(special_tokens(path), key=len, reverse=True)
-    return regex.compile(public_tokenizers.PATTERN), regex.compile("|".join(map(regex.escape, special))) if special else None
+    return ordinary_words(public_tokenizers.PATTERN), regex.compile("|".join(map(regex.escape, special))) if special else None
+
+
+def ordinary_words(pattern: str):
+    """The split pattern for texts of ordinary characters only, where its classes are short lists the ``re`` module scans fast."""
+    letter, number, space = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t-\r "
+    if pattern != _KNOWN:
+        return regex.compile(pattern)
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
 def split_words(text: str, path: str) -> list[str]:
@@ -163,11 +175,6 @@ def _encode_buckets(path: str):
     return run
 
 
-def decode_ids(ids: np.ndarray, pieces: list[bytes]) -> str:
-    """Join of ids with their pieces, by position."""
-    return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
-
-
 def _pieces(path: str) -> list[bytes]:
     rows = id_to_piece(path)
     table = [b""] * (rows[-1][0] + 1)
@@ -176,24 +183,39 @@ def _pieces(path: str) -> list[bytes]:
     return table
 
 
+def _block_table(lists: Iterator[pa.RecordBatch], pieces: list[bytes], listed: bool) -> dict[str, tuple[bytes, bytes]]:
+    """A block's distinct words -> (ids as 32-bit values, or listed as decimal text; decoded bytes).
+
+    Ids of a whole list are taken apart, listed and joined with their pieces at once, then cut by word.
+    """
+    table: dict[str, tuple[bytes, bytes]] = {}
+    for b in lists:
+        for words, ids in zip(b.column("words"), b.column("ids")):
+            packed = _unpack(ids.as_py())
+            numbers = np.frombuffer(b"".join(packed), dtype="<u4").tolist()
+            text, piece, at = list(map(str, numbers)), list(map(pieces.__getitem__, numbers)), 0
+            for raw, p in zip(_unpack(words.as_py()), packed):
+                to = at + len(p) // 4
+                table[raw.decode("utf-8", "surrogatepass")] = (",".join(text[at:to]).encode() if listed else p, b"".join(piece[at:to]))
+                at = to
+    return table
+
+
 def _join_back(path: str, digest: bool):
     def run(docs: Iterator[pa.RecordBatch], lists: Iterator[pa.RecordBatch]):
-        table: dict[str, bytes] = {}
-        for b in lists:
-            for words, ids in zip(b.column("words"), b.column("ids")):
-                table.update(zip((w.decode("utf-8", "surrogatepass") for w in _unpack(words.as_py())), _unpack(ids.as_py())))
-        pieces = _pieces(path)
+        table = _block_table(lists, _pieces(path), digest)
 
         def rows():
             for b in docs:
                 for ident, packed in zip(b.column("doc_id").to_pylist(), b.column("packed")):
-                    ids = np.frombuffer(b"".join(map(table.__getitem__, split_words(_text(packed.as_py()), path))), dtype="<u4")
-                    text = decode_ids(ids, pieces)
+                    found = list(map(table.__getitem__, split_words(_text(packed.as_py()), path)))
+                    text = b"".join([x[1] for x in found])
                     if digest:
-                        listed = ",".join(map(str, ids.tolist()))
-                        yield ident, len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+                        listed = b",".join([x[0] for x in found])
+                        yield ident, listed.count(b",") + bool(found), hashlib.sha256(listed).hexdigest(), hashlib.sha256(text).hexdigest()
                     else:
-                        yield ident, ids.tolist(), text
+                        ids = np.frombuffer(b"".join([x[0] for x in found]), dtype="<u4")
+                        yield ident, ids.tolist(), text.decode("utf-8", "replace")
 
         yield from buffered(rows(), _DIGEST if digest else _OUT, size=2048 if digest else 64)
 

@@ -28,6 +28,14 @@ def test_fast_path_agrees_on_every_ordinary_character():
     assert [x.tolist() for x in bpe.encode_texts(texts, bpe.default_vocabulary())] == library_ids(texts)
 
 
+def test_word_split_agrees_with_the_library_on_every_ordinary_character():
+    tok, path = bpe.library_tokenizer(bpe.default_vocabulary()), bpe.default_vocabulary()
+    usual = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028), 0x20AC] if not bpe._UNUSUAL.search(chr(c))]
+    for c in usual:
+        for text in (f"a{c}b", f" {c} {c}1", f"{c}{c} x{c}", f"!{c}?\n a{c}", f"'{c}s 's\t {c}\n\n"):
+            assert bpe_table.split_words(text, path) == [text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)], repr(text)
+
+
 def test_distinct_word_table_round_trip(spark):
     for block in (1 << 24, 2000):
         rows = {r.doc_id: r for r in bpe_table.encode_documents(frame(spark, TEXTS), block_bytes=block).collect()}
