@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventide.functions.scalar import let
+
 # Abramowitz and Stegun, formula 7.1.26.
 _P = 0.3275911
 _A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
@@ -22,10 +24,33 @@ def norm_pdf(x: Column) -> Column:
 def norm_cdf(x: Column) -> Column:
     z = F.abs(x) / math.sqrt(2)
     t = 1 / (1 + _P * z)
+    return 0.5 * (1 + F.signum(x) * (1 - _horner(t) * F.exp(-z * z)))
+
+
+def bound_cdf(x: Column) -> Column:
+    """norm_cdf for use inside lambdas: the argument and the polynomial's variable are computed once."""
+
+    def tail(v: Column) -> Column:
+        return let(1 / (1 + _P * F.abs(v) / math.sqrt(2)), lambda t: 0.5 * (1 + F.signum(v) * (1 - _horner(t) * F.exp(-v * v / 2))))
+
+    return let(x, tail)
+
+
+def _horner(t: Column) -> Column:
     poly = F.lit(0.0)
     for a in reversed(_A):
         poly = (poly + a) * t
-    return 0.5 * (1 + F.signum(x) * (1 - poly * F.exp(-z * z)))
+    return poly
+
+
+def bound_black76(f: Column, k: Column, t: Column, sigma: Column) -> Column:
+    """struct<straddle, delta> of an undiscounted Black-76 straddle, for use inside lambdas."""
+    live = (t > 0) & (sigma > 0)
+
+    def priced(s: Column) -> Column:
+        return let((F.ln(f / k) + s * s / 2) / s, lambda d1: let(F.struct(bound_cdf(d1).alias("a"), bound_cdf(d1 - s).alias("b")), lambda n: F.struct((2 * (f * n["a"] - k * n["b"]) - (f - k)).alias("straddle"), (2 * n["a"] - 1).alias("delta"))))
+
+    return F.when(live, let(sigma * F.sqrt(F.greatest(t, F.lit(0.0))), priced)).otherwise(F.struct(F.abs(f - k).alias("straddle"), F.signum(f - k).alias("delta")))
 
 
 def bachelier(f: Column, k: Column, t: Column, sigma: Column) -> dict[str, Column]:
@@ -96,10 +121,10 @@ def event_share(sigma_event: Column, sigma_day: Column, calendar_days: Column) -
     return sigma_event * sigma_event / F.nullif(total, F.lit(0.0))
 
 
-def quiet_sigma(iv: Column, t_years: Column, event_sd: Column, n_event: int = 1) -> Column:
-    """Volatility of ordinary days so that variances sum to iv^2 t; floored at 0."""
-    days = t_years * 252
-    return F.sqrt(F.greatest(F.lit(0.0), iv * iv * t_years - n_event * event_sd * event_sd) / F.greatest(days - n_event, F.lit(1.0)) * 252)
+def quiet_sigma(iv: Column, t_years: Column, auction_sd: Column, event_sd: Column, n_quiet: Column, n_auction: int = 2, n_event: int = 1) -> Column:
+    """Volatility of quiet days so that quiet, auction and event variances add up to iv^2 t; half of iv where nothing is left."""
+    left = iv * iv * t_years - auction_sd * auction_sd * n_auction / 252 - event_sd * event_sd * n_event / 252
+    return F.when((left > 0) & (n_quiet > 0), F.sqrt(F.greatest(left, F.lit(0.0)) * 252 / F.nullif(n_quiet, F.lit(0)))).otherwise(F.greatest(F.lit(0.001), iv * 0.5))
 
 
 def signal_multiplier(z: Column, kappa: float, long_leg: bool) -> Column:

@@ -70,3 +70,8 @@ def cache_key(*parts: Column) -> Column:
 
 def url_key(url: Column) -> Column:
     return F.substring(F.md5(url), 1, 16)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also inside lambdas, where common subexpressions are not shared."""
+    return F.transform(F.array(value), body)[0]

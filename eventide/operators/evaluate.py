@@ -82,3 +82,13 @@ def sign_hits(df: DataFrame, by: list[str], pred: str, actual: str, strict: bool
     x = df.where(F.col(pred).isNotNull() & F.col(actual).isNotNull()).groupBy(*by).agg(F.count_if(hit).alias("hits"), F.count("*").alias("n"))
     lo, hi = ST.wilson(F.col("hits"), F.col("n"), empty=empty)
     return x.withColumns({"rate": F.col("hits") / F.col("n"), "lo": lo, "hi": hi})
+
+
+def event_percentiles(df: DataFrame, by: str, at: str, event: str, features: list[str]) -> DataFrame:
+    """Value, share of strictly earlier values below it (percent) and HIGH / LOW / MID flag of each feature of one event."""
+    u = df.unpivot([by, at], features, "feature", "value").where(F.col("value").isNotNull())
+    day = F.lit(event).cast("date")
+    e = u.where(F.col(at) == day).select(by, "feature", "value")
+    h = u.where(F.col(at) < day).select(by, "feature", F.col("value").alias("_h"))
+    x = e.join(h, [by, "feature"]).groupBy(by, "feature", "value").agg((100.0 * F.count_if(F.col("_h") < F.col("value")) / F.count("*")).alias("pct"))
+    return x.withColumn("flag", F.when(F.col("pct") >= 80, "HIGH").when(F.col("pct") <= 20, "LOW").otherwise("MID"))
