@@ -23,7 +23,7 @@ def register(name: str, oracle: str | None = None, dates: str = ""):
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(spark, sf_dir)
-            found = {c for c, kind in df.dtypes if kind in ("date", "timestamp")}
+            found = {c for c, kind in df.dtypes if kind in ("date", "timestamp", "timestamp_ntz")}
             if oracle is not None and found != set(dates.split()):
                 raise ValueError(f"{name}: date columns are {sorted(found)}, declared {dates.split()}")
             return df.withColumns({c: df[c].cast("string") for c in sorted(found)}) if found else df

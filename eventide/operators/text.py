@@ -72,3 +72,26 @@ def passage_scores(tokens: DataFrame, vocab: DataFrame, doc: str) -> DataFrame:
     docs = tokens.select(doc).distinct()
     j = docs.join(a, doc, "left")
     return j.select(doc, F.coalesce("known", F.lit(0)).alias("known"), clip(F.coalesce(F.col("warm") - F.col("teal"), F.lit(0.0)), -1.0, 1.0).alias("stance"), clip(F.coalesce("heat", "warm", F.lit(0.3)), 0.0, 1.0).alias("urgency"), clip(F.coalesce(1 - F.abs(F.col("warm") - F.col("teal")), F.lit(0.5)), 0.0, 1.0).alias("ambiguity"), clip(F.coalesce("breadth", F.lit(0.0)), 0.0, 1.0).alias("breadth"), clip(F.coalesce("teal", F.lit(0.3)), 0.0, 1.0).alias("comfort"))
+
+
+def cached_scores(docs: DataFrame, cache: DataFrame, text: str, version: str) -> DataFrame:
+    """Lookup seam of an external scorer: rows with their cached score by sha256(text + version), null where none is stored."""
+    key = F.sha2(F.concat(F.col(text), F.lit(version)), 256)
+    return docs.withColumn("key", key).join(cache, "key", "left")
+
+
+def json_cache(df: DataFrame, payload: str) -> DataFrame:
+    """(key, value) rows of JSON dictionaries, a keyed lookup table."""
+    return df.select(F.explode(F.from_json(payload, "map<string, double>")).alias("key", "value"))
+
+
+def model_scores(docs: DataFrame, doc: str, text: str, load) -> DataFrame:
+    """(doc, score) by a model that ``load()`` builds once per task: a callable from a list of texts to a list of scores."""
+    kind = docs.schema[doc].dataType.simpleString()
+
+    def run(batches):
+        model = load()
+        for pdf in batches:
+            yield pdf[[doc]].assign(score=[float(x) for x in model(pdf[text].tolist())])
+
+    return docs.select(doc, text).mapInPandas(run, f"{doc} {kind}, score double")

@@ -13,7 +13,6 @@ from eventide.operators import regression as R
 from eventide.operators import windows as W
 from eventide.plans.q_aggs import FC, forecasts
 
-BY_M = Window.partitionBy("tenor").orderBy("m")
 
 #: Signed forecast errors: value and forecasts around the long-run mean of 50, per hour bar.
 S = f"f AS ({FC}), s AS (SELECT tenor, ts, regime, actual - 50 AS y, pred - 50 AS p, pred2 - 50 AS p2 FROM f WHERE pred IS NOT NULL)"

@@ -11,7 +11,9 @@ from eventide.operators import models as M
 from eventide.operators import walkforward as WF
 from eventide.operators import windows as W
 
-BY_M = Window.partitionBy("tenor").orderBy("m")
+
+def by_m():
+    return Window.partitionBy("tenor").orderBy("m")
 
 
 @register("ml_scaler", sql("panel", "SELECT a.tenor, a.m, round((any_value(a.iv) - avg(b.iv)) / CASE WHEN stddev_pop(b.iv) > 0 THEN stddev_pop(b.iv) ELSE 1 END, 5) AS z FROM panel a JOIN panel b ON a.tenor = b.tenor AND b.m < a.m GROUP BY a.tenor, a.m HAVING count(*) >= 5"), dates="m")
@@ -100,7 +102,7 @@ _FEAT = "SELECT tenor, m, 1.0 AS const, iv, rv, lag(iv) OVER w AS iv_lag1, lag(r
 
 def features(spark, d):
     mo = F.month("m")
-    return panel(spark, d).select("tenor", "m", F.lit(1.0).alias("const"), "iv", "rv", F.lag("iv").over(BY_M).alias("iv_lag1"), F.lag("rv").over(BY_M).alias("rv_lag1"), r6(F.col("iv") * (mo % 2)).alias("iv_odd"), (mo % 3 == 1).cast("double").alias("r1"), (mo % 3 == 2).cast("double").alias("r2"), "gap")
+    return panel(spark, d).select("tenor", "m", F.lit(1.0).alias("const"), "iv", "rv", F.lag("iv").over(by_m()).alias("iv_lag1"), F.lag("rv").over(by_m()).alias("rv_lag1"), r6(F.col("iv") * (mo % 2)).alias("iv_odd"), (mo % 3 == 1).cast("double").alias("r1"), (mo % 3 == 2).cast("double").alias("r2"), "gap")
 
 
 @register("ml_feature_matrix", sql("panel", _FEAT), dates="m")

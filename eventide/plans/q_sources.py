@@ -142,3 +142,11 @@ def _(spark, d):
 @register("snk_csv", sql("panel", "SELECT tenor, iv, rv FROM panel"))
 def _(spark, d):
     return _round_trip(spark, panel(spark, d).select("tenor", "iv", "rv"), "csv", header="true")
+
+
+@register("src_fred", sql("macro", "SELECT series, d, CASE WHEN month(d) % 5 > 0 THEN value END AS value FROM macro WHERE d BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"), dates="d")
+def _(spark, d):
+    """Observation lines 'date,value' with '.' for missing, sliced by date."""
+    m = macro(spark, d)
+    lines = m.select("series", F.concat_ws(",", F.col("d").cast("string"), F.when(F.month("d") % 5 > 0, F.col("value").cast("string")).otherwise(".")).alias("line"))
+    return R.observations(lines, "line", "1996-01-01", "1999-12-31")

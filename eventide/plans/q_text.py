@@ -309,3 +309,29 @@ def _(spark, d):
     t = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("x"))
     turns = T.speaker_turns(F.col("x"))
     return t.select("conv_id", F.size(turns).alias("n_turns"), F.size(F.filter(turns, lambda s: s["speaker"] == "CHAIR SPEAKER")).alias("n_chair"))
+
+
+@register("txt_llm_score", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN round(n_chars / 1000.0, 6) END AS score, doc_id % 2 = 0 AS cached FROM documents")
+def _(spark, d):
+    """The cache lookup; the external call itself is out of reach offline."""
+    x = table(spark, d, "documents")
+    even = x.where("doc_id % 2 = 0")
+    cache = even.groupBy(F.sha2(F.concat("text", F.lit("|v1"), F.col("doc_id").cast("string")), 256).alias("key")).agg(F.first(r6(F.col("n_chars") / 1000.0)).alias("score"))
+    asked = x.withColumn("asked", F.concat("text", F.lit("|v1"), F.col("doc_id").cast("string")))
+    return X.cached_scores(asked, cache, "asked", "").select("doc_id", "score", F.col("score").isNotNull().alias("cached"))
+
+
+@register("cache_json", "SELECT CAST(p_partkey AS VARCHAR) AS key, p_size * 1.0 AS value FROM part")
+def _(spark, d):
+    p = table(spark, d, "part")
+    return X.json_cache(p.select(F.to_json(F.create_map(p.p_partkey.cast("string"), p.p_size * F.lit(1.0))).alias("j")), "j")
+
+
+def _count_vowels():
+    return lambda texts: [sum(t.count(v) for v in "aeiou") / max(1, len(t)) for t in texts]
+
+
+@register("txt_transformer", "SELECT doc_id, round((5 * length(text) - length(replace(text, 'a', '')) - length(replace(text, 'e', '')) - length(replace(text, 'i', '')) - length(replace(text, 'o', '')) - length(replace(text, 'u', ''))) / length(text)::DOUBLE, 6) AS score FROM documents")
+def _(spark, d):
+    """The seam for a classifier, with a stand-in model: any callable over a batch of texts fits."""
+    return X.model_scores(docs(spark, d), "doc_id", "text", _count_vowels).select("doc_id", r6("score").alias("score"))

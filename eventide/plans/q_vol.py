@@ -11,7 +11,11 @@ from eventide.operators import regime as G
 from eventide.operators import vrp as P
 from eventide.operators import windows as W
 
-BY_M = Window.partitionBy("tenor").orderBy("m")
+
+def by_m():
+    return Window.partitionBy("tenor").orderBy("m")
+
+
 _PK = "CASE WHEN l > 0 AND h >= l THEN pow(ln(h / l), 2) / (4 * ln(2)) END"
 _GK0 = "CASE WHEN o > 0 AND l > 0 AND c > 0 AND h >= l THEN 0.5 * pow(ln(h / l), 2) - (2 * ln(2) - 1) * pow(ln(c / o), 2) END"
 _ANN = lambda v: f"CASE WHEN {v} > 0 THEN sqrt(252 * {v}) * 100 END"
@@ -130,7 +134,7 @@ def _(spark, d):
 def _(spark, d):
     p = panel(spark, d).select("tenor", "m", r6(W.trailing("rv", "tenor", "m", 8, 4)[0]).alias("proxy"))
     x = W.expanding_rank(p, "proxy", "tenor", "m", "pct")
-    return x.select("tenor", "m", "proxy", r6(F.lag("pct").over(BY_M)).alias("pct_lag"))
+    return x.select("tenor", "m", "proxy", r6(F.lag("pct").over(by_m())).alias("pct_lag"))
 
 
 @register("iv_fallback_fill", sql("panel", "SELECT tenor, m, coalesce(gap, iv * 0.5) AS iv_filled, round(pow(coalesce(gap, iv * 0.5) / 100, 2), 6) AS iv_var, gap IS NULL AS filled FROM panel"), dates="m")
@@ -275,4 +279,4 @@ def _(spark, d):
 def _(spark, d):
     reg = F.when(F.month("m") % 3 == 0, "slack").when(F.month("m") % 3 == 1, "easing").otherwise("at_target")
     x = panel(spark, d).withColumn("e", W.ewma("gap", "tenor", "m", 3))
-    return x.select("tenor", "m", reg.alias("regime"), F.col("gap").alias("vrp"), F.lag("gap").over(BY_M).alias("lag1"), r6(F.lag("e").over(BY_M)).alias("ewma3"))
+    return x.select("tenor", "m", reg.alias("regime"), F.col("gap").alias("vrp"), F.lag("gap").over(by_m()).alias("lag1"), r6(F.lag("e").over(by_m())).alias("ewma3"))

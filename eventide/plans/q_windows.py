@@ -9,7 +9,9 @@ from eventide.functions import volatility as V
 from eventide.functions.scalar import r6
 from eventide.operators import windows as W
 
-BY_M = Window.partitionBy("tenor").orderBy("m")
+
+def by_m():
+    return Window.partitionBy("tenor").orderBy("m")
 
 
 def ps(body: str) -> str:
@@ -18,17 +20,17 @@ def ps(body: str) -> str:
 
 @register("win_lag", ps("SELECT tenor, m, lag(gap) OVER (PARTITION BY tenor ORDER BY m) AS gap_lag1 FROM panel"), dates="m")
 def _(spark, d):
-    return panel(spark, d).select("tenor", "m", F.lag("gap").over(BY_M).alias("gap_lag1"))
+    return panel(spark, d).select("tenor", "m", F.lag("gap").over(by_m()).alias("gap_lag1"))
 
 
 @register("win_diff", ps("SELECT tenor, m, round(iv - lag(iv) OVER (PARTITION BY tenor ORDER BY m), 6) AS d_iv FROM panel"), dates="m")
 def _(spark, d):
-    return panel(spark, d).select("tenor", "m", r6(F.col("iv") - F.lag("iv").over(BY_M)).alias("d_iv"))
+    return panel(spark, d).select("tenor", "m", r6(F.col("iv") - F.lag("iv").over(by_m())).alias("d_iv"))
 
 
 @register("win_pct_change12", ps("SELECT tenor, m, round(iv / lag(iv, 12) OVER (PARTITION BY tenor ORDER BY m) - 1, 6) AS yoy FROM panel"), dates="m")
 def _(spark, d):
-    return panel(spark, d).select("tenor", "m", r6(F.col("iv") / F.lag("iv", 12).over(BY_M) - 1).alias("yoy"))
+    return panel(spark, d).select("tenor", "m", r6(F.col("iv") / F.lag("iv", 12).over(by_m()) - 1).alias("yoy"))
 
 
 @register("win_log_return", sql("series", "SELECT tenor, d, round(ln(px / lag(px) OVER (PARTITION BY tenor ORDER BY d)), 6) AS r FROM series"), dates="d")
@@ -58,12 +60,12 @@ def _(spark, d):
 
 @register("win_rolling_mean", ps("SELECT tenor, m, round(avg(iv) OVER (PARTITION BY tenor ORDER BY m ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS roll4, round(CASE WHEN count(iv) OVER p >= 4 THEN avg(iv) OVER p END, 6) AS proxy8 FROM panel WINDOW p AS (PARTITION BY tenor ORDER BY m ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)"), dates="m")
 def _(spark, d):
-    return panel(spark, d).select("tenor", "m", r6(F.avg("iv").over(BY_M.rowsBetween(-3, 0))).alias("roll4"), r6(W.trailing("iv", "tenor", "m", 8, 4)[0]).alias("proxy8"))
+    return panel(spark, d).select("tenor", "m", r6(F.avg("iv").over(by_m().rowsBetween(-3, 0))).alias("roll4"), r6(W.trailing("iv", "tenor", "m", 8, 4)[0]).alias("proxy8"))
 
 
 @register("win_rolling_sum", ps("SELECT tenor, m, CAST(sign(sum(iv - 26) OVER (PARTITION BY tenor ORDER BY m ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) AS INTEGER) AS dir FROM panel"), dates="m")
 def _(spark, d):
-    return panel(spark, d).select("tenor", "m", F.signum(F.sum(F.col("iv") - 26).over(BY_M.rowsBetween(-2, 0))).cast("int").alias("dir"))
+    return panel(spark, d).select("tenor", "m", F.signum(F.sum(F.col("iv") - 26).over(by_m().rowsBetween(-2, 0))).cast("int").alias("dir"))
 
 
 @register("win_expanding_mean_std", ps("SELECT tenor, m, round(avg(gap) OVER w, 6) AS mean, round(stddev_samp(gap) OVER w, 6) AS sd FROM panel WINDOW w AS (PARTITION BY tenor ORDER BY m ROWS UNBOUNDED PRECEDING)"), dates="m")
@@ -105,7 +107,7 @@ def _(spark, d):
 @register("win_ewma", ps("WITH o AS (SELECT tenor, m, gap, row_number() OVER (PARTITION BY tenor ORDER BY m) AS rn FROM panel), e AS (SELECT tenor, m, rn, gap AS mean, 1.0::DOUBLE AS wt FROM o WHERE rn = 1 UNION ALL SELECT o.tenor, o.m, o.rn, CASE WHEN e.mean IS NULL THEN o.gap WHEN o.gap IS NULL THEN e.mean ELSE (e.wt * 0.5 * e.mean + 0.5 * o.gap) / (e.wt * 0.5 + 0.5) END, CASE WHEN e.mean IS NULL OR o.gap IS NOT NULL THEN 1.0 ELSE e.wt * 0.5 END FROM e JOIN o ON o.tenor = e.tenor AND o.rn = e.rn + 1) SELECT tenor, m, round(lag(mean) OVER (PARTITION BY tenor ORDER BY m), 6) AS ewma3 FROM e"), dates="m")
 def _(spark, d):
     x = panel(spark, d).withColumn("e", W.ewma("gap", "tenor", "m", 3))
-    return x.select("tenor", "m", r6(F.lag("e").over(BY_M)).alias("ewma3"))
+    return x.select("tenor", "m", r6(F.lag("e").over(by_m())).alias("ewma3"))
 
 
 def event_returns(spark, d, before, after):
@@ -184,7 +186,7 @@ def _(spark, d):
 @register("win_train_test_split", ps("SELECT tenor, m, row_number() OVER (PARTITION BY tenor ORDER BY m) <= floor(0.55 * count(*) OVER (PARTITION BY tenor)) AS train FROM panel"), dates="m")
 def _(spark, d):
     n = F.count("*").over(Window.partitionBy("tenor"))
-    return panel(spark, d).select("tenor", "m", (F.row_number().over(BY_M) <= F.floor(0.55 * n)).alias("train"))
+    return panel(spark, d).select("tenor", "m", (F.row_number().over(by_m()) <= F.floor(0.55 * n)).alias("train"))
 
 
 @register("win_leave_one_group_out", ps("SELECT k.tenor AS left_out, count(gap) AS n, round(avg(gap), 6) AS mean, round(stddev_samp(gap), 6) AS sd FROM (SELECT DISTINCT tenor FROM panel) k JOIN panel p ON p.tenor <> k.tenor GROUP BY 1"))

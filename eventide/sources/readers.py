@@ -98,3 +98,32 @@ def first_available(*tables: DataFrame, on: list[str], value: str) -> DataFrame:
     for t in ranked[1:]:
         both = both.unionByName(t)
     return both.groupBy(*on).agg(F.min_by(value, "source").alias(value), F.min("source").alias("source"))
+
+
+def observations(lines: DataFrame, line: str, start: str, end: str) -> DataFrame:
+    """d and value of 'date,value' lines within [start, end]; '.' is a missing value, other columns stay."""
+    parts = F.split(line, ",")
+    x = lines.withColumns({"d": F.get(parts, F.lit(0)).try_cast("date"), "value": F.get(parts, F.lit(1)).try_cast("double")}).drop(line)
+    return x.where(F.col("d").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def read_pdf_text(spark: SparkSession, path: str) -> DataFrame:
+    """(path, page, text) of PDF files, if a PDF library is installed; without one it fails when called, not on import."""
+    import importlib
+
+    importlib.import_module("pdfplumber")
+
+    def run(batches):
+        import io
+
+        import pandas as pd
+        import pdfplumber
+
+        for pdf in batches:
+            rows = []
+            for p, content in zip(pdf["path"], pdf["content"]):
+                with pdfplumber.open(io.BytesIO(content)) as doc:
+                    rows += [(p, i, page.extract_text() or "") for i, page in enumerate(doc.pages)]
+            yield pd.DataFrame(rows, columns=["path", "page", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page int, text string")
