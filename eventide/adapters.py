@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows cost much to process: dealt over all cores where the scan itself has fewer parts than cores.
+
+    A large table has many more, and is left as the scan gives it.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tenor, ts, o, h, l, c, n: hourly open, high, low, close."""
     e = table(spark, sf_dir, "events")

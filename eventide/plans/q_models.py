@@ -154,7 +154,7 @@ def _walk(spark, d, feats, fit, keep=None, test="m >= DATE '2000-01-01'", **kw):
 
 
 # Counts and baselines of every walk-forward have a SQL twin; predictions are checked in tests against numpy.
-_N = "SELECT a.tenor, a.m AS fold, count(b.gap) AS n_train, round(CASE WHEN count(b.gap) >= {least} THEN avg(b.gap) END, 6) AS baseline FROM f a LEFT JOIN f b ON a.tenor = b.tenor AND b.m < a.m AND b.gap IS NOT NULL AND b.iv_lag1 IS NOT NULL AND b.rv_lag1 IS NOT NULL WHERE a.m >= DATE '{start}' GROUP BY 1, 2"
+_N = "SELECT a.tenor, a.m AS fold, count(b.gap) AS n_train, round(CASE WHEN count(b.gap) >= {least} AND any_value(a.iv_lag1) IS NOT NULL AND any_value(a.rv_lag1) IS NOT NULL THEN avg(b.gap) END, 6) AS baseline FROM f a LEFT JOIN f b ON a.tenor = b.tenor AND b.m < a.m AND b.gap IS NOT NULL AND b.iv_lag1 IS NOT NULL AND b.rv_lag1 IS NOT NULL WHERE a.m >= DATE '{start}' GROUP BY 1, 2"
 
 
 def _frame(df):

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from eventide.adapters import bars, calendar, panel, series, sql, table
+from eventide.adapters import bars, calendar, panel, series, sql, table, texts
 from eventide.catalog import register
 from eventide.functions import scalar as S
 
@@ -113,7 +113,7 @@ def _(spark, d):
 
 @register("flt_quality", "SELECT doc_id, n_words FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS n_words FROM documents) WHERE n_words >= 50")
 def _(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda w: w != "")).alias("n_words"))
+    x = texts(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda w: w != "")).alias("n_words"))
     return x.where("n_words >= 50")
 
 
@@ -192,12 +192,12 @@ def _(spark, d):
 
 @register("hash_key", "SELECT doc_id, sha256(text || '|v2') AS key FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.cache_key(F.col("text"), F.lit("|v2")).alias("key"))
+    return texts(spark, d, "documents").select("doc_id", S.cache_key(F.col("text"), F.lit("|v2")).alias("key"))
 
 
 @register("src_http_cache", "SELECT page_id, substr(md5(url), 1, 16) AS key FROM pages")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", S.url_key(F.col("url")).alias("key"))
+    return texts(spark, d, "pages").select("page_id", S.url_key(F.col("url")).alias("key"))
 
 
 @register("math_basic", "SELECT p_partkey, round(ln(p_retailprice), 6) AS l, round(sqrt(p_retailprice), 6) AS s, round(exp(p_size / 10.0), 6) AS e, round(pow(p_size, 1.5), 6) AS w, CAST(floor(p_retailprice / 7) AS BIGINT) AS f, round_even(p_size / 4.0, 0) * 4 AS grid FROM part")

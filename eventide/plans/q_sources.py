@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from eventide.adapters import calendar, macro, panel, series, sql, table
+from eventide.adapters import calendar, macro, panel, series, sql, table, texts
 from eventide.catalog import register
 from eventide.functions.scalar import r6
 from eventide.sources import readers as R
@@ -64,7 +64,7 @@ _LINES = f"list_filter(list_transform(string_split(regexp_replace({_HTML}, '<[^>
 
 @register("src_html_speech", f"WITH l AS (SELECT page_id, {_LINES} AS l FROM pages) SELECT page_id, len(l) AS n_lines, sha256(array_to_string(l, ' ')) AS body FROM l WHERE len(string_split(array_to_string(l, ' '), ' ')) >= 100")
 def _(spark, d):
-    x = table(spark, d, "pages").select("page_id", R.visible_lines(F.col("html")).alias("l")).withColumn("b", F.array_join("l", " "))
+    x = texts(spark, d, "pages").select("page_id", R.visible_lines(F.col("html")).alias("l")).withColumn("b", F.array_join("l", " "))
     return x.where(F.size(F.split("b", " ")) >= 100).select("page_id", F.size("l").cast("long").alias("n_lines"), F.sha2("b", 256).alias("body"))
 
 
@@ -73,7 +73,7 @@ _PS = "list_transform(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1), lam
 
 @register("src_html_presser", f"SELECT page_id, len({_PS}) AS n_par, sha256(array_to_string({_PS}, ' ')) AS body FROM pages WHERE len(string_split(array_to_string({_PS}, ' '), ' ')) > 50")
 def _(spark, d):
-    x = table(spark, d, "pages").select("page_id", R.paragraphs(F.col("html")).alias("p")).withColumn("b", F.array_join("p", " "))
+    x = texts(spark, d, "pages").select("page_id", R.paragraphs(F.col("html")).alias("p")).withColumn("b", F.array_join("p", " "))
     return x.where(F.size(F.split("b", " ")) > 50).select("page_id", F.size("p").cast("long").alias("n_par"), F.sha2("b", 256).alias("body"))
 
 
@@ -82,7 +82,7 @@ _N = "len(list_filter(string_split({}, ' '), lambda w: w <> ''))"
 
 @register("src_html_statement", f"WITH p AS (SELECT page_id, {_PS} AS ps FROM pages), f AS (SELECT *, list_position(list_transform(ps, lambda p: {_N.format('p')} >= 15), true) AS f FROM p), b AS (SELECT *, CASE WHEN f > 0 THEN ps[f:] ELSE [] END AS body FROM f), e AS (SELECT *, list_position(list_transform(body, lambda p: regexp_matches(p, '(?i)^(voting (for|against)|for release at)')), true) AS e FROM b), j AS (SELECT page_id, array_to_string(ps, ' ') AS whole, array_to_string(list_filter(CASE WHEN e > 0 THEN body[:e - 1] ELSE body END, lambda p: {_N.format('p')} > 3), ' ') AS joined FROM e) SELECT page_id, sha256(CASE WHEN {_N.format('joined')} < 20 THEN whole ELSE joined END) AS body, {_N.format('CASE WHEN ' + _N.format('joined') + ' < 20 THEN whole ELSE joined END')} AS n_words FROM j")
 def _(spark, d):
-    x = table(spark, d, "pages").select("page_id", R.statement_text(F.col("html")).alias("b"))
+    x = texts(spark, d, "pages").select("page_id", R.statement_text(F.col("html")).alias("b"))
     n = F.size(F.filter(F.split("b", " "), lambda w: w != ""))
     return x.select("page_id", F.sha2("b", 256).alias("body"), n.cast("long").alias("n_words"))
 
@@ -95,9 +95,9 @@ def _(spark, d):
 @register("src_corpus_union", "SELECT 'statement' AS doc_type, doc_id AS id, text, lang FROM documents UNION ALL SELECT 'speech', item_id, text, NULL FROM benchmark UNION ALL SELECT 'presser', conv_id, text, NULL FROM conversations WHERE role = 'assistant'")
 def _(spark, d):
     return union_corpus(
-        statement=table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang"),
+        statement=texts(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang"),
         speech=table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"),
-        presser=table(spark, d, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("id"), "text"),
+        presser=texts(spark, d, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("id"), "text"),
     ).select("doc_type", "id", "text", "lang")
 
 

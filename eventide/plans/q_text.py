@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from eventide.adapters import sql, table
+from eventide.adapters import sql, table, texts
 from eventide.catalog import register
 from eventide.functions import text as T
 from eventide.functions.scalar import r6
@@ -18,7 +18,7 @@ NW = "len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang", "source", "text")
+    return texts(spark, d, "documents").select("doc_id", "lang", "source", "text")
 
 
 def inlist(ws):
@@ -53,7 +53,7 @@ def weights(spark, d):
     x = docs(spark, d)
     t = T.words(F.col("text"), 2)
     tokens = x.select("doc_id", t.alias("t")).select("doc_id", F.concat("t", T.bigrams(F.col("t"))).alias("t"))
-    return X.tfidf(X.term_counts(tokens, ["doc_id"], F.col("t")), ["doc_id"], x.agg(F.count("*").alias("n")))
+    return X.tfidf_rows(tokens, "doc_id", F.col("t"))
 
 
 @register("txt_tfidf", f"WITH {_TF} SELECT doc_id, term, round(w, 6) AS w FROM w")
@@ -146,7 +146,7 @@ def _(spark, d):
 @register("txt_chair_turns", f"SELECT conv_id, count(*) FILTER (role = 'assistant') AS n_chair_turns, count(*) AS n_total_turns, CAST(coalesce(sum({NW}) FILTER (role = 'assistant'), 0) AS BIGINT) AS n_tokens_chair FROM conversations GROUP BY 1")
 def _(spark, d):
     chair = F.col("role") == "assistant"
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(chair).alias("n_chair_turns"), F.count("*").alias("n_total_turns"), F.coalesce(F.sum(F.when(chair, T.word_count(F.col("text")))), F.lit(0)).alias("n_tokens_chair"))
+    return texts(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(chair).alias("n_chair_turns"), F.count("*").alias("n_total_turns"), F.coalesce(F.sum(F.when(chair, T.word_count(F.col("text")))), F.lit(0)).alias("n_tokens_chair"))
 
 
 @register("txt_strip_artifacts", "SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '[0-9]{2,}', ' ', 'g'), '[*#%&$]{3,}', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))) AS cleaned FROM documents")
@@ -165,7 +165,7 @@ def _(spark, d):
 @register("txt_chair_corpus", "SELECT source, sha256(string_agg(text, ' ' ORDER BY doc_id)) AS corpus_sha256, count(*) AS n_docs FROM documents WHERE n_chars < 2000 GROUP BY 1")
 def _(spark, d):
     # one text per source is the operator's result; in a pipeline keep (source, doc_id, text) rows instead
-    x = table(spark, d, "documents").where("n_chars < 2000").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"), F.count("*").alias("n_docs"))
+    x = texts(spark, d, "documents").where("n_chars < 2000").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"), F.count("*").alias("n_docs"))
     return x.select("source", F.sha2(F.array_join(F.col("t.text"), " "), 256).alias("corpus_sha256"), "n_docs")
 
 
@@ -255,7 +255,7 @@ def _(spark, d):
 
 @register("txt_similarity_validation", f"WITH x AS (SELECT {_DEN(HAWK)} AS a, {_DEN(DOVE)} AS b, CAST(n_chars AS DOUBLE) AS c FROM documents) SELECT round(corr(a, b), 6) AS r_ab, round(corr(a, c), 6) AS r_ac, abs(corr(a, b)) < 0.3 AS warn FROM x")
 def _(spark, d):
-    x = table(spark, d, "documents").select(T.token_density(F.col("text"), HAWK).alias("a"), T.token_density(F.col("text"), DOVE).alias("b"), F.col("n_chars").cast("double").alias("c"))
+    x = texts(spark, d, "documents").select(T.token_density(F.col("text"), HAWK).alias("a"), T.token_density(F.col("text"), DOVE).alias("b"), F.col("n_chars").cast("double").alias("c"))
     return x.agg(F.corr("a", "b").alias("ab"), F.corr("a", "c").alias("ac")).select(r6("ab").alias("r_ab"), r6("ac").alias("r_ac"), (F.abs("ab") < 0.3).alias("warn"))
 
 
@@ -304,7 +304,7 @@ def _(spark, d):
 
 @register("txt_speaker_turns", "WITH t AS (SELECT conv_id, '\n' || string_agg(CASE role WHEN 'assistant' THEN 'CHAIR SPEAKER' ELSE 'REPORTER' END || '. ' || replace(text, chr(10), ' '), chr(10) ORDER BY turn) AS x FROM conversations GROUP BY 1) SELECT conv_id, len(regexp_extract_all(x, '\\n(CHAIR SPEAKER|REPORTER)\\. ')) AS n_turns, len(regexp_extract_all(x, '\\nCHAIR SPEAKER\\. ')) AS n_chair FROM t")
 def _(spark, d):
-    c = table(spark, d, "conversations")
+    c = texts(spark, d, "conversations")
     line = F.concat(F.when(c.role == "assistant", "CHAIR SPEAKER").otherwise("REPORTER"), F.lit(". "), F.replace(c.text, F.lit("\n"), F.lit(" ")))
     t = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("x"))
     turns = T.speaker_turns(F.col("x"))
@@ -314,7 +314,7 @@ def _(spark, d):
 @register("txt_llm_score", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN round(n_chars / 1000.0, 6) END AS score, doc_id % 2 = 0 AS cached FROM documents")
 def _(spark, d):
     """The cache lookup; the external call itself is out of reach offline."""
-    x = table(spark, d, "documents")
+    x = texts(spark, d, "documents")
     even = x.where("doc_id % 2 = 0")
     cache = even.groupBy(F.sha2(F.concat("text", F.lit("|v1"), F.col("doc_id").cast("string")), 256).alias("key")).agg(F.first(r6(F.col("n_chars") / 1000.0)).alias("score"))
     asked = x.withColumn("asked", F.concat("text", F.lit("|v1"), F.col("doc_id").cast("string")))
