@@ -320,11 +320,13 @@ def _compare(threshold: int, keys: int):
     return run
 
 
-def near_links(prints: DataFrame, fp: str = "fp", threshold: int = 3, sections: int = 2, hot: int = 20_000) -> DataFrame:
+def near_links(prints: DataFrame, fp: str = "fp", threshold: int = 3, sections: int = 2, hot: int = 20_000, per_task: int = 8192) -> DataFrame:
     """(u, v): star rows that connect every two distinct fingerprints within ``threshold`` bits of each other."""
     if threshold // sections > 3:
         raise ValueError("at most 3 bits of excess in a section")
-    distinct = prints.select(F.col(fp).cast("long").alias("fp")).where(F.col("fp").isNotNull()).distinct()
+    values = prints.select(F.col(fp).cast("long").alias("fp")).where(F.col("fp").isNotNull())
+    # a fingerprint is 8 bytes but fans out to many replicas: tasks are cut by rows, not by bytes
+    distinct = values.repartition(max(1, -(-values.count() // per_task)), "fp").distinct()
     replicas = distinct.mapInArrow(_replicate(threshold, sections), "section int, anchor long, fp long, home boolean")
     sizes = replicas.groupBy("section", "anchor").agg(F.count(F.lit(1)).alias("members"), F.max(F.col("home").cast("int")).alias("homes"))
     crowded = materialise(sizes.where(F.col("members") > hot).select(F.col("section").alias("c_section"), F.col("anchor").alias("c_anchor")), "crowded")
