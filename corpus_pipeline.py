@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from eventide.llm import exact_dedup, langid, packing, simhash
 from eventide.llm.base import materialise
 
-#: Documents whose best language has a lower mean probability are undecided and go.
-MIN_SCORE = 0.35
+#: Documents whose best language has less than this multiple of the chance probability are undecided and go.
+MIN_LIFT = 1.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Undetermined and undecided documents go; clean text of any learned language stays."""
-    return langid.keep_identified(docs, langid.train(docs), MIN_SCORE)
+    net = langid.train(docs)
+    return langid.keep_identified(docs, net, min(0.9, MIN_LIFT / len(net.labels)) if net else 0.0)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -201,7 +201,12 @@ def predict(df: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", text
 
 
 def keep_identified(df: DataFrame, net: ByteConvNet | None, min_score: float, text_col: str = "text") -> DataFrame:
-    """Rows of ``df``, columns as they came, whose text has a language with at least ``min_score``."""
+    """Rows of ``df``, columns as they came, whose text has a language with at least ``min_score``.
+
+    Without a model only letterless texts go.
+    """
+    if net is None:
+        return df.where(F.coalesce(F.regexp_like(text_col, F.lit("\\p{L}")), F.lit(False)))
     score = _predict(net)
     schema = df.schema
 
