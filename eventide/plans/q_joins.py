@@ -127,7 +127,7 @@ def _(spark, d):
     return p.crossJoin(base).select("tenor", "m", r6(p.iv / F.col("base")).alias("ratio"))
 
 
-@register("join_nested_loop", sql("panel", "SELECT z, mult, round(sum(greatest(iv - z, 0) * mult), 4) AS pnl FROM panel, (VALUES (12.0), (14.0), (16.0)) a(z), (VALUES (0.5), (1.0)) b(mult) GROUP BY 1, 2"))
+@register("join_nested_loop", sql("panel", "SELECT z, mult, round(sum(greatest(iv - z, 0) * mult), 4) AS pnl FROM panel, (VALUES (12.0::DOUBLE), (14.0), (16.0)) a(z), (VALUES (0.5::DOUBLE), (1.0)) b(mult) GROUP BY 1, 2"))
 def _(spark, d):
     params = spark.createDataFrame([(z, k) for z in (12.0, 14.0, 16.0) for k in (0.5, 1.0)], "z double, mult double")
     x = panel(spark, d).crossJoin(F.broadcast(params))  # a configuration sweep of six rows

@@ -97,7 +97,7 @@ def _(spark, d):
     return M.kernel_weights(f, ["tenor", "fold"], ["iv", "rv"], bandwidth=2.0).select("tenor", "fold", "m", r6("weight").alias("weight"))
 
 
-_FEAT = "SELECT tenor, m, 1.0 AS const, iv, rv, lag(iv) OVER w AS iv_lag1, lag(rv) OVER w AS rv_lag1, round(iv * (month(m) % 2), 6) AS iv_odd, CAST(month(m) % 3 = 1 AS DOUBLE) AS r1, CAST(month(m) % 3 = 2 AS DOUBLE) AS r2, gap FROM panel WINDOW w AS (PARTITION BY tenor ORDER BY m)"
+_FEAT = "SELECT tenor, m, 1.0::DOUBLE AS const, iv, rv, lag(iv) OVER w AS iv_lag1, lag(rv) OVER w AS rv_lag1, round(iv * (month(m) % 2), 6) AS iv_odd, CAST(month(m) % 3 = 1 AS DOUBLE) AS r1, CAST(month(m) % 3 = 2 AS DOUBLE) AS r2, gap FROM panel WINDOW w AS (PARTITION BY tenor ORDER BY m)"
 
 
 def features(spark, d):

@@ -93,7 +93,7 @@ def _(spark, d):
     return x.select("tenor", "m", r6(x.iv_x_odd).alias("iv_x_odd"), r6(x.rv_x_odd).alias("rv_x_odd"), F.round("iv_x_n", 4).alias("iv_x_n"), F.round("rv_x_n", 4).alias("rv_x_n"))
 
 
-@register("prj_map", "SELECT o_orderkey, coalesce(CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.5 END, 0.1) AS weight FROM orders")
+@register("prj_map", "SELECT o_orderkey, CAST(coalesce(CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.5 END, 0.1) AS DOUBLE) AS weight FROM orders")
 def _(spark, d):
     o = table(spark, d, "orders")
     m = F.create_map(F.lit("F"), F.lit(1.0), F.lit("O"), F.lit(0.5))

@@ -321,7 +321,7 @@ def _(spark, d):
     return X.cached_scores(asked, cache, "asked", "").select("doc_id", "score", F.col("score").isNotNull().alias("cached"))
 
 
-@register("cache_json", "SELECT CAST(p_partkey AS VARCHAR) AS key, p_size * 1.0 AS value FROM part")
+@register("cache_json", "SELECT CAST(p_partkey AS VARCHAR) AS key, p_size::DOUBLE AS value FROM part")
 def _(spark, d):
     p = table(spark, d, "part")
     return X.json_cache(p.select(F.to_json(F.create_map(p.p_partkey.cast("string"), p.p_size * F.lit(1.0))).alias("j")), "j")

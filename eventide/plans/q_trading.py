@@ -51,7 +51,7 @@ _LIVE = "t > 0 AND s > 0"
 _BD = f"b AS (SELECT *, s * sqrt(t) AS w, CASE WHEN {_LIVE} THEN (f - x) / (s * sqrt(t)) END AS z FROM q), c AS (SELECT *, CASE WHEN {_LIVE} THEN (f - x) * {cdf('z')} + w * {pdf('z')} ELSE greatest(f - x, 0) END AS call FROM b)"
 
 
-@register("opt_bachelier", f"WITH {_Q}, {_BD} SELECT k, round(call, 6) + 0 AS call, round(CASE WHEN {_LIVE} THEN call - (f - x) ELSE greatest(x - f, 0) END, 6) AS put, round(CASE WHEN {_LIVE} THEN {cdf('z')} WHEN f > x THEN 1 ELSE 0 END, 6) AS delta, round(CASE WHEN {_LIVE} THEN {pdf('z')} / w ELSE 0 END, 6) AS gamma, round(CASE WHEN {_LIVE} THEN sqrt(t) * {pdf('z')} ELSE 0 END, 6) AS vega, round(CASE WHEN {_LIVE} THEN -s * {pdf('z')} / (2 * sqrt(t)) ELSE 0 END, 6) + 0 AS theta FROM c")
+@register("opt_bachelier", f"WITH {_Q}, {_BD} SELECT k, round(call, 6) + 0 AS call, round(CASE WHEN {_LIVE} THEN call - (f - x) ELSE greatest(x - f, 0) END, 6) + 0 AS put, round(CASE WHEN {_LIVE} THEN {cdf('z')} WHEN f > x THEN 1 ELSE 0 END, 6) AS delta, round(CASE WHEN {_LIVE} THEN {pdf('z')} / w ELSE 0 END, 6) AS gamma, round(CASE WHEN {_LIVE} THEN sqrt(t) * {pdf('z')} ELSE 0 END, 6) AS vega, round(CASE WHEN {_LIVE} THEN -s * {pdf('z')} / (2 * sqrt(t)) ELSE 0 END, 6) + 0 AS theta FROM c")
 def _(spark, d):
     b = O.bachelier(F.col("f"), F.col("x"), F.col("t"), F.col("s"))
     return quotes(spark, d).select("k", *[r6(b[n]).alias(n) for n in ("call", "put", "delta", "gamma", "vega", "theta")])
@@ -67,7 +67,7 @@ def _(spark, d):
     return quotes(spark, d).select("k", r6(d1).alias("d1"), r6(d2).alias("d2"))
 
 
-@register("opt_black76", f"WITH {_Q}, {_D12}, c AS (SELECT *, t > 0 AND v > 0 AS live, exp(-0.03 * t) AS df, CASE WHEN t > 0 AND v > 0 THEN exp(-0.03 * t) * (f * {cdf('d1')} - x * {cdf('d2')}) ELSE greatest(f - x, 0) END AS call FROM e) SELECT k, round(call, 6) AS call, round(CASE WHEN live THEN call - df * (f - x) ELSE greatest(x - f, 0) END, 6) AS put, round(CASE WHEN live THEN df * (2 * {cdf('d1')} - 1) ELSE sign(f - x) END, 6) AS delta, round(CASE WHEN live THEN 2 * df * {pdf('d1')} / (f * v * sqrt(t)) ELSE 0 END, 6) AS gamma FROM c")
+@register("opt_black76", f"WITH {_Q}, {_D12}, c AS (SELECT *, t > 0 AND v > 0 AS live, exp(-0.03 * t) AS df, CASE WHEN t > 0 AND v > 0 THEN exp(-0.03 * t) * (f * {cdf('d1')} - x * {cdf('d2')}) ELSE greatest(f - x, 0) END AS call FROM e) SELECT k, round(call, 6) AS call, round(CASE WHEN live THEN call - df * (f - x) ELSE greatest(x - f, 0) END, 6) + 0 AS put, round(CASE WHEN live THEN df * (2 * {cdf('d1')} - 1) ELSE sign(f - x) END, 6) AS delta, round(CASE WHEN live THEN 2 * df * {pdf('d1')} / (f * v * sqrt(t)) ELSE 0 END, 6) AS gamma FROM c")
 def _(spark, d):
     b = O.black76(F.col("f"), F.col("x"), F.col("t"), F.col("v"), r=0.03)
     return quotes(spark, d).select("k", *[r6(b[n]).alias(n) for n in ("call", "put", "delta", "gamma")])
@@ -112,7 +112,7 @@ def legs(spark, d):
     return q.select("k", "t", (b["call"] + b["put"]).alias("price"), (2 * b["vega"]).alias("vega"), (2 * b["gamma"]).alias("gamma"), (2 * b["theta"]).alias("theta"), (1000000.0 * (1 + F.col("k") % 50)).alias("n"), (190.0 + F.col("k") % 7).alias("dv"))
 
 
-@register("tkt_leg", f"{_TK} SELECT k, round(price * 0.01 * n, 2) AS premium_usd, round(vega * dv * n / 1e6, 4) AS yield_vega_usd, round(gamma * 0.01 * n, 2) AS dollar_gamma, round(theta * 0.01 * n / 252, 2) AS dollar_theta_day, CAST(round_even(n / 200000.0, 0) AS BIGINT) AS contracts FROM g")
+@register("tkt_leg", f"{_TK} SELECT k, round(price * 0.01 * n, 2) AS premium_usd, round(vega * dv * n / 1e6, 4) AS yield_vega_usd, round(gamma * 0.01 * n, 2) AS dollar_gamma, round(theta * 0.01 * n / 252, 2) + 0 AS dollar_theta_day, CAST(round_even(n / 200000.0, 0) AS BIGINT) AS contracts FROM g")
 def _(spark, d):
     n, pv = F.col("n"), 0.01 * F.col("n")
     return legs(spark, d).select("k", F.round(F.col("price") * pv, 2).alias("premium_usd"), F.round(F.col("vega") * F.col("dv") * n / 1e6, 4).alias("yield_vega_usd"), F.round(F.col("gamma") * pv, 2).alias("dollar_gamma"), F.round(F.col("theta") * pv / 252, 2).alias("dollar_theta_day"), F.bround(n / 200000.0).cast("long").alias("contracts"))
@@ -198,7 +198,7 @@ def _(spark, d):
 _SH = "avg({x}) / nullif(stddev_samp({x}), 0) * sqrt(8)"
 
 
-@register("pnl_sizing", sql("panel", f"WITH {_PNL}, n AS (SELECT *, row_number() OVER (ORDER BY m) <= floor(0.55 * count(*) OVER ()) AS train FROM p), r AS (SELECT avg(z) AS mz, stddev_samp(z) AS sz FROM n WHERE train AND z > 0), s AS (SELECT kappa, train, pnl * CASE WHEN z > 0 THEN least(greatest(1 + kappa * (z - mz) / sz, 0), 5) ELSE 0 END AS x FROM n, r, (VALUES (0.0), (0.5), (1.0), (2.0)) k(kappa)), g AS (SELECT kappa, round({_SH.format(x='x')}, 5) AS sharpe FROM s WHERE train AND x <> 0 GROUP BY 1) SELECT kappa, sharpe, kappa = (SELECT arg_max(kappa, sharpe) FROM g) AS best FROM g"))
+@register("pnl_sizing", sql("panel", f"WITH {_PNL}, n AS (SELECT *, row_number() OVER (ORDER BY m) <= floor(0.55 * count(*) OVER ()) AS train FROM p), r AS (SELECT avg(z) AS mz, stddev_samp(z) AS sz FROM n WHERE train AND z > 0), s AS (SELECT kappa, train, pnl * CASE WHEN z > 0 THEN least(greatest(1 + kappa * (z - mz) / sz, 0), 5) ELSE 0 END AS x FROM n, r, (VALUES (0.0::DOUBLE), (0.5), (1.0), (2.0)) k(kappa)), g AS (SELECT kappa, round({_SH.format(x='x')}, 5) AS sharpe FROM s WHERE train AND x <> 0 GROUP BY 1) SELECT kappa, sharpe, kappa = (SELECT arg_max(kappa, sharpe) FROM g) AS best FROM g"))
 def _(spark, d):
     p = pnl(spark, d)
     order = Window.partitionBy(F.lit(0)).orderBy("m")  # one row per event
@@ -256,7 +256,7 @@ def _(spark, d):
     return u.join(q, "leg").groupBy("leg").agg(r(F.avg("x"), "mean"), F.round(F.avg((F.col("x") > 0).cast("int")), 5).alias("p_profit"), r(F.percentile("x", F.lit(0.05)), "p5"), r(F.percentile("x", F.lit(0.95)), "p95"), r(F.first("v"), "var99"), r(F.avg(F.when(F.col("x") <= F.col("v"), F.col("x"))), "es99"))
 
 
-@register("tkt_sweep", f"WITH {_JUMP}, s AS (SELECT alpha, front * alpha + back * (1 - alpha) AS x FROM j, (VALUES (0.2), (0.4), (0.6), (0.8)) a(alpha)), g AS (SELECT alpha, avg(x) AS mean, avg(x) / stddev_pop(x) AS sharpe FROM s GROUP BY 1) SELECT alpha, round(mean, 2) AS mean, round(sharpe, 5) AS sharpe, alpha = (SELECT arg_max(alpha, sharpe) FROM g) AS best FROM g")
+@register("tkt_sweep", f"WITH {_JUMP}, s AS (SELECT alpha, front * alpha + back * (1 - alpha) AS x FROM j, (VALUES (0.2::DOUBLE), (0.4), (0.6), (0.8)) a(alpha)), g AS (SELECT alpha, avg(x) AS mean, avg(x) / stddev_pop(x) AS sharpe FROM s GROUP BY 1) SELECT alpha, round(mean, 2) AS mean, round(sharpe, 5) AS sharpe, alpha = (SELECT arg_max(alpha, sharpe) FROM g) AS best FROM g")
 def _(spark, d):
     a = F.broadcast(spark.createDataFrame([(0.2,), (0.4,), (0.6,), (0.8,)], "alpha double"))
     x = S.event_jumps(spark, _EC, N_EVENT, 42).crossJoin(a).withColumn("x", F.col("front") * F.col("alpha") + F.col("back") * (1 - F.col("alpha")))
@@ -294,7 +294,7 @@ def _(spark, d):
     return S.slippage(S.vol_paths(spark, _VC, N_VOL, 7)).groupBy("day").agg(F.round(F.avg("slip"), 5).alias("mean_slip"), F.round(F.max("slip"), 5).alias("worst"))
 
 
-@register("sim_stop_first", f"WITH {_VOL}, {_SLIP}, l(level) AS (VALUES (3.0), (6.0), (9.0), (12.0)), t AS (SELECT level, p, min(d) FILTER (spread - 15 <= -level) AS d0 FROM s, l GROUP BY 1, 2), f AS (SELECT t.level, t.p, d0, CASE WHEN d0 IS NULL THEN e.spread - 15 ELSE h.spread - 15 - h.slip END AS pnl FROM t JOIN s e ON e.p = t.p AND e.d = {_VC.days - 1} LEFT JOIN s h ON h.p = t.p AND h.d = d0), g AS (SELECT level, round(avg(CAST(d0 IS NOT NULL AS INTEGER)), 6) AS stop_rate, round(avg(d0), 5) AS mean_day, round(avg(pnl), 5) AS mean_pnl, round(avg(pnl) FILTER (d0 IS NOT NULL), 5) AS mean_stopped FROM f GROUP BY 1) SELECT *, level = (SELECT arg_max(level, mean_pnl) FROM g) AS recommended FROM g")
+@register("sim_stop_first", f"WITH {_VOL}, {_SLIP}, l(level) AS (VALUES (3.0::DOUBLE), (6.0), (9.0), (12.0)), t AS (SELECT level, p, min(d) FILTER (spread - 15 <= -level) AS d0 FROM s, l GROUP BY 1, 2), f AS (SELECT t.level, t.p, d0, CASE WHEN d0 IS NULL THEN e.spread - 15 ELSE h.spread - 15 - h.slip END AS pnl FROM t JOIN s e ON e.p = t.p AND e.d = {_VC.days - 1} LEFT JOIN s h ON h.p = t.p AND h.d = d0), g AS (SELECT level, round(avg(CAST(d0 IS NOT NULL AS INTEGER)), 6) AS stop_rate, round(avg(d0), 5) AS mean_day, round(avg(pnl), 5) AS mean_pnl, round(avg(pnl) FILTER (d0 IS NOT NULL), 5) AS mean_stopped FROM f GROUP BY 1) SELECT *, level = (SELECT arg_max(level, mean_pnl) FROM g) AS recommended FROM g")
 def _(spark, d):
     levels = spark.createDataFrame([(3.0,), (6.0,), (9.0,), (12.0,)], "level double")
     s = S.first_stop(S.slippage(S.vol_paths(spark, _VC, N_VOL, 7)), _VC.front - _VC.back, levels, F.col("spread") - (_VC.front - _VC.back))

@@ -74,7 +74,7 @@ def _(spark, d):
     return panel(spark, d).select("tenor", "m", r6(F.avg("gap").over(w)).alias("mean"), r6(F.stddev_samp("gap").over(w)).alias("sd"))
 
 
-@register("win_expanding_median", ps("SELECT tenor, m, round(median(gap) OVER w, 6) AS med, CAST(gap > median(gap) OVER w AS INTEGER) * 1.0 AS present FROM panel WINDOW w AS (PARTITION BY tenor ORDER BY m ROWS UNBOUNDED PRECEDING)"), dates="m")
+@register("win_expanding_median", ps("SELECT tenor, m, round(median(gap) OVER w, 6) AS med, CAST(gap > median(gap) OVER w AS DOUBLE) AS present FROM panel WINDOW w AS (PARTITION BY tenor ORDER BY m ROWS UNBOUNDED PRECEDING)"), dates="m")
 def _(spark, d):
     med = F.percentile("gap", F.lit(0.5)).over(W.expanding("tenor", "m"))
     return panel(spark, d).select("tenor", "m", r6(med).alias("med"), (F.col("gap") > med).cast("double").alias("present"))
