@@ -17,6 +17,12 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "[ \\t\\n\\r]+"), lambda w: w != ""))
 
 
+def each(tokens: Column) -> Column:
+    """One row per token. The filter that keeps all stops the optimizer from inferring ``size(tokens) > 0`` below
+    the generator, which would compute the tokens of every row several times over."""
+    return F.explode(F.filter(tokens, lambda w: w.isNotNull()))
+
+
 def bigrams(tokens: Column, sep: str = " ") -> Column:
     return F.when(F.size(tokens) < 2, F.array().cast("array<string>")).otherwise(F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(sep), b)))
 

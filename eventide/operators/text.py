@@ -10,7 +10,7 @@ from eventide.functions import text as T
 
 def term_counts(df: DataFrame, doc: list[str], tokens: Column) -> DataFrame:
     """(doc, term, tf)."""
-    return df.select(*doc, F.explode(tokens).alias("term")).groupBy(*doc, "term").agg(F.count("*").alias("tf"))
+    return df.select(*doc, T.each(tokens).alias("term")).groupBy(*doc, "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf(counts: DataFrame, doc: list[str], n_docs: DataFrame, min_df: int = 2, max_features: int = 3000, sublinear: bool = True) -> DataFrame:
@@ -34,10 +34,10 @@ def tfidf_rows(docs: DataFrame, doc: str, tokens: Column, min_df: int = 2, max_f
     term alone; only tokens of the chosen vocabulary (broadcast: at most ``max_features`` rows) are shuffled by document.
     """
     t = docs.select(doc, tokens.alias("_t"))
-    seen = t.select(F.explode("_t").alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d")).union(t.select(F.explode(F.array_distinct("_t")), F.lit(0), F.lit(1)))
+    seen = t.select(T.each(F.col("_t")).alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d")).union(t.select(T.each(F.array_distinct("_t")), F.lit(0), F.lit(1)))
     vocab = seen.groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("total")).where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_features).select("term", "df")
     n = F.broadcast(docs.agg(F.count("*").alias("_n")))
-    counts = t.select(doc, F.explode("_t").alias("term")).join(F.broadcast(vocab), "term").groupBy(doc, "term").agg(F.count("*").alias("tf"), F.first("df").alias("df"))
+    counts = t.select(doc, T.each(F.col("_t")).alias("term")).join(F.broadcast(vocab), "term").groupBy(doc, "term").agg(F.count("*").alias("tf"), F.first("df").alias("df"))
     x = counts.crossJoin(n).withColumn("w", (1 + F.ln("tf")) * (F.ln((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return x.select(doc, "term", (F.col("w") / norm).alias("w"))

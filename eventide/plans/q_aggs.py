@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from eventide.adapters import calendar, chronology, macro, panel, series, sql, table, texts
 from eventide.catalog import register
 from eventide.functions import stats as ST
+from eventide.functions import text as T
 from eventide.functions.scalar import r6
 from eventide.operators import evaluate as E
 from eventide.operators import windows as W
@@ -132,7 +133,7 @@ def _(spark, d):
 
 @register("agg_termfreq", "WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY 1, 2) SELECT lang, word, n, round(n / max(n) OVER (PARTITION BY lang), 6) AS freq FROM c QUALIFY n >= 3 AND row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 40")
 def _(spark, d):
-    w = texts(spark, d, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    w = texts(spark, d, "documents").select("lang", T.each(T.words(F.col("text"))).alias("word"))
     c = w.groupBy("lang", "word").agg(F.count("*").alias("n"))
     c = c.withColumn("freq", r6(F.col("n") / F.max("n").over(Window.partitionBy("lang"))))
     return W.top_k(c.where("n >= 3"), ["lang"], [F.desc("n"), F.col("word")], 40)
@@ -185,7 +186,7 @@ def _(spark, d):
 
 @register("agg_bucket_mix", "WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), b AS (SELECT lang, CASE WHEN contains(word, 'ti') THEN 'risk' WHEN contains(word, 'th') THEN 'growth' ELSE 'other' END AS bucket, count(*) AS n FROM w GROUP BY 1, 2) SELECT lang, bucket, round(n / sum(n) OVER (PARTITION BY lang), 6) AS share FROM b")
 def _(spark, d):
-    w = texts(spark, d, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    w = texts(spark, d, "documents").select("lang", T.each(T.words(F.col("text"))).alias("word"))
     bucket = F.when(F.contains("word", F.lit("ti")), "risk").when(F.contains("word", F.lit("th")), "growth").otherwise("other")
     n = w.groupBy("lang", bucket.alias("bucket")).agg(F.count("*").alias("n"))
     return n.select("lang", "bucket", r6(F.col("n") / F.sum("n").over(Window.partitionBy("lang"))).alias("share"))

@@ -113,10 +113,10 @@ def _(spark, d):
     return x.select("doc_id", r6("u").alias("uncertainty"), r6("w").alias("weak_modal"), r6("g").alias("guidance"), (F.col("u") > med).cast("double").alias("present"), r6(F.col("u") - F.lag("u").over(Window.partitionBy("lang").orderBy("doc_id"))).alias("change"))
 
 
-@register("txt_family_d", f"WITH x AS (SELECT item_id, {_DEN(HAWK)} AS s FROM benchmark), p AS (SELECT doc_id, {_DEN(HAWK)} AS s FROM documents WHERE doc_id % 3 > 0) SELECT x.item_id, round(x.s + 0.5 * coalesce(p.s, 0), 6) AS score FROM x LEFT JOIN p ON p.doc_id = x.item_id")
+@register("txt_family_d", f"WITH x AS (SELECT item_id, {_DEN(HAWK)} AS s FROM benchmark), p AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN {_DEN(HAWK)} END AS s FROM documents) SELECT x.item_id, round(x.s + 0.5 * coalesce(p.s, 0), 6) AS score FROM x LEFT JOIN p ON p.doc_id = x.item_id")
 def _(spark, d):
     s = table(spark, d, "benchmark").select("item_id", T.token_density(F.col("text"), HAWK).alias("s"))
-    p = docs(spark, d).where("doc_id % 3 > 0").select(F.col("doc_id").alias("item_id"), T.token_density(F.col("text"), HAWK).alias("p"))
+    p = docs(spark, d).select(F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 3 > 0, T.token_density(F.col("text"), HAWK)).alias("p"))
     return s.join(p, "item_id", "left").select("item_id", r6(F.col("s") + 0.5 * F.coalesce("p", F.lit(0.0))).alias("score"))
 
 
@@ -136,10 +136,10 @@ def _(spark, d):
     return x.select("doc_id", r6(F.coalesce(F.col("quality").cast("double"), T.token_density(F.col("text"), HEDGE))).alias("score"), F.col("quality").isNotNull().alias("precomputed"))
 
 
-@register("txt_blend", f"WITH a AS (SELECT item_id, {_DEN(HAWK)} AS s FROM benchmark), p AS (SELECT doc_id, {_DEN(HAWK)} AS s FROM documents WHERE doc_id % 2 = 0) SELECT a.item_id, round(CASE WHEN p.s IS NOT NULL AND a.s IS NOT NULL THEN 0.6 * p.s + 0.4 * a.s ELSE coalesce(p.s, a.s) END, 6) AS score FROM a LEFT JOIN p ON p.doc_id = a.item_id")
+@register("txt_blend", f"WITH a AS (SELECT item_id, {_DEN(HAWK)} AS s FROM benchmark), p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_DEN(HAWK)} END AS s FROM documents) SELECT a.item_id, round(CASE WHEN p.s IS NOT NULL AND a.s IS NOT NULL THEN 0.6 * p.s + 0.4 * a.s ELSE coalesce(p.s, a.s) END, 6) AS score FROM a LEFT JOIN p ON p.doc_id = a.item_id")
 def _(spark, d):
     a = table(spark, d, "benchmark").select("item_id", T.token_density(F.col("text"), HAWK).alias("s"))
-    p = docs(spark, d).where("doc_id % 2 = 0").select(F.col("doc_id").alias("item_id"), T.token_density(F.col("text"), HAWK).alias("p"))
+    p = docs(spark, d).select(F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 2 == 0, T.token_density(F.col("text"), HAWK)).alias("p"))
     return a.join(p, "item_id", "left").select("item_id", r6(T.blend(F.col("p"), F.col("s"))).alias("score"))
 
 
@@ -162,11 +162,12 @@ def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(T.tokenise(F.col("text"), STOP, with_bigrams=True), " ").alias("tokens"))
 
 
-@register("txt_chair_corpus", "SELECT source, sha256(string_agg(text, ' ' ORDER BY doc_id)) AS corpus_sha256, count(*) AS n_docs FROM documents WHERE n_chars < 2000 GROUP BY 1")
+@register("txt_chair_corpus", "SELECT source, doc_id, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char, length(text) AS n, sha256(text) AS text_sha256 FROM documents")
 def _(spark, d):
-    # one text per source is the operator's result; in a pipeline keep (source, doc_id, text) rows instead
-    x = texts(spark, d, "documents").where("n_chars < 2000").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"), F.count("*").alias("n_docs"))
-    return x.select("source", F.sha2(F.array_join(F.col("t.text"), " "), 256).alias("corpus_sha256"), "n_docs")
+    # a group's corpus as rows in order, with each text's place in the whole: no task holds a whole corpus
+    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    x = texts(spark, d, "documents").select("source", "doc_id", F.length("text").alias("n"), F.sha2("text", 256).alias("text_sha256"))
+    return x.withColumn("start_char", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)))
 
 
 _LANGW = f"w AS (SELECT lang, unnest({_CONTENT}) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY 1, 2)"
@@ -218,7 +219,7 @@ def _(spark, d):
 
 @register("txt_prefilter", f"SELECT lang, count(*) AS total, count(*) FILTER (length(w) <= 3) AS short_words, count(*) FILTER (list_contains({inlist(STOP)}, w)) AS stop_words, count(*) FILTER (length(w) > 3 AND NOT list_contains({inlist(STOP)}, w)) AS kept FROM (SELECT lang, unnest({W_}) AS w FROM documents) GROUP BY 1")
 def _(spark, d):
-    x = docs(spark, d).select("lang", F.explode(T.words(F.col("text"))).alias("w"))
+    x = docs(spark, d).select("lang", T.each(T.words(F.col("text"))).alias("w"))
     stop, short = F.col("w").isin(*STOP), F.length("w") <= 3
     return x.groupBy("lang").agg(F.count("*").alias("total"), F.count_if(short).alias("short_words"), F.count_if(stop).alias("stop_words"), F.count_if(~short & ~stop).alias("kept"))
 
@@ -237,13 +238,13 @@ _VOC = "voc AS (SELECT DISTINCT word, (length(word) % 5) / 5.0 AS warm, (length(
 
 
 def vocabulary(spark, d):
-    v = table(spark, d, "benchmark").select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
+    v = table(spark, d, "benchmark").select(T.each(T.words(F.col("text"))).alias("word")).distinct()
     return v.select("word", (F.length("word") % 5 / 5.0).alias("warm"), (F.length("word") % 3 / 3.0).alias("teal"))
 
 
 @register("txt_passage_score", f"WITH {_VOC}, t AS (SELECT doc_id, unnest({W_}) AS word FROM documents), a AS (SELECT doc_id, count(*) AS known, avg(warm) AS warm, avg(teal) AS teal, avg(warm) FILTER (warm > teal) AS heat, avg(CAST(warm > 0.5 AS DOUBLE)) AS breadth FROM t JOIN voc ON t.word = voc.word GROUP BY 1) SELECT k.doc_id, coalesce(known, 0) AS known, round(least(greatest(coalesce(warm - teal, 0), -1), 1), 6) AS stance, round(least(greatest(coalesce(heat, warm, 0.3), 0), 1), 6) AS urgency, round(least(greatest(coalesce(1 - abs(warm - teal), 0.5), 0), 1), 6) AS ambiguity, round(coalesce(breadth, 0), 6) AS breadth, round(coalesce(teal, 0.3), 6) AS comfort FROM (SELECT DISTINCT doc_id FROM t) k LEFT JOIN a ON a.doc_id = k.doc_id")
 def _(spark, d):
-    t = docs(spark, d).select("doc_id", F.explode(T.words(F.col("text"))).alias("word"))
+    t = docs(spark, d).select("doc_id", T.each(T.words(F.col("text"))).alias("word"))
     x = X.passage_scores(t, vocabulary(spark, d), "doc_id")
     return x.select("doc_id", "known", *[r6(c).alias(c) for c in ("stance", "urgency", "ambiguity", "breadth", "comfort")])
 

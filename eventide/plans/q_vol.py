@@ -87,13 +87,13 @@ def _(spark, d):
 
 
 # An option chain derived from parts: for every event, three expiries around it, strikes and vols from the part.
-_CHAIN = "chain AS (SELECT meeting_date, p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'call' ELSE 'put' END AS typ, meeting_date + CAST(k * 14 - 21 + p_partkey % 3 AS INTEGER) AS expiry, round(p_retailprice, 2) AS strike, CASE WHEN p_partkey % 9 = 0 THEN 0.0 ELSE p_size / 100.0 END AS iv, p_partkey % 13 AS oi FROM cal, part, (VALUES (0), (1), (2), (3)) v(k) WHERE p_partkey <= 60)"
+_CHAIN = "chain AS (SELECT meeting_date, p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'call' ELSE 'put' END AS typ, meeting_date + CAST(k * 14 - 21 + p_partkey % 3 AS INTEGER) AS expiry, round(p_retailprice, 2) AS strike, CASE WHEN p_partkey % 9 = 0 THEN 0.0 ELSE p_size / 100.0 END AS iv, p_partkey % 13 AS oi FROM cal, part, (VALUES (0), (1), (2), (3)) v(k))"
 
 
 def chain(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 60")  # the strikes of one listed contract, not a cut of data
+    p = table(spark, d, "part")
     k = spark.range(4).withColumnRenamed("id", "k")
-    x = calendar(spark, d).crossJoin(F.broadcast(p)).crossJoin(F.broadcast(k))
+    x = p.crossJoin(F.broadcast(calendar(spark, d))).crossJoin(F.broadcast(k))  # every part is quoted for every event
     key = F.col("p_partkey")
     return x.select("meeting_date", "p_partkey", F.when(key % 2 == 0, "call").otherwise("put").alias("typ"), F.date_add("meeting_date", (F.col("k") * 14 - 21 + key % 3).cast("int")).alias("expiry"), F.round("p_retailprice", 2).alias("strike"), F.when(key % 9 == 0, 0.0).otherwise(F.col("p_size") / 100.0).alias("iv"), (key % 13).alias("oi"))
 
