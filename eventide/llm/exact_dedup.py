@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.base import buffered, materialise
+from eventide.llm.base import buffered, materialise, slices
 
 #: Only what changes is matched: a run that is not already one single space.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -106,7 +106,7 @@ def collapse_task(budget: int):
     def run(batches):
         def rows():
             trie = PatriciaTrie()
-            for b in batches:
+            for b in slices(batches):
                 for ident, text, n, digest in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "n_bytes", "digest"))):
                     trie.insert(_prefix(n, digest) + text, ident, 1)
                     if trie.size > budget:
@@ -125,7 +125,7 @@ def own_partition(budget: int):
     def run(batches):
         def rows():
             trie, last = PatriciaTrie(), None
-            for b in batches:
+            for b in slices(batches):
                 for n, digest, text, ident, count in zip(*(b.column(c).to_pylist() for c in _PARTIAL.names)):
                     here = (n, digest)
                     if trie.size > budget and here != last:

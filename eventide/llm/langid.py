@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.base import emit
+from eventide.llm.base import emit, slices
 
 UNDETERMINED = "und"
 _WIDTHS = (2, 3, 4)
@@ -186,7 +186,7 @@ def _predict(net: ByteConvNet | None, chunk: int = 256):
         return names, scores
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1024):
             names, scores = score_texts(b.column("text").to_pylist())
             yield emit(_OUT, [b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), names, scores])
 
@@ -211,7 +211,7 @@ def keep_identified(df: DataFrame, net: ByteConvNet | None, min_score: float, te
     schema = df.schema
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1024):
             k = b.schema.get_field_index(text_col)
             flat = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(k), pa.nulls(b.num_rows, pa.bool_())], names=["doc_id", "text", "held_out"])
             (out,) = score(iter([flat]))
