@@ -16,6 +16,7 @@ documents told apart by their own pieces; an empty table packs into no sequence;
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import pyarrow as pa
@@ -105,9 +106,14 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len:
     slots = _slot_rows(shortest_pack_first(histogram, max_len))
     slot = F.broadcast(df.sparkSession.createDataFrame(slots, _SLOTS_DDL))  # bounded: patterns over at most max_len lengths
 
-    sizes = pieces.groupBy("length", "bucket").count()
-    first = F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")
-    firsts = sizes.select(F.col("length").alias("f_length"), F.col("bucket").alias("f_bucket"), first.alias("f_first"))
+    # first rank of each bucket: offsets of runs of buckets, then offsets inside a run, so no task sums a whole length
+    run = math.isqrt(buckets)
+    sizes = pieces.groupBy("length", "bucket").count().withColumn("run", F.floor(F.col("bucket") / run))
+    runs = sizes.groupBy(F.col("length").alias("r_length"), F.col("run").alias("r_run")).agg(F.sum("count").alias("c"))
+    runs = runs.withColumn("r_first", F.sum("c").over(Window.partitionBy("r_length").orderBy("r_run")) - F.col("c"))
+    inside = sizes.withColumn("i_first", F.sum("count").over(Window.partitionBy("length", "run").orderBy("bucket")) - F.col("count"))
+    both = inside.join(runs, (F.col("length") == F.col("r_length")) & (F.col("run") == F.col("r_run")))
+    firsts = both.select(F.col("length").alias("f_length"), F.col("bucket").alias("f_bucket"), (F.col("r_first") + F.col("i_first")).alias("f_first"))
     inner = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
     numbered = pieces.withColumn("within", (F.row_number().over(inner) - 1).cast("long"))
     ranked = numbered.join(firsts, (F.col("length") == F.col("f_length")) & (F.col("bucket") == F.col("f_bucket"))).withColumn("rank", F.col("f_first") + F.col("within"))
