@@ -24,14 +24,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Tables written by this process, for ``drop_materialised``.
+_MADE: list[str] = []
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back under the same schema."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_materialised(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process, once no result built on them is needed any more; returns how many."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    done = 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Views of at most ``rows`` rows, so that only so many texts exist as Python objects at once."""
     for b in batches:

@@ -7,7 +7,7 @@ root down finds the first section and paragraph that differ; pieces below differ
 much two texts share (twice the common pieces over the sum of both).
 
 Defined results: null text is empty text; two empty texts have likeness 1; repeated rows have equal
-fingerprints; a null identifier sorts after all others; an empty table gives an empty result.
+fingerprints; a null identifier sorts after all others, equal identifiers by text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.array(F.struct(F.col("part"), F.lit(0).alias("guest")), F.struct(F.col("g_part").alias("part"), F.lit(1).alias("guest")))
     )
     seated = placed.select("doc_id", "k", "text", F.explode(seats).alias("seat")).select("doc_id", "k", "text", "seat.part", "seat.guest")
-    order = Window.partitionBy("part").orderBy("guest", F.desc("k"))
+    order = Window.partitionBy("part").orderBy("guest", F.desc("k"), "text")
     return seated.withColumn("next_text", F.lead("text").over(order)).where("guest = 0").select("doc_id", "text", "next_text")
 
 

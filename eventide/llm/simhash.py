@@ -368,6 +368,6 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component stays, that with the smallest identifier, with all its columns."""
+    """One row of each component stays, that with the smallest identifier, with all its columns; rows without identifier go."""
     kept = near_dedup(df, id_col, text_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     return df.join(kept, F.col(id_col).cast("long") == F.col("__keep"), "left_semi").dropDuplicates([id_col])

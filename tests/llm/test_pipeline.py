@@ -3,7 +3,7 @@ import re
 
 import corpus_pipeline
 import pytest
-from eventide.llm import bpe, langid, registry, simhash
+from eventide.llm import base, bpe, langid, registry, simhash
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -67,3 +67,11 @@ def test_every_operator_query_runs_and_op6_and_op10_agree_with_each_other(spark)
         assert results[name].count() == n, name
     both = results["op6_exact_dedup"].join(results["op10_simhash"], "doc_id")
     assert both.groupBy("text_sha256").agg({"component_id": "min"}).count() == both.select("text_sha256", "component_id").distinct().count()
+
+
+def test_intermediate_tables_can_be_dropped(spark):
+    df = base.materialise(spark.range(3).toDF("id"), "probe")
+    assert df.count() == 3
+    path = base._MADE[-1]
+    assert os.path.isdir(path) and base.drop_materialised(spark) >= 1
+    assert not os.path.exists(path) and base.drop_materialised(spark) == 0
