@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from eventide.adapters import calendar, macro, panel, series, sql, table, texts
 from eventide.catalog import register
 from eventide.functions.scalar import r6
+from eventide.session import shared_dir
 from eventide.sources import readers as R
 from eventide.sources.corpus import union_corpus
 from eventide.sources.sinks import html_rows
@@ -128,8 +129,7 @@ def _(spark, d):
 def _round_trip(spark, df, fmt, **options):
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/sink-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
     df.write.format(fmt).options(**options).save(path)
     return spark.read.format(fmt).options(**options).schema(df.schema).load(path)
 

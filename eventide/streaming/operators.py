@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from eventide.session import shared_dir
+
 DELAY = "1 hour"
 
 
@@ -62,8 +64,7 @@ def ewma(events: DataFrame, span: int) -> DataFrame:
 def run_available(stream: DataFrame, mode: str) -> DataFrame:
     """Process all input there is. Complete results replace the table after each batch, appended ones add to it."""
     spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     how = "overwrite" if mode == "complete" else "append"
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-state")
     query = writer.foreachBatch(lambda df, _: df.write.mode(how).parquet(path)).start()
