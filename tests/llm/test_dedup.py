@@ -29,7 +29,7 @@ def test_exact_dedup_matches_brute_force(spark):
 def test_exact_dedup_edges(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
     rows = exact_dedup.exact_dedup(frame(spark, ["a", "a", "b", "b"], [5, 5, None, None])).collect()
-    assert sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept) for r in rows) == [(-1, -1, 2, False), (-1, -1, 2, False), (5, 5, 2, True), (5, 5, 2, True)]
+    assert sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept) for r in rows) == [(-1, -1, 2, True), (-1, -1, 2, True), (5, 5, 2, True), (5, 5, 2, True)]
     kept = exact_dedup.keep_first(frame(spark, ["a", "a", " c", "c"], [5, 5, 7, 8]))
     assert kept.columns == ["doc_id", "text", "keep_id", "digest"]
     assert sorted(r.doc_id for r in kept.collect()) == [5, 7, 8]
@@ -39,8 +39,8 @@ def test_trie_splits_edges_and_keeps_smallest():
     trie = exact_dedup.PatriciaTrie()
     words = [b"", b"a", b"ab", b"abc", b"abd", b"b", b"abc"]
     for i, w in enumerate(words):
-        trie.insert(w, 10 - i, 1)
-    assert list(trie.terminals()) == [(b"", 10, 1), (b"a", 9, 1), (b"ab", 8, 1), (b"abc", 4, 2), (b"abd", 6, 1), (b"b", 5, 1)]
+        trie.insert(w, (10 - i, 1, 1, b"", 0))
+    assert [(k, *v[:2]) for k, v in trie.terminals()] == [(b"", 10, 1), (b"a", 9, 1), (b"ab", 8, 1), (b"abc", 4, 2), (b"abd", 6, 1), (b"b", 5, 1)]
 
 
 def slow_fingerprint(text):
@@ -117,25 +117,25 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
-def slow_lines(texts, window=2, divisor=3):
-    cut = {}
-    for doc, text in texts.items():
-        lines = (text or "").split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        bodies, at = [], 0
-        for i in range(len(lines)):
-            if sum(h[i - j] * 31**j for j in range(window) if i >= j) % divisor == 0 or i == len(lines) - 1:
-                bodies.append(lines[at : i + 1])
-                at = i + 1
-        cut[doc] = bodies
-    first, out = {}, {}
+def slow_chunks(text, window=2, divisor=3):
+    lines = text.split("\n")
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    bodies, at = [], 0
+    for i in range(len(lines)):
+        if sum(h[i - j] * 31**j for j in range(window) if i >= j) % divisor == 0 or i == len(lines) - 1:
+            bodies.append("\n".join(lines[at : i + 1]))
+            at = i + 1
+    return bodies
+
+
+def slow_lines(texts):
+    cut = {doc: slow_chunks(text or "") for doc, text in texts.items()}
+    first = {}
     for doc in sorted(cut):
         for k, b in enumerate(cut[doc]):
-            if len(b) > 1:
-                first.setdefault("\n".join(b), (doc, k))
-    for doc, bodies in cut.items():
-        out[doc] = "\n".join("\n".join(b) for k, b in enumerate(bodies) if len(b) == 1 or first["\n".join(b)] == (doc, k))
-    return out
+            if "\n" in b:
+                first.setdefault(b, (doc, k))
+    return {doc: "\n".join(b for k, b in enumerate(bodies) if "\n" not in b or first[b] == (doc, k)) for doc, bodies in cut.items()}
 
 
 def test_line_dedup_matches_brute_force(spark):
