@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step is a partial aggregate and a join, written to the shared folder before the next, so the plan never
-grows and no link or component reaches the driver. A component of any size stays a star of small rows.
+grows and no link or component reaches the driver. A step's tables are deleted after the next is written. A component of any size stays a star of small rows.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.base import materialise
+from eventide.llm.base import discard, materialise
 
 
 def _minimum(edges: DataFrame) -> DataFrame:
@@ -19,13 +19,21 @@ def _minimum(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = materialise(_minimum(both).select("c", F.least("c", "m").alias("m")), "least")
-    return both.join(least, F.col("u") == F.col("c")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    out = both.join(least, F.col("u") == F.col("c")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _after(out, edges, least)
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = materialise(_minimum(edges), "least")  # every edge here points from larger u to smaller v
     linked = edges.join(least, F.col("u") == F.col("c"))
-    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
+    out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
+    return _after(out, edges, least)
+
+
+def _after(step: DataFrame, *read: DataFrame) -> DataFrame:
+    out = materialise(step, "edges")
+    discard(*read)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -38,7 +46,7 @@ def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
     now = materialise(pairs, "edges")
     mark = _mark(now)
     while mark[0]:
-        now = materialise(_small_star(materialise(_large_star(now), "edges")), "edges")
+        now = _small_star(_large_star(now))
         before, mark = mark, _mark(now)
         if before == mark:
             break

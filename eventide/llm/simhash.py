@@ -1,6 +1,6 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Every text gets a 64-bit fingerprint. Fingerprints within ``threshold`` bits must meet somewhere without
+Every text gets a fingerprint. Fingerprints within ``threshold`` bits must meet somewhere without
 being compared with all others: the codewords of a covering code are the anchors. The fingerprint's bits
 are split into sections; in each section the code has covering radius R, so every x lies within R of its
 nearest anchor (its home), and every y within t bits of x lies within R + t of that same anchor. So each
@@ -14,29 +14,39 @@ adds up by factor, a replica needs only those anchors whose excess over the fact
 
 With two sections of 32 bits and T = 3 there are 2 x 2^18 anchors and 2 x 10.9 replicas on average; with
 one section of 64 bits there are 2^36 anchors and about 1,400 replicas. ``sections`` chooses, the links
-are the same. Anchors with many members are refined (``hot``): members of a crowded anchor are dealt again by
-the bytes of the other section, of which one at least is equal within T bits, and what is still crowded
-is compared in tiles of bounded size.
+are the same.
+
+``near_dedup`` links 64-bit fingerprints of three-word shingles. ``keep_one`` drops near copies of texts: it takes five-word
+shingles and a similarity of 0.8, where fingerprints of 64 bits differ in about 10. No covering reaches that far,
+so texts meet by a second signature that near copies hardly change: 256 bits over distinct words, in eight sections
+of which one must be within a bit; there they are compared by 128 bits over distinct shingles.
+
+Anchors with more than ``hot`` members are not compared at once. They come out of the first pass as they are; where the
+threshold allows it, their members are dealt again by parts of the fingerprint, of which one at least is equal, and
+what is still crowded is compared chunk against chunk, each pair of chunks in a task of its own. Inside a task a few
+pivots link a crowd of copies first, and only members of different groups are compared.
 
 Links are never emitted pair by pair: within an anchor each task keeps a union-find and emits one star
 per group, at most one row per member. Equal fingerprints are one node from the start.
 
 Defined results: null text is empty text; texts without words have fingerprint zero and are linked like any
 other; repeated rows share a fingerprint; an empty table gives an empty result; a null identifier never is
-a component's name unless the component has no other; other columns are ignored.
+a component's name unless the component has no other; ``keep_one`` leaves of each component the row with the smallest
+identifier (null last), then text digest, then columns; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.base import buffered, materialise
+from eventide.llm.base import buffered, discard, keep_owners, materialise
 from eventide.llm.components import connected_components
 
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -207,141 +217,174 @@ def anchors(values: np.ndarray, bits: int, excess: int) -> tuple[np.ndarray, np.
 
 # ---- candidates ------------------------------------------------------------------------------------
 
-_REPLICAS = pa.schema([("section", pa.int32()), ("anchor", pa.int64()), ("fp", pa.int64()), ("home", pa.bool_())])
-_STARS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
 
 def _section_bits(sections: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of each section."""
+    """(lowest bit, width) of each section of a 64-bit word."""
     edges = [64 * i // sections for i in range(sections + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _replicate(threshold: int, sections: int, block: int = 2048):
-    excess = threshold // sections
+def _replicate(words: int, checks: int, sections: int, excess: int, block: int = 2048):
+    """(node, words.., checks..) -> (anchor, node, checks.., home): an anchor's number holds word, section and codeword."""
 
     def run(batches):
         for b in batches:
-            whole = b.column("fp").to_numpy().view(np.uint64)
-            for at in range(0, len(whole), block):
-                fps = whole[at : at + block]
-                for s, (low, width) in enumerate(_section_bits(sections)):
-                    values = fps >> np.uint64(low)
-                    if width < 64:
-                        values = values & np.uint64((1 << width) - 1)
-                    row, code, home = anchors(values, width, excess)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), s, dtype=np.int32)), pa.array(code), pa.array(fps.view(np.int64)[row]), pa.array(home)], schema=_REPLICAS)
+            columns = [b.column(i).to_numpy() for i in range(1 + words + checks)]
+            for at in range(0, b.num_rows, block):
+                node, *rest = (c[at : at + block] for c in columns)
+                for w in range(words):
+                    word = rest[w].view(np.uint64)
+                    for s, (low, width) in enumerate(_section_bits(sections)):
+                        values = word >> np.uint64(low)
+                        if width < 64:
+                            values = values & np.uint64((1 << width) - 1)
+                        row, code, home = anchors(values, width, excess)
+                        code |= (w * sections + s) << 48
+                        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(node[row]), *[pa.array(c[row]) for c in rest[words:]], pa.array(home)], names=["anchor", "node", *[f"c{i}" for i in range(checks)], "home"])
 
     return run
 
 
-class _Groups:
-    """Union-find over positions of one anchor's members."""
-
-    def __init__(self, n: int) -> None:
-        self.parent = np.arange(n)
-
-    def find(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = p[i]
-        return int(i)
-
-    def union(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-
-
-def _stars(fps: np.ndarray, home: np.ndarray, threshold: int, tile: int = 1024) -> Iterator[tuple[int, int]]:
-    """Union-find over homes x members in tiles of bounded size; one star row per linked member."""
-    if len(fps) < 2 or not home.any():
-        return
-    order = np.argsort(fps, kind="stable")
-    fps, home = fps[order], home[order]
-    u, groups = fps.view(np.uint64), _Groups(len(fps))
+def _link(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Union of many pairs at once: pointers move to the smaller root until nothing changes."""
+    while len(a):
+        ra, rb = parent[a], parent[b]
+        far = ra != rb
+        if not far.any():
+            return
+        a, b, ra, rb = a[far], b[far], ra[far], rb[far]
+        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+        while True:
+            above = parent[parent]
+            if (above == parent).all():
+                break
+            parent[:] = above
+
+
+def _stars(node: np.ndarray, bits: list[np.ndarray], home: np.ndarray, threshold: int, tile: int = 512, pivots: int = 32) -> Iterator[tuple[int, int]]:
+    """Star rows (member, root) that connect every home with all members within ``threshold`` bits of it.
+
+    Tiles are of bounded size. In a crowd a few homes are pivots first: whoever is near one joins its group, and
+    members of one group need no further comparison with each other.
+    """
     homes = np.nonzero(home)[0]
-    touched = False
-    for at in range(0, len(homes), tile):
-        mine = homes[at : at + tile]
-        for to in range(0, len(u), 16 * tile):
-            near = np.bitwise_count(u[mine][:, None] ^ u[None, to : to + 16 * tile]) <= threshold
-            a, b = np.nonzero(near)
-            a, b = mine[a], b + to
-            other = a != b
-            a, b = a[other], b[other]
-            while len(a):  # link whole rounds at once: pointers move to the smaller root until nothing changes
-                p = groups.parent
-                ra, rb = p[a], p[b]
-                far = ra != rb
-                if not far.any():
-                    break
-                a, b, ra, rb = a[far], b[far], ra[far], rb[far]
-                np.minimum.at(p, np.maximum(ra, rb), np.minimum(ra, rb))
-                while True:
-                    q = p[p]
-                    if (q == p).all():
-                        break
-                    p[:] = q
-                touched = True
-    if touched:
-        for i in np.nonzero(groups.parent != np.arange(len(fps)))[0]:
-            yield int(fps[i]), int(fps[groups.parent[i]])
-
-
-def _compare(threshold: int, keys: int):
-    """Members arrive sorted by key; one key's members (8 bytes each) are held at a time."""
+    if len(node) < 2 or not len(homes):
+        return
+    parent = np.arange(len(node))
+    words = [c.view(np.uint64) for c in bits]
+
+    def compare(mine: np.ndarray, others: np.ndarray) -> None:
+        for at in range(0, len(mine), tile):
+            a = mine[at : at + tile]
+            for to in range(0, len(others), 16 * tile):
+                b = others[to : to + 16 * tile]
+                far = reduce(np.add, (np.bitwise_count(w[a][:, None] ^ w[None, b]) for w in words))
+                i, j = np.nonzero(far <= threshold)
+                _link(parent, a[i], b[j])
+
+    everyone = np.arange(len(node))
+    if len(homes) > 4 * tile:
+        waiting = homes
+        for _ in range(pivots):
+            if not len(waiting):
+                break
+            compare(waiting[:1], everyone)
+            waiting = waiting[parent[waiting] != parent[waiting[0]]]
+    group = parent[homes]
+    labels, sizes = np.unique(group, return_counts=True)
+    crowds = labels[sizes > tile]
+    for label in crowds:
+        compare(homes[group == label], everyone[parent != parent[label]])
+    compare(homes[~np.isin(group, crowds)], everyone)
+    for i in np.nonzero(parent != everyone)[0]:
+        yield int(node[i]), int(node[parent[i]])
+
+
+def _compare(keys: int, checks: int, threshold: int, hot: int | None):
+    """Members arrive sorted by key. Keys of at most ``hot`` members give stars (u, v); members of others pass through with u null."""
 
     def run(batches):
+        def links(parts):
+            columns = [np.concatenate(c) for c in zip(*parts)]
+            return [(*s, None, None, *[None] * checks, None) for s in _stars(columns[0], columns[1:-1], columns[-1], threshold)]
+
+        def through(key, parts):
+            for part in parts:
+                for row in zip(*(c.tolist() for c in part)):
+                    yield None, None, key[0], *row
+
         def rows():
-            last, fps, homes = None, [], []
+            last, parts, held = None, [], 0
             for b in batches:
                 if not b.num_rows:
                     continue
                 ks = [b.column(i).to_numpy() for i in range(keys)]
-                fp, home = b.column("fp").to_numpy(), b.column("home").to_numpy(zero_copy_only=False)
-                cut = np.ones(len(fp), dtype=bool)
+                data = [b.column(keys + i).to_numpy(zero_copy_only=False) for i in range(checks + 2)]
+                cut = np.ones(b.num_rows, dtype=bool)
                 cut[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in ks])
                 starts = np.nonzero(cut)[0]
-                for a, z in zip(starts, np.append(starts[1:], len(fp))):
+                for a, z in zip(starts, np.append(starts[1:], b.num_rows)):
                     key = tuple(k[a].item() for k in ks)
                     if key != last:
-                        if last is not None:
-                            yield from _stars(np.concatenate(fps), np.concatenate(homes), threshold)
-                        last, fps, homes = key, [], []
-                    fps.append(fp[a:z])
-                    homes.append(home[a:z])
-            if last is not None:
-                yield from _stars(np.concatenate(fps), np.concatenate(homes), threshold)
-
-        yield from buffered(rows(), _STARS)
+                        if parts:
+                            yield from links(parts)
+                        last, parts, held = key, [], 0
+                    part = [c[a:z] for c in data]
+                    held += int(z - a)
+                    if hot is not None and held > hot:
+                        yield from through(key, [*parts, part])
+                        parts = []
+                    else:
+                        parts.append(part)
+            if parts:
+                yield from links(parts)
+
+        yield from buffered(rows(), _found(checks))
 
     return run
 
 
-def near_links(prints: DataFrame, fp: str = "fp", threshold: int = 3, sections: int = 2, hot: int = 20_000, per_task: int = 8192) -> DataFrame:
-    """(u, v): star rows that connect every two distinct fingerprints within ``threshold`` bits of each other."""
-    if threshold // sections > 3:
+def _found(checks: int) -> pa.Schema:
+    return pa.schema([("u", pa.int64()), ("v", pa.int64()), ("anchor", pa.int64()), ("node", pa.int64()), *[(f"c{i}", pa.int64()) for i in range(checks)], ("home", pa.bool_())])
+
+
+def near_links(points: DataFrame, words: list[str], checks: list[str], threshold: int, sections: int = 2, excess: int | None = None, refine: bool = True, hot: int = 50_000, per_task: int = 8192) -> DataFrame:
+    """(u, v): star rows over ``node`` of ``points``.
+
+    They connect every two nodes whose ``checks`` differ in at most ``threshold`` bits and of whose ``words`` some section
+    differs in at most ``excess`` bits (by default so many that, where words and checks are the same, no pair is missed).
+    ``refine`` deals crowded anchors again by equal parts of the first check, for small thresholds over one word.
+    """
+    excess = threshold // sections if excess is None else excess
+    if excess > 3:
         raise ValueError("at most 3 bits of excess in a section")
-    values = prints.select(F.col(fp).cast("long").alias("fp")).where(F.col("fp").isNotNull())
-    # a fingerprint is 8 bytes but fans out to many replicas: tasks are cut by rows, not by bytes
-    distinct = values.repartition(max(1, -(-values.count() // per_task)), "fp").distinct()
-    replicas = distinct.mapInArrow(_replicate(threshold, sections), "section int, anchor long, fp long, home boolean")
-    sizes = replicas.groupBy("section", "anchor").agg(F.count(F.lit(1)).alias("members"), F.max(F.col("home").cast("int")).alias("homes"))
-    crowded = materialise(sizes.where(F.col("members") > hot).select(F.col("section").alias("c_section"), F.col("anchor").alias("c_anchor")), "crowded")
-    at = (F.col("section") == F.col("c_section")) & (F.col("anchor") == F.col("c_anchor"))
-    if crowded.isEmpty():
-        calm, fine = replicas, None
-    else:
-        calm = replicas.join(crowded, at, "left_anti")
-        # the rest of the bits, in threshold + 1 parts: within the threshold at least one part is equal
-        parts = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in _cuts(threshold + 1)]
-        fine = replicas.join(crowded, at, "left_semi").select("section", "anchor", "fp", "home", F.posexplode(F.array(*parts)).alias("part", "bits"))
-    stars = calm.repartition("section", "anchor").sortWithinPartitions("section", "anchor").select("section", "anchor", "fp", "home").mapInArrow(_compare(threshold, 2), "u long, v long")
-    if fine is not None:
-        dealt = fine.repartition("section", "anchor", "part", "bits").sortWithinPartitions("section", "anchor", "part", "bits").select("section", "anchor", "part", "bits", "fp", "home")
-        stars = stars.union(dealt.mapInArrow(_compare(threshold, 4), "u long, v long"))
+    n = len(checks)
+    held = [f"c{i}" for i in range(n)]
+    body = ", ".join([f"{c} long" for c in held])
+    signed = [F.col(c).cast("long").alias(f"w{i}") for i, c in enumerate(words)] + [F.col(c).cast("long").alias(h) for c, h in zip(checks, held)]
+    # a node is a few words but fans out to many replicas: tasks are cut by rows, not by bytes
+    dealt = points.select("node", *signed).repartition(max(1, -(-points.count() // per_task)), "node")
+    replicas = dealt.mapInArrow(_replicate(len(words), n, sections, excess), f"anchor long, node long, {body}, home boolean")
+
+    def compared(rows: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
+        placed = rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "node", *held, "home")
+        return materialise(placed.mapInArrow(_compare(len(keys), n, threshold, limit), f"u long, v long, anchor long, node long, {body}, home boolean"), "stars")
+
+    found = compared(replicas, ["anchor"], hot)
+    stars, crowd = found.where("u IS NOT NULL").select("u", "v"), found.where("u IS NULL").drop("u", "v")
+    if refine and not crowd.isEmpty():
+        # within the threshold at least one of threshold + 1 parts is equal
+        parts = [F.shiftrightunsigned("c0", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in _cuts(threshold + 1)]
+        found = compared(crowd.select("*", F.posexplode(F.array(*parts)).alias("part", "bits")), ["anchor", "part", "bits"], hot)
+        stars, crowd = stars.union(found.where("u IS NOT NULL").select("u", "v")), found.where("u IS NULL").drop("u", "v").distinct()
+    if not crowd.isEmpty():
+        sizes = crowd.groupBy(F.col("anchor").alias("s_anchor")).agg(F.ceil(F.count(F.lit(1)) * 2 / hot).alias("chunks"))
+        numbered = crowd.join(sizes, F.col("anchor") == F.col("s_anchor")).withColumn("mine", F.pmod(F.xxhash64("node"), "chunks"))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+        as_home = numbered.where("home").withColumn("row", F.col("mine")).withColumn("column", other)
+        as_member = numbered.withColumn("column", F.col("mine")).withColumn("row", other).where("NOT home OR row <> column").withColumn("home", F.lit(False))
+        found = compared(as_home.unionByName(as_member), ["anchor", "row", "column"], None)
+        stars = stars.union(found.select("u", "v"))
     return stars
 
 
@@ -354,20 +397,80 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = 3, sections: int = 2, seed: int = 42) -> DataFrame:
+def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` with ``component``, the smallest node reachable."""
+    member = materialise(connected_components(links, "u", "v").toDF("m_node", "m_component"), "members")
+    return nodes.join(member, F.col("node") == F.col("m_node"), "left").withColumn("component", F.coalesce("m_component", "node")).drop("m_node", "m_component")
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = 3, sections: int = 2, seed: int = 42, hot: int = 50_000) -> DataFrame:
     """One row per input row: doc_id, fingerprint, component_id."""
     prints = materialise(fingerprints(df, id_col, text_col, words, seed), "prints")
-    nodes = materialise(prints.groupBy(F.col("fp").alias("n_fp")).agg(F.min("doc_id").alias("least_id")), "nodes")
-    member = connected_components(near_links(nodes, "n_fp", threshold, sections), "u", "v")
-    member = materialise(member, "members")
-    named = nodes.join(member, F.col("n_fp") == F.col("node"), "left").select("n_fp", "least_id", F.coalesce("component", "n_fp").alias("component"))
-    named = materialise(named, "named")
+    nodes = materialise(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least_id")), "nodes")
+    named = materialise(_named(nodes, near_links(nodes, ["node"], ["node"], threshold, sections, hot=hot)), "named")
     least = materialise(named.groupBy(F.col("component").alias("l_component")).agg(F.min("least_id").alias("component_id")), "names")
-    classes = materialise(named.join(least, F.col("component") == F.col("l_component")).select("n_fp", "component_id"), "classes")
-    return prints.join(classes, F.col("fp") == F.col("n_fp")).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    classes = materialise(named.join(least, F.col("component") == F.col("l_component")).select("node", "component_id"), "classes")
+    discard(nodes, named, least)
+    return prints.join(classes, F.col("fp") == F.col("node")).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# ---- near copies of texts --------------------------------------------------------------------------
+
+_WORDS, _CHECKS = ["w0", "w1", "w2", "w3"], ["c0", "c1"]
+_SIGNED = pa.schema([("id", pa.int64()), ("digest", pa.binary()), *[(c, pa.int64()) for c in _WORDS + _CHECKS]])
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
+def _majority(items: set[bytes], seeds: tuple[int, ...]) -> np.ndarray:
+    """128 bits for each seed, as signed 64-bit words: those set in over half of the items' hashes."""
+    import xxhash
+
+    out = []
+    for seed in seeds:
+        lanes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, seed) for x in items]), dtype="<u8")
+        out.append(np.packbits(np.concatenate([_bit_counts(lanes[i::2]) for i in range(2)]) * 2 > len(items), bitorder="little"))
+    return np.concatenate(out).view("<i8")
+
+
+def signature(text: str | None, shingle: int = 5) -> list[int]:
+    """Four words over the distinct words of a text, two over its distinct shingles; case and punctuation do not count."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().translate(None, _PUNCTUATION).split()
+    if not tokens:
+        return [0] * 6
+    shingles = set(map(b" ".join, zip(*(tokens[i:] for i in range(shingle))))) or {b" ".join(tokens)}
+    return [*_majority(set(tokens), (1, 2)).tolist(), *_majority(shingles, (3,)).tolist()]
+
+
+def bits_apart(similarity: float, bits: int = 128) -> int:
+    """Bits by which fingerprints of two shingle sets of this Jaccard similarity differ: the expected number and one standard deviation."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def _signature_batches(shingle: int):
+    def run(batches):
+        def rows():
+            for b in batches:
+                texts, digests = b.column("text"), b.column("digest").to_pylist()
+                for k, ident in enumerate(b.column("id").to_pylist()):
+                    yield ident, digests[k], *signature(texts[k].as_py(), shingle)
+
+        yield from buffered(rows(), _SIGNED)
+
+    return run
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component stays, that with the smallest identifier, with all its columns; rows without identifier go."""
-    kept = near_dedup(df, id_col, text_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return df.join(kept, F.col(id_col).cast("long") == F.col("__keep"), "left_semi").dropDuplicates([id_col])
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, hot: int = 50_000) -> DataFrame:
+    """One row of each group of near copies, columns as they came; groups are the components of ``bits_apart(similarity)``."""
+    ident, digest = df[id_col].cast("long"), F.unhex(F.sha2(F.coalesce(df[text_col].cast("string"), F.lit("")), 256))
+    source = df.select(ident.alias("id"), df[text_col].cast("string").alias("text"), digest.alias("digest"))
+    signed = materialise(source.mapInArrow(_signature_batches(shingle), "id long, digest binary, " + ", ".join(f"{c} long" for c in _WORDS + _CHECKS)), "prints")
+    texts = signed.groupBy("id", "digest", *_WORDS, *_CHECKS).agg(F.count(F.lit(1)).alias("rows"))
+    owner = F.struct(F.col("id").isNull().alias("none"), "id", "digest", "rows")
+    nodes = texts.groupBy(*_WORDS, *_CHECKS).agg(F.min(owner).alias("owner")).withColumn("node", F.monotonically_increasing_id())
+    nodes = materialise(nodes, "nodes")
+    links = near_links(nodes, _WORDS, _CHECKS, bits_apart(similarity), excess=1, refine=False, hot=hot)
+    owners = _named(nodes.select("node", "owner"), links).groupBy("component").agg(F.min("owner").alias("owner"))
+    owners = materialise(owners.select("owner.id", "owner.digest", "owner.rows"), "owners")
+    discard(signed, nodes)
+    return keep_owners(df, [ident, digest], owners)

@@ -69,9 +69,9 @@ def test_links_match_brute_force(spark, sections, threshold):
                 x ^= 1 << int(bit)
             fps.add(x)
     signed = {x: x - 2**64 if x >> 63 else x for x in fps}
-    df = spark.createDataFrame([(v,) for v in signed.values()], "fp long")
-    for hot in (20_000, 3):
-        links = simhash.near_links(df, threshold=threshold, sections=sections, hot=hot)
+    df = spark.createDataFrame([(v,) for v in signed.values()], "node long")
+    for hot, refine in ((20_000, True), (3, True), (3, False)):
+        links = simhash.near_links(df, ["node"], ["node"], threshold, sections, refine=refine, hot=hot)
         found = {r.node: r.component for r in components.connected_components(links, "u", "v").collect()}
         assert groups({s: found.get(s, s) for s in signed.values()}) == groups(brute(signed, threshold))
 
@@ -110,6 +110,90 @@ def test_near_dedup_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 6] and kept.columns == ["doc_id", "text", "keep_id", "digest"]
 
 
+def slow_near(rows):
+    """Kept rows of (id, text, other) by the definition: links of signatures, components, smallest row of each."""
+    signed = [[w & (2**64 - 1) for w in simhash.signature(t)] for _, t, _ in rows]
+    halves = [[w >> low & 0xFFFFFFFF for w in s[:4] for low in (0, 32)] for s in signed]
+    group = list(range(len(rows)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            apart = sum((signed[i][k] ^ signed[j][k]).bit_count() for k in (4, 5))
+            if apart <= simhash.bits_apart(0.8) and min((a ^ b).bit_count() for a, b in zip(halves[i], halves[j])) <= 1:
+                group[find(i)] = find(j)
+    best = {}
+    rank = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest(), r[2])
+    for i, r in enumerate(rows):
+        best[find(i)] = min(best.get(find(i), r), r, key=rank)
+    return sorted(best.values(), key=rank), rank
+
+
+def near_rows(seed, n=25):
+    rng = random.Random(seed)
+    rows = [(None, None, "a"), (None, "", "b"), (5, "one", "c"), (5, "two", "c"), (5, "two", "d"), (None, "three", "e"), (None, "four", "f")]
+    for k in range(n):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(20, 400))]
+        for copy in range(rng.randrange(1, 5)):
+            edited = list(words)
+            for _ in range(copy * len(words) // 60):
+                edited[rng.randrange(len(words))] = "edited"
+            rows.append((rng.choice([None, k, 5]), " ".join(edited).replace("w1", "W1"), "z"))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [50_000, 4])
+def test_keep_one_matches_brute_force_with_null_and_clashing_identifiers(spark, hot):
+    rows = near_rows(11)
+    df = spark.createDataFrame(rows, "doc_id long, text string, home string")
+    want, rank = slow_near(rows)
+    kept = simhash.keep_one(df, hot=hot)
+    assert kept.schema == df.schema
+    assert sorted((tuple(r) for r in kept.collect()), key=rank) == want
+    assert len(want) < len(rows) and simhash.keep_one(df.where("false")).count() == 0
+
+
+def test_signatures_find_near_copies_and_leave_other_texts_apart():
+    rng = random.Random(4)
+    near = caught = 0
+    originals = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(80, 500))]
+        edited = list(words)
+        for _ in range(len(words) // 50):
+            edited[rng.randrange(len(words))] = "edited"
+        a, b = (set(zip(*(x[i:] for i in range(5)))) for x in (words, edited))
+        if len(a & b) / len(a | b) < 0.8:
+            continue
+        s, t = simhash.signature(" ".join(words)), simhash.signature(" ".join(edited).upper() + ".")
+        near += 1
+        caught += linked(s, t)
+        originals.append(s)
+    assert near > 40 and caught / near >= 0.9
+    assert not any(linked(s, t) for i, s in enumerate(originals) for t in originals[:i])
+
+
+def linked(s, t):
+    m = 2**64 - 1
+    section = min(((a ^ b) >> low & 0xFFFFFFFF).bit_count() for a, b in zip([x & m for x in s[:4]], [x & m for x in t[:4]]) for low in (0, 32))
+    return section <= 1 and sum(((a ^ b) & m).bit_count() for a, b in zip(s[4:], t[4:])) <= simhash.bits_apart(0.8)
+
+
+def test_a_crowd_of_copies_is_linked_through_pivots():
+    rng = np.random.default_rng(3)
+    center, n = rng.integers(0, 2**63, 2), 5000
+    bits = [np.full(n, c) for c in center]
+    for i in range(n):
+        bits[i % 2][i] ^= 1 << int(rng.integers(0, 62))
+    bits[0][-7:] = rng.integers(0, 2**63, 7)
+    stars = list(simhash._stars(np.arange(n), bits, np.ones(n, dtype=bool), 4))
+    assert {u for u, _ in stars} | {0} == set(range(n - 7)) and {v for _, v in stars} == {0}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (3, 4)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

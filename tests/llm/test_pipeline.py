@@ -3,7 +3,8 @@ import re
 
 import corpus_pipeline
 import pytest
-from eventide.llm import base, bpe, langid, registry, simhash
+from eventide.llm import base, bpe, langid, registry
+from test_dedup import slow_near
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -23,20 +24,9 @@ def survivors(rows, net):
         if norm not in seen:
             seen.add(norm)
             kept.append(r)
-    prints = [simhash.fingerprint(r.text) for r in kept]
-    group = list(range(len(kept)))
-
-    def find(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    for i, a in enumerate(prints):
-        for j in range(i):
-            if bin(a ^ prints[j]).count("1") <= 3:
-                x, y = sorted((find(i), find(j)))
-                group[y] = x
-    return [r for i, r in enumerate(kept) if find(i) == i]
+    chosen, _ = slow_near([(r.doc_id, r.text, "") for r in kept])
+    ids = {c[0] for c in chosen}
+    return [r for r in kept if r.doc_id in ids]
 
 
 def test_pipeline_matches_brute_force(spark):
@@ -72,6 +62,6 @@ def test_every_operator_query_runs_and_op6_and_op10_agree_with_each_other(spark)
 def test_intermediate_tables_can_be_dropped(spark):
     df = base.materialise(spark.range(3).toDF("id"), "probe")
     assert df.count() == 3
-    path = base._MADE[-1]
-    assert os.path.isdir(path) and base.drop_materialised(spark) >= 1
-    assert not os.path.exists(path) and base.drop_materialised(spark) == 0
+    path = df.materialised_at
+    assert os.path.isdir(path) and base.discard(df) == 1
+    assert not os.path.exists(path) and base.discard(df, spark.range(1)) == 0
