@@ -1,11 +1,16 @@
-"""Corpus preparation: language ID, exact dedup, near dedup, packing; each stage works on what the one before kept."""
+"""Corpus preparation: language ID, exact dedup, near dedup, packing; each stage works on what the one before kept.
+
+Defined results: the first stage drops texts without letters (null and empty ones too) and undecided ones; the two dedup
+stages leave exactly one row of each group, so rows without identifier, or with one that others share, go only as
+copies; repeated rows are copies; empty tables pass through; other columns stay as they are until packing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from eventide.llm import exact_dedup, langid, packing, simhash
-from eventide.llm.base import materialise
+from eventide.llm.base import discard, materialise
 
 #: Documents whose best language has less than this multiple of the chance probability are undecided and go.
 MIN_LIFT = 1.2
@@ -18,12 +23,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id stays."""
+    """Of equal texts the row with the smallest doc_id stays."""
     return exact_dedup.keep_first(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8) the row with the smallest doc_id stays."""
     return simhash.keep_one(docs)
 
 
@@ -40,6 +45,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "stage")
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), "stage")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
