@@ -18,8 +18,9 @@ are the same.
 
 ``near_dedup`` links 64-bit fingerprints of three-word shingles. ``keep_one`` drops near copies of texts: it takes five-word
 shingles and a similarity of 0.8, where fingerprints of 64 bits differ in about 10. No covering reaches that far,
-so texts meet by a second signature that near copies hardly change: 256 bits over distinct words, in eight sections
-of which one must be within a bit; there they are compared by 128 bits over distinct shingles.
+so texts meet by a second signature that near copies hardly change: 256 bits over distinct words, in eight sections.
+Texts of which some section agrees up to one bit are certain to meet at an anchor, others may; where two meet, that is
+where an anchor in reach of one is the home of the other, they are compared by 128 bits over distinct shingles.
 
 Anchors with more than ``hot`` members are not compared at once. They come out of the first pass as they are; where the
 threshold allows it, their members are dealt again by parts of the fingerprint, of which one at least is equal, and
@@ -352,7 +353,8 @@ def near_links(points: DataFrame, words: list[str], checks: list[str], threshold
     """(u, v): star rows over ``node`` of ``points``.
 
     They connect every two nodes whose ``checks`` differ in at most ``threshold`` bits and of whose ``words`` some section
-    differs in at most ``excess`` bits (by default so many that, where words and checks are the same, no pair is missed).
+    meets at an anchor, which is certain up to ``excess`` bits (by default so many that, where words and checks are the
+    same, no pair is missed).
     ``refine`` deals crowded anchors again by equal parts of the first check, for small thresholds over one word.
     """
     excess = threshold // sections if excess is None else excess

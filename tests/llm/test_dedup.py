@@ -113,7 +113,12 @@ def test_near_dedup_edges(spark):
 def slow_near(rows):
     """Kept rows of (id, text, other) by the definition: links of signatures, components, smallest row of each."""
     signed = [[w & (2**64 - 1) for w in simhash.signature(t)] for _, t, _ in rows]
-    halves = [[w >> low & 0xFFFFFFFF for w in s[:4] for low in (0, 32)] for s in signed]
+    homes, reach = [], []
+    for k in range(8):
+        section = np.array([s[k // 2] >> 32 * (k % 2) & 0xFFFFFFFF for s in signed], dtype=np.uint64)
+        row, code, home = simhash.anchors(section, 32, 1)
+        homes.append({r: c for r, c, h in zip(row.tolist(), code.tolist(), home.tolist()) if h})
+        reach.append(set(zip(row.tolist(), code.tolist())))
     group = list(range(len(rows)))
 
     def find(i):
@@ -124,7 +129,7 @@ def slow_near(rows):
     for i in range(len(rows)):
         for j in range(i):
             apart = sum((signed[i][k] ^ signed[j][k]).bit_count() for k in (4, 5))
-            if apart <= simhash.bits_apart(0.8) and min((a ^ b).bit_count() for a, b in zip(halves[i], halves[j])) <= 1:
+            if apart <= simhash.bits_apart(0.8) and any((i, h[j]) in r or (j, h[i]) in r for h, r in zip(homes, reach)):
                 group[find(i)] = find(j)
     best = {}
     rank = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest(), r[2])
