@@ -30,7 +30,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_table.encode_documents(_table(spark, sf_dir, "documents"), digest=True)
+    return bpe_table.round_trip_digests(bpe_table.encode_documents(_table(spark, sf_dir, "documents")))
 
 
 def op4_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +82,6 @@ ORACLES: dict[str, str] = {
     "op6_exact_dedup": f"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), {_SPACE}, ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+               doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
 }

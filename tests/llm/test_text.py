@@ -36,23 +36,39 @@ def test_word_split_agrees_with_the_library_on_every_ordinary_character():
             assert bpe_table.split_words(text, path) == [text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)], repr(text)
 
 
+def long_texts():
+    """Texts of over a million characters: words, one unbroken word, characters of every kind."""
+    rng = random.Random(6)
+    return ["".join(rng.choice(["the ", "naïve ", "日本 ", "123 ", "\n\n", "  ", "x'll ", "👍 "]) for _ in range(250_000)), "ab" * 500_000 + " end", " ".join(f"w{i}" for i in range(180_000))]
+
+
 def test_distinct_word_table_round_trip(spark):
+    texts = TEXTS + long_texts()
+    want = library_ids(texts)
     for block in (1 << 24, 2000):
-        rows = {r.doc_id: r for r in bpe_table.encode_documents(frame(spark, TEXTS), block_bytes=block).collect()}
-        assert [rows[i].ids for i in range(len(TEXTS))] == library_ids(TEXTS)
-        assert [rows[i].decoded for i in range(len(TEXTS))] == [t or "" for t in TEXTS]
-    digests = {r.doc_id: r for r in bpe_table.encode_documents(frame(spark, TEXTS), digest=True).collect()}
-    for i, ids in enumerate(library_ids(TEXTS)):
-        assert (digests[i].n_tokens, digests[i].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-        assert digests[i].decoded_sha256 == hashlib.sha256((TEXTS[i] or "").encode()).hexdigest()
-    assert bpe_table.encode_documents(frame(spark, [])).count() == 0
+        ids = bpe_table.encode_documents(frame(spark, texts), block_bytes=block)
+        assert {r.doc_id: r.ids for r in ids.collect()} == dict(enumerate(want))
+        assert {r.doc_id: r.decoded for r in bpe_table.decode_documents(ids).collect()} == {i: t or "" for i, t in enumerate(texts)}
+        digests = {r.doc_id: r for r in bpe_table.round_trip_digests(ids).collect()}
+        for i, x in enumerate(want):
+            assert (digests[i].n_tokens, digests[i].ids_sha256) == (len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest())
+            assert digests[i].decoded_sha256 == hashlib.sha256((texts[i] or "").encode()).hexdigest()
+    assert bpe_table.round_trip_digests(bpe_table.encode_documents(frame(spark, []))).count() == 0
     twice = frame(spark, ["same text"]).union(frame(spark, ["same text"]))
-    assert [r.n_tokens for r in bpe_table.encode_documents(twice, digest=True).collect()] == [2, 2]
+    assert [r.n_tokens for r in bpe_table.round_trip_digests(bpe_table.encode_documents(twice)).collect()] == [2, 2]
 
 
-def test_decode_table(spark):
+def test_decoding_joins_ids_with_pieces(spark):
     df = spark.createDataFrame(list(enumerate(library_ids(TEXTS))), "doc_id long, ids array<int>")
-    assert {r.doc_id: r.decoded for r in bpe_table.decode_table(df).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
+    out = bpe_table.decode_documents(df)
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.decoded for r in out.collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
+    tok = bpe.library_tokenizer(bpe.default_vocabulary())
+    odd = [[200, 12], [None], [35000, 160, 161, 35000]]
+    some = spark.createDataFrame(list(enumerate(odd[:1] + odd[2:])), "doc_id long, ids array<int>")
+    assert [r.decoded for r in sorted(bpe_table.decode_documents(some).collect())] == [tok.decode(x, skip_special_tokens=False) for x in odd[:1] + odd[2:]]
+    with pytest.raises(Exception, match="vocabulary lacks"):
+        bpe_table.decode_documents(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>")).collect()
 
 
 def check_packs(pieces, texts, max_len):
@@ -147,8 +163,20 @@ def test_chat_folds_events(spark):
     assert chat.read_back(chat.format_conversations(events.where("false"))).count() == 0
 
 
+def slow_leaves(text):
+    import re
+
+    return {hashlib.md5(x.encode()).hexdigest()[:12] + f"{len(x):02d}" for line in text.split("\n") for x in re.findall(merkle.LEAF, line)}
+
+
+def slow_likeness(a, b):
+    a, b = slow_leaves(a), slow_leaves(b)
+    weight = lambda s: sum(int(x[12:]) for x in s)
+    return 2 * weight(a & b) / (weight(a) + weight(b)) if a or b else 1.0
+
+
 def test_merkle_edges_and_edit_location(spark):
-    texts = {0: "a b c", 1: "first par\nsecond par\n\nthird par", 2: None, 3: "", 4: "p" * 200_000, 5: "first par\nsecond par\n\nthird par"}
+    texts = {0: "a b c", 1: "first par\nsecond par\n\nthird par", 2: None, 3: "", 4: "p" * 200_000, 5: "first par\nsecond par\n\nthird par", 6: "\n\n\n"}
     df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, k int")
     rows = {r.doc_id: r for r in merkle.fingerprint_edits(df).collect()}
     order = sorted(texts, reverse=True)
@@ -156,20 +184,45 @@ def test_merkle_edges_and_edit_location(spark):
         t, nxt = texts[d] or "", texts[order[(i + 1) % len(order)]] or ""
         edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
         assert (rows[d].n_chars, rows[d].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= rows[d].near_edited <= 1 and 0 <= rows[d].near_next <= 1
+        assert rows[d].near_edited == pytest.approx(slow_likeness(t, edited)) and rows[d].near_next == pytest.approx(slow_likeness(t, nxt))
         assert (rows[d].fingerprint == rows[d].edited_fingerprint) == (t == edited)
-    assert rows[1].fingerprint == rows[5].fingerprint and rows[2].fingerprint == rows[3].fingerprint
-    # the edit swallows one newline of the blank line: section 1 gains an empty third paragraph
-    assert rows[1].first_edit == "1/3" and rows[3].near_edited == 1.0 and rows[5].near_edited > 0.3
+        assert rows[d].fingerprint[64:] == "".join(sorted(slow_leaves(t)))
+    assert rows[1].fingerprint == rows[5].fingerprint and rows[2].fingerprint == rows[3].fingerprint != rows[6].fingerprint
+    # the node of "second par" ends a section; the edit begins at the blank line after it
+    assert rows[1].first_edit == "2/1" and rows[3].near_edited == 1.0
     assert merkle.fingerprint_edits(df.where("false")).count() == 0
     one = spark.createDataFrame([(None, "only")], "doc_id long, text string")
     assert merkle.fingerprint_edits(one).first().near_next == 1.0
 
 
-def test_merkle_next_document_over_many_parts(spark, monkeypatch):
-    monkeypatch.setattr(merkle, "_ROWS_PER_PART", 7)
-    ids = [i * i * i for i in range(200)]
-    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
-    got = {r.doc_id: r.next_text for r in merkle.with_next(df, "doc_id", "text").collect()}
-    down = sorted(ids, reverse=True)
-    assert got == {d: f"t{down[(k + 1) % len(down)]}" for k, d in enumerate(down)}
+def test_merkle_likeness_follows_from_fingerprints_and_survives_shifts(spark):
+    rng = random.Random(3)
+    prose = lambda n, end: "".join("".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randrange(2, 9))) + rng.choice([" ", " ", " ", ". ", end]) for _ in range(n))
+    line, page = prose(300, " "), prose(900, "\n")
+    cases = [(line, "x" + line, 0.9), (page, page[:2000] + "y" + page[2000:], 0.98), (page, page[: len(page) // 2] + prose(450, "\n"), 0.4), (page, prose(900, "\n"), 0.0), (page, page, 1.0), ("", "", 1.0), ("", page, 0.0)]
+    df = spark.createDataFrame([(i, t) for i, (a, b, _) in enumerate(cases) for t in (a, b)], "doc_id long, text string")
+    prints = {}
+    for r in merkle.fingerprints(df.select("doc_id", "text").withColumn("doc_id", df.doc_id)).collect():
+        prints.setdefault(r.doc_id, []).append(r.fingerprint)
+    pairs = spark.createDataFrame([(i, *p) for i, p in prints.items()], "i long, a string, b string")
+    got = {r.i: r.near for r in pairs.select("i", merkle.likeness(pairs.a, pairs.b).alias("near")).collect()}
+    for i, (a, b, least) in enumerate(cases):
+        assert got[i] == pytest.approx(slow_likeness(a, b)) and got[i] >= least and (least or got[i] < 0.05)
+    sections = merkle.fingerprints(df).where("doc_id = 1").first().sections
+    assert len(sections) > 3
+
+
+@pytest.mark.parametrize("ids", [[i * i * i for i in range(200)], [None] * 150 + list(range(50)), [7] * 100 + [None] * 60 + [9, 9, 11], [5] * 120])
+def test_merkle_next_document_over_many_parts(spark, ids):
+    texts = [f"t{i % 40 if i % 3 else 0}" for i in range(len(ids))]  # a third of the texts is one text
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    keyed = [(r.doc_id, r.text, r.h) for r in df.select("*", F.shiftright(F.xxhash64("text"), 11).alias("h")).collect()]
+    down = sorted(keyed, key=lambda r: (r[0] is not None, r[0] or 0, r[2]), reverse=True)
+    want = sorted(str((a[0], a[1], b[1])) for a, b in zip(down, down[1:] + down[:1]))
+    for part_bytes in (300, 1 << 20):
+        got = merkle.with_next(df.repartition(3), "doc_id", "text", part_bytes=part_bytes)
+        assert sorted(str(tuple(r)) for r in got.collect()) == want
+    sizes = [r[1] for r in merkle.seated(df, "doc_id", "text", part_bytes=300).groupBy("part").count().collect()]
+    assert len(sizes) > 8 and max(sizes) <= 40  # no part grows with the group of one identifier or one text
