@@ -262,7 +262,7 @@ def _link(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = above
 
 
-def _stars(node: np.ndarray, bits: list[np.ndarray], home: np.ndarray, threshold: int, tile: int = 512, pivots: int = 32) -> Iterator[tuple[int, int]]:
+def _stars(node: np.ndarray, bits: list[np.ndarray], home: np.ndarray, threshold: int, tile: int = 256, pivots: int = 32) -> Iterator[tuple[int, int]]:
     """Star rows (member, root) that connect every home with all members within ``threshold`` bits of it.
 
     Tiles are of bounded size. In a crowd a few homes are pivots first: whoever is near one joins its group, and
@@ -277,8 +277,8 @@ def _stars(node: np.ndarray, bits: list[np.ndarray], home: np.ndarray, threshold
     def compare(mine: np.ndarray, others: np.ndarray) -> None:
         for at in range(0, len(mine), tile):
             a = mine[at : at + tile]
-            for to in range(0, len(others), 16 * tile):
-                b = others[to : to + 16 * tile]
+            for to in range(0, len(others), 8 * tile):
+                b = others[to : to + 8 * tile]
                 far = reduce(np.add, (np.bitwise_count(w[a][:, None] ^ w[None, b]) for w in words))
                 i, j = np.nonzero(far <= threshold)
                 _link(parent, a[i], b[j])
