@@ -1,5 +1,7 @@
 """Sources and sinks over derived payloads."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from eventide.adapters import calendar, macro, panel, series, sql, table, texts
@@ -81,13 +83,45 @@ def _(spark, d):
 _N = "len(list_filter(string_split({}, ' '), lambda w: w <> ''))"
 
 
-@register("src_html_statement", f"WITH p AS (SELECT page_id, {_PS} AS ps FROM pages), f AS (SELECT *, list_position(list_transform(ps, lambda p: {_N.format('p')} >= 15), true) AS f FROM p), b AS (SELECT *, CASE WHEN f > 0 THEN ps[f:] ELSE [] END AS body FROM f), e AS (SELECT *, list_position(list_transform(body, lambda p: regexp_matches(p, '(?i)^(voting (for|against)|for release at)')), true) AS e FROM b), j AS (SELECT page_id, array_to_string(ps, ' ') AS whole, array_to_string(list_filter(CASE WHEN e > 0 THEN body[:e - 1] ELSE body END, lambda p: {_N.format('p')} > 3), ' ') AS joined FROM e) SELECT page_id, sha256(CASE WHEN {_N.format('joined')} < 20 THEN whole ELSE joined END) AS body, {_N.format('CASE WHEN ' + _N.format('joined') + ' < 20 THEN whole ELSE joined END')} AS n_words FROM j")
+_PAGE_P = _PS.replace("(html,", "(box,")
+_STATEMENT = f"""
+WITH t AS (SELECT page_id, html, regexp_extract_all(html, '(?i)<div[^>]*>') AS divs, regexp_extract_all(html, '(?i)<article[^>]*>') AS arts FROM pages),
+k AS (SELECT page_id, html, unnest([list_filter(divs, lambda x: regexp_matches(regexp_extract(x, '(?i)\\sclass\\s*=\\s*["'']([^"'']*)', 1), 'col-xs-12') AND regexp_matches(regexp_extract(x, '(?i)\\sclass\\s*=\\s*["'']([^"'']*)', 1), 'col-sm-8') AND NOT regexp_matches(regexp_extract(x, '(?i)\\sclass\\s*=\\s*["'']([^"'']*)', 1), 'heading'))[1],
+       list_filter(divs, lambda x: regexp_matches(x, '\\s(?i:id\\s*=\\s*)["'']?article["''\\s>]'))[1], list_filter(divs, lambda x: regexp_matches(x, '\\s(?i:id\\s*=\\s*)["'']?leftText["''\\s>]'))[1], arts[1]]) AS opening, unnest([1, 2, 3, 4]) AS rank FROM t),
+c AS (SELECT page_id, substr(html, instr(html, opening) + length(opening)) AS rest, CASE WHEN rank = 4 THEN 'article' ELSE 'div' END AS tag FROM k WHERE opening IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rank) = 1),
+cut AS (SELECT page_id, tag, unnest(string_split(regexp_replace(rest, '(?i)<(/?' || tag || '[\\s>])', chr(1) || '<\\1', 'g'), chr(1))) AS part, generate_subscripts(string_split(regexp_replace(rest, '(?i)<(/?' || tag || '[\\s>])', chr(1) || '<\\1', 'g'), chr(1)), 1) AS i FROM c),
+deep AS (SELECT *, 1 + sum(CASE WHEN lower(part) LIKE '</' || tag || '%' THEN -1 WHEN lower(part) LIKE '<' || tag || '%' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM cut),
+held AS (SELECT *, min(depth) OVER (PARTITION BY page_id ORDER BY i) AS least FROM deep),
+boxes AS (SELECT page_id, string_agg(part, '' ORDER BY i) AS box FROM held WHERE least > 0 GROUP BY page_id),
+b AS (SELECT p.page_id, CASE WHEN c.page_id IS NULL THEN p.html ELSE coalesce(box, '') END AS box FROM pages p LEFT JOIN c USING (page_id) LEFT JOIN boxes USING (page_id)),
+ps AS (SELECT page_id, unnest({_PAGE_P}) AS para, generate_subscripts({_PAGE_P}, 1) AS i FROM b),
+para AS (SELECT page_id, para, i, lower(para) AS lo, len(list_filter(string_split(para, ' '), lambda w: w <> '')) AS n FROM ps WHERE para <> ''),
+marks AS (SELECT page_id, min(i) FILTER (regexp_matches(lo, 'voting (for|against) the fomc') OR regexp_matches(lo, '^chair(man|woman|person)?[\\s,]')) AS stop,
+       min(i) FILTER (lo LIKE '%for release at%') AS released, min(i) FILTER (n >= 15) AS wordy FROM para GROUP BY page_id),
+body AS (SELECT page_id, string_agg(para, ' ' ORDER BY i) AS whole, sum(n) AS whole_n,
+       string_agg(para, ' ' ORDER BY i) FILTER (inside) AS body, coalesce(sum(n) FILTER (inside), 0) AS body_n
+       FROM (SELECT *, n > 3 AND i < coalesce(stop, i + 1) AND (CASE WHEN released <= coalesce(wordy, released) THEN i > released ELSE i >= wordy END) AS inside FROM para JOIN marks USING (page_id)) GROUP BY page_id)
+SELECT page_id, sha256(CASE WHEN body_n < 20 THEN coalesce(whole, '') ELSE body END) AS body, CAST(CASE WHEN body_n < 20 THEN coalesce(whole_n, 0) ELSE body_n END AS BIGINT) AS n_words FROM pages LEFT JOIN body USING (page_id)"""
+
+
+@register("src_html_statement", _STATEMENT.replace("body_n < 20", "coalesce(body_n, 0) < 20"))
 def _(spark, d):
     x = texts(spark, d, "pages").select("page_id", R.statement_text(F.col("html")).alias("b"))
     n = F.size(F.filter(F.split("b", " "), lambda w: w != ""))
     return x.select("page_id", F.sha2("b", 256).alias("body"), n.cast("long").alias("n_words"))
 
 
+def _lines_as_pages(content: bytes) -> list[str]:
+    return content.decode("utf-8", "surrogatepass").split("\n")
+
+
+@register("src_pdf", "SELECT CAST(item_id AS VARCHAR) AS path, len(string_split(text, chr(10))) AS n_pages, array_to_string(list_filter(string_split(text, chr(10)), lambda p: p <> ''), chr(10)) AS text FROM benchmark WHERE text IS NOT NULL")
+def _(spark, d):
+    """The page text join over files whose page reader is injected: here each line of a text is a page."""
+    files = table(spark, d, "benchmark").where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    return R.pdf_texts(files, _lines_as_pages)
+
+
 @register("src_statement", sql("cal", "SELECT meeting_date, 'https://example.org/statements/' || strftime(meeting_date, '%Y%m%d') || 'a.htm' AS url FROM cal"), dates="meeting_date")
 def _(spark, d):
     return calendar(spark, d).select("meeting_date", R.statement_url("https://example.org/statements/{}a.htm", F.col("meeting_date")).alias("url"))
@@ -127,8 +161,6 @@ def _(spark, d):
 
 
 def _round_trip(spark, df, fmt, **options):
-    import uuid
-
     path = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
     df.write.format(fmt).options(**options).save(path)
     return spark.read.format(fmt).options(**options).schema(df.schema).load(path)
@@ -146,7 +178,20 @@ def _(spark, d):
 
 @register("src_fred", sql("macro", "SELECT series, d, CASE WHEN month(d) % 5 > 0 THEN value END AS value FROM macro WHERE d BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"), dates="d")
 def _(spark, d):
-    """Observation lines 'date,value' with '.' for missing, sliced by date."""
+    """Files of lines 'date,value' with '.' for missing, one folder for each series, read through the observation source."""
+    from eventide.sources import fred
+
+    m = macro(spark, d)
+    lines = m.select("series", F.concat_ws(",", F.col("d").cast("string"), F.when(F.month("d") % 5 > 0, F.col("value").cast("string")).otherwise(".")).alias("line"))
+    path = f"{shared_dir(spark)}/observations-{uuid.uuid4().hex}"
+    lines.write.partitionBy("series").text(path)
+    fred.register(spark)
+    return spark.read.format("observations").options(path=path, start="1996-01-01", end="1999-12-31").load()
+
+
+@register("src_observations", sql("macro", "SELECT series, d, CASE WHEN month(d) % 5 > 0 THEN value END AS value FROM macro WHERE d BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"), dates="d")
+def _(spark, d):
+    """The same lines as a column, parsed where they are."""
     m = macro(spark, d)
     lines = m.select("series", F.concat_ws(",", F.col("d").cast("string"), F.when(F.month("d") % 5 > 0, F.col("value").cast("string")).otherwise(".")).alias("line"))
     return R.observations(lines, "line", "1996-01-01", "1999-12-31")

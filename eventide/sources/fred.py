@@ -1,13 +1,17 @@
 """A pluggable batch source for observation files: ``spark.read.format("observations").load()``.
 
-Options: ``path`` (a CSV with date,value rows; '.' is missing), ``series`` (a name), ``start`` and ``end`` (ISO dates).
-Web access is out of scope; the path may be any file that every worker can open.
+Options: ``path`` (files or folders of lines date,value; '.' is missing; several are separated by commas), ``series`` (a name),
+``start`` and ``end`` (ISO dates). Paths may be URIs of any file system that Arrow opens (``file:``, ``hdfs:``, ``s3:``, ``gs:``), listed
+by the driver and read where the partitions run. A file's series is the option's, else its folder's ``series=`` part, else
+its name. Lines that do not begin with a date are skipped.
 """
 
 from __future__ import annotations
 
 import csv
 import datetime as dt
+import io
+import re
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -25,6 +29,13 @@ class ObservationSource(DataSource):
         return ObservationReader(dict(self.options))
 
 
+def _opened(path: str):
+    """(file system, path in it) of a URI or a local path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]*:", path) else (fs.LocalFileSystem(), path)
+
+
 class ObservationReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.paths = [p for p in options.get("path", "").split(",") if p]
@@ -35,12 +46,26 @@ class ObservationReader(DataSourceReader):
         self.end = dt.date.fromisoformat(options.get("end", "9999-12-31"))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
+        """One for each file; hidden files and markers are no data."""
+        from pyarrow import fs
+
+        found = []
+        for path in self.paths:
+            store, at = _opened(path)
+            if store.get_file_info(at).type == fs.FileType.Directory:
+                files = [f.path for f in store.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File and f.base_name[0] not in "._"]
+                found += [InputPartition((path, f)) for f in sorted(files)]
+            else:
+                found.append(InputPartition((path, at)))
+        return found
 
     def read(self, partition: InputPartition):
-        name = self.series or partition.value.rsplit("/", 1)[-1].removesuffix(".csv")
-        with open(partition.value, newline="") as f:
-            for row in csv.reader(f):
+        root, path = partition.value
+        folder = re.search(r"series=([^/]+)", path)
+        name = self.series or (folder[1] if folder else path.rsplit("/", 1)[-1].removesuffix(".csv"))
+        store, _ = _opened(root)
+        with store.open_input_stream(path) as raw:
+            for row in csv.reader(io.TextIOWrapper(raw, encoding="utf-8", newline="")):
                 try:
                     d = dt.date.fromisoformat(row[0])
                 except (ValueError, IndexError):

@@ -1,4 +1,4 @@
-"""Readers with declared schemas: CSV (clean and dirty), JSON chains and vocabularies, HTML pages.
+"""Readers with declared schemas: CSV (clean and dirty), JSON chains and vocabularies, HTML pages, PDF files, remote queries.
 
 Every reader goes through Spark's own file sources, so any store Spark can open works, and filters and
 columns reach the scan.
@@ -6,6 +6,9 @@ columns reach the scan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,17 +68,53 @@ def paragraphs(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit("(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), "[ \\t\\r\\n]+", " ")))
 
 
-def statement_text(html: Column, stop: str = "(?i)^(voting (for|against)|for release at)", start_words: int = 15, keep_words: int = 3) -> Column:
-    """Body of a statement: from the first paragraph of ``start_words`` words to the first that looks like a footer."""
-    ps = paragraphs(html)
+def element(html: Column, opening: Column, tag: str) -> Column:
+    """What lies between the first occurrence of an opening tag and its closing tag; null where the tag is null or absent."""
+    at = F.instr(html, opening)
+    rest = F.substring(html, at + F.length(opening), F.length(html))
+    parts = F.split(F.regexp_replace(rest, f"(?i)<(/?{tag}[\\s>])", "\u0001<$1"), "\u0001")
+    step = lambda p: F.when(F.lower(p).startswith(f"</{tag}"), -1).when(F.lower(p).startswith(f"<{tag}"), 1).otherwise(0)
+    # parts from the one whose tag closes the element on are outside it
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+    inside = F.aggregate(parts, start, lambda s, p: F.when(s["depth"] < 1, s).otherwise(F.struct((s["depth"] + step(p)).alias("depth"), (s["n"] + F.when(s["depth"] + step(p) > 0, 1).otherwise(0)).alias("n"))), lambda s: s["n"])
+    return F.when(at > 0, F.array_join(F.slice(parts, 1, inside), ""))
+
+
+#: Markers of the page layouts and of what surrounds a statement's body.
+BODY_CLASSES, TITLE_CLASS, BODY_IDS = ("col-xs-12", "col-sm-8"), "heading", ("article", "leftText")
+OPENER, FOOTER = "for release at", "(voting (for|against) the fomc)|(^chair(man|woman|person)?[\\s,])"
+
+
+def statement_container(html: Column) -> Column:
+    """The element that holds a statement: the body column that is no title, else the article by id, the left text, an <article>, the whole page."""
+    divs = F.regexp_extract_all(html, F.lit("(?i)<div[^>]*>"), F.lit(0))
+    classes = lambda t: F.regexp_extract(t, "(?i)\\sclass\\s*=\\s*[\"']([^\"']*)", 1)
+    column = F.filter(divs, lambda t: F.contains(classes(t), F.lit(BODY_CLASSES[0])) & F.contains(classes(t), F.lit(BODY_CLASSES[1])) & ~F.contains(classes(t), F.lit(TITLE_CLASS)))
+    with_id = lambda name: F.filter(divs, lambda t: F.regexp_like(t, F.lit(f"(?i:\\sid\\s*=\\s*)[\"']?{name}[\"'\\s>]")))
+    by_id = [with_id(name) for name in BODY_IDS]
+    found = [element(html, F.get(tags, F.lit(0)), "div") for tags in (column, *by_id)]
+    articles = F.regexp_extract_all(html, F.lit("(?i)<article[^>]*>"), F.lit(0))
+    return F.coalesce(*found, element(html, F.get(articles, F.lit(0)), "article"), html)
+
+
+def statement_text(html: Column, start_words: int = 15, keep_words: int = 3, least: int = 20) -> Column:
+    """Body of a statement.
+
+    It ends before the first paragraph of the voting record or of the chair's signature. It begins after the first
+    paragraph that tells the time of release, or with the first of ``start_words`` words, whichever comes first.
+    Paragraphs of at most ``keep_words`` words are left out; below ``least`` words all paragraphs are the text.
+    """
+    ps = F.filter(paragraphs(statement_container(html)), lambda p: p != "")
     n = lambda p: F.size(F.filter(F.split(p, " "), lambda w: w != ""))
-    first = F.array_position(F.transform(ps, lambda p: n(p) >= start_words), True).cast("int")
-    body = F.when(first > 0, F.slice(ps, F.greatest(first, F.lit(1)), F.size(ps))).otherwise(F.array().cast("array<string>"))
-    end = F.array_position(F.transform(body, lambda p: F.regexp_like(p, F.lit(stop))), True).cast("int")
-    body = F.when(end > 0, F.slice(body, 1, F.greatest(end - 1, F.lit(0)))).otherwise(body)
-    joined = F.array_join(F.filter(body, lambda p: n(p) > keep_words), " ")
-    whole = F.array_join(ps, " ")
-    return F.when(n(joined) < 20, whole).otherwise(joined)
+    first = lambda a, f: F.array_position(F.transform(a, f), True).cast("int")
+    stop = first(ps, lambda p: F.regexp_like(F.lower(p), F.lit(FOOTER)))
+    ahead = F.when(stop > 0, F.slice(ps, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(ps)
+    opens = lambda p: F.contains(F.lower(p), F.lit(OPENER))
+    begin = first(ahead, lambda p: opens(p) | (n(p) >= start_words))
+    begin = F.when(begin > 0, begin + F.when(opens(F.get(ahead, begin - 1)), 1).otherwise(0)).otherwise(F.size(ahead) + 1)
+    body = F.filter(F.slice(ahead, begin, F.greatest(F.size(ahead) - begin + 1, F.lit(0))), lambda p: n(p) > keep_words)
+    joined = F.array_join(body, " ")
+    return F.when(n(joined) < least, F.array_join(ps, " ")).otherwise(joined)
 
 
 def statement_url(template: str, d: Column) -> Column:
@@ -107,23 +146,32 @@ def observations(lines: DataFrame, line: str, start: str, end: str) -> DataFrame
     return x.where(F.col("d").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
-def read_pdf_text(spark: SparkSession, path: str) -> DataFrame:
-    """(path, page, text) of PDF files, if a PDF library is installed; without one it fails when called, not on import."""
-    import importlib
+def pdf_pages(content: bytes) -> list[str]:
+    """Texts of a PDF's pages, if a PDF library is installed; without one it fails when called, not on import."""
+    import io
+
+    import pdfplumber
+
+    with pdfplumber.open(io.BytesIO(content)) as doc:
+        return [page.extract_text() or "" for page in doc.pages]
 
-    importlib.import_module("pdfplumber")
+
+def pdf_texts(files: DataFrame, pages: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
+    """(path, n_pages, text): the texts of each file's pages that have any, joined by lines. ``pages`` takes a file's bytes."""
 
     def run(batches):
-        import io
+        for b in batches:
+            read = [pages(c) for c in b.column("content").to_pylist()]
+            texts = ["\n".join(t for t in found if t) for found in read]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(list(map(len, read)), pa.int64()), pa.array(texts, pa.string())], names=["path", "n_pages", "text"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, n_pages long, text string")
+
 
-        import pandas as pd
-        import pdfplumber
+def read_pdf_texts(spark: SparkSession, path: str, pages: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
+    return pdf_texts(spark.read.format("binaryFile").load(path), pages)
 
-        for pdf in batches:
-            rows = []
-            for p, content in zip(pdf["path"], pdf["content"]):
-                with pdfplumber.open(io.BytesIO(content)) as doc:
-                    rows += [(p, i, page.extract_text() or "") for i, page in enumerate(doc.pages)]
-            yield pd.DataFrame(rows, columns=["path", "page", "text"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page int, text string")
+def read_remote(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
+    """The result of a query that a remote database runs; the database gets the whole query, so its filters and joins stay there."""
+    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
