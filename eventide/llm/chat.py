@@ -1,20 +1,21 @@
 """Chat formatting by event-sourced reconstruction.
 
-A conversation log is a stream of events. Logs are partitioned by conversation, sorted by (message, sequence),
+A conversation log is a stream of events. Logs are partitioned by conversation and message, sorted by sequence,
 and folded message by message: streamed deltas append, edits replace, a regeneration discards what was
 streamed so far, a deletion removes the message. The final messages are rendered with turn marks, and the
 rendered text carries a loss mask over assistant texts.
 
 Event kinds: ``message`` (a whole message), ``open`` (starts one), ``delta`` (appends), ``edit`` (replaces),
-``regenerate`` (empties), ``delete``. Folding is streaming: a task holds one message at a time, so a
-conversation of any length needs no more memory than its longest message. A conversation's digests are
-sequential, therefore one task reads it from start to end, without keeping it.
+``regenerate`` (empties), ``delete``. No event of one message changes another, so the messages of a conversation that
+holds a third of all rows are folded and rendered by many tasks. Folding is streaming: a task holds one message at a
+time. Only the digests of ``read_back`` run over a whole conversation, and are sequential: for them one
+task reads it from start to end, without keeping it.
 
 Control strings inside texts are escaped with backslashes after their first character, one more than were
 there, so that escaping is reversible and no control string of this or other common templates survives raw.
 
 Defined results: null text and null role are empty; events of one message with equal sequence go by kind,
-role and text; rows that repeat a whole ``message`` are separate turns; a null conversation is one
+role and text; rows that repeat a whole ``message`` are separate turns, in order of ``ordinal``; a null conversation is one
 conversation; a null message number comes first; an empty log gives no conversation; other columns are ignored.
 """
 
@@ -36,8 +37,8 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 CONTROL = (OPEN, CLOSE, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
 _EVENTS_DDL = "conv_id long, message long, seq long, kind string, role string, text string"
-_TURNS = pa.schema([("conv_id", pa.int64()), ("position", pa.int64()), ("formatted", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
-TURNS_DDL = "conv_id long, position long, formatted string, loss_start long, loss_end long"
+_TURNS = pa.schema([("conv_id", pa.int64()), ("message", pa.int64()), ("ordinal", pa.int64()), ("formatted", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
+TURNS_DDL = "conv_id long, message long, ordinal long, formatted string, loss_start long, loss_end long"
 _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 DIGESTS_DDL = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
@@ -78,13 +79,13 @@ def parse_turn(formatted: str) -> tuple[str, str]:
 
 
 def fold(events: Iterator[tuple]) -> Iterator[tuple]:
-    """(conv, role, text) of final messages from events sorted by (conv, message, seq)."""
+    """(conv, message, role, text) of final messages from events sorted by (conv, message, seq)."""
     key, role, parts, alive = None, "", [], False
     for conv, message, _, kind, who, text in events:
         here = (conv, message)
         if kind == "message" or here != key:
             if alive:
-                yield key[0], role, "".join(parts)
+                yield *key, role, "".join(parts)
             key, role, parts, alive = here, who or "", [], True
         if who:
             role = who
@@ -99,7 +100,7 @@ def fold(events: Iterator[tuple]) -> Iterator[tuple]:
         else:
             raise ValueError(f"unknown event kind {kind!r}")
     if alive:
-        yield key[0], role, "".join(parts)
+        yield *key, role, "".join(parts)
 
 
 def _fold_batches(loss_roles: tuple[str, ...]):
@@ -109,13 +110,13 @@ def _fold_batches(loss_roles: tuple[str, ...]):
                 yield from zip(*(c.to_pylist() for c in b.columns))
 
         def rows():
-            last, position = object(), 0
-            for conv, role, text in fold(events()):
-                position = position + 1 if conv == last else 0
-                last = conv
+            last, ordinal = None, 0
+            for conv, message, role, text in fold(events()):
+                ordinal = ordinal + 1 if (conv, message) == last else 0
+                last = conv, message
                 formatted, start, end = render_turn(role, text)
                 learn = role in loss_roles
-                yield conv, position, formatted, start if learn else None, end if learn else None
+                yield conv, message, ordinal, formatted, start if learn else None, end if learn else None
 
         yield from buffered(rows(), _TURNS)
 
@@ -128,12 +129,12 @@ def message_events(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 
 
 def format_conversations(events: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Rows of formatted turns: conv_id, position, formatted, loss_start, loss_end (code points within the turn).
+    """Rows of formatted turns: conv_id, message, ordinal, formatted, loss_start, loss_end (code points within the turn).
 
-    A conversation's text is its turns' ``formatted`` joined in order of position.
+    A conversation's text is its turns' ``formatted`` joined in order of (message, ordinal).
     """
     order = ["conv_id", "message", "seq", "kind", "role", "text"]
-    dealt = events.select(*order).repartition("conv_id").sortWithinPartitions(*order)
+    dealt = events.select(*order).repartition("conv_id", "message").sortWithinPartitions(*order)
     return dealt.mapInArrow(_fold_batches(loss_roles), TURNS_DDL)
 
 
@@ -141,7 +142,7 @@ def _digest_batches(batches):
     def rows():
         state = None
         for b in batches:
-            for conv, _, formatted, start, end in zip(*(c.to_pylist() for c in b.columns)):
+            for conv, _, _, formatted, start, end in zip(*(c.to_pylist() for c in b.columns)):
                 if state is None or state[0] != conv:
                     if state is not None:
                         yield _closed(state)
@@ -166,4 +167,4 @@ def _closed(s: list) -> tuple:
 
 def read_back(turns: DataFrame) -> DataFrame:
     """Digests per conversation, parsed out of the formatted text and its loss mask alone."""
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "position").mapInArrow(_digest_batches, DIGESTS_DDL)
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "message", "ordinal").mapInArrow(_digest_batches, DIGESTS_DDL)

@@ -4,11 +4,13 @@ Bytes are embedded, filters of several widths slide over fixed-length windows, e
 maximum over the window, and a softmax over the pooled features gives the languages. All windows of a
 whole text are scored; a document's probabilities are the mean over its windows, weighted by their bytes.
 
-Training needs a bounded sample only: at most about ``per_label`` labelled rows of each language, chosen by a
-hash of the row's identifier, at most ``max_labels`` languages (the most frequent), a few windows a row.
+Training needs a bounded sample of labelled text only: about ``per_label`` windows of each language, or all where there are
+fewer. Every window of every labelled row has the same chance within its language, by a hash of its text and place, and is
+drawn where it lies; equal windows count once, so copies do not fill the sample, and only windows of fixed length reach
+the driver. Every language that labels any text is learned.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; without labelled rows every
-text is ``und``; repeated rows give repeated results; ties go to the first language in sorted order.
+text is ``und``; repeated rows give repeated results; ties go to the first language in sorted order; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.base import emit, slices
+from eventide.llm.base import buffered, emit, slices
 
 UNDETERMINED = "und"
 _WIDTHS = (2, 3, 4)
@@ -41,12 +43,10 @@ class ByteConvNet:
 
     def windows(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(codes, bytes in each window): fixed-length windows of the whole text, the last one padded."""
-        n = max(1, -(-len(data) // self.window))
-        codes = np.full(n * self.window, 256, dtype=np.int16)
-        codes[: len(data)] = np.frombuffer(data, dtype=np.uint8)
-        sizes = np.full(n, self.window, dtype=np.float64)
-        sizes[-1] = len(data) - (n - 1) * self.window
-        return codes.reshape(n, self.window), sizes
+        codes = _codes(data, self.window)
+        sizes = np.full(len(codes), self.window, dtype=np.float64)
+        sizes[-1] = len(data) - (len(codes) - 1) * self.window
+        return codes, sizes
 
     def pooled(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(context rows, filter responses) of a batch of windows: (B, P, width * dim) and (B, P, K)."""
@@ -73,8 +73,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], labels: list[str], window: int = 256, dim: int = 4, per_width: int = 12, epochs: int = 6, windows_per_text: int = 3, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteConvNet:
-    """Adam on the cross-entropy of single windows; classes are weighted to equal shares."""
+def _codes(data: bytes, window: int) -> np.ndarray:
+    n = max(1, -(-len(data) // window))
+    codes = np.full(n * window, 256, dtype=np.int16)
+    codes[: len(data)] = np.frombuffer(data, dtype=np.uint8)
+    return codes.reshape(n, window)
+
+
+def fit(windows: list[bytes], labels: list[str], window: int = 256, dim: int = 4, per_width: int = 12, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteConvNet:
+    """Adam on the cross-entropy of windows; classes are weighted to equal shares."""
     rng = np.random.default_rng(seed)
     names = tuple(sorted(set(labels)))
     w, k = _WIDTHS[-1], per_width * len(_WIDTHS)
@@ -89,15 +96,10 @@ def fit(texts: list[str], labels: list[str], window: int = 256, dim: int = 4, pe
         "head_bias": np.zeros(len(names), dtype=np.float32),
     }
     net = ByteConvNet(names, p["embedding"], p["filters"], p["filter_bias"], p["head"], p["head_bias"], window)
-    codes, target = [], []
-    for text, label in zip(texts, labels):
-        c, sizes = net.windows(text.encode("utf-8", "surrogatepass"))
-        pick = rng.permutation(len(c))[:windows_per_text]
-        codes.append(c[pick])
-        target += [names.index(label)] * len(pick)
     if len(names) < 2:
         return net
-    codes, target = np.concatenate(codes), np.array(target)
+    number = {name: i for i, name in enumerate(names)}
+    codes, target = np.concatenate([_codes(w, window) for w in windows]), np.array([number[label] for label in labels])
     weight = (len(target) / (len(names) * np.maximum(1, np.bincount(target, minlength=len(names)))))[target]
     m = {n: np.zeros_like(v) for n, v in p.items()}
     v2 = {n: np.zeros_like(v) for n, v in p.items()}
@@ -129,26 +131,38 @@ def fit(texts: list[str], labels: list[str], window: int = 256, dim: int = 4, pe
     return net
 
 
-def labelled_sample(df: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, max_labels: int) -> tuple[list[str], list[str]]:
-    """At most about ``per_label`` rows of each of the ``max_labels`` most frequent labels, by hash of the identifier."""
-    rows = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    counts = rows.groupBy(F.col(label_col).cast("string").alias("label")).count().orderBy(F.desc("count"), "label").limit(max_labels).collect()
+def _draw(share: dict[str, float], window: int):
+    """Windows of labelled texts, each with its language's share as its chance."""
+    import xxhash
+
+    def run(batches):
+        def rows():
+            for b in slices(batches, 1024):
+                for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
+                    data = text.encode("utf-8", "surrogatepass")
+                    n = -(-len(data) // window)
+                    chance = np.random.default_rng(xxhash.xxh64_intdigest(data)).random(n)
+                    for i in np.flatnonzero(chance < share[label]).tolist():
+                        yield label, data[i * window : (i + 1) * window]
+
+        yield from buffered(rows(), pa.schema([("label", pa.string()), ("window", pa.binary())]))
+
+    return run
+
+
+def labelled_windows(df: DataFrame, text_col: str, label_col: str, per_label: int, window: int) -> tuple[list[bytes], list[str]]:
+    """Distinct windows of labelled texts and their labels: about ``per_label`` of each label, or all where there are fewer."""
+    rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where(F.col("label").isNotNull() & (F.octet_length("text") > 0))
+    counts = rows.groupBy("label").agg(F.sum(F.ceil(F.octet_length("text") / window)).alias("n")).collect()  # one row for each language
     share = {label: min(1.0, per_label / n) for label, n in counts}
-    if not share:
-        return [], []
-    draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_003)) / 1_000_003.0
-    wanted = F.lit(False)
-    for label, part in share.items():
-        wanted = wanted | ((F.col(label_col).cast("string") == label) & (draw < part))
-    got = rows.where(wanted).select(F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("l"), F.lit(0).alias("z"))
-    # whole texts of the sample only: windows are drawn from all of each text
-    sample = sorted(got.limit(2 * per_label * len(share)).collect())
-    return [r.t for r in sample], [r.l for r in sample]
-
-
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 1500, max_labels: int = 64) -> ByteConvNet | None:
-    texts, labels = labelled_sample(df, id_col, text_col, label_col, per_label, max_labels)
-    return fit(texts, labels) if texts else None
+    drawn = rows.mapInArrow(_draw(share, window), "label string, window binary").distinct()
+    sample = sorted((label, bytes(data)) for label, data in drawn.collect()) if share else []
+    return [data for _, data in sample], [label for label, _ in sample]
+
+
+def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", per_label: int = 4500, window: int = 256) -> ByteConvNet | None:
+    windows, labels = labelled_windows(df, text_col, label_col, per_label, window)
+    return fit(windows, labels, window) if windows else None
 
 
 def _predict(net: ByteConvNet | None, chunk: int = 256):
