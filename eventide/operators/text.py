@@ -64,6 +64,19 @@ def novelty_window(weights: DataFrame, docs: DataFrame, by: str, at: str, doc: s
     return x.select(by, doc, F.when(F.col("rn") > 1, 1 - F.coalesce(F.col("dot") / F.nullif(F.col("norm"), F.lit(0.0)), F.lit(0.0))).alias("novelty"))
 
 
+def novelty_jaccard(sets: DataFrame, by: str, doc: str, words: str) -> DataFrame:
+    """1 - Jaccard similarity to the key's previous document, from distinct words; the first document of a key is left out.
+
+    Only identifiers pass the window that finds the previous document; both documents' words are then counted term by term.
+    """
+    pairs = sets.select(by, doc, F.size(words).alias("n")).withColumn("prev", F.lag(F.struct(F.col(doc).alias("id"), "n")).over(Window.partitionBy(by).orderBy(doc))).where("prev IS NOT NULL")
+    mine = pairs.select(doc, F.col("prev.id").alias("_id")).join(sets.select(doc, F.explode(words).alias("term")), doc)
+    theirs = sets.select(F.col(doc).alias("_id"), F.explode(words).alias("term"))
+    common = mine.join(theirs, ["_id", "term"]).groupBy(doc).agg(F.count("*").alias("both"))
+    both = F.coalesce("both", F.lit(0))
+    return pairs.join(common, doc, "left").select(doc, (1 - both / (F.col("n") + F.col("prev.n") - both)).alias("novelty"))
+
+
 def word_target_corr(weights: DataFrame, targets: DataFrame, doc: str, y: str, least: int = 5) -> DataFrame:
     """Pearson r of each word's weight with a target over all documents, absent words as zeros, from sums alone."""
     base = F.broadcast(targets.agg(F.count(y).alias("n"), F.sum(y).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy")))

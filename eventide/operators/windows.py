@@ -10,7 +10,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from eventide.operators.expanding import expanding_median as expanding_median
+from eventide.operators.expanding import expanding_rank as expanding_rank
 
 
 def asof(left: DataFrame, right: DataFrame, on: tuple[str, str], cols: list[str], by: list[str] = (), how: str = "lt", bucket: str = "year") -> DataFrame:
@@ -45,6 +47,16 @@ def asof(left: DataFrame, right: DataFrame, on: tuple[str, str], cols: list[str]
     return joined.select("_l.*", pick["_at"].alias(f"{rt}_asof"), *[pick[c].alias(c) for c in cols])
 
 
+def latest_of(series: DataFrame, name: str, at: str, value: str, columns: dict[str, str]) -> DataFrame:
+    """One row for each time, with the last value of each named series up to then, so that one as-of join serves all.
+
+    A map-side combined pivot with named columns; a macro series has a row a month, and the window runs over its times.
+    """
+    x = series.groupBy(at).agg(*[F.max(F.when(F.col(name) == k, F.col(value))).alias(c) for k, c in columns.items()])
+    w = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    return x.select(at, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in columns.values()])
+
+
 def interval_label(df: DataFrame, intervals: DataFrame, at: str, start: str, end: str, cols: list[str], closed: bool = False) -> DataFrame:
     """Point in interval: start <= at < end, or <= end if ``closed``. Intervals are a configuration table of fixed size."""
     upper = F.col(at) <= F.col(end) if closed else F.col(at) < F.col(end)
@@ -67,6 +79,15 @@ def event_rows(events: DataFrame, series: DataFrame, by: str, event: str, at: st
     return wanted.join(numbered, [by, "_rn"]).drop("_rn")
 
 
+def number_rows(df: DataFrame, at: str, out: str, bucket: str = "year") -> DataFrame:
+    """``out``: 0, 1, ... in order of a date or time column, without one sort of all rows: numbers inside a bucket, plus the rows of earlier ones."""
+    x = df.withColumn("_b", F.date_trunc(bucket, F.col(at).cast("timestamp")))
+    sizes = x.groupBy("_b").agg(F.count("*").alias("_n"))  # one row for each bucket
+    before = sizes.select(F.col("_b").alias("_sb"), (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
+    inside = x.withColumn("_place", F.row_number().over(Window.partitionBy("_b").orderBy(at)) - 1)
+    return inside.join(before, F.col("_b") == F.col("_sb")).withColumn(out, (F.col("_before") + F.col("_place")).cast("long")).drop("_b", "_sb", "_place", "_before")
+
+
 def prior(by: str | None, at: str, n: int):
     """Frame of the n rows before the current one."""
     w = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
@@ -84,33 +105,6 @@ def expanding(by: str, at: str, current: bool = True):
     return Window.partitionBy(by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
 
 
-def expanding_rank(df: DataFrame, x: str, by: str, at: str, out: str) -> DataFrame:
-    """pct rank of each value among all values so far, ties averaged, current row included, nulls skipped.
-
-    SQL frames would keep a whole history for every row, so each key's series is scanned once in pandas with a sorted list: n log n instead of n^2.
-    """
-    import bisect
-
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-    names = [f.name for f in schema]
-
-    def scan(pdf):
-        pdf = pdf.sort_values(at, kind="stable")
-        seen: list[float] = []
-        ranks = []
-        for v in pdf[x]:
-            if v is None or v != v:
-                ranks.append(None)
-                continue
-            bisect.insort(seen, v)
-            lo, hi = bisect.bisect_left(seen, v), bisect.bisect_right(seen, v)
-            ranks.append((lo + (hi - lo + 1) / 2) / len(seen))
-        pdf[out] = ranks
-        return pdf[names]
-
-    return df.groupBy(by).applyInPandas(scan, schema)
-
-
 def ewma(x: str, by: str, at: str, span: int) -> Column:
     """Exponentially weighted mean, no bias adjustment, null-aware: over a gap the old mean loses weight and the sum renormalises.
 

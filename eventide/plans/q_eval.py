@@ -109,11 +109,7 @@ _MASK = "(CAST('0x' || substr(md5('41:' || rep || ':' || i), 1, 8) AS BIGINT))"
 @register("ev_permutation", sql("panel", f"WITH {_B}, h AS (SELECT count(*) FILTER (sign(p) = sign(y)) AS h FROM e), d AS (SELECT rep, y, row_number() OVER (PARTITION BY rep ORDER BY {_MASK}, i) AS r FROM range(300) x(rep), e), b AS (SELECT rep, avg(CASE WHEN r <= h THEN abs(y) ELSE -abs(y) END) AS mean FROM d, h GROUP BY 1) SELECT round(quantile_cont(mean, 0.5), 5) AS p50, round(quantile_cont(mean, 0.95), 5) AS p95 FROM b"))
 def _(spark, d):
     """Random masks with as many hits as the model has."""
-    e = event_panel(spark, d).withColumn("i", (F.row_number().over(Window.orderBy("m")) - 1).cast("long"))
-    h = F.broadcast(e.agg(F.count_if(F.signum("p") == F.signum("y")).alias("h")))
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("41"), F.col("rep").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long")
-    x = spark.range(300).withColumnRenamed("id", "rep").crossJoin(F.broadcast(e.select("i", "y"))).withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(key, "i")))
-    b = x.crossJoin(h).groupBy("rep").agg(F.avg(F.when(F.col("r") <= F.col("h"), F.abs("y")).otherwise(-F.abs("y"))).alias("mean"))
+    b = E.permuted_hits(event_panel(spark, d), "y", F.signum("p") == F.signum("y"), "m", 300, 41)
     return b.agg(F.round(F.percentile("mean", F.lit(0.5)), 5).alias("p50"), F.round(F.percentile("mean", F.lit(0.95)), 5).alias("p95"))
 
 

@@ -84,9 +84,8 @@ def _(spark, d):
 
 @register("txt_novelty_jaccard", f"WITH t AS (SELECT lang, doc_id, nullif(list_distinct(CASE WHEN doc_id % 9 = 0 THEN [] ELSE {W_} END), []) AS w FROM documents), p AS (SELECT *, last_value(w IGNORE NULLS) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pw FROM t) SELECT doc_id, round(1 - len(list_intersect(w, pw))::DOUBLE / nullif(len(list_distinct(list_concat(w, pw))), 0), 6) AS novelty FROM p WHERE w IS NOT NULL AND pw IS NOT NULL")
 def _(spark, d):
-    t = docs(spark, d).select("lang", "doc_id", F.when((F.col("doc_id") % 9 != 0) & (F.size(T.words(F.col("text"))) > 0), F.array_distinct(T.words(F.col("text")))).alias("w"))
-    prev = F.last("w", ignorenulls=True).over(Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    return t.withColumn("pw", prev).where("w IS NOT NULL AND pw IS NOT NULL").select("doc_id", r6(1 - T.jaccard(F.col("w"), F.col("pw"))).alias("novelty"))
+    sets = docs(spark, d).where("doc_id % 9 <> 0").select("lang", "doc_id", F.array_distinct(T.words(F.col("text"))).alias("w")).where(F.size("w") > 0)
+    return X.novelty_jaccard(sets, "lang", "doc_id", "w").select("doc_id", r6("novelty").alias("novelty"))
 
 
 _PATS = ["under the", "licen[sc]e", "th[a-z]+ing"]
@@ -109,8 +108,8 @@ _DEN = lambda ws: f"{hits(ws)}::DOUBLE / nullif(len({W_}), 0)"
 def _(spark, d):
     t = F.col("text")
     x = docs(spark, d).select("lang", "doc_id", T.token_density(t, HEDGE).alias("u"), T.token_density(t, MODAL).alias("w"), T.token_density(t, HAWK).alias("g"))
-    med = F.percentile("u", F.lit(0.5)).over(W.expanding("lang", "doc_id"))
-    return x.select("doc_id", r6("u").alias("uncertainty"), r6("w").alias("weak_modal"), r6("g").alias("guidance"), (F.col("u") > med).cast("double").alias("present"), r6(F.col("u") - F.lag("u").over(Window.partitionBy("lang").orderBy("doc_id"))).alias("change"))
+    x = W.expanding_median(x, "u", "lang", "doc_id", "med")
+    return x.select("doc_id", r6("u").alias("uncertainty"), r6("w").alias("weak_modal"), r6("g").alias("guidance"), (F.col("u") > F.col("med")).cast("double").alias("present"), r6(F.col("u") - F.lag("u").over(Window.partitionBy("lang").orderBy("doc_id"))).alias("change"))
 
 
 @register("txt_family_d", f"WITH x AS (SELECT item_id, {_DEN(HAWK)} AS s FROM benchmark), p AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN {_DEN(HAWK)} END AS s FROM documents) SELECT x.item_id, round(x.s + 0.5 * coalesce(p.s, 0), 6) AS score FROM x LEFT JOIN p ON p.doc_id = x.item_id")

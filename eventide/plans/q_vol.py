@@ -210,9 +210,8 @@ _AS = lambda k, n: f"(SELECT value FROM macro WHERE series = '{k}' AND d < c.mee
 
 @register("reg_dual_mandate", sql("cal macro", f"WITH x AS (SELECT meeting_date, {_AS('A', 'inf')}, {_AS('N', 'unrate')}, {_AS('R', 'nrou')} FROM cal c), g AS (SELECT meeting_date, inf - 3.8 AS inflation_gap, (unrate - nrou) * 10 AS u_gap FROM x) SELECT meeting_date, round(inflation_gap, 6) AS inflation_gap, round(u_gap, 6) AS u_gap, CASE WHEN inflation_gap > 0.5 AND u_gap < 0 THEN 'overheating' WHEN inflation_gap > 0.5 AND u_gap >= 0 THEN 'supply_shock' WHEN u_gap > 0.75 THEN 'slack' WHEN inflation_gap < -0.5 THEN 'easing' ELSE 'at_target' END AS regime_label FROM g"), dates="meeting_date")
 def _(spark, d):
-    x, m = calendar(spark, d), macro(spark, d)
-    for key, name in (("A", "inf"), ("N", "unrate"), ("R", "nrou")):
-        x = W.asof(x, m.where(F.col("series") == key).select("d", F.col("value").alias(name)), ("meeting_date", "d"), [name], how="lt").drop("d_asof")
+    wide = W.latest_of(macro(spark, d), "series", "d", "value", {"A": "inf", "N": "unrate", "R": "nrou"})
+    x = W.asof(calendar(spark, d), wide, ("meeting_date", "d"), ["inf", "unrate", "nrou"], how="lt")
     inf, u = F.col("inf") - 3.8, (F.col("unrate") - F.col("nrou")) * 10
     return x.select("meeting_date", r6(inf).alias("inflation_gap"), r6(u).alias("u_gap"), G.dual_mandate(inf, u).alias("regime_label"))
 

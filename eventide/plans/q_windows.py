@@ -76,8 +76,8 @@ def _(spark, d):
 
 @register("win_expanding_median", ps("SELECT tenor, m, round(median(gap) OVER w, 6) AS med, CAST(gap > median(gap) OVER w AS DOUBLE) AS present FROM panel WINDOW w AS (PARTITION BY tenor ORDER BY m ROWS UNBOUNDED PRECEDING)"), dates="m")
 def _(spark, d):
-    med = F.percentile("gap", F.lit(0.5)).over(W.expanding("tenor", "m"))
-    return panel(spark, d).select("tenor", "m", r6(med).alias("med"), (F.col("gap") > med).cast("double").alias("present"))
+    x = W.expanding_median(panel(spark, d).select("tenor", "m", "gap"), "gap", "tenor", "m", "med")
+    return x.select("tenor", "m", r6("med").alias("med"), (F.col("gap") > F.col("med")).cast("double").alias("present"))
 
 
 @register("win_expanding_pctrank", ps("SELECT a.tenor, a.m, round((count(*) FILTER (b.gap < a.gap) + (count(*) FILTER (b.gap = a.gap) + 1) / 2.0) / nullif(count(b.gap), 0), 6) AS pct FROM panel a LEFT JOIN panel b ON a.tenor = b.tenor AND b.m <= a.m AND b.gap IS NOT NULL WHERE a.gap IS NOT NULL GROUP BY a.tenor, a.m UNION ALL SELECT tenor, m, NULL FROM panel WHERE gap IS NULL"), dates="m")

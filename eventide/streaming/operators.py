@@ -45,28 +45,35 @@ def dedup(events: DataFrame, keys: list[str], delay: str = DELAY) -> DataFrame:
 
 
 def ewma(events: DataFrame, span: int) -> DataFrame:
-    """event_type, event_id, mean: state holds one mean per key; a batch's rows are taken in order of time."""
+    """event_type, event_id, mean: state holds one mean per key; a micro-batch's rows of a key are taken in order of time.
+
+    Null values leave the mean as it is; it is null before the first value. ``maxFilesPerTrigger`` bounds a micro-batch, of
+    which a key's ids, times and values are held.
+    """
     alpha = 2 / (span + 1)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mean = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("ts")
+        rows = pd.concat([b[["event_id", "ts", "value"]] for b in batches]).sort_values(["ts", "event_id"])
         out = []
-        for v in rows["value"]:
-            mean = v if mean is None else (1 - alpha) * mean + alpha * v
+        for v in rows["value"].to_numpy(dtype=float).tolist():
+            if v == v:
+                mean = v if mean is None else (1 - alpha) * mean + alpha * v
             out.append(mean)
-        state.update((float(mean),))
-        yield pd.DataFrame({"event_type": key[0], "event_id": rows["event_id"].to_numpy(), "mean": out})
+        if mean is not None:
+            state.update((float(mean),))
+        yield pd.DataFrame({"event_type": key[0], "event_id": rows["event_id"].to_numpy(), "mean": pd.array(out, dtype="Float64")})
 
-    return events.groupBy("event_type").applyInPandasWithState(step, "event_type string, event_id long, mean double", "mean double", "append", GroupStateTimeout.NoTimeout)
+    narrow = events.select("event_type", "event_id", "ts", "value")
+    return narrow.groupBy("event_type").applyInPandasWithState(step, "event_type string, event_id long, mean double", "mean double", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(stream: DataFrame, mode: str) -> DataFrame:
-    """Process all input there is. Complete results replace the table after each batch, appended ones add to it."""
+    """Process all input there is. Complete results replace the table after each batch; appended ones are a folder for each batch, so that a replayed batch replaces its own rows."""
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    how = "overwrite" if mode == "complete" else "append"
+    target = (lambda _: path) if mode == "complete" else (lambda batch: f"{path}/batch={batch}")
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-state")
-    query = writer.foreachBatch(lambda df, _: df.write.mode(how).parquet(path)).start()
+    query = writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(target(batch))).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
