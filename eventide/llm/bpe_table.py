@@ -1,21 +1,20 @@
 """BPE encoding and decoding through a distinct-word table.
 
-Each task cuts its documents into blocks of about ``block_bytes`` of text and splits them into words (the vocabulary's own
-pre-tokenisation), once. A block lists its distinct words, and each document becomes the positions of its words in that
-list. The lists are dealt by a hash of the word, where every distinct word of the corpus is encoded exactly once; the ids
-travel back to the blocks that asked and are joined to the documents by position. Texts are never shuffled.
+Documents are dealt into blocks of about ``block_bytes`` of text by a hash of their row number. Each block
+lists its distinct words (the vocabulary's own pre-tokenisation); the lists are dealt again by a hash of
+the word, where every distinct word of the corpus is encoded exactly once; the ids travel back to the blocks
+that asked and are joined to each document's words by position.
 
-Decoding joins every document's own id stream with the vocabulary's table of ids and pieces. The table is broadcast: the
-vocabulary's size is fixed. The stream keeps its order through that join, so a document's pieces are put together as they
-come, in constant memory, without another shuffle.
+Decoding joins every document's own id stream with the vocabulary's table of ids and pieces, by id, a batch of documents
+at a time, and cuts the joined pieces by document. The vocabulary alone is held by every task, and its size is fixed.
 
-Word lists travel packed, one row for each (block, word bucket), so a word that every document holds costs one entry per
-block. A task holds one block and its words, or the distinct words of a few buckets; the numbers of blocks and buckets
-grow with the corpus, and blocks are cut by size alone, whatever the identifiers are.
+Texts travel once, compressed. Word lists travel packed, one row for each (block, word bucket), so a word
+that every document holds costs one entry per block. A task holds one block and its words, or the distinct words
+of a few buckets; the numbers of blocks and buckets grow with the corpus, and blocks are even whatever the identifiers are.
 
 Defined results: null text is empty text with no ids; repeated rows are separate rows; special token
-strings in a text become their id, as the library does; a document longer than a block is a block of its own; an id that
-the vocabulary lacks is an error; bytes that are no UTF-8 decode to U+FFFD, as in the library; an empty table gives an empty result; other
+strings in a text become their id, as the library does; an id that the vocabulary lacks is an error, a null id or list
+is none; bytes that are no UTF-8 decode to U+FFFD, as in the library; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -29,22 +28,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.base import buffered, materialise, slices
+from eventide.llm.base import buffered, emit, slices
 from eventide.llm.bpe import _UNUSUAL, default_vocabulary, fast_encoding, id_to_piece, library_tokenizer, special_tokens
 
 #: Fixed value: the split pattern of the byte-level vocabularies.
 _KNOWN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_SPLIT = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("bucket", pa.int64()), ("words", pa.binary()), ("places", pa.binary())])
-_SPLIT_DDL = "block long, doc_id long, bucket long, words binary, places binary"
-_IDS = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("ids", pa.binary())])
+_DEALT = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary()), ("block", pa.int64())])
+_WORDS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("words", pa.binary())])
+_IDS = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("ids", pa.binary())])
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 _DECODED = pa.schema([("doc_id", pa.int64()), ("decoded", pa.string())])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+DIGEST_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 @lru_cache(maxsize=4)
@@ -119,48 +120,44 @@ def _unpack(data: bytes) -> list[bytes]:
     return out
 
 
-def _squeeze(values: list[int] | np.ndarray) -> bytes:
+def _deal(batches):
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.asarray(values, dtype="<u4").tobytes())
+    def rows():
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for b in slices(batches):
+            for ident, text, block in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("block").to_pylist()):
+                yield ident, squeeze.compress((text or "").encode("utf-8", "surrogatepass")), block
+
+    yield from buffered(rows(), _DEALT)
 
 
-def _numbers(data: bytes) -> np.ndarray:
+def _text(packed: bytes) -> str:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype="<u4")
+    return zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass")
 
 
-def _split_blocks(path: str, buckets: int, block_bytes: int):
-    """Documents as places in their block's list of distinct words (bucket null), and the lists, one row for each bucket."""
+def _list_words(path: str, buckets: int):
+    """Block side: distinct words of each block, one packed row for each bucket."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        def listed(block: int, words: dict[str, int]) -> Iterator[tuple]:
-            by: dict[int, tuple[list[bytes], list[int]]] = {}
-            for w, place in words.items():
-                raw = w.encode("utf-8", "surrogatepass")
-                raws, places = by.setdefault(zlib.crc32(raw) % buckets, ([], []))
-                raws.append(raw)
-                places.append(place)
-            for bucket, (raws, places) in by.items():
-                yield block, None, bucket, _pack(raws), _squeeze(places)
-
         def rows() -> Iterator[tuple]:
-            block, words, held = TaskContext.get().partitionId() << 32, {}, 0
-            for b in slices(batches):
-                for ident, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                    text = text or ""
-                    if held and held + len(text) > block_bytes:
-                        yield from listed(block, words)
-                        block, words, held = block + 1, {}, 0
-                    place = words.setdefault
-                    yield block, ident, None, None, _squeeze([place(w, len(words)) for w in split_words(text, path)])
-                    held += len(text)
-            yield from listed(block, words)
-
-        yield from buffered(rows(), _SPLIT, size=1024)
+            seen: dict[int, set[str]] = {}
+            for b in batches:
+                for packed, block in zip(b.column("packed"), b.column("block").to_pylist()):
+                    seen.setdefault(block, set()).update(split_words(_text(packed.as_py()), path))
+            for block, words in seen.items():
+                by: dict[int, list[bytes]] = {}
+                for w in words:
+                    raw = w.encode("utf-8", "surrogatepass")
+                    by.setdefault(zlib.crc32(raw) % buckets, []).append(raw)
+                words.clear()
+                for bucket, raws in by.items():
+                    raws.sort()
+                    yield bucket, block, _pack(raws)
+
+        yield from buffered(rows(), _WORDS)
 
     return run
 
@@ -172,142 +169,173 @@ def _encode_buckets(path: str):
         def rows():
             table: dict[bytes, bytes] = {}
             for b in batches:
-                for block, packed, places in zip(b.column("block").to_pylist(), b.column("words"), b.column("places").to_pylist()):
-                    words = _unpack(packed.as_py())
+                for block, packed in zip(b.column("block").to_pylist(), b.column("words")):
+                    data = packed.as_py()
+                    words = _unpack(data)
                     fresh = [w for w in words if w not in table]
                     table.update(zip(fresh, encode_words([w.decode("utf-8", "surrogatepass") for w in fresh], path)))
-                    yield block, places, _pack([table[w] for w in words])
+                    yield block, data, _pack([table[w] for w in words])
 
         yield from buffered(rows(), _IDS, size=256)
 
     return run
 
 
-def _join_by_place(docs: pa.Table, lists: pa.Table) -> pa.Table:
-    """One block: each document's places in the word list become the ids of those words."""
-    idents = docs.column("doc_id").to_pylist()
-    if not idents:
-        return _ENCODED.empty_table()
-    parts = [(place, raw) for places, ids in zip(lists.column("places").to_pylist(), lists.column("ids").to_pylist()) for place, raw in zip(_numbers(places).tolist(), _unpack(ids))]
-    parts.sort()
-    flat = np.frombuffer(b"".join([raw for _, raw in parts]), dtype="<u4").astype(np.int32)
-    count = np.array([len(raw) // 4 for _, raw in parts], dtype=np.int64)
-    begin = np.cumsum(count) - count
-    out, ends = [], [0]
-    for places in docs.column("places").to_pylist():
-        at = _numbers(places)
-        times = count[at]
-        total = int(times.sum())
-        out.append(flat[np.repeat(begin[at] - np.cumsum(times) + times, times) + np.arange(total)])
-        ends.append(ends[-1] + total)
-    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out), pa.int32()))
-    return pa.Table.from_arrays([pa.array(idents, pa.int64()), ids], schema=_ENCODED)
+def _join_by_position(path: str):
+    """One block: each document's words become the ids of those words, in place."""
+
+    def run(docs: pa.Table, lists: pa.Table) -> pa.RecordBatch:
+        idents = docs.column("doc_id").to_pylist()
+        if not idents:
+            return emit(_ENCODED, [[], []])
+        place: dict[str, int] = {}
+        parts: list[bytes] = []
+        for words, ids in zip(lists.column("words"), lists.column("ids")):
+            for raw in _unpack(words.as_py()):
+                place[raw.decode("utf-8", "surrogatepass")] = len(place)
+            parts += _unpack(ids.as_py())
+        flat = np.frombuffer(b"".join(parts), dtype="<u4").astype(np.int32)
+        count = np.array([len(p) // 4 for p in parts], dtype=np.int64)
+        begin = np.cumsum(count) - count
+        out, ends = [], [0]
+        for packed in docs.column("packed"):
+            words = split_words(_text(packed.as_py()), path)
+            at = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
+            times = count[at]
+            total = int(times.sum())
+            out.append(flat[np.repeat(begin[at] - np.cumsum(times) + times, times) + np.arange(total)])
+            ends.append(ends[-1] + total)
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out), pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(idents, pa.int64()), ids], schema=_ENCODED)
+
+    return run
+
+
+def _encoded_blocks(df: DataFrame, id_col: str, text_col: str, path: str, block_bytes: int, finish, schema: pa.Schema, ddl: str) -> DataFrame:
+    """Blocks of (doc_id, ids), each passed through ``finish`` where it is made."""
+    total = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
+    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), block.alias("block"))
+    # both readers of ``dealt`` share one exchange: texts are shuffled once
+    dealt = source.mapInArrow(_deal, "doc_id long, packed binary, block long").repartition(blocks, "block")
+    words = dealt.mapInArrow(_list_words(path, blocks), "bucket long, block long, words binary").repartition(blocks, "bucket")
+    ids = words.mapInArrow(_encode_buckets(path), "block long, words binary, ids binary").repartition(blocks, "block")
+    join = _join_by_position(path)
+
+    def block_rows(docs: pa.Table, lists: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(finish(iter([join(docs, lists)]))), schema=schema)
+
+    return dealt.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(block_rows, ddl)
 
 
 def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per input row: doc_id, ids."""
+    return _encoded_blocks(df, id_col, text_col, vocabulary or default_vocabulary(), block_bytes, lambda blocks: blocks, _ENCODED, "doc_id long, ids array<int>")
+
+
+def round_trip_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, block_bytes: int = 16 << 20) -> DataFrame:
+    """Encode, then decode the ids: one row per input row, doc_id, n_tokens, ids_sha256, decoded_sha256. Ids never leave their block."""
     path = vocabulary or default_vocabulary()
-    total = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    split = materialise(source.mapInArrow(_split_blocks(path, blocks, block_bytes), _SPLIT_DDL), "words")
-    docs = split.where("bucket IS NULL").select("block", "doc_id", "places").repartition(blocks, "block")
-    lists = split.where("bucket IS NOT NULL").select("bucket", "block", "words", "places").repartition(blocks, "bucket")
-    ids = lists.mapInArrow(_encode_buckets(path), "block long, places binary, ids binary").repartition(blocks, "block")
-    return docs.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_join_by_place, "doc_id long, ids array<int>")
+    return _encoded_blocks(df, id_col, text_col, path, block_bytes, _digest_batches(path), _DIGEST, DIGEST_DDL)
 
 
 # ---- decoding --------------------------------------------------------------------------------------
 
 
-def with_pieces(ids: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
-    """(row, doc_id, pos, id, piece): every id of every row beside its piece, rows in the order they came; a row without ids has one line of nulls."""
-    path = vocabulary or default_vocabulary()
-    pieces = ids.sparkSession.createDataFrame([(i, bytearray(p)) for i, p in id_to_piece(path)], "piece_id int, piece binary")
-    rows = ids.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
-    stream = rows.select("row", "doc_id", F.posexplode_outer("ids").alias("pos", "id"))
-    return stream.join(F.broadcast(pieces), F.col("id") == F.col("piece_id"), "left").select("row", "doc_id", "pos", "id", "piece")
-
-
-def _runs(batches) -> Iterator[tuple[int, int | None, np.ndarray, memoryview]]:
-    """(row, doc_id, ids, bytes of their pieces): consecutive parts of the rows' streams, checked for order and unknown ids."""
-    last, expected = None, 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        row, idents = b.column("row").to_numpy(), b.column("doc_id")
-        ids, pieces = b.column("id"), b.column("piece")
-        none = ids.is_null().to_numpy(zero_copy_only=False) if ids.null_count else None
-        if pieces.null_count != ids.null_count:
+class PieceTable:
+    """The vocabulary's ids and pieces, to be joined with streams of ids; ``listing`` writes ids as text the same way."""
+
+    def __init__(self, path: str) -> None:
+        rows = id_to_piece(path)
+        self.ids = pa.array([i for i, _ in rows], pa.int32())
+        self.pieces = pa.array([p for _, p in rows], pa.large_binary())
+        self.numbers = pa.array([f",{i}".encode() for i, _ in rows], pa.large_binary())
+
+    def rows_of(self, stream: pa.Array) -> pa.Array:
+        """The table's row for each id of a stream: the join by id."""
+        at = pc.index_in(stream, value_set=self.ids)
+        if at.null_count:
             raise ValueError("an id that the vocabulary lacks")
-        place, number = b.column("pos").fill_null(0).to_numpy(), ids.fill_null(0).to_numpy()
-        offsets, data = pieces.buffers()[1], pieces.buffers()[2]
-        offsets = np.frombuffer(offsets, dtype=np.int32)[pieces.offset : pieces.offset + b.num_rows + 1]
-        data = memoryview(data) if data is not None else memoryview(b"")
-        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        for a, z in zip(starts.tolist(), np.append(starts[1:], b.num_rows).tolist()):
-            here = int(row[a])
-            if here != last:
-                last, expected = here, 0
-            if place[a] != expected or place[z - 1] != expected + z - a - 1:
-                raise ValueError("the stream of ids lost its order")
-            expected += z - a
-            yield here, idents[a].as_py(), number[a:a] if none is not None and none[a] else number[a:z], data[offsets[a] : offsets[z]]
-
-
-def _decode_batches(batches):
-    def rows():
-        last, ident, held = None, None, []
-        for row, doc, _, data in _runs(batches):
-            if row != last:
-                if last is not None:
-                    yield ident, b"".join(held).decode("utf-8", "replace")
-                last, ident, held = row, doc, []
-            held.append(bytes(data))
-        if last is not None:
-            yield ident, b"".join(held).decode("utf-8", "replace")
+        return at
 
-    yield from buffered(rows(), _DECODED, size=256)
 
+@lru_cache(maxsize=2)
+def piece_table(path: str) -> PieceTable:
+    return PieceTable(path)
 
-def _digest_batches(batches):
-    def rows():
-        listing, state = None, None
-        for row, doc, ids, data in _runs(batches):
-            if state is None or state[0] != row:
-                if state is not None:
-                    yield _closed(state)
-                state = [row, doc, 0, hashlib.sha256(), hashlib.sha256(), b""]
-            if len(ids):
-                listing = _listing(listing, int(ids.max()))
-                text = listing.take(pa.array(ids))
-                ends = np.frombuffer(text.buffers()[1], dtype=np.int32)
-                raw = memoryview(text.buffers()[2])[: ends[len(ids)]]
-                state[3].update(raw if state[2] else raw[1:])
-                state[2] += len(ids)
-            state[4].update(data)
-        if state is not None:
-            yield _closed(state)
 
-    yield from buffered(rows(), _DIGEST, size=2048)
+def _joined(values: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """(offsets, bytes) of binary values one after the other."""
+    _, offsets, data = values.buffers()
+    return np.frombuffer(offsets, dtype=np.int64)[: len(values) + 1], memoryview(data) if data is not None else memoryview(b"")
+
+
+def _streams(batches, ids_col: str = "ids") -> Iterator[tuple[list, pa.Array, np.ndarray]]:
+    """(doc_ids, ids of all rows one after the other without nulls, first id of each row and the end)."""
+    for b in slices(batches):
+        lists = pc.fill_null(b.column(ids_col), [])
+        flat = lists.flatten()
+        ends = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
+        if flat.null_count:
+            known = flat.is_valid().to_numpy(zero_copy_only=False)
+            ends = np.r_[0, np.cumsum(known)][ends]
+            flat = flat.drop_null()
+        yield b.column("doc_id").to_pylist(), flat, ends
+
 
+def _valid(data: memoryview) -> bytes | memoryview:
+    try:
+        str(data, "utf-8")
+    except UnicodeDecodeError:
+        return bytes(data).decode("utf-8", "replace").encode()
+    return data
+
+
+def _decode_batches(path: str):
+    def run(batches):
+        table = piece_table(path)
+
+        def rows():
+            for idents, stream, ends in _streams(batches):
+                offsets, data = _joined(table.pieces.take(table.rows_of(stream)))
+                for ident, a, z in zip(idents, offsets[ends[:-1]].tolist(), offsets[ends[1:]].tolist()):
+                    yield ident, bytes(data[a:z]).decode("utf-8", "replace")
 
-def _listing(known: pa.Array | None, top: int) -> pa.Array:
-    """The text ",id" of every id up to the highest seen."""
-    if known is not None and len(known) > top:
-        return known
-    return pa.array([f",{i}" for i in range(max(top + 1, 1 << 16))])
+        yield from buffered(rows(), _DECODED, size=256)
+
+    return run
+
+
+def _digest_batches(path: str):
+    def run(batches):
+        table = piece_table(path)
+
+        def rows():
+            for idents, stream, ends in _streams(batches):
+                at = table.rows_of(stream)
+                offsets, data = _joined(table.pieces.take(at))
+                number_offsets, numbers = _joined(table.numbers.take(at))
+                for k, ident in enumerate(idents):
+                    a, z = ends[k], ends[k + 1]
+                    listed = numbers[number_offsets[a] : number_offsets[z]][1:]
+                    decoded = _valid(data[offsets[a] : offsets[z]])
+                    yield ident, int(z - a), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+        yield from buffered(rows(), _DIGEST, size=2048)
+
+    return run
 
 
-def _closed(s: list) -> tuple:
-    return s[1], s[2], s[3].hexdigest(), s[4].hexdigest()
+def _id_rows(ids: DataFrame, id_col: str, ids_col: str) -> DataFrame:
+    return ids.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
 
 
 def decode_documents(ids: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """One row per input row: doc_id, decoded."""
-    return with_pieces(ids, id_col, ids_col, vocabulary).mapInArrow(_decode_batches, "doc_id long, decoded string")
+    return _id_rows(ids, id_col, ids_col).mapInArrow(_decode_batches(vocabulary or default_vocabulary()), "doc_id long, decoded string")
 
 
 def round_trip_digests(ids: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, of the id stream and of what it decodes to."""
-    return with_pieces(ids, id_col, ids_col, vocabulary).mapInArrow(_digest_batches, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _id_rows(ids, id_col, ids_col).mapInArrow(_digest_batches(vocabulary or default_vocabulary()), DIGEST_DDL)

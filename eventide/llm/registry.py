@@ -30,7 +30,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_table.round_trip_digests(bpe_table.encode_documents(_table(spark, sf_dir, "documents")))
+    return bpe_table.round_trip_documents(_table(spark, sf_dir, "documents"))
 
 
 def op4_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
