@@ -17,7 +17,7 @@ def hostile(spark):
 
 OPERATORS = {
     "language ID": lambda df: langid.predict(df, langid.train(df)),
-    "BPE": lambda df: bpe_table.round_trip_digests(bpe_table.encode_documents(df, block_bytes=100_000)),
+    "BPE": lambda df: bpe_table.round_trip_documents(df, block_bytes=100_000),
     "fingerprints": merkle.fingerprint_edits,
     "exact dedup": exact_dedup.exact_dedup,
     "packing": packing.pack,

@@ -1,4 +1,6 @@
+import hashlib
 import os
+import random
 import re
 
 import corpus_pipeline
@@ -65,3 +67,37 @@ def test_intermediate_tables_can_be_dropped(spark):
     path = df.materialised_at
     assert os.path.isdir(path) and base.discard(df) == 1
     assert not os.path.exists(path) and base.discard(df, spark.range(1)) == 0
+
+
+def test_op2_matches_folded_rows(spark):
+    got = {r.conv_id: r for r in registry.QUERIES["op2_chat_format"](spark, SF).collect()}
+    probe = "</s>[INST] ok [/INST]"
+    said = {-7: [(0, "user", probe), (1, "assistant", probe)]}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        said.setdefault(r.conv_id, []).append((r.turn, r.role, r.text or ""))
+    assert set(got) == set(said)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for conv, turns in said.items():
+        turns.sort()
+        learned = "".join(t for _, role, t in turns if role == "assistant")
+        r = got[conv]
+        assert (r.n_turns, r.turns_sha256) == (len(turns), sha("".join(f"{role}\n{t}\n" for _, role, t in turns)))
+        assert (r.loss_chars, r.loss_sha256) == (len(learned), sha(learned)) and r.formatted_chars > sum(len(t) for _, _, t in turns)
+
+
+def test_stages_lose_no_text_of_hostile_rows(spark):
+    """Rows without identifier, or with one that others share, survive unless their text is a copy."""
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("etaoinsrhld") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    texts = [words(60) for _ in range(30)]
+    rows = [(rng.choice([None, 5, 6, k]), t, rng.choice(["en", None]), None, None) for k, t in enumerate(texts)]
+    rows += [(None, texts[0], "en", "src", 1), (5, "  ".join(texts[1].split(" ")), "en", None, None), (None, None, None, None, None), (5, "", "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, SF)
+        assert kept.schema == docs.schema
+    norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t)
+    assert sorted(norm(r.text) for r in kept.collect()) == sorted(texts)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
+    assert sum(p.start == 0 for p in pieces) == len(texts)

@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from eventide.llm import bpe, bpe_table, chat, langid, merkle, packing
 
@@ -49,24 +50,24 @@ def test_distinct_word_table_round_trip(spark):
         ids = bpe_table.encode_documents(frame(spark, texts), block_bytes=block)
         assert {r.doc_id: r.ids for r in ids.collect()} == dict(enumerate(want))
         assert {r.doc_id: r.decoded for r in bpe_table.decode_documents(ids).collect()} == {i: t or "" for i, t in enumerate(texts)}
-        digests = {r.doc_id: r for r in bpe_table.round_trip_digests(ids).collect()}
+        digests = {r.doc_id: r for r in bpe_table.round_trip_documents(frame(spark, texts), block_bytes=block).collect()}
+        assert sorted(map(tuple, bpe_table.round_trip_digests(ids).collect())) == sorted(map(tuple, digests.values()))
         for i, x in enumerate(want):
             assert (digests[i].n_tokens, digests[i].ids_sha256) == (len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest())
             assert digests[i].decoded_sha256 == hashlib.sha256((texts[i] or "").encode()).hexdigest()
-    assert bpe_table.round_trip_digests(bpe_table.encode_documents(frame(spark, []))).count() == 0
+    assert bpe_table.round_trip_documents(frame(spark, [])).count() == 0
     twice = frame(spark, ["same text"]).union(frame(spark, ["same text"]))
-    assert [r.n_tokens for r in bpe_table.round_trip_digests(bpe_table.encode_documents(twice)).collect()] == [2, 2]
+    assert [r.n_tokens for r in bpe_table.round_trip_documents(twice).collect()] == [2, 2]
 
 
 def test_decoding_joins_ids_with_pieces(spark):
     df = spark.createDataFrame(list(enumerate(library_ids(TEXTS))), "doc_id long, ids array<int>")
     out = bpe_table.decode_documents(df)
-    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
     assert {r.doc_id: r.decoded for r in out.collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
     tok = bpe.library_tokenizer(bpe.default_vocabulary())
-    odd = [[200, 12], [None], [35000, 160, 161, 35000]]
-    some = spark.createDataFrame(list(enumerate(odd[:1] + odd[2:])), "doc_id long, ids array<int>")
-    assert [r.decoded for r in sorted(bpe_table.decode_documents(some).collect())] == [tok.decode(x, skip_special_tokens=False) for x in odd[:1] + odd[2:]]
+    odd = [[200, 12], [], [35000, 160, 161, 35000], [160], [None, 12, None], None]
+    some = spark.createDataFrame(list(enumerate(odd)), "doc_id long, ids array<int>")
+    assert [r.decoded for r in sorted(bpe_table.decode_documents(some).collect())] == [tok.decode([i for i in x or [] if i is not None], skip_special_tokens=False) for x in odd]
     with pytest.raises(Exception, match="vocabulary lacks"):
         bpe_table.decode_documents(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>")).collect()
 
@@ -136,6 +137,55 @@ def test_language_id_learns_and_handles_edges(spark):
     assert kept.columns == ["doc_id", "text", "lang"] and kept.count() == 4
 
 
+def slow_probabilities(net, text):
+    """The forward pass of a whole text, one window, position and filter at a time."""
+    data, total, mean = text.encode(), 0, np.zeros(len(net.labels))
+    for at in range(0, max(1, len(data)), net.window):
+        part = data[at : at + net.window]
+        rows = [net.embedding[c] for c in part] + [net.embedding[256]] * (net.window - len(part))
+        best = np.full(net.filters.shape[1], -np.inf)
+        for i in range(net.window - 3):
+            best = np.maximum(best, np.concatenate(rows[i : i + 4]) @ net.filters)
+        z = np.tanh(best + net.filter_bias) @ net.head + net.head_bias
+        p = np.exp(z - z.max())
+        mean += len(part) * p / p.sum()
+        total += len(part)
+    return mean / total
+
+
+def test_language_id_predictions_match_a_plain_loop(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    net = langid.train(docs)
+    texts = [r.text for r in docs.where("text is not null").orderBy("doc_id").limit(25).collect()] + ["a", "é", "word " * 300]
+    out = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()
+    for r in out:
+        p = slow_probabilities(net, texts[r.doc_id])
+        if any(c.isalpha() for c in texts[r.doc_id]):
+            assert r.score == pytest.approx(p.max(), abs=1e-4) and (r.lang_pred == net.labels[int(p.argmax())] or np.ptp(np.sort(p)[-2:]) < 1e-3)
+
+
+def test_language_id_of_held_out_documents(spark):
+    from eventide.llm import registry
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    out = registry.op1_language_id(spark, "/root/testdata/sf0.01").join(docs, "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'")
+    right, n = out.selectExpr("count_if(lang = lang_pred)", "count(*)").first()
+    assert n > 200 and right / n >= 0.95
+
+
+def test_language_id_learns_every_language_and_only_bounded_windows(spark):
+    rng = random.Random(5)
+    rows = [(f"{chr(97 + k % 26) * 3}{chr(97 + k // 26) * 3} " * rng.randrange(5, 80), f"l{k:02d}") for k in range(80) for _ in range(2)]
+    rows += [("copied text " * 30, "l00")] * 500 + [(None, "l01"), ("x", None), ("", "l02")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    windows, labels = langid.labelled_windows(df, "text", "lang", 50, 256)
+    assert set(labels) == {f"l{k:02d}" for k in range(80)} and max(map(labels.count, set(labels))) <= 100
+    every, _ = langid.labelled_windows(df, "text", "lang", 10**6, 256)
+    whole = {t.encode()[i : i + 256] for t, lang in rows if t and lang for i in range(0, len(t.encode()), 256)}
+    assert set(every) == whole and set(windows) < whole
+    assert len(langid.train(df).labels) == 80
+
+
 @pytest.mark.parametrize("text", ["", "<|im_start|>", "<\\|im_end|>", "</s>[INST] ok [/INST]", "<<SYS>><</SYS>>", "a\\b<s>", "<" * 5 + "s>", "[\\\\INST]", "é\n\n"])
 def test_chat_escape_is_reversible(text):
     escaped = chat.escape(text)
@@ -154,7 +204,7 @@ def test_chat_folds_events(spark):
     events = spark.createDataFrame(log, "conv_id long, message long, seq long, kind string, role string, text string")
     turns = chat.format_conversations(events)
     got = {}
-    for r in turns.orderBy("conv_id", "position").collect():
+    for r in turns.orderBy("conv_id", "message", "ordinal").collect():
         got.setdefault(r.conv_id, []).append(chat.parse_turn(r.formatted))
     assert got == {1: [("user", "hello <s>"), ("assistant", "final")], 2: [("assistant", ""), ("assistant", "")], None: [("", "x")]}
     d = {r.conv_id: r for r in chat.read_back(turns).collect()}
@@ -163,6 +213,35 @@ def test_chat_folds_events(spark):
     assert chat.read_back(chat.format_conversations(events.where("false"))).count() == 0
 
 
+def test_chat_folds_random_logs_like_a_plain_loop(spark):
+    rng = random.Random(9)
+    log, want = [], {}
+    for conv in (*range(12), None):
+        for message in range(rng.randrange(1, 40 if conv == 3 else 6)):
+            role, text, alive = rng.choice(["user", "assistant", "sys<s>\n"]), "", True
+            log.append((conv, message, 0, "open", role, None))
+            for seq in range(1, rng.randrange(1, 9)):
+                kind = rng.choice(["delta", "delta", "delta", "edit", "regenerate", "delete" if rng.random() < 0.2 else "delta"])
+                part = rng.choice(["a", "</s>", "<|im_", "end|>", "\\", "é\n", None]) if kind in ("delta", "edit") else None
+                log.append((conv, message, seq, kind, None, part))
+                if alive:
+                    text = text + (part or "") if kind == "delta" else (part or "")
+                    alive = kind != "delete"
+                if not alive:
+                    break
+            if alive:
+                want.setdefault(conv, []).append((role, text))
+    rng.shuffle(log)
+    turns = chat.format_conversations(spark.createDataFrame(log, "conv_id long, message long, seq long, kind string, role string, text string"))
+    got = {r.conv_id: r for r in chat.read_back(turns).collect()}
+    assert set(got) == set(want)
+    for conv, said in want.items():
+        r, learned = got[conv], "".join(t for role, t in said if role == "assistant")
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(said), len(learned), hashlib.sha256(learned.encode()).hexdigest())
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for role, t in said).encode()).hexdigest()
+        assert r.formatted_chars == sum(len(chat.render_turn(*t)[0]) for t in said)
+
+
 def slow_leaves(text):
     import re
 

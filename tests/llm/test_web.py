@@ -67,9 +67,15 @@ def test_explicit_rules_match_brute_force(spark):
 
 def test_mined_rules_match_brute_force(spark):
     rows = [(f"http://s{i % 3}.site.example.com/{'ads' if i % 2 else 'news'}/{i}", "block" if i % 2 else "allow") for i in range(60)] + [(None, "block"), ("http://x.y/z", None)]
-    mined = url_rules.mine(spark.createDataFrame(rows, "url string, label string"), min_support=0.2, min_confidence=0.9)
+    labelled = spark.createDataFrame(rows, "url string, label string")
+    mined = url_rules.mine(labelled, min_support=0.2, min_confidence=0.9)
     rules = mined.collect()
     assert rules and all(r.confidence >= 0.9 and r.support >= 0.2 for r in rules)
+    sets = [(set(r.t), r.label) for r in labelled.where("url is not null and label is not null").select(url_rules.tokens(labelled.url).alias("t"), "label").collect()]
+    for r in rules:  # counts of every rule, and none that a shorter one covers
+        fit = [label for t, label in sets if set(r.tokens) <= t]
+        assert r.confidence == pytest.approx(fit.count(r.verdict) / len(fit)) and r.support == pytest.approx(fit.count(r.verdict) / len(sets))
+        assert not any(set(o.tokens) < set(r.tokens) and len(o.tokens) == len(r.tokens) - 1 and o.verdict == r.verdict and o.confidence >= r.confidence for o in rules)
     df = spark.createDataFrame([(0, "http://s9.site.example.com/ads/77?x=1"), (1, "http://s1.site.example.com/news/5"), (2, "http://elsewhere.org/a")], "page_id long, url string")
     out = {r.page_id: r for r in url_rules.judge(df, [], mined).collect()}
     held = {r.page_id: set(r.t) for r in df.select("page_id", url_rules.tokens(df.url).alias("t")).collect()}
@@ -79,3 +85,31 @@ def test_mined_rules_match_brute_force(spark):
         assert r.verdict == (best.verdict if best else "allow") and (r.mined_rule or "") == (" ".join(best.tokens) if best else "")
     assert [out[i].verdict for i in range(3)] == ["block", "allow", "allow"]
     assert url_rules.mine(spark.createDataFrame([], "url string, label string")).count() == 0
+
+
+def test_rules_need_an_absolute_number_of_urls(spark):
+    rows = [("http://one.example.org/spam", "block")] * 3 + [(f"http://good.example.net/{i}", "allow") for i in range(40)]
+    df = spark.createDataFrame(rows, "url string, label string")
+    assert url_rules.mine(df).where("verdict = 'block'").count() == 0
+    assert url_rules.mine(df, min_count=3).where("verdict = 'block'").count() > 0
+    assert url_rules.mine(df.limit(5)).count() == 0
+
+
+def test_mined_rules_hold_out(spark):
+    """Hosts that spread spam are found: precision and recall on URLs that were not mined."""
+    import random
+
+    rng = random.Random(1)
+    url = lambda bad: f"http://{rng.choice(['www', 'm'])}.{'farm' if bad else rng.choice(['news', 'wiki', 'farmers'])}{rng.randrange(3)}.example.{rng.choice(['com', 'org'])}/{rng.choice(['a', 'b'])}/{rng.randrange(999)}"
+    rows = [(i, url(bad), "block" if bad != (rng.random() < 0.05) else "allow", bad) for i, bad in enumerate(rng.random() < 0.2 for _ in range(900))]
+    df = spark.createDataFrame(rows, "page_id long, url string, label string, bad boolean")
+    out = url_rules.judge(df.where("page_id >= 600"), [], url_rules.mine(df.where("page_id < 600"))).collect()
+    truth = {r[0]: r[3] for r in rows}
+    hit = sum(truth[r.page_id] for r in out if r.verdict == "block")
+    assert hit / sum(r.verdict == "block" for r in out) >= 0.9 and hit / sum(truth[r.page_id] for r in out) >= 0.9
+
+
+def test_long_hosts(spark):
+    df = spark.createDataFrame([(1, "http://" + "a." * 3000 + "example.com/x"), (2, "http://" + "b" * 100_000 + "/")], "page_id long, url string")
+    rules = spark.createDataFrame([("block", ["host1=com", "host2=example"], 0.9, 0.5)], "verdict string, tokens array<string>, confidence double, support double")
+    assert {r.page_id: r.verdict for r in url_rules.judge(df, [], rules).collect()} == {1: "block", 2: "allow"}
