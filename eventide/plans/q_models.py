@@ -182,7 +182,8 @@ def _(spark, d):
 def _(spark, d):
     x = _walk(spark, d, _FX, WF.spread_fit())
     z = F.least(F.greatest(F.col("pred") / F.greatest(F.col("sigma"), F.lit(1e-8)), F.lit(-10.0)), F.lit(10.0))
-    return x.withColumn("z", z).withColumn("signal", F.when(F.col("z") > 0.5, "steepener").when(F.col("z") < -0.5, "flattener").otherwise("flat"))
+    x = x.withColumn("z", F.when(F.col("pred").isNotNull(), z))  # greatest() and least() skip nulls
+    return x.withColumn("signal", F.when(F.col("z") > 0.5, "steepener").when(F.col("z") < -0.5, "flattener").when(F.col("z").isNotNull(), "flat"))
 
 
 @register("wf_full_regime")

@@ -10,6 +10,7 @@ from eventide.catalog import register
 from eventide.functions import options as O
 from eventide.functions.scalar import r6
 from eventide.operators import simulate as S
+from eventide.operators.steepener import SteepenerConfig, run_steepener
 
 # ---- SQL fragments -----------------------------------------------------------------------------------
 
@@ -316,34 +317,130 @@ def schedules(spark):
     return spark.createDataFrame(rows, "scenario string, days array<struct<move: double, d_sig: double, policy: string, expiry: boolean>>")
 
 
-@register("sim_path")
-def _(spark, d):
-    c = S.HedgeConfig(days_to_expiry=9)
-    return schedules(spark).where("scenario = 'base'").select(S.fold_hedged(F.col("days"), c).alias("r")).select("r.*")
+# Folds over days have a recursive twin in SQL: one row for each path and day, state columns beside it.
+
+
+def _hedged_sql(c: S.HedgeConfig, keys: str, days: str, band: str = "") -> str:
+    """WITH ctes up to ``out`` (keys, option, hedge, costs, total) from a SELECT of (keys, i, move, d_sig, policy, expiry)."""
+    strike, t0 = round(c.f0 * 4) / 4, c.days_to_expiry / 252
+    live = "t > 0 AND sig > 0"
+    d = f"(f - {strike}) / (sig * sqrt(t))"
+    priced = lambda src: f"SELECT *, CASE WHEN {live} THEN (f - {strike}) * {cdf('d')} + sig * sqrt(t) * {pdf('d')} ELSE greatest(f - {strike}, 0) END AS call, CASE WHEN {live} THEN {cdf('d')} WHEN f > {strike} THEN 1 ELSE 0 END AS delta FROM (SELECT *, CASE WHEN {live} THEN {d} ELSE 0 END AS d FROM ({src}))"
+    start = priced(f"SELECT CAST({c.f0} AS DOUBLE) AS f, CAST({t0} AS DOUBLE) AS t, CAST({c.sigma} AS DOUBLE) AS sig")
+    moved = f"SELECT s.* EXCLUDE (f, t, sig, i), days.i, days.move, days.policy, days.expiry, s.f + days.move AS f, greatest(s.t - CAST(1 AS DOUBLE) / 252, 0) AS t_real, CASE WHEN days.expiry THEN 0 ELSE greatest(s.t - CAST(1 AS DOUBLE) / 252, 0) END AS t, greatest(s.sig + days.d_sig, 1e-6) AS sig FROM s JOIN days USING ({keys}) WHERE days.i = s.i + 1"
+    net = f"SELECT *, (2 * delta - 1) * {c.contracts} + fut AS net FROM ({priced(moved)})"
+    trade = f"SELECT *, CASE WHEN policy = 'bracket' OR (policy = 'band' AND abs(net) > {band or c.band} * {c.contracts}) THEN -net ELSE 0 END AS trade FROM ({net})"
+    carried = keys
+    return f"""
+    days AS ({days}), start AS ({start}),
+    s AS (SELECT {carried}, -1 AS i, f, t, sig, -(2 * delta - 1) * {c.contracts} AS fut, CAST(0 AS DOUBLE) AS hedge, abs((2 * delta - 1) * {c.contracts}) * {c.cost_ticks * c.tick} AS costs, false AS done FROM start, (SELECT DISTINCT {keys} FROM days)
+      UNION ALL SELECT {carried}, i, f, t_real, sig, fut + trade, hedge + fut * move * {c.point}, costs + abs(trade) * {c.cost_ticks * c.tick}, expiry FROM ({trade})),
+    last AS (SELECT * REPLACE (CASE WHEN done THEN 0 ELSE t END AS t) FROM s WHERE i = (SELECT max(i) FROM days)),
+    out AS (SELECT {keys}, option, hedge, costs, option + hedge - costs AS total FROM (SELECT {keys}, hedge, costs, (2 * e.call - (e.f - {strike}) - (SELECT 2 * call - (f - {strike}) FROM start)) * {c.contracts} * {c.point} AS option FROM ({priced('SELECT * FROM last')}) e))"""
+
+
+def _schedule_sql() -> str:
+    rows = [f"('{name}', {i}, {m}::DOUBLE, {v}::DOUBLE, '{p}', {str(x).lower()})" for name, changes in SCENARIOS.items() for i, (_, m0, v0, p, x) in enumerate(SCHEDULE) for m, v in [changes.get(i, (m0, v0))]]
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) v(scenario, i, move, d_sig, policy, expiry)"
+
+
+def _drawn_sql(c: S.HedgeConfig, seed: int, name: str, values: tuple[float, ...], mult: str) -> str:
+    daily = c.sigma * math.sqrt(1 / 252)
+    sd = {"diffuse": f"{daily}", "auction": f"{c.auction_mult * daily}", "fomc": f"({mult} * {c.event_sd})"}
+    pick = lambda what: "CASE i " + " ".join(f"WHEN {i} THEN {what(k)}" for i, k in enumerate(c.calendar)) + " END"
+    z = znorm(seed, "path || ':' || i")
+    policy = {"diffuse": "'band'", "auction": "'bracket'", "fomc": "'none'"}
+    return f"SELECT {name}, path, i, {z} * {pick(lambda k: sd[k])} AS move, CAST({pick(lambda k: str(-c.crush if k == 'fomc' else 0.0))} AS DOUBLE) AS d_sig, {pick(lambda k: policy[k])} AS policy, false AS expiry FROM (SELECT unnest([{', '.join(f'{v}::DOUBLE' for v in values)}]) AS {name}) a, range({N_HEDGE}) p(path), range({len(c.calendar)}) d(i)"
+
+
+def _summary_sql(by: str) -> str:
+    return f"q AS (SELECT {by}, quantile_cont(total, 0.05) AS p5 FROM out GROUP BY 1) SELECT {by}, round(avg(total), 2) AS mean, round(quantile_cont(total, 0.5), 2) AS median, round(any_value(p5), 2) AS p5, round(quantile_cont(total, 0.95), 2) AS p95, round(avg(CAST(total > 0 AS INTEGER)), 6) AS prob_profit, round(min(total), 2) AS worst, round(max(total), 2) AS best, round(avg(total) FILTER (total <= p5), 2) AS es5 FROM out JOIN q USING ({by}) GROUP BY 1"
+
+
+def _cents(df, by):
+    """Money to cents, shares to 1e-6."""
+    return df.select(by, *[F.round(c, 2).alias(c) for c in ("mean", "median", "p5", "p95")], F.round("prob_profit", 6).alias("prob_profit"), *[F.round(c, 2).alias(c) for c in ("worst", "best", "es5")])
 
 
-@register("sim_event_study")
+_C9 = S.HedgeConfig(days_to_expiry=9)
+
+
+@register("sim_path", f"WITH RECURSIVE {_hedged_sql(_C9, 'scenario', _schedule_sql())} SELECT round(option, 2) AS option, round(hedge, 2) AS hedge, round(costs, 2) AS costs, round(total, 2) AS total FROM out WHERE scenario = 'base'")
 def _(spark, d):
-    x = schedules(spark).select("scenario", S.fold_hedged(F.col("days"), S.HedgeConfig(days_to_expiry=9)).alias("r")).select("scenario", "r.*")
-    base = F.broadcast(x.where("scenario = 'base'").select(F.col("total").alias("base")))
-    return x.crossJoin(base).select("scenario", "option", "hedge", "costs", "total", (F.col("total") - F.col("base")).alias("vs_base"))
+    x = schedules(spark).where("scenario = 'base'").select(S.fold_hedged(F.col("days"), _C9).alias("r"))
+    return x.select(*[F.round(f"r.{c}", 2).alias(c) for c in ("option", "hedge", "costs", "total")])
 
 
-@register("sim_mc_hedged")
+@register("sim_event_study", f"WITH RECURSIVE {_hedged_sql(_C9, 'scenario', _schedule_sql())} SELECT scenario, round(option, 2) AS option, round(hedge, 2) AS hedge, round(costs, 2) AS costs, round(total, 2) AS total, round(total - (SELECT total FROM out WHERE scenario = 'base'), 2) + 0 AS vs_base FROM out")
 def _(spark, d):
-    sweep = spark.createDataFrame([(m,) for m in (0.8, 1.0, 1.2, 1.5, 2.0)], "signal_mult double")
-    return S.summary(S.run_hedged(spark, S.HedgeConfig(), N_HEDGE, 11, sweep, "signal_mult"), ["signal_mult"])
+    x = schedules(spark).select("scenario", S.fold_hedged(F.col("days"), _C9).alias("r")).select("scenario", "r.*")
+    base = F.broadcast(x.where("scenario = 'base'").select(F.col("total").alias("base")))  # one row
+    return x.crossJoin(base).select("scenario", *[F.round(c, 2).alias(c) for c in ("option", "hedge", "costs", "total")], F.round(F.col("total") - F.col("base"), 2).alias("vs_base"))
+
 
+_MULTS, _BANDS, _SIGNALS = (0.8, 1.0, 1.2, 1.5, 2.0), (0.01, 0.02, 0.05, 0.10, 0.15, 0.20, 0.30), (-1.0, 0.0, 1.0, 2.0)
 
-@register("sim_mc_black76")
+
+@register("sim_mc_hedged", f"WITH RECURSIVE {_hedged_sql(S.HedgeConfig(), 'signal_mult, path', _drawn_sql(S.HedgeConfig(), 11, 'signal_mult', _MULTS, 'signal_mult'))}, {_summary_sql('signal_mult')}")
 def _(spark, d):
-    from eventide.operators.steepener import SteepenerConfig, run_steepener
+    sweep = spark.createDataFrame([(m,) for m in _MULTS], "signal_mult double")
+    return _cents(S.summary(S.run_hedged(spark, S.HedgeConfig(), N_HEDGE, 11, sweep, "signal_mult"), ["signal_mult"]), "signal_mult")
+
+
+def _steepener_sql(c, seed: int) -> str:
+    """WITH ctes up to ``out`` (z, path, total): both legs of every path, a row a day."""
+    kinds = ["quiet"] * c.quiet_days + ["auction"] * c.auction_days + ["event"] + ["quiet"] * c.exit_days
+    left = [max(0.0, c.t_entry - i / 252) for i in range(len(kinds) + 1)]
+    kind = "['" + "', '".join(kinds) + "'][i + 1]"
+    times = "[" + ", ".join(f"{t!r}::DOUBLE" for t in left) + "]"
 
-    sweep = spark.createDataFrame([(z,) for z in (-1.0, 0.0, 1.0, 2.0)], "z double")
-    return S.summary(run_steepener(spark, SteepenerConfig(), N_HEDGE, 42, sweep), ["z"])
+    def priced(src: str, leg, t: str, iv: float, name: str) -> str:
+        """Straddle and delta of f over t."""
+        w = f"({iv} * sqrt({t}))"
+        d1 = f"((ln(f / {leg.f0}) + {w} * {w} / 2) / {w})"
+        return (
+            f"SELECT *, CASE WHEN {t} > 0 THEN 2 * (f * {name}_a - {leg.f0} * {name}_b) - (f - {leg.f0}) ELSE abs(f - {leg.f0}) END AS {name}_price, CASE WHEN {t} > 0 THEN 2 * {name}_a - 1 ELSE sign(f - {leg.f0}) END AS {name}_delta "
+            f"FROM (SELECT *, {cdf(f'{name}_d')} AS {name}_a, {cdf(f'({name}_d - {w})')} AS {name}_b FROM (SELECT *, CASE WHEN {t} > 0 THEN {d1} ELSE 0 END AS {name}_d FROM ({src})))"
+        )
+
+    def leg_sql(name: str, leg, side: int) -> str:
+        spare = leg.iv_entry**2 * c.t_entry - leg.sigma_auction**2 * c.auction_days / 252 - leg.sigma_event**2 / 252
+        quiet = math.sqrt(spare * 252 / (c.quiet_days + c.exit_days)) if spare > 0 else max(0.001, leg.iv_entry * 0.5)
+        mult = f"(1 + {c.kappa} * greatest(0, z))" if side > 0 else f"greatest(0.01, 1 - {c.kappa} * greatest(0, z))"
+        sigma = f"(CASE {kind} WHEN 'auction' THEN {leg.sigma_auction} WHEN 'event' THEN {leg.sigma_event} * {mult} ELSE {quiet!r} END)"
+        draw = "z1" if side > 0 else f"({c.rho} * z1 + {math.sqrt(1 - c.rho**2)!r} * z2)"
+        entry = f"(SELECT e_price FROM {name}0)"
+        day = f"SELECT s.* EXCLUDE (i), w.i, {times}[w.i + 1] AS t, {times}[w.i + 2] AS t_next, s.f * {sigma.replace('[i + 1]', '[w.i + 1]').replace('z)', 's.z)')} * {math.sqrt(1 / 252)!r} * {draw} AS df FROM {name}s s JOIN draws w ON w.path = s.path AND w.i = s.i + 1"
+        before = priced(day, leg, "t", leg.iv_entry, "b")
+        after = priced(f"SELECT * EXCLUDE (f), f + df AS f FROM ({before})", leg, "t_next", leg.iv_entry, "a")
+        pre, post = f"({-side} * b_delta * {leg.lots})", f"({-side} * a_delta * {leg.lots})"
+        held = f"({kind} = 'event' OR i > {c.quiet_days + c.auction_days})"
+        h = f"(CASE WHEN {kind} = 'auction' THEN {post} WHEN {held} OR abs(h - {post}) <= {c.band * leg.lots} THEN h ELSE {post} END)"
+        traded = f"(CASE WHEN {kind} = 'auction' THEN abs({pre} - h) + abs({post} - {pre}) ELSE abs({h} - h) END)"
+        settled = f"SELECT z, path, i, f, {h} AS h2, hedge + h * df AS hedge2, cost - {traded} * {c.half_spread} AS cost2, a_price, closed FROM ({after})"
+        value = f"({side} * (a_price - {entry}) * {leg.lots} + hedge2 + cost2)"
+        closing = "closed" if side > 0 else f"coalesce(closed, CASE WHEN {value} < {-c.stop} * {entry} * {leg.lots} THEN {value} END)"
+        ends = priced(f"SELECT * FROM {name}s WHERE i = {len(kinds) - 1}", leg, f"{left[-1]!r}", leg.iv_exit, "e")
+        first = priced(f"SELECT {leg.f0}::DOUBLE AS f", leg, f"{c.t_entry!r}", leg.iv_entry, "e")
+        return f"""{name}0 AS ({first}),
+    {name}s AS (SELECT z, path, CAST(-1 AS BIGINT) AS i, {leg.f0}::DOUBLE AS f, 0::DOUBLE AS h, 0::DOUBLE AS hedge, 0::DOUBLE AS cost, CAST(NULL AS DOUBLE) AS closed FROM sweep, range({N_HEDGE}) p(path)
+      UNION ALL SELECT z, path, i, f, h2, hedge2, cost2, {closing} FROM ({settled})),
+    {name} AS (SELECT z, path, coalesce(closed, {side} * (e_price - {entry}) * {leg.lots} + hedge + cost - abs(h) * {c.half_spread}) * {leg.point} AS money FROM ({ends}))"""
+
+    return f"""sweep AS (SELECT unnest([{', '.join(f'{z}::DOUBLE' for z in _SIGNALS)}]) AS z),
+    draws AS (SELECT path, i, {znorm(seed, "path || ':' || i || ':0'")} AS z1, {znorm(seed, "path || ':' || i || ':1'")} AS z2 FROM range({N_HEDGE}) p(path), range({len(kinds)}) d(i)),
+    {leg_sql("front", c.front, 1)},
+    {leg_sql("back", c.back, -1)},
+    out AS (SELECT z, path, front.money + back.money AS total FROM front JOIN back USING (z, path))"""
+
+
+@register("sim_mc_black76", f"WITH RECURSIVE {_steepener_sql(SteepenerConfig(), 42)}, {_summary_sql('z')}")
+def _(spark, d):
+    sweep = spark.createDataFrame([(z,) for z in _SIGNALS], "z double")
+    return _cents(S.summary(run_steepener(spark, SteepenerConfig(), N_HEDGE, 42, sweep), ["z"]), "z")
 
 
-@register("sim_band_sweep")
+@register("sim_band_sweep", f"WITH RECURSIVE {_hedged_sql(S.HedgeConfig(), 'band, path', _drawn_sql(S.HedgeConfig(), 11, 'band', _BANDS, str(S.HedgeConfig().signal_mult)), 'band')}, {_summary_sql('band')}")
 def _(spark, d):
-    sweep = spark.createDataFrame([(b,) for b in (0.01, 0.02, 0.05, 0.10, 0.15, 0.20, 0.30)], "band double")
-    return S.summary(S.run_hedged(spark, S.HedgeConfig(), N_HEDGE, 11, sweep, band="band"), ["band"])
+    sweep = spark.createDataFrame([(b,) for b in _BANDS], "band double")
+    return _cents(S.summary(S.run_hedged(spark, S.HedgeConfig(), N_HEDGE, 11, sweep, band="band"), ["band"]), "band")
