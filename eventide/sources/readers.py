@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventide.functions.scalar import let
+
 CHAIN = "array<struct<contractID: string, expiration: string, strike: string, type: string, last: string, mark: string, bid: string, ask: string, volume: string, open_interest: string, implied_volatility: string, delta: string>>"
 
 
@@ -70,14 +72,19 @@ def paragraphs(html: Column) -> Column:
 
 def element(html: Column, opening: Column, tag: str) -> Column:
     """What lies between the first occurrence of an opening tag and its closing tag; null where the tag is null or absent."""
-    at = F.instr(html, opening)
-    rest = F.substring(html, at + F.length(opening), F.length(html))
-    parts = F.split(F.regexp_replace(rest, f"(?i)<(/?{tag}[\\s>])", "\u0001<$1"), "\u0001")
     step = lambda p: F.when(F.lower(p).startswith(f"</{tag}"), -1).when(F.lower(p).startswith(f"<{tag}"), 1).otherwise(0)
-    # parts from the one whose tag closes the element on are outside it
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
-    inside = F.aggregate(parts, start, lambda s, p: F.when(s["depth"] < 1, s).otherwise(F.struct((s["depth"] + step(p)).alias("depth"), (s["n"] + F.when(s["depth"] + step(p) > 0, 1).otherwise(0)).alias("n"))), lambda s: s["n"])
-    return F.when(at > 0, F.array_join(F.slice(parts, 1, inside), ""))
+
+    def inside(parts: Column) -> Column:
+        """Parts from the one whose tag closes the element on are outside it."""
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+        merge = lambda s, p: F.when(s["depth"] < 1, s).otherwise(let(s["depth"] + step(p), lambda d: F.struct(d.alias("depth"), (s["n"] + F.when(d > 0, 1).otherwise(0)).alias("n"))))
+        return F.array_join(F.slice(parts, 1, F.aggregate(parts, start, merge, lambda s: s["n"])), "")
+
+    def rest(at: Column) -> Column:
+        text = F.substring(html, at + F.length(opening), F.length(html))
+        return F.when(at > 0, let(F.split(F.regexp_replace(text, f"(?i)<(/?{tag}[\\s>])", "\u0001<$1"), "\u0001"), inside))
+
+    return let(F.instr(html, opening), rest)
 
 
 #: Markers of the page layouts and of what surrounds a statement's body.
@@ -87,14 +94,17 @@ OPENER, FOOTER = "for release at", "(voting (for|against) the fomc)|(^chair(man|
 
 def statement_container(html: Column) -> Column:
     """The element that holds a statement: the body column that is no title, else the article by id, the left text, an <article>, the whole page."""
-    divs = F.regexp_extract_all(html, F.lit("(?i)<div[^>]*>"), F.lit(0))
     classes = lambda t: F.regexp_extract(t, "(?i)\\sclass\\s*=\\s*[\"']([^\"']*)", 1)
-    column = F.filter(divs, lambda t: F.contains(classes(t), F.lit(BODY_CLASSES[0])) & F.contains(classes(t), F.lit(BODY_CLASSES[1])) & ~F.contains(classes(t), F.lit(TITLE_CLASS)))
-    with_id = lambda name: F.filter(divs, lambda t: F.regexp_like(t, F.lit(f"(?i:\\sid\\s*=\\s*)[\"']?{name}[\"'\\s>]")))
-    by_id = [with_id(name) for name in BODY_IDS]
-    found = [element(html, F.get(tags, F.lit(0)), "div") for tags in (column, *by_id)]
-    articles = F.regexp_extract_all(html, F.lit("(?i)<article[^>]*>"), F.lit(0))
-    return F.coalesce(*found, element(html, F.get(articles, F.lit(0)), "article"), html)
+    body = lambda c: F.contains(c, F.lit(BODY_CLASSES[0])) & F.contains(c, F.lit(BODY_CLASSES[1])) & ~F.contains(c, F.lit(TITLE_CLASS))
+    named = lambda t, name: F.regexp_like(t, F.lit(f"(?i:\\sid\\s*=\\s*)[\"']?{name}[\"'\\s>]"))
+    tests = [lambda t: body(classes(t)), lambda t: named(t, BODY_IDS[0]), lambda t: named(t, BODY_IDS[1])]
+
+    def choose(divs: Column) -> Column:
+        return F.coalesce(*[F.get(F.filter(divs, test), F.lit(0)) for test in tests])
+
+    div = let(F.regexp_extract_all(html, F.lit("(?i)<div[^>]*>"), F.lit(0)), choose)
+    article = F.get(F.regexp_extract_all(html, F.lit("(?i)<article[^>]*>"), F.lit(0)), F.lit(0))
+    return let(div, lambda tag: F.coalesce(F.when(tag.isNotNull(), element(html, tag, "div")).otherwise(let(article, lambda t: element(html, t, "article"))), html))
 
 
 def statement_text(html: Column, start_words: int = 15, keep_words: int = 3, least: int = 20) -> Column:
@@ -104,17 +114,21 @@ def statement_text(html: Column, start_words: int = 15, keep_words: int = 3, lea
     paragraph that tells the time of release, or with the first of ``start_words`` words, whichever comes first.
     Paragraphs of at most ``keep_words`` words are left out; below ``least`` words all paragraphs are the text.
     """
-    ps = F.filter(paragraphs(statement_container(html)), lambda p: p != "")
     n = lambda p: F.size(F.filter(F.split(p, " "), lambda w: w != ""))
     first = lambda a, f: F.array_position(F.transform(a, f), True).cast("int")
-    stop = first(ps, lambda p: F.regexp_like(F.lower(p), F.lit(FOOTER)))
-    ahead = F.when(stop > 0, F.slice(ps, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(ps)
     opens = lambda p: F.contains(F.lower(p), F.lit(OPENER))
-    begin = first(ahead, lambda p: opens(p) | (n(p) >= start_words))
-    begin = F.when(begin > 0, begin + F.when(opens(F.get(ahead, begin - 1)), 1).otherwise(0)).otherwise(F.size(ahead) + 1)
-    body = F.filter(F.slice(ahead, begin, F.greatest(F.size(ahead) - begin + 1, F.lit(0))), lambda p: n(p) > keep_words)
-    joined = F.array_join(body, " ")
-    return F.when(n(joined) < least, F.array_join(ps, " ")).otherwise(joined)
+
+    def before_footer(ps: Column) -> Column:
+        return let(first(ps, lambda p: F.regexp_like(F.lower(p), F.lit(FOOTER))), lambda stop: F.when(stop > 0, F.slice(ps, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(ps))
+
+    def body(ahead: Column) -> Column:
+        begin = let(first(ahead, lambda p: opens(p) | (n(p) >= start_words)), lambda b: F.when(b > 0, b + F.when(opens(F.get(ahead, b - 1)), 1).otherwise(0)).otherwise(F.size(ahead) + 1))
+        return let(begin, lambda b: F.array_join(F.filter(F.slice(ahead, b, F.greatest(F.size(ahead) - b + 1, F.lit(0))), lambda p: n(p) > keep_words), " "))
+
+    def text(ps: Column) -> Column:
+        return let(let(before_footer(ps), body), lambda joined: F.when(n(joined) < least, F.array_join(ps, " ")).otherwise(joined))
+
+    return let(F.filter(let(statement_container(html), paragraphs), lambda p: p != ""), text)
 
 
 def statement_url(template: str, d: Column) -> Column:
