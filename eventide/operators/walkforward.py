@@ -1,6 +1,7 @@
-"""Walk-forward evaluation: one group per fold, training rows strictly earlier than the test row.
+"""Walk-forward evaluation: training rows strictly earlier than the test row.
 
-Folds are built by a join and dealt by fold; each fold is fitted in one Arrow batch with numpy. Nothing of a
+Folds are dealt in blocks of consecutive test rows of a key. A block gets the key's rows up to its last fold once, and fits
+its folds one after the other with numpy, so rows travel once for a block of folds and not once for each fold. Nothing of a
 later row reaches an earlier prediction, except where a query says so on purpose.
 """
 
@@ -10,49 +11,59 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Fit = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[float, float]]
 
+#: Which earlier rows train a fold: from the earlier rows and the test row to a mask.
+Keep = Callable[[pd.DataFrame, pd.Series], pd.Series]
 
-def folds(df: DataFrame, by: list[str], at: str, keep: str | None = None, test: str | None = None) -> DataFrame:
-    """Rows of each fold: the test row (is_test) and all strictly earlier rows, optionally only those where ``keep`` holds."""
-    tests = df.where(test) if test else df
-    keys = tests.select(*by, F.col(at).alias("fold"), *([F.col("regime").alias("fold_regime")] if "regime" in df.columns else [])).distinct()
-    rows = (keys.join(df, by) if by else keys.crossJoin(df)).where(F.col(at) <= F.col("fold")).withColumn("is_test", F.col(at) == F.col("fold"))
-    return rows.where(F.col("is_test") | F.expr(keep)) if keep else rows
 
+def fold_blocks(df: DataFrame, by: list[str], at: str, test: str | None = None, block: int = 64) -> DataFrame:
+    """Rows of each block (``_block``) of a key: all up to its last fold, with the block's folds as array ``_folds``."""
+    tests = (df.where(test) if test else df).select(*by, F.col(at).alias("_at")).distinct()
+    number = F.row_number().over(Window.partitionBy(*by).orderBy("_at")) - 1
+    blocks = tests.withColumn("_block", F.floor(number / block)).groupBy(*by, "_block").agg(F.max("_at").alias("_last"), F.array_sort(F.collect_list("_at")).alias("_folds"))
+    return blocks.join(df, by).where(F.col(at) <= F.col("_last")).drop("_last")
 
-def walk_forward(folded: DataFrame, by: list[str], at: str, features: list[str], y: str, fit: Fit, min_train: int = 15, impute: bool = False) -> DataFrame:
+
+def walk_forward(df: DataFrame, by: list[str], at: str, features: list[str], y: str, fit: Fit, min_train: int = 15, impute: bool = False, test: str | None = None, keep: Keep | None = None, block: int = 64) -> DataFrame:
     """(by, fold, actual, pred, baseline, sigma, n_train): ``fit(x, y, x_test)`` gives a prediction and its error scale.
 
     Below ``min_train`` rows there is no prediction. Rows without target or features are left out of training, or
     get the training mean if ``impute``.
     """
-    types = {f.name: f.dataType.simpleString() for f in folded.schema.fields}
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"{b} {types[b]}" for b in by] + [f"fold {types[at]}", "actual double, pred double, baseline double, sigma double, n_train long"])
     names = [*by, "fold", "actual", "pred", "baseline", "sigma", "n_train"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        test, train = pdf[pdf["is_test"]], pdf[~pdf["is_test"]]
+    def one(train: pd.DataFrame, test_row: pd.Series) -> tuple:
         train = train[train[y].notna()]
         x = train[features].to_numpy(dtype=float)
-        xt = test[features].to_numpy(dtype=float)[:1]
+        xt = test_row[features].to_numpy(dtype=float)[None]
         if impute and len(x):
             mu = np.nan_to_num(np.nanmean(np.where(np.isfinite(x), x, np.nan), axis=0)) if np.isfinite(x).any() else np.zeros(x.shape[1])
             x, xt = np.where(np.isfinite(x), x, mu), np.where(np.isfinite(xt), xt, mu)
         ok = np.isfinite(x).all(1) if len(x) else np.zeros(0, dtype=bool)
-        order = np.argsort(train[at].to_numpy()[ok], kind="stable")
-        x, target = x[ok][order], train[y].to_numpy(dtype=float)[ok][order]
+        x, target = x[ok], train[y].to_numpy(dtype=float)[ok]
         pred = sigma = base = None
         if len(target) >= min_train and np.isfinite(xt).all():
             pred, sigma = fit(x, target, xt)
             base = float(target.mean())
-        actual = test[y].iloc[0] if len(test) else None
-        return pd.DataFrame([[*[pdf[b].iloc[0] for b in by], pdf["fold"].iloc[0], actual, pred, base, sigma, len(target)]], columns=names)
+        return test_row[y], pred, base, sigma, len(target)
 
-    return folded.groupBy(*by, "fold").applyInPandas(run, schema)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(at, kind="stable")
+        out = []
+        for fold in pdf["_folds"].iloc[0]:
+            test_row, train = pdf[pdf[at] == fold].iloc[0], pdf[pdf[at] < fold]
+            if keep is not None and len(train):
+                train = train[keep(train, test_row)]
+            out.append((*[test_row[b] for b in by], fold, *one(train, test_row)))
+        return pd.DataFrame(out, columns=names)
+
+    return fold_blocks(df, by, at, test, block).groupBy(*by, "_block").applyInPandas(run, schema)
 
 
 # ---- fits ------------------------------------------------------------------------------------------

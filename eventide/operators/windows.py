@@ -67,25 +67,28 @@ def event_rows(events: DataFrame, series: DataFrame, by: str, event: str, at: st
     """Rows of each key's series around each event by position.
 
     ``pos`` counts rows: 1 is the first row strictly after the event, 0 the last on or before it. Equi-join on row
-    numbers instead of a theta join: events find their position once, then ask for the rows they need.
+    numbers instead of a theta join: events find their position once, then ask for the rows they need. No task sorts a
+    whole series.
     """
-    w = Window.partitionBy(by).orderBy(at)
-    numbered = series.withColumn("_rn", F.row_number().over(w))
+    numbered = number_rows(series, at, "_rn", by=[by]).withColumn("_rn", (F.col("_rn") + 1).cast("int"))
     keys = series.select(by).distinct()
-    asked = events.select(event).crossJoin(F.broadcast(keys))  # keys are tenors: a fixed dimension
+    asked = events.select(event).crossJoin(keys)  # an event calendar and the keys of a dimension: Spark sends the smaller one
     anchor = asof(asked, numbered, (event, at), ["_rn"], by=[by], how="le").drop(f"{at}_asof")
     wanted = anchor.select(event, by, F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("pos"), F.coalesce("_rn", F.lit(0)).alias("_at"))
     wanted = wanted.withColumn("_rn", F.col("_at") + F.col("pos")).drop("_at")
     return wanted.join(numbered, [by, "_rn"]).drop("_rn")
 
 
-def number_rows(df: DataFrame, at: str, out: str, bucket: str = "year") -> DataFrame:
-    """``out``: 0, 1, ... in order of a date or time column, without one sort of all rows: numbers inside a bucket, plus the rows of earlier ones."""
+def number_rows(df: DataFrame, at: str, out: str, bucket: str = "year", by: list[str] = ()) -> DataFrame:
+    """``out``: 0, 1, ... of each key in order of a date or time column, without one sort of all its rows: numbers inside a bucket, plus the rows of earlier ones."""
+    by = list(by)
     x = df.withColumn("_b", F.date_trunc(bucket, F.col(at).cast("timestamp")))
-    sizes = x.groupBy("_b").agg(F.count("*").alias("_n"))  # one row for each bucket
-    before = sizes.select(F.col("_b").alias("_sb"), (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
-    inside = x.withColumn("_place", F.row_number().over(Window.partitionBy("_b").orderBy(at)) - 1)
-    return inside.join(before, F.col("_b") == F.col("_sb")).withColumn(out, (F.col("_before") + F.col("_place")).cast("long")).drop("_b", "_sb", "_place", "_before")
+    sizes = x.groupBy(*by, "_b").agg(F.count("*").alias("_n"))  # one row for each key and bucket
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = sizes.select(*[F.col(c).alias(f"_s{c}") for c in by], F.col("_b").alias("_sb"), (F.sum("_n").over(whole.orderBy("_b")) - F.col("_n")).alias("_before"))
+    inside = x.withColumn("_place", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(at)) - 1)
+    match = [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in by] + [F.col("_b").eqNullSafe(F.col("_sb"))]
+    return inside.join(before, match).withColumn(out, (F.col("_before") + F.col("_place")).cast("long")).drop("_b", "_sb", "_place", "_before", *[f"_s{c}" for c in by])
 
 
 def prior(by: str | None, at: str, n: int):

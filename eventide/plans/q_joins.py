@@ -7,7 +7,7 @@ from eventide.adapters import bars, calendar, chronology, macro, panel, series,
 from eventide.catalog import register
 from eventide.functions.scalar import business_days_before, r6
 from eventide.operators import windows as W
-from eventide.operators.folds import earlier_rows
+from eventide.operators.folds import earlier_stats
 
 
 @register("join_inner", "SELECT o_orderkey, c_mktsegment, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000")
@@ -136,8 +136,7 @@ def _(spark, d):
 
 @register("join_fold", sql("panel", "SELECT a.tenor, a.m, count(b.m) AS n_train, round(avg(b.iv), 6) AS mean_train FROM panel a JOIN panel b ON a.tenor = b.tenor AND b.m < a.m GROUP BY 1, 2"), dates="m")
 def _(spark, d):
-    folds = earlier_rows(panel(spark, d).select("tenor", "m", "iv"), ["tenor"], "m")
-    return folds.groupBy("tenor", F.col("fold").alias("m")).agg(F.count("m").alias("n_train"), r6(F.avg("iv")).alias("mean_train"))
+    return earlier_stats(panel(spark, d).select("tenor", "m", "iv"), ["tenor"], "m", "iv").select("tenor", "m", "n_train", r6("mean_train").alias("mean_train"))
 
 
 @register("cal_build", sql("cal chron", "SELECT meeting_date, coalesce(direction, 'none') AS chair, meeting_date >= DATE '1999-01-01' OR month(meeting_date) IN (3, 6, 9, 12) AS presser_available FROM cal LEFT JOIN chron ON meeting_date BETWEEN start_d AND end_d WHERE year(meeting_date) >= 1996"), dates="meeting_date")

@@ -149,8 +149,7 @@ def model_panel(spark, d):
 
 
 def _walk(spark, d, feats, fit, keep=None, test="m >= DATE '2000-01-01'", **kw):
-    f = WF.folds(model_panel(spark, d), ["tenor"], "m", keep=keep, test=test)
-    return WF.walk_forward(f, ["tenor"], "m", feats, "gap", fit, **kw)
+    return WF.walk_forward(model_panel(spark, d), ["tenor"], "m", feats, "gap", fit, test=test, keep=keep, **kw)
 
 
 # Counts and baselines of every walk-forward have a SQL twin; predictions are checked in tests against numpy.
@@ -189,7 +188,7 @@ def _(spark, d):
 @register("wf_full_regime")
 def _(spark, d):
     """Same-regime rows plus the last year as a recency supplement, three models."""
-    keep = "regime = fold_regime OR m >= add_months(fold, -12)"
+    keep = lambda train, t: (train["regime"] == t["regime"]) | (train["m"] >= t["m"].replace(year=t["m"].year - 1))
     out = _walk(spark, d, _FS, WF.ridge_cv_fit, keep=keep, min_train=10).withColumnRenamed("pred", "pred_ridge")
     for name, feats, fit in (("pred_gbm", _FX, WF.boosted_fit), ("pred_spread", _FS, WF.spread_fit())):
         out = out.join(_walk(spark, d, feats, fit, keep=keep, min_train=10).select("tenor", "fold", F.col("pred").alias(name)), ["tenor", "fold"])

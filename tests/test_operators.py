@@ -199,6 +199,16 @@ def test_ols_hac_matches_numpy(spark):
         assert got[t] == (pytest.approx(beta[i]), pytest.approx(se[i]))
 
 
+def test_earlier_stats_equal_aggregates_over_earlier_rows(spark):
+    from eventide.operators.folds import earlier_rows, earlier_stats
+
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(f"k{i % 3}", int(rng.integers(0, 20)), None if i % 5 == 0 else float(i)) for i in range(120)], "k string, t int, x double")
+    slow = earlier_rows(df, ["k"], "t").groupBy("k", "fold").agg(F.count("*").alias("n"), F.avg("x").alias("m"))
+    got = {(r.k, r.t): (r.n_train, r.mean_train) for r in earlier_stats(df, ["k"], "t", "x").collect()}
+    assert got == {(r.k, r.fold): (r.n, pytest.approx(r.m) if r.m is not None else None) for r in slow.collect()}
+
+
 def test_walk_forward_never_looks_ahead(spark):
     rng = np.random.default_rng(3)
     rows = [("t", DAY + dt.timedelta(i), float(rng.normal()), float(rng.normal())) for i in range(30)]
@@ -206,8 +216,10 @@ def test_walk_forward_never_looks_ahead(spark):
 
     def run(data):
         df = spark.createDataFrame(data, "tenor string, m date, f double, y double")
-        out = walkforward.walk_forward(walkforward.folds(df, ["tenor"], "m"), ["tenor"], "m", ["f"], "y", walkforward.ridge_cv_fit, min_train=10)
-        return {r.fold: r.pred for r in out.collect()}
+        out = [walkforward.walk_forward(df, ["tenor"], "m", ["f"], "y", walkforward.ridge_cv_fit, min_train=10, block=block) for block in (64, 7)]
+        whole, blocks = ({r.fold: r.pred for r in x.collect()} for x in out)
+        assert whole == blocks
+        return whole
 
     a, b = run(rows), run(bent)
     assert a == b and sum(p is not None for p in a.values()) == 20
