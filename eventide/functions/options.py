@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.scalar import let
@@ -89,6 +89,25 @@ def black76(f: Column, k: Column, t: Column, sigma: Column, r: float = 0.0) -> d
     return {"call": call, "put": put, "straddle": call + put, "delta": F.when(live, df * (2 * norm_cdf(d1) - 1)).otherwise(F.signum(f - k)), "gamma": F.when(live, 2 * df * norm_pdf(d1) / F.nullif(f * s, F.lit(0.0))).otherwise(0.0)}
 
 
+def with_black76(df: DataFrame, f: str, k: str, t: str, sigma: str, r: float = 0.0) -> DataFrame:
+    """``df`` with the columns of ``black76``, in steps: each step's values are columns, so no polynomial is written out twice."""
+    d1, d2 = d1_d2(F.col(f), F.col(k), F.col(t), F.col(sigma))
+    x = df.withColumn("_d1", d1).withColumn("_d2", F.when((F.col(f) > 0) & (F.col(k) > 0) & (F.col(t) > 0) & (F.col(sigma) > 0), F.col("_d1") - F.col(sigma) * F.sqrt(F.greatest(t, F.lit(0.0)))).otherwise(0.0))
+    x = x.withColumns({"_t1": 1 / (1 + _P * F.abs("_d1") / math.sqrt(2)), "_t2": 1 / (1 + _P * F.abs("_d2") / math.sqrt(2)), "_df": F.exp(-F.lit(float(r)) * F.col(t))})
+    cdf = lambda i: 0.5 * (1 + F.signum(f"_d{i}") * (1 - _horner(F.col(f"_t{i}")) * F.exp(-F.col(f"_d{i}") * F.col(f"_d{i}") / 2)))
+    x = x.withColumns({"_n1": cdf(1), "_n2": cdf(2)})
+    live = (F.col(t) > 0) & (F.col(sigma) > 0)
+    x = x.withColumn("call", F.when(live, F.col("_df") * (F.col(f) * F.col("_n1") - F.col(k) * F.col("_n2"))).otherwise(F.greatest(F.col(f) - F.col(k), F.lit(0.0))))
+    x = x.withColumn("put", F.when(live, F.col("call") - F.col("_df") * (F.col(f) - F.col(k))).otherwise(F.greatest(F.col(k) - F.col(f), F.lit(0.0))))
+    spread = F.col(sigma) * F.sqrt(F.greatest(t, F.lit(0.0)))
+    x = x.withColumns({
+        "straddle": F.col("call") + F.col("put"),
+        "delta": F.when(live, F.col("_df") * (2 * F.col("_n1") - 1)).otherwise(F.signum(F.col(f) - F.col(k))),
+        "gamma": F.when(live, 2 * F.col("_df") * norm_pdf(F.col("_d1")) / F.nullif(F.col(f) * spread, F.lit(0.0))).otherwise(0.0),
+    })
+    return x.drop("_d1", "_d2", "_t1", "_t2", "_df", "_n1", "_n2")
+
+
 def atm_straddle(f: Column, t: Column, sigma: Column) -> Column:
     """Black-76 straddle at the money: 2 F (2 N(sigma sqrt(t) / 2) - 1)."""
     return 2 * f * (2 * norm_cdf(sigma * F.sqrt(t) / 2) - 1)

@@ -70,8 +70,8 @@ def _(spark, d):
 
 @register("opt_black76", f"WITH {_Q}, {_D12}, c AS (SELECT *, t > 0 AND v > 0 AS live, exp(-0.03 * t) AS df, CASE WHEN t > 0 AND v > 0 THEN exp(-0.03 * t) * (f * {cdf('d1')} - x * {cdf('d2')}) ELSE greatest(f - x, 0) END AS call FROM e) SELECT k, round(call, 6) AS call, round(CASE WHEN live THEN call - df * (f - x) ELSE greatest(x - f, 0) END, 6) + 0 AS put, round(CASE WHEN live THEN df * (2 * {cdf('d1')} - 1) ELSE sign(f - x) END, 6) AS delta, round(CASE WHEN live THEN 2 * df * {pdf('d1')} / (f * v * sqrt(t)) ELSE 0 END, 6) AS gamma FROM c")
 def _(spark, d):
-    b = O.black76(F.col("f"), F.col("x"), F.col("t"), F.col("v"), r=0.03)
-    return quotes(spark, d).select("k", *[r6(b[n]).alias(n) for n in ("call", "put", "delta", "gamma")])
+    b = O.with_black76(quotes(spark, d), "f", "x", "t", "v", r=0.03)
+    return b.select("k", *[r6(n).alias(n) for n in ("call", "put", "delta", "gamma")])
 
 
 @register("opt_implied", f"WITH {_Q} SELECT k, round(v, 4) AS iv FROM q WHERE t > 0 AND v > 0")
