@@ -6,12 +6,13 @@ driver over counts only: lengths are placed longest first, each into the open pa
 most room, and the pattern counts are updated. The patterns become intervals of ranks per length, and
 pieces find their sequence and offset by joining (length, rank) to those intervals.
 
-Ranks are dealt without a global sort: pieces are numbered inside (length, bucket), buckets are a hash of
-the identifier and start, and bucket counts give each bucket its first rank, so a length that a third of
-all pieces share is still numbered by many tasks. Full pieces are sequences of their own.
+Ranks are dealt without a global sort: pieces are stored under a row number and numbered inside (length, bucket), buckets are
+a hash of the row number, and bucket counts give each bucket its first rank, so a length that a third of
+all pieces share is still numbered by many tasks, whatever their identifiers. Full pieces are sequences of their own.
 
-Defined results: null text is empty text (its single id is the end id); repeated rows are separate
-documents told apart by their own pieces; an empty table packs into no sequence; other columns are ignored.
+Defined results: null text is empty text (its single id is the end id); repeated rows, and rows without identifier, are
+separate documents told apart by their own pieces; which of several pieces of one length lies in which sequence follows
+the order of rows as they were read; an empty table packs into no sequence; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,7 +101,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = vocabulary or default_vocabulary()
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    pieces = materialise(source.mapInArrow(tokenise(max_len, path, end_id), _PIECES_DDL).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets))), "pieces")
+    pieces = materialise(source.mapInArrow(tokenise(max_len, path, end_id), _PIECES_DDL).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
 
     histogram = {length: n for length, n in pieces.groupBy("length").count().collect()}  # at most max_len rows
     slots = _slot_rows(shortest_pack_first(histogram, max_len))
@@ -114,7 +116,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len:
     inside = sizes.withColumn("i_first", F.sum("count").over(Window.partitionBy("length", "run").orderBy("bucket")) - F.col("count"))
     both = inside.join(runs, (F.col("length") == F.col("r_length")) & (F.col("run") == F.col("r_run")))
     firsts = both.select(F.col("length").alias("f_length"), F.col("bucket").alias("f_bucket"), (F.col("r_first") + F.col("i_first")).alias("f_first"))
-    inner = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
+    inner = Window.partitionBy("length", "bucket").orderBy("row")
     numbered = pieces.withColumn("within", (F.row_number().over(inner) - 1).cast("long"))
     ranked = numbered.join(firsts, (F.col("length") == F.col("f_length")) & (F.col("bucket") == F.col("f_bucket"))).withColumn("rank", F.col("f_first") + F.col("within"))
     placed = ranked.join(slot, (F.col("length") == F.col("s_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("slots")))
