@@ -20,7 +20,8 @@ def library_ids(texts):
 
 
 def test_ids_equal_the_library():
-    assert [x.tolist() for x in bpe.encode_texts([t or "" for t in TEXTS], bpe.default_vocabulary())] == library_ids(TEXTS)
+    texts = TEXTS + long_texts()
+    assert [x.tolist() for x in bpe.encode_texts([t or "" for t in texts], bpe.default_vocabulary())] == library_ids(texts)
 
 
 def test_fast_path_agrees_on_every_ordinary_character():
