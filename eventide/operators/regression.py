@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 
 
 def newey_west_mean(df: DataFrame, by: list[str], order: list[str], x: str, lags: int) -> DataFrame:
-    """n, mean, sd and the Bartlett-weighted t of the mean, from lagged products of deviations."""
-    stats = df.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))
-    e = df.join(stats, by).withColumn("_e", F.col(x) - F.col("mean"))
+    """n, mean, sd and the Bartlett-weighted t of the mean, from lagged products of deviations.
+
+    One window and one aggregate: deviations are multiplied out, so the mean need not be known before the products are summed.
+    """
     w = Window.partitionBy(*by).orderBy(*order)
-    e = e.withColumns({f"_l{k}": F.lag("_e", k).over(w) for k in range(1, lags + 1)})
-    n = F.count("*")
-    lrv = F.sum(F.col("_e") * F.col("_e")) / n
+    e = df.withColumns({f"_l{k}": F.lag(x, k).over(w) for k in range(1, lags + 1)})
+    v = F.col(x)
+    sums = [F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.var_pop(x).alias("_v"), F.count(x).alias("_n")]
+    for k in range(1, lags + 1):
+        old = F.col(f"_l{k}")
+        sums += [F.sum(v * old).alias(f"_p{k}"), F.sum(F.when(v.isNotNull() & old.isNotNull(), v + old)).alias(f"_s{k}"), F.count(v + old).alias(f"_c{k}")]
+    g = e.groupBy(*by).agg(*sums)
+    lrv, mu = F.col("_v") * F.col("_n"), F.col("mean")
     for k in range(1, lags + 1):
-        lrv = lrv + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(F.col("_e") * F.col(f"_l{k}")), F.lit(0.0)) / n
-    g = e.groupBy(*by).agg(n.alias("n"), F.first("mean").alias("mean"), F.first("sd").alias("sd"), lrv.alias("lrv"))
-    return g.withColumn("t", F.col("mean") / F.sqrt(F.nullif(F.col("lrv"), F.lit(0.0)) / F.col("n")))
+        lrv = lrv + 2 * (1 - k / (lags + 1)) * F.coalesce(F.col(f"_p{k}") - mu * F.col(f"_s{k}") + F.col(f"_c{k}") * mu * mu, F.lit(0.0))
+    g = g.withColumn("lrv", lrv / F.col("n"))
+    return g.select(*by, "n", "mean", "sd", "lrv", (mu / F.sqrt(F.nullif(F.col("lrv"), F.lit(0.0)) / F.col("n"))).alias("t"))
 
 
 def sufficient(df: DataFrame, features: list[str], y: str, by: list[str] = ()) -> DataFrame:
