@@ -25,7 +25,7 @@ def corr_t(r: Column, n: Column) -> Column:
     return r * F.sqrt((n - 2) / F.nullif(1 - r * r, F.lit(0.0)))
 
 
-def student_t_two_sided(t: Column, df: Column, steps: int = 200) -> Column:
+def student_t_two_sided(t: Column, df: Column, steps: int = 2000) -> Column:
     """Two-sided p of Student's t by Simpson's rule over the angle atan(t / sqrt(df)): the density is cos^(df - 1)."""
     theta = F.atan(F.abs(t) / F.sqrt(df))
     power = df - 1

@@ -54,13 +54,24 @@ def _(spark, d):
     return out.select("tenor", "n", r6("r2").alias("r2"))
 
 
-@register("ml_ols_interact_pooled")
+# Regime dummies with interactions are one line per regime: its intercepts and slopes against those of regime 0.
+_POOLED = """WITH x AS (SELECT month(m) % 3 AS g, iv, rv FROM panel WHERE rv IS NOT NULL),
+l AS (SELECT g, regr_intercept(rv, iv) AS a, regr_slope(rv, iv) AS b, regr_sxx(rv, iv) AS sxx, avg(iv) AS mx, count(*) AS n FROM x GROUP BY 1),
+e AS (SELECT sum(pow(rv - a - b * iv, 2)) AS sse, regr_syy(rv, iv) AS sst, count(*) AS n FROM x JOIN l USING (g)),
+v AS (SELECT l.*, sse / (e.n - 6) * (1.0 / l.n + mx * mx / sxx) AS va, sse / (e.n - 6) / sxx AS vb FROM l, e),
+c AS (SELECT z.a AS a0, z.b AS b0, z.va AS va0, z.vb AS vb0, o.a AS a1, o.b AS b1, o.va AS va1, o.vb AS vb1, t.a AS a2, t.b AS b2, t.va AS va2, t.vb AS vb2 FROM v z, v o, v t WHERE z.g = 0 AND o.g = 1 AND t.g = 2),
+r AS (SELECT unnest(['const', 'iv', 'r1', 'r2f', 'iv_r1', 'iv_r2']) AS term, unnest([a0, b0, a1 - a0, a2 - a0, b1 - b0, b2 - b0]) AS coef, unnest([va0, vb0, va1 + va0, va2 + va0, vb1 + vb0, vb2 + vb0]) AS var FROM c)
+SELECT term, round(coef, 6) AS coef, round(sqrt(var), 6) AS se, round(1 - sse / sst, 6) AS r2, n FROM r, e"""
+
+
+@register("ml_ols_interact_pooled", sql("panel", _POOLED))
 def _(spark, d):
-    """One pooled regression with regime dummies and interactions: coefficients, R2."""
+    """One pooled regression with regime dummies and interactions: coefficients, errors, R2."""
     p = panel(spark, d).where("rv IS NOT NULL")
     reg = F.month("m") % 3
     x = p.withColumns({"r1": (reg == 1).cast("double"), "r2f": (reg == 2).cast("double")}).withColumns({"iv_r1": F.col("iv") * F.col("r1"), "iv_r2": F.col("iv") * F.col("r2f")})
-    return M.ols(x, ["iv", "r1", "r2f", "iv_r1", "iv_r2"], "rv")
+    out = M.ols(x, ["iv", "r1", "r2f", "iv_r1", "iv_r2"], "rv")
+    return out.select("term", r6("coef").alias("coef"), r6("se").alias("se"), r6("r2").alias("r2"), "n")
 
 
 @register("ml_loco", sql("panel", f"WITH {_X} SELECT k.tenor AS left_out, count(*) AS n, round(regr_slope(y, x), 6) AS coef FROM x JOIN (SELECT DISTINCT tenor FROM x) k ON k.tenor <> x.tenor GROUP BY 1"))

@@ -1,4 +1,4 @@
-"""Registered queries that SQL cannot express, each against a slow version written from its definition."""
+"""Registered queries that SQL cannot express, or only in part, each against a slow version written from its definition."""
 
 import math
 import os
@@ -314,8 +314,8 @@ def test_pooled_regression_with_interactions(spark, features):
     res = p.rv.to_numpy() - x @ beta
     se = np.sqrt(np.diag(np.linalg.inv(x.T @ x)) * (res @ res) / (len(p) - 6))
     terms = ["const", "iv", "r1", "r2f", "iv_r1", "iv_r2"]
-    assert out.coef[terms].to_numpy() == pytest.approx(beta, rel=1e-5, abs=1e-6) and out.se[terms].to_numpy() == pytest.approx(se, rel=1e-4)
-    assert out.r2.iloc[0] == pytest.approx(1 - res @ res / ((p.rv - p.rv.mean()) ** 2).sum(), rel=1e-6)
+    assert out.coef[terms].to_numpy() == pytest.approx(beta, rel=1e-5, abs=1e-6) and out.se[terms].to_numpy() == pytest.approx(se, rel=1e-4, abs=1e-6)
+    assert out.r2.iloc[0] == pytest.approx(1 - res @ res / ((p.rv - p.rv.mean()) ** 2).sum(), abs=2e-6)
 
 
 def test_correlation_p_values(spark, features):
@@ -326,4 +326,4 @@ def test_correlation_p_values(spark, features):
         t, v = r * math.sqrt((n - 2) / (1 - r * r)), n - 2
         u = np.linspace(0, math.atan(abs(t) / math.sqrt(v)), 200_001)  # x = sqrt(v) tan u: the density is cos^(v - 1)
         area = np.trapezoid(np.cos(u) ** (v - 1), u) * math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(math.pi)
-        assert out.r[tenor] == pytest.approx(r) and out.t[tenor] == pytest.approx(t) and out.p[tenor] == pytest.approx(1 - 2 * area, abs=1e-6)
+        assert out.r[tenor] == pytest.approx(r, abs=1e-6) and out.t[tenor] == pytest.approx(t, abs=1e-6) and out.p[tenor] == pytest.approx(1 - 2 * area, abs=1e-6)

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: Queries that SQL cannot express: tests/test_fits.py compares their results with slow versions.
-FITTED = "agg_corr_pvalue ml_ols_interact_pooled ml_ridge_cv ml_elasticnet_cv ml_logistic ml_gbm wf_two_mode wf_elasticnet wf_spread wf_full_regime wf_sign wf_classify_fit wf_iv_era wf_forward_once wf_forward_locked wf_ablation".split()
+FITTED = "ml_ridge_cv ml_elasticnet_cv ml_logistic ml_gbm wf_two_mode wf_elasticnet wf_spread wf_full_regime wf_sign wf_classify_fit wf_iv_era wf_forward_once wf_forward_locked wf_ablation".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
 
