@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe_table, chat, exact_dedup, langid, line_dedup, merkle, packing, simhash, url_rules, warc
+from eventide.llm import bpe_table, centroids, chat, exact_dedup, langid, line_dedup, merkle, packing, simhash, token_counts, url_rules, warc
 from eventide.llm.base import materialise
 
 
@@ -71,7 +71,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_bpe_roundtrip, op4_warc_roundtrip, op5_merkle_fingerprints, op6_exact_dedup, op7_packing, op8_url_rules, op9_line_dedup, op10_simhash)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (
+    op1_language_id, op2_chat_format, op3_bpe_roundtrip, op4_warc_roundtrip, op5_merkle_fingerprints, op6_exact_dedup, op7_packing,
+    op8_url_rules, op9_line_dedup, op10_simhash, op11_token_counts, op12_centroid_clusters,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _SPACE = "'[ \\t\\n\\x0b\\f\\r]+'"
 
@@ -79,6 +91,7 @@ ORACLES: dict[str, str] = {
     "op4_warc_roundtrip": warc.ORACLE,
     "op5_merkle_fingerprints": merkle.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op12_centroid_clusters": centroids.oracle(),
     "op6_exact_dedup": f"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), {_SPACE}, ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
