@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe_table, centroids, chat, exact_dedup, langid, line_dedup, merkle, packing, simhash, token_counts, url_rules, warc
+from eventide.llm import bpe_table, centroids, chat, divergence, exact_dedup, langid, line_dedup, merkle, packing, simhash, token_counts, url_rules, warc
 from eventide.llm.base import materialise
 
 
@@ -42,11 +42,16 @@ def op4_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """page_id, url, doc_id, label of pages whose document is labelled; a page's document is the number in its URL. Toxic or of low quality: block."""
+    bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
+    known = labels.select("doc_id", F.when(bad, url_rules.BLOCK).otherwise(url_rules.ALLOW).alias("label"))
+    return pages.select("page_id", "url", url_rules.document_number(F.col("url")).alias("doc_id")).join(known, "doc_id")
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(bad, url_rules.BLOCK).otherwise(url_rules.ALLOW).alias("label"))
-    mined = url_rules.mine(pages.select("page_id", "url").join(labels, "page_id"))
+    mined = url_rules.mine(labelled_pages(pages, _table(spark, sf_dir, "labels")))
     return url_rules.judge(pages, URL_RULES, mined)
 
 
@@ -79,9 +84,13 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_language_id, op2_chat_format, op3_bpe_roundtrip, op4_warc_roundtrip, op5_merkle_fingerprints, op6_exact_dedup, op7_packing,
-    op8_url_rules, op9_line_dedup, op10_simhash, op11_token_counts, op12_centroid_clusters,
+    op8_url_rules, op9_line_dedup, op10_simhash, op11_token_counts, op12_centroid_clusters, op13_source_divergence,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -92,6 +101,7 @@ ORACLES: dict[str, str] = {
     "op5_merkle_fingerprints": merkle.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op12_centroid_clusters": centroids.oracle(),
+    "op13_source_divergence": divergence.ORACLE,
     "op6_exact_dedup": f"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), {_SPACE}, ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
