@@ -57,12 +57,19 @@ def _sha(c: str) -> Column:
 
 
 def _stored(chunked: DataFrame, buckets: int) -> DataFrame:
-    """The chunk table, written once, bucketed by row: joins by row read it without a shuffle."""
+    """The chunk table, written once, bucketed by row: joins by row read it without a shuffle.
+
+    Beyond the most buckets that a table may have, buckets grow; they are streamed, and only the positions asked for
+    are held. The catalog knows the table just until its files are resolved.
+    """
     spark = chunked.sparkSession
+    buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     name = f"line_chunks_{uuid.uuid4().hex}"
     writer = chunked.repartition(buckets, "row").write.mode("overwrite").option("compression", "zstd").option("path", fresh_path(spark, "chunks"))
     writer.bucketBy(buckets, "row").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay: the table has a path of its own
+    return table
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 3, bucket_bytes: int = 32 << 20) -> DataFrame:
@@ -84,9 +91,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     owners = materialise(owners.select("e_digest", "owner.row", "owner.pos").toDF("e_digest", "o_row", "o_pos"), "owners")
 
     copies = suspects.join(owners, (F.col("digest") == F.col("e_digest")) & ((F.col("row") != F.col("o_row")) | (F.col("pos") != F.col("o_pos"))))
-    gone = materialise(copies.groupBy(F.col("row").alias("g_row")).agg(F.collect_set("pos").alias("gone")), "gone")
+    gone = materialise(copies.groupBy(F.col("row").alias("g_row")).agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
     cleaned = chunks.select("row", "doc_id", "bodies").join(gone.hint("shuffle_hash"), F.col("row") == F.col("g_row"), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    kept = F.filter("bodies", lambda b, i: ~F.array_contains("gone", i))
+    none = F.array(F.lit(-1))
+    gaps = F.arrays_zip(F.concat(none, "gone").alias("a"), F.concat("gone", F.array(F.size("bodies"))).alias("z"))
+    kept = F.flatten(F.transform(gaps, lambda g: F.slice("bodies", g["a"] + 2, g["z"] - g["a"] - 1)))  # what lies between positions that go
     chars = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, b: n + F.length(b))
     out = cleaned.select("doc_id", "bodies", "gone", kept.alias("kept"))
     return out.select("doc_id", F.array_join("kept", "\n").alias("text"), F.size("bodies").cast("long").alias("n_chunks"), F.size("gone").cast("long").alias("removed_chunks"), (chars(F.col("bodies")) - chars(F.col("kept"))).alias("removed_chars"))

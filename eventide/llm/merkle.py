@@ -2,12 +2,12 @@
 
 A text's lines are its paragraphs. A paragraph is cut into leaves where its content says so (after a word that ends in
 one of a few letters or marks, or after a sparse character where there are no spaces), so a letter put in
-moves boundaries only near itself. A leaf's node is a hash of its text, a paragraph's node the SHA-256 of its leaves'
-nodes. Sections end at blank lines and after paragraphs whose node begins with a small digit (one in eight); a
+moves boundaries only near itself. A paragraph's node is the SHA-256 of its text. Sections end at blank lines and after paragraphs whose node begins with a small digit (one in eight); a
 section's node is the SHA-256 of its paragraphs' nodes, the root that of the sections' nodes.
 
-A fingerprint is the root and the distinct leaves with their lengths. Equal roots mean equal texts; likeness follows from
-two fingerprints alone: twice the code points of leaves that both have over those of all leaves of both. Comparing two
+A fingerprint is the root and the distinct leaves, each as some digits of a hash of its text, and its length. Every node of the tree is a whole
+SHA-256, so equal roots mean equal texts as surely as equal SHA-256 of the texts do; only leaves are cut to a few digits, and only
+likeness reads them. It follows from two fingerprints alone: twice the code points of leaves that both have over those of all leaves of both. Comparing two
 trees from the root down finds the first section and paragraph that differ.
 
 The next document of each is found with one exchange of texts. Rows are dealt to range parts by quantiles of the
@@ -38,9 +38,9 @@ def leaf_nodes(paragraph: Column) -> Column:
 
 def tree(text: Column) -> Column:
     """struct<leaves, sections: array<struct<node, paragraphs>>>: distinct leaves in order of their nodes, nodes of sections and of their paragraphs."""
-    lines = F.transform(F.split(text, "\n", -1), lambda p: leaf_nodes(p))
-    leaves = F.array_sort(F.array_distinct(F.flatten(lines)))
-    return F.struct(leaves.alias("leaves"), F.transform(lines, lambda x: F.sha2(F.concat_ws("", x), 256)).alias("paragraphs"))
+    lines = F.split(text, "\n", -1)
+    leaves = F.array_sort(F.array_distinct(F.flatten(F.transform(lines, lambda p: leaf_nodes(p)))))
+    return F.struct(leaves.alias("leaves"), F.transform(lines, lambda p: F.sha2(p, 256)).alias("paragraphs"))
 
 
 #: The node of an empty paragraph: a blank line.
@@ -197,7 +197,7 @@ def _oracle() -> str:
     e AS (SELECT *, substr(t, 1, n - n // 3) || substr(nt, 1, n // 3) AS et FROM n),
     c AS (SELECT *, {cut("t")} AS tc, {cut("et")} AS ec, {cut("nt")} AS nc FROM e),
     p AS (SELECT doc_id, n, et, list_sort(list_distinct(flatten(tc))) AS tl, list_sort(list_distinct(flatten(ec))) AS el, list_distinct(flatten(nc)) AS nl,
-            list_transform(tc, lambda x: sha256(array_to_string(x, ''))) AS tp, list_transform(ec, lambda x: sha256(array_to_string(x, ''))) AS ep FROM c),
+            list_transform(string_split(t, chr(10)), lambda x: sha256(x)) AS tp, list_transform(string_split(et, chr(10)), lambda x: sha256(x)) AS ep FROM c),
     b AS (SELECT *, {ends("tp")} AS tb, {ends("ep")} AS eb FROM p),
     s AS (SELECT *, list_transform(range(1, len(tb) + 1), lambda i: tp[(CASE WHEN i > 1 THEN tb[i - 1] ELSE 0 END) + 1 : tb[i]]) AS ts,
             list_transform(range(1, len(eb) + 1), lambda i: ep[(CASE WHEN i > 1 THEN eb[i - 1] ELSE 0 END) + 1 : eb[i]]) AS es FROM b),

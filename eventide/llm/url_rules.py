@@ -34,6 +34,11 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def document_number(url: Column) -> Column:
+    """The number that ends a URL's path, as in ``/en/728.html``, as a long; null where there is none."""
+    return F.regexp_extract(path(url), r"/(\d{1,18})(?:\.\w+)?/?$", 1).try_cast("long")
+
+
 def explicit_rule(h: Column, p: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest (action, host/path) rule that fits, nulls where none does."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")

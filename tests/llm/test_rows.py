@@ -47,6 +47,31 @@ def test_line_dedup_with_null_and_repeated_identifiers_matches_brute_force(spark
     assert got == sorted((i or -1, t) for (i, _), t in zip(rows, slow_dedup(rows)))
 
 
+def test_line_dedup_takes_any_number_of_buckets_and_leaves_no_table(spark):
+    """One bucket for each byte would be beyond what Spark takes."""
+    rows = [(i, lines(*range(i % 3, i % 3 + 400))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    old = spark.conf.get("spark.sql.sources.bucketing.maxBuckets")
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "16")
+    try:
+        got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(df, bucket_bytes=1).collect())
+    finally:
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", old)
+    assert got == sorted((i, t) for (i, _), t in zip(rows, slow_dedup(rows)))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_chunks")]
+
+
+def test_line_dedup_of_a_text_of_repeated_chunks_is_linear(spark):
+    import time
+
+    text = "\n".join(f"line {i % 60} of a form" for i in range(900_000))
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    began = time.time()
+    r = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert time.time() - began < 60 and r[1].n_chunks > 200_000
+    assert r[1].removed_chunks + r[2].removed_chunks > 200_000
+
+
 def test_line_dedup_shuffles_chunk_texts_once(spark):
     """Beyond any broadcast size, joins by row read the stored chunk table without another exchange of texts."""
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

@@ -275,6 +275,16 @@ def test_merkle_edges_and_edit_location(spark):
     assert merkle.fingerprint_edits(one).first().near_next == 1.0
 
 
+def test_texts_whose_leaves_look_alike_have_different_fingerprints(spark):
+    """These pairs agree in the published digits of their only leaf: the roots differ all the same."""
+    alike = [("00000000000006920756", "00000000000013147938"), ("00000000000016005617", "00000000000028798719")]
+    for a, b in alike:
+        assert hashlib.md5(a.encode()).hexdigest()[:12] == hashlib.md5(b.encode()).hexdigest()[:12]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([x for pair in alike for x in pair])], "doc_id long, text string")
+    got = [r.fingerprint for r in merkle.fingerprints(df).collect()]
+    assert len(set(got)) == 4 and len(set(f[64:] for f in got)) == 2
+
+
 def test_merkle_likeness_follows_from_fingerprints_and_survives_shifts(spark):
     rng = random.Random(3)
     prose = lambda n, end: "".join("".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randrange(2, 9))) + rng.choice([" ", " ", " ", ". ", end]) for _ in range(n))

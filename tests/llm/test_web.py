@@ -113,3 +113,31 @@ def test_long_hosts(spark):
     df = spark.createDataFrame([(1, "http://" + "a." * 3000 + "example.com/x"), (2, "http://" + "b" * 100_000 + "/")], "page_id long, url string")
     rules = spark.createDataFrame([("block", ["host1=com", "host2=example"], 0.9, 0.5)], "verdict string, tokens array<string>, confidence double, support double")
     assert {r.page_id: r.verdict for r in url_rules.judge(df, [], rules).collect()} == {1: "block", 2: "allow"}
+
+
+def test_labels_belong_to_the_document_in_the_url(spark):
+    """A page shows the document whose number its URL ends in: its language agrees with the URL's, and the query mines those labels."""
+    from eventide.llm import registry
+
+    rows = [("http://h.org/fr/825?page=2", 825), ("https://h.net/en/25#top", 25), ("https://h.com/en/853/", 853), ("https://h.com/en/474.html", 474), ("http://h.com/en/a5", None), ("http://h.com/7/x", None), ("no scheme/5", None), (None, None), ("http://h.com/" + "9" * 30, None)]
+    df = spark.createDataFrame(rows, "url string, want long")
+    assert all(r.got == r.want for r in df.select("want", url_rules.document_number(df.url).alias("got")).collect())
+    sf = "/root/testdata/sf0.01"
+    pages, docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("pages", "documents", "labels"))
+    known = registry.labelled_pages(pages, labels)
+    both = known.join(docs.select("doc_id", "lang"), "doc_id").selectExpr("url rlike concat('://[^/]*/', lang, '/') AS agrees")
+    assert both.count() > 50 and both.where("NOT agrees").count() == 0
+    # the query's verdicts are those of the fixed rules and of the rules that a brute-force count confirms
+    mined = url_rules.mine(known).collect()
+    sets = [(set(r.t), r.label) for r in known.select(url_rules.tokens(known.url).alias("t"), "label").collect()]
+    for r in mined:
+        fit = [label for t, label in sets if set(r.tokens) <= t]
+        assert fit.count(r.verdict) >= 10 and 0.7 <= r.confidence == pytest.approx(fit.count(r.verdict) / len(fit))
+    held = {r.page_id: set(r.t) for r in pages.select("page_id", url_rules.tokens(pages.url).alias("t")).collect()}
+    urls = {r.page_id: r.url for r in pages.select("page_id", "url").collect()}
+    out = registry.op8_url_rules(spark, sf).collect()
+    assert len(out) == pages.count()
+    for r in out:
+        host, path, rule, verdict = slow_rule(urls[r.page_id])
+        best = max([m for m in mined if set(m.tokens) <= held[r.page_id]], key=lambda m: (m.confidence, m.support, len(m.tokens), m.verdict, m.tokens), default=None)
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or (best.verdict if best else "allow"))
