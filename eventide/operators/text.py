@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.functions import text as T
+from eventide.operators.ranges import bounded, numbered
 
 
 def term_counts(df: DataFrame, doc: list[str], tokens: Column) -> DataFrame:
@@ -45,7 +46,7 @@ def tfidf_rows(docs: DataFrame, doc: str, tokens: Column, min_df: int = 2, max_f
 
 def novelty_previous(weights: DataFrame, docs: DataFrame, by: str, at: str, doc: str) -> DataFrame:
     """1 - cosine to the previous document of the key; null for the first; 1 where no term is shared."""
-    ranked = docs.select(by, doc, F.lag(doc).over(Window.partitionBy(by).orderBy(at)).alias("prev"))
+    ranked = bounded(docs.select(*{by, doc, at}), by, at, 1, lambda w: {"prev": F.lag(doc).over(w)}).select(by, doc, "prev")
     mine = ranked.join(weights, doc)
     prev = weights.select(F.col(doc).alias("prev"), "term", F.col("w").alias("pw"))
     dots = mine.join(prev, ["prev", "term"]).groupBy(doc).agg(F.sum(F.col("w") * F.col("pw")).alias("dot"))
@@ -54,7 +55,7 @@ def novelty_previous(weights: DataFrame, docs: DataFrame, by: str, at: str, doc:
 
 def novelty_window(weights: DataFrame, docs: DataFrame, by: str, at: str, doc: str, k: int = 4) -> DataFrame:
     """1 - cosine to the centroid of up to k prior documents."""
-    rn = docs.select(by, doc, F.row_number().over(Window.partitionBy(by).orderBy(at)).alias("rn"))
+    rn = numbered(docs.select(*{by, doc, at}), by, [at], "rn").select(by, doc, (F.col("rn") + 1).alias("rn"))
     w = rn.join(weights, doc)
     ahead = w.select(by, "term", "w", F.explode(F.sequence(F.col("rn") + 1, F.col("rn") + k)).alias("rn"))
     centroid = ahead.groupBy(by, "rn", "term").agg(F.sum("w").alias("c"))
@@ -69,7 +70,8 @@ def novelty_jaccard(sets: DataFrame, by: str, doc: str, words: str) -> DataFrame
 
     Only identifiers pass the window that finds the previous document; both documents' words are then counted term by term.
     """
-    pairs = sets.select(by, doc, F.size(words).alias("n")).withColumn("prev", F.lag(F.struct(F.col(doc).alias("id"), "n")).over(Window.partitionBy(by).orderBy(doc))).where("prev IS NOT NULL")
+    sizes = sets.select(by, doc, F.size(words).alias("n"))
+    pairs = bounded(sizes, by, doc, 1, lambda w: {"prev": F.lag(F.struct(F.col(doc).alias("id"), "n")).over(w)}).where("prev IS NOT NULL")
     mine = pairs.select(doc, F.col("prev.id").alias("_id")).join(sets.select(doc, F.explode(words).alias("term")), doc)
     theirs = sets.select(F.col(doc).alias("_id"), F.explode(words).alias("term"))
     common = mine.join(theirs, ["_id", "term"]).groupBy(doc).agg(F.count("*").alias("both"))

@@ -6,13 +6,16 @@ key has to be sorted in one task: each bucket sees its own rows plus the last (o
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.operators.expanding import expanding_median as expanding_median
 from eventide.operators.expanding import expanding_rank as expanding_rank
+from eventide.operators.ranges import ordinal
+
+
+#: Intervals that are compared with every row; more are joined by bins.
+FEW_INTERVALS = 256
 
 
 def asof(left: DataFrame, right: DataFrame, on: tuple[str, str], cols: list[str], by: list[str] = (), how: str = "lt", bucket: str = "year") -> DataFrame:
@@ -58,9 +61,27 @@ def latest_of(series: DataFrame, name: str, at: str, value: str, columns: dict[s
 
 
 def interval_label(df: DataFrame, intervals: DataFrame, at: str, start: str, end: str, cols: list[str], closed: bool = False) -> DataFrame:
-    """Point in interval: start <= at < end, or <= end if ``closed``. Intervals are a configuration table of fixed size."""
-    upper = F.col(at) <= F.col(end) if closed else F.col(at) < F.col(end)
-    return df.join(F.broadcast(intervals.select(start, end, *cols)), (F.col(at) >= F.col(start)) & upper, "left").drop(start, end)
+    """Point in interval: start <= at < end, or <= end if ``closed``; null columns where no interval holds the row, one row for each that does.
+
+    An interval join by bins of dyadic widths: an interval is listed under the two bins or less that it touches at the smallest width
+    that is at least its length, each distinct time asks for its own bin of each width in use, and a filter refines. So a long interval is
+    as cheap as a short one. Only tables of at most ``FEW_INTERVALS`` intervals, which is checked, are broadcast. An interval without an end holds nothing.
+    """
+    lo, hi, t = ordinal(intervals, start), ordinal(intervals, end), ordinal(df, at)
+    upper = lambda at: at <= F.col("_end") if closed else at < F.col("_end")
+    held = intervals.select(F.col(start).alias("_start"), F.col(end).alias("_end"), *[F.col(c).alias(f"_v_{c}") for c in cols], lo.alias("_lo"), hi.alias("_hi")).where("_lo <= _hi")
+    values = [f"_v_{c}" for c in cols]
+    if held.limit(FEW_INTERVALS + 1).count() <= FEW_INTERVALS:
+        x = df.join(F.broadcast(held.select("_start", "_end", *values)), (F.col(at) >= F.col("_start")) & upper(F.col(at)), "left")
+        return x.select(*df.columns, *[F.col(v).alias(c) for v, c in zip(values, cols)])
+    # the width is a power of two that is at least the interval's length
+    listed = held.withColumn("_level", F.ceil(F.log2(F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1.0)))).cast("int"))
+    bin_of = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    levels = [r[0] for r in listed.select("_level").distinct().collect()]  # at most 64 widths
+    listed = listed.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_lo")), bin_of(F.col("_hi")))))
+    asked = df.where(F.col(at).isNotNull()).select(F.col(at).alias("_at"), t.alias("_t")).distinct().withColumn("_level", F.explode(F.lit(levels)))
+    found = asked.withColumn("_bin", bin_of(F.col("_t"))).join(listed, ["_level", "_bin"]).where((F.col("_at") >= F.col("_start")) & upper(F.col("_at")))
+    return df.join(found.select("_at", *values), F.col(at) == F.col("_at"), "left").select(*df.columns, *[F.col(v).alias(c) for v, c in zip(values, cols)])
 
 
 def event_rows(events: DataFrame, series: DataFrame, by: str, event: str, at: str, before: int, after: int) -> DataFrame:
@@ -91,15 +112,9 @@ def number_rows(df: DataFrame, at: str, out: str, bucket: str = "year", by: list
     return inside.join(before, match).withColumn(out, (F.col("_before") + F.col("_place")).cast("long")).drop("_b", "_sb", "_place", "_before", *[f"_s{c}" for c in by])
 
 
-def prior(by: str | None, at: str, n: int):
-    """Frame of the n rows before the current one."""
-    w = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    return w.orderBy(at).rowsBetween(-n, -1)
-
-
-def trailing(x: str, by: str, at: str, n: int, least: int = 2) -> tuple[Column, Column]:
-    """(mean, sample std) of the n prior rows, null below ``least`` values."""
-    w = prior(by, at, n)
+def trailing(x: str, w, n: int, least: int = 2) -> tuple[Column, Column]:
+    """(mean, sample std) of the n prior rows of an ordered window, null below ``least`` values."""
+    w = w.rowsBetween(-n, -1)
     enough = F.count(x).over(w) >= least
     return F.when(enough, F.avg(x).over(w)), F.when(enough, F.stddev_samp(x).over(w))
 
@@ -108,33 +123,6 @@ def expanding(by: str, at: str, current: bool = True):
     return Window.partitionBy(by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
 
 
-def ewma(x: str, by: str, at: str, span: int) -> Column:
-    """Exponentially weighted mean, no bias adjustment, null-aware: over a gap the old mean loses weight and the sum renormalises.
-
-    Folds a bounded frame; what lies further back weighs less than a double's last bit.
-    """
-    alpha = 2 / (span + 1)
-    horizon = math.ceil(56 * math.log(2) / -math.log(1 - alpha))
-    w = Window.partitionBy(by).orderBy(at).rowsBetween(-horizon, 0)
-    items = F.collect_list(F.struct(F.col(x).cast("double").alias("x"))).over(w)
-    start = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(1.0).alias("weight"))
-
-    def step(acc: Column, item: Column) -> Column:
-        v, old = item["x"], acc["weight"] * (1 - alpha)
-        return (
-            F.when(acc["mean"].isNull(), F.struct(v.alias("mean"), F.lit(1.0).alias("weight")))
-            .when(v.isNull(), F.struct(acc["mean"].alias("mean"), old.alias("weight")))
-            .otherwise(F.struct(((old * acc["mean"] + alpha * v) / (old + alpha)).alias("mean"), F.lit(1.0).alias("weight")))
-        )
-
-    return F.aggregate(items, start, step, lambda acc: acc["mean"])
-
-
-def ffill(x: str, by: str | None, at: str) -> Column:
-    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    return F.last(x, ignorenulls=True).over(w)
-
-
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn")
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from eventide.adapters import panel, sql, table
 from eventide.catalog import register
 from eventide.functions.scalar import r6
-
 from eventide.operators import models as M
+from eventide.operators import ranges as R
 from eventide.operators import walkforward as WF
 from eventide.operators import windows as W
 
@@ -148,7 +148,7 @@ def _(spark, d):
 
 @register("wf_baseline_mean", sql("panel", "SELECT tenor, m, round(avg(gap) OVER (PARTITION BY tenor ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS baseline FROM panel"), dates="m")
 def _(spark, d):
-    return panel(spark, d).select("tenor", "m", r6(F.avg("gap").over(W.expanding("tenor", "m", current=False))).alias("baseline"))
+    return R.running(panel(spark, d), "tenor", "m", {"mean": ("avg", "gap")}, current=False).select("tenor", "m", r6("mean").alias("baseline"))
 
 
 _FS = ["iv_lag1", "rv_lag1"]

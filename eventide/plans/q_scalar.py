@@ -119,9 +119,10 @@ def _(spark, d):
 
 @register("fil_ffill", sql("panel", "SELECT tenor, m, CASE WHEN m < DATE '2000-06-01' THEN last_value(gap IGNORE NULLS) OVER (PARTITION BY tenor ORDER BY m ROWS UNBOUNDED PRECEDING) END AS filled FROM panel"), dates="m")
 def _(spark, d):
-    from eventide.operators.windows import ffill
+    from eventide.operators.ranges import running
 
-    return panel(spark, d).select("tenor", "m", F.when(F.col("m") < F.lit("2000-06-01").cast("date"), ffill("gap", "tenor", "m")).alias("filled"))
+    x = running(panel(spark, d), "tenor", "m", {"on": ("last", "gap")})
+    return x.select("tenor", "m", F.when(F.col("m") < F.lit("2000-06-01").cast("date"), F.col("on")).alias("filled"))
 
 
 @register("fil_mean", sql("panel", "SELECT p.tenor, m, round(coalesce(gap, mean), 6) AS gap FROM panel p JOIN (SELECT tenor, avg(gap) AS mean FROM panel WHERE m < DATE '1999-01-01' GROUP BY 1) t ON p.tenor = t.tenor"), dates="m")

@@ -7,6 +7,7 @@ from eventide.adapters import sql, table, texts
 from eventide.catalog import register
 from eventide.functions import text as T
 from eventide.functions.scalar import r6
+from eventide.operators import ranges as R
 from eventide.operators import text as X
 from eventide.operators import windows as W
 
@@ -41,9 +42,8 @@ _RANK = "(count(*) FILTER (b.n < a.n) + (count(*) FILTER (b.n = a.n) + 1) / 2.0)
 def _(spark, d):
     x = docs(spark, d).select("lang", "doc_id", T.word_count(F.col("text")).alias("n"))
     x = W.expanding_rank(x, "n", "lang", "doc_id", "pct")
-    mean, std = W.trailing("n", "lang", "doc_id", 4)
-    change = F.col("n") - F.lag("n").over(Window.partitionBy("lang").orderBy("doc_id"))
-    return x.select("doc_id", "n", change.cast("double").alias("change"), F.round((F.col("n") - mean) / F.nullif(std, F.lit(0.0)), 5).alias("z"), r6("pct").alias("pct"))
+    x = R.bounded(x, "lang", "doc_id", 4, lambda w: {"before": F.lag("n").over(w)} | dict(zip(("mean", "std"), W.trailing("n", w, 4))))
+    return x.select("doc_id", "n", (F.col("n") - F.col("before")).cast("double").alias("change"), F.round((F.col("n") - F.col("mean")) / F.nullif("std", F.lit(0.0)), 5).alias("z"), r6("pct").alias("pct"))
 
 
 _TF = "tok AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z][a-z]+') AS t FROM documents), terms AS (SELECT doc_id, unnest(t) AS term FROM tok UNION ALL SELECT doc_id, t[i] || ' ' || t[i + 1] FROM tok, unnest(range(1, len(t))) u(i)), c AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2), v AS (SELECT term, count(*) AS df FROM c GROUP BY 1 HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 3000), x AS (SELECT doc_id, c.term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS w0 FROM c JOIN v ON c.term = v.term), w AS (SELECT doc_id, term, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY doc_id)) AS w FROM x)"
@@ -78,8 +78,8 @@ def _(spark, d):
 @register("txt_novelty_z", f"{_NOV}, {_NPREV} SELECT doc_id, round((novelty - avg(novelty) OVER o) / nullif(stddev_samp(novelty) OVER o, 0), 4) AS z FROM n WINDOW o AS (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING)")
 def _(spark, d):
     x = X.novelty_previous(weights(spark, d), docs(spark, d), "lang", "doc_id", "doc_id")
-    w = W.expanding("lang", "doc_id")
-    return x.select("doc_id", F.round((F.col("novelty") - F.avg("novelty").over(w)) / F.nullif(F.stddev_samp("novelty").over(w), F.lit(0.0)), 4).alias("z"))
+    x = R.running(x, "lang", "doc_id", {"mean": ("avg", "novelty"), "std": ("std", "novelty")})
+    return x.select("doc_id", F.round((F.col("novelty") - F.col("mean")) / F.nullif("std", F.lit(0.0)), 4).alias("z"))
 
 
 @register("txt_novelty_jaccard", f"WITH t AS (SELECT lang, doc_id, nullif(list_distinct(CASE WHEN doc_id % 9 = 0 THEN [] ELSE {W_} END), []) AS w FROM documents), p AS (SELECT *, last_value(w IGNORE NULLS) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pw FROM t) SELECT doc_id, round(1 - len(list_intersect(w, pw))::DOUBLE / nullif(len(list_distinct(list_concat(w, pw))), 0), 6) AS novelty FROM p WHERE w IS NOT NULL AND pw IS NOT NULL")
@@ -164,9 +164,9 @@ def _(spark, d):
 @register("txt_chair_corpus", "SELECT source, doc_id, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char, length(text) AS n, sha256(text) AS text_sha256 FROM documents")
 def _(spark, d):
     # a group's corpus as rows in order, with each text's place in the whole: no task holds a whole corpus
-    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    x = texts(spark, d, "documents").select("source", "doc_id", F.length("text").alias("n"), F.sha2("text", 256).alias("text_sha256"))
-    return x.withColumn("start_char", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)))
+    x = texts(spark, d, "documents").select("source", "doc_id", F.length("text").alias("n"), F.sha2("text", 256).alias("text_sha256")).withColumn("taken", F.col("n") + 1)
+    x = R.running(x, "source", "doc_id", {"before": ("sum", "taken")}, current=False)
+    return x.select("source", "doc_id", "n", "text_sha256", F.coalesce("before", F.lit(0)).alias("start_char"))
 
 
 _LANGW = f"w AS (SELECT lang, unnest({_CONTENT}) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY 1, 2)"

@@ -9,6 +9,7 @@ from eventide.functions import volatility as V
 from eventide.functions.scalar import r6
 from eventide.operators import regime as G
 from eventide.operators import vrp as P
+from eventide.operators import ranges as R
 from eventide.operators import windows as W
 
 
@@ -132,7 +133,7 @@ def _(spark, d):
 
 @register("iv_proxy", sql("panel", "WITH x AS (SELECT tenor, m, CASE WHEN count(rv) OVER w >= 4 THEN round(avg(rv) OVER w, 6) END AS proxy FROM panel WINDOW w AS (PARTITION BY tenor ORDER BY m ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)), k AS (SELECT a.tenor, a.m, (count(*) FILTER (b.proxy < a.proxy) + (count(*) FILTER (b.proxy = a.proxy) + 1) / 2.0) / count(b.proxy) AS pct FROM x a JOIN x b ON a.tenor = b.tenor AND b.m <= a.m WHERE a.proxy IS NOT NULL GROUP BY 1, 2) SELECT x.tenor, x.m, x.proxy, round(lag(pct) OVER (PARTITION BY x.tenor ORDER BY x.m), 6) AS pct_lag FROM x LEFT JOIN k ON k.tenor = x.tenor AND k.m = x.m"), dates="m")
 def _(spark, d):
-    p = panel(spark, d).select("tenor", "m", r6(W.trailing("rv", "tenor", "m", 8, 4)[0]).alias("proxy"))
+    p = R.bounded(panel(spark, d), "tenor", "m", 8, lambda w: {"proxy": r6(W.trailing("rv", w, 8, 4)[0])}).select("tenor", "m", "proxy")
     x = W.expanding_rank(p, "proxy", "tenor", "m", "pct")
     return x.select("tenor", "m", "proxy", r6(F.lag("pct").over(by_m())).alias("pct_lag"))
 
@@ -270,12 +271,13 @@ def _(spark, d):
 @register("pnl_yield_panel", sql("series", "WITH w AS (SELECT d, max(px) FILTER (tenor = '1-URGENT') AS y2, max(px) FILTER (tenor = '3-MEDIUM') AS y10, max(px) FILTER (tenor = '5-LOW') AS y30 FROM series GROUP BY d) SELECT d, last_value(y2 IGNORE NULLS) OVER o AS y2, last_value(y10 IGNORE NULLS) OVER o AS y10, last_value(y30 IGNORE NULLS) OVER o AS y30 FROM w WINDOW o AS (ORDER BY d ROWS UNBOUNDED PRECEDING)"), dates="d")
 def _(spark, d):
     x = series(spark, d).groupBy("d").pivot("tenor", ["1-URGENT", "3-MEDIUM", "5-LOW"]).agg(F.first("px")).toDF("d", "y2", "y10", "y30")
-    x = x.withColumn("_all", F.lit(1))
-    return x.select("d", *[W.ffill(c, "_all", "d").alias(c) for c in ("y2", "y10", "y30")])
+    filled = R.running(x, [], "d", {f"{c}_on": ("last", c) for c in ("y2", "y10", "y30")})
+    return filled.select("d", *[F.col(f"{c}_on").alias(c) for c in ("y2", "y10", "y30")])
 
 
 @register("pnl_tenor", sql("panel", f"WITH o AS (SELECT *, row_number() OVER (PARTITION BY tenor ORDER BY m) AS rn FROM panel), e AS (SELECT tenor, m, rn, gap AS mean, 1.0::DOUBLE AS wt FROM o WHERE rn = 1 UNION ALL SELECT o.tenor, o.m, o.rn, CASE WHEN e.mean IS NULL THEN o.gap WHEN o.gap IS NULL THEN e.mean ELSE (e.wt * 0.5 * e.mean + 0.5 * o.gap) / (e.wt * 0.5 + 0.5) END, CASE WHEN e.mean IS NULL OR o.gap IS NOT NULL THEN 1.0 ELSE e.wt * 0.5 END FROM e JOIN o ON o.tenor = e.tenor AND o.rn = e.rn + 1) SELECT o.tenor, o.m, {_REG} AS regime, o.gap AS vrp, lag(o.gap) OVER w AS lag1, round(lag(e.mean) OVER w, 6) AS ewma3 FROM o JOIN e ON e.tenor = o.tenor AND e.rn = o.rn WINDOW w AS (PARTITION BY o.tenor ORDER BY o.m)".replace("month(m)", "month(o.m)")), dates="m")
 def _(spark, d):
     reg = F.when(F.month("m") % 3 == 0, "slack").when(F.month("m") % 3 == 1, "easing").otherwise("at_target")
-    x = panel(spark, d).withColumn("e", W.ewma("gap", "tenor", "m", 3))
-    return x.select("tenor", "m", reg.alias("regime"), F.col("gap").alias("vrp"), F.lag("gap").over(by_m()).alias("lag1"), r6(F.lag("e").over(by_m())).alias("ewma3"))
+    x = R.ewma(panel(spark, d), "gap", "tenor", "m", 3, "e")
+    x = R.bounded(x, "tenor", "m", 1, lambda w: {"lag1": F.lag("gap").over(w), "ewma3": r6(F.lag("e").over(w))})
+    return x.select("tenor", "m", reg.alias("regime"), F.col("gap").alias("vrp"), "lag1", "ewma3")

@@ -7,6 +7,7 @@ from eventide.adapters import bars, calendar, macro, panel, series, sql, table
 from eventide.catalog import register
 from eventide.functions import volatility as V
 from eventide.functions.scalar import r6
+from eventide.operators import ranges as R
 from eventide.operators import windows as W
 
 
@@ -20,23 +21,22 @@ def ps(body: str) -> str:
 
 @register("win_lag", ps("SELECT tenor, m, lag(gap) OVER (PARTITION BY tenor ORDER BY m) AS gap_lag1 FROM panel"), dates="m")
 def _(spark, d):
-    return panel(spark, d).select("tenor", "m", F.lag("gap").over(by_m()).alias("gap_lag1"))
+    return R.bounded(panel(spark, d), "tenor", "m", 1, lambda w: {"gap_lag1": F.lag("gap").over(w)}).select("tenor", "m", "gap_lag1")
 
 
 @register("win_diff", ps("SELECT tenor, m, round(iv - lag(iv) OVER (PARTITION BY tenor ORDER BY m), 6) AS d_iv FROM panel"), dates="m")
 def _(spark, d):
-    return panel(spark, d).select("tenor", "m", r6(F.col("iv") - F.lag("iv").over(by_m())).alias("d_iv"))
+    return R.bounded(panel(spark, d), "tenor", "m", 1, lambda w: {"d_iv": r6(F.col("iv") - F.lag("iv").over(w))}).select("tenor", "m", "d_iv")
 
 
 @register("win_pct_change12", ps("SELECT tenor, m, round(iv / lag(iv, 12) OVER (PARTITION BY tenor ORDER BY m) - 1, 6) AS yoy FROM panel"), dates="m")
 def _(spark, d):
-    return panel(spark, d).select("tenor", "m", r6(F.col("iv") / F.lag("iv", 12).over(by_m()) - 1).alias("yoy"))
+    return R.bounded(panel(spark, d), "tenor", "m", 12, lambda w: {"yoy": r6(F.col("iv") / F.lag("iv", 12).over(w) - 1)}).select("tenor", "m", "yoy")
 
 
 @register("win_log_return", sql("series", "SELECT tenor, d, round(ln(px / lag(px) OVER (PARTITION BY tenor ORDER BY d)), 6) AS r FROM series"), dates="d")
 def _(spark, d):
-    w = Window.partitionBy("tenor").orderBy("d")
-    return series(spark, d).select("tenor", "d", r6(V.log_return(F.col("px"), F.lag("px").over(w))).alias("r"))
+    return R.bounded(series(spark, d), "tenor", "d", 1, lambda w: {"r": r6(V.log_return(F.col("px"), F.lag("px").over(w)))}).select("tenor", "d", "r")
 
 
 _TR = "WINDOW w AS (PARTITION BY tenor ORDER BY m ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)"
@@ -44,34 +44,35 @@ _TR = "WINDOW w AS (PARTITION BY tenor ORDER BY m ROWS BETWEEN 4 PRECEDING AND 1
 
 @register("win_trailing_mean", ps(f"SELECT tenor, m, round(CASE WHEN count(gap) OVER w >= 2 THEN avg(gap) OVER w END, 6) AS mean4 FROM panel {_TR}"), dates="m")
 def _(spark, d):
-    return panel(spark, d).select("tenor", "m", r6(W.trailing("gap", "tenor", "m", 4)[0]).alias("mean4"))
+    return R.bounded(panel(spark, d), "tenor", "m", 4, lambda w: {"mean4": r6(W.trailing("gap", w, 4)[0])}).select("tenor", "m", "mean4")
 
 
 @register("win_trailing_std", ps(f"SELECT tenor, m, round(CASE WHEN count(gap) OVER w >= 2 THEN stddev_samp(gap) OVER w END, 6) AS std4 FROM panel {_TR}"), dates="m")
 def _(spark, d):
-    return panel(spark, d).select("tenor", "m", r6(W.trailing("gap", "tenor", "m", 4)[1]).alias("std4"))
+    return R.bounded(panel(spark, d), "tenor", "m", 4, lambda w: {"std4": r6(W.trailing("gap", w, 4)[1])}).select("tenor", "m", "std4")
 
 
 @register("win_zscore_trailing", ps(f"SELECT tenor, m, round(CASE WHEN count(gap) OVER w >= 2 THEN (gap - avg(gap) OVER w) / nullif(stddev_samp(gap) OVER w, 0) END, 5) AS z FROM panel {_TR}"), dates="m")
 def _(spark, d):
-    mean, std = W.trailing("gap", "tenor", "m", 4)
-    return panel(spark, d).select("tenor", "m", F.round((F.col("gap") - mean) / F.nullif(std, F.lit(0.0)), 5).alias("z"))
+    x = R.bounded(panel(spark, d), "tenor", "m", 4, lambda w: dict(zip(("mean", "std"), W.trailing("gap", w, 4))))
+    return x.select("tenor", "m", F.round((F.col("gap") - F.col("mean")) / F.nullif("std", F.lit(0.0)), 5).alias("z"))
 
 
 @register("win_rolling_mean", ps("SELECT tenor, m, round(avg(iv) OVER (PARTITION BY tenor ORDER BY m ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS roll4, round(CASE WHEN count(iv) OVER p >= 4 THEN avg(iv) OVER p END, 6) AS proxy8 FROM panel WINDOW p AS (PARTITION BY tenor ORDER BY m ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)"), dates="m")
 def _(spark, d):
-    return panel(spark, d).select("tenor", "m", r6(F.avg("iv").over(by_m().rowsBetween(-3, 0))).alias("roll4"), r6(W.trailing("iv", "tenor", "m", 8, 4)[0]).alias("proxy8"))
+    make = lambda w: {"roll4": r6(F.avg("iv").over(w.rowsBetween(-3, 0))), "proxy8": r6(W.trailing("iv", w, 8, 4)[0])}
+    return R.bounded(panel(spark, d), "tenor", "m", 8, make).select("tenor", "m", "roll4", "proxy8")
 
 
 @register("win_rolling_sum", ps("SELECT tenor, m, CAST(sign(sum(iv - 26) OVER (PARTITION BY tenor ORDER BY m ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) AS INTEGER) AS dir FROM panel"), dates="m")
 def _(spark, d):
-    return panel(spark, d).select("tenor", "m", F.signum(F.sum(F.col("iv") - 26).over(by_m().rowsBetween(-2, 0))).cast("int").alias("dir"))
+    return R.bounded(panel(spark, d), "tenor", "m", 2, lambda w: {"dir": F.signum(F.sum(F.col("iv") - 26).over(w.rowsBetween(-2, 0))).cast("int")}).select("tenor", "m", "dir")
 
 
 @register("win_expanding_mean_std", ps("SELECT tenor, m, round(avg(gap) OVER w, 6) AS mean, round(stddev_samp(gap) OVER w, 6) AS sd FROM panel WINDOW w AS (PARTITION BY tenor ORDER BY m ROWS UNBOUNDED PRECEDING)"), dates="m")
 def _(spark, d):
-    w = W.expanding("tenor", "m")
-    return panel(spark, d).select("tenor", "m", r6(F.avg("gap").over(w)).alias("mean"), r6(F.stddev_samp("gap").over(w)).alias("sd"))
+    x = R.running(panel(spark, d), "tenor", "m", {"mean": ("avg", "gap"), "sd": ("std", "gap")})
+    return x.select("tenor", "m", r6("mean").alias("mean"), r6("sd").alias("sd"))
 
 
 @register("win_expanding_median", ps("SELECT tenor, m, round(median(gap) OVER w, 6) AS med, CAST(gap > median(gap) OVER w AS DOUBLE) AS present FROM panel WINDOW w AS (PARTITION BY tenor ORDER BY m ROWS UNBOUNDED PRECEDING)"), dates="m")
@@ -106,8 +107,8 @@ def _(spark, d):
 
 @register("win_ewma", ps("WITH o AS (SELECT tenor, m, gap, row_number() OVER (PARTITION BY tenor ORDER BY m) AS rn FROM panel), e AS (SELECT tenor, m, rn, gap AS mean, 1.0::DOUBLE AS wt FROM o WHERE rn = 1 UNION ALL SELECT o.tenor, o.m, o.rn, CASE WHEN e.mean IS NULL THEN o.gap WHEN o.gap IS NULL THEN e.mean ELSE (e.wt * 0.5 * e.mean + 0.5 * o.gap) / (e.wt * 0.5 + 0.5) END, CASE WHEN e.mean IS NULL OR o.gap IS NOT NULL THEN 1.0 ELSE e.wt * 0.5 END FROM e JOIN o ON o.tenor = e.tenor AND o.rn = e.rn + 1) SELECT tenor, m, round(lag(mean) OVER (PARTITION BY tenor ORDER BY m), 6) AS ewma3 FROM e"), dates="m")
 def _(spark, d):
-    x = panel(spark, d).withColumn("e", W.ewma("gap", "tenor", "m", 3))
-    return x.select("tenor", "m", r6(F.lag("e").over(by_m())).alias("ewma3"))
+    x = R.ewma(panel(spark, d), "gap", "tenor", "m", 3, "e")
+    return R.bounded(x, "tenor", "m", 1, lambda w: {"ewma3": r6(F.lag("e").over(w))}).select("tenor", "m", "ewma3")
 
 
 def event_returns(spark, d, before, after):
