@@ -47,12 +47,12 @@ def ordinal(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("double")
 
 
-def parts_needed(df: DataFrame, by: list[str], part_rows: int | None) -> int:
-    """Parts of ``part_rows`` rows that the longest key needs; by default 1 without counting where the plan's estimate is small."""
+def parts_needed(df: DataFrame, by: list[str], part_rows: int | None, usual: int = PART_ROWS) -> int:
+    """Parts of ``part_rows`` rows that the longest key needs; by default ``usual`` rows, and 1 part without counting where the plan's estimate is small."""
     if part_rows is None and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_BYTES:
         return 1
     longest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    return int(max(1, min(MOST_PARTS, -(-longest // (part_rows or PART_ROWS)))))
+    return int(max(1, min(MOST_PARTS, -(-longest // (part_rows or usual)))))
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

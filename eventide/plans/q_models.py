@@ -7,6 +7,7 @@ from eventide.adapters import panel, sql, table
 from eventide.catalog import register
 from eventide.functions.scalar import r6
 from eventide.operators import models as M
+from eventide.operators import prefix_gram as PG
 from eventide.operators import ranges as R
 from eventide.operators import walkforward as WF
 from eventide.operators import windows as W
@@ -167,19 +168,24 @@ def _walk(spark, d, feats, fit, keep=None, test="m >= DATE '2000-01-01'", **kw):
 _N = "SELECT a.tenor, a.m AS fold, count(b.gap) AS n_train, round(CASE WHEN count(b.gap) >= {least} AND any_value(a.iv_lag1) IS NOT NULL AND any_value(a.rv_lag1) IS NOT NULL THEN avg(b.gap) END, 6) AS baseline FROM f a LEFT JOIN f b ON a.tenor = b.tenor AND b.m < a.m AND b.gap IS NOT NULL AND b.iv_lag1 IS NOT NULL AND b.rv_lag1 IS NOT NULL WHERE a.m >= DATE '{start}' GROUP BY 1, 2"
 
 
-def _frame(df):
-    return df.select("tenor", "fold", "n_train", r6("baseline").alias("baseline"))
+def _ridge(spark, d, feats, test="m >= DATE '2000-01-01'", min_train=15):
+    return PG.ridge_walk_forward(features(spark, d), ["tenor"], "m", feats, "gap", min_train=min_train, test=test)
+
+
+def _frame(spark, d, test, min_train):
+    folds = PG.fold_sums(features(spark, d), ["tenor"], "m", _FS, "gap", test)
+    return PG.frame(folds, ["tenor"], len(_FS), min_train).select("tenor", "fold", "n_train", r6("baseline").alias("baseline"))
 
 
 @register("wf_two_mode_frame", sql("panel", f"WITH f AS ({_FEAT}) " + _N.format(least=15, start="2000-01-01")), dates="fold")
 def _(spark, d):
-    return _frame(_walk(spark, d, _FS, WF.ridge_cv_fit))
+    return _frame(spark, d, "m >= DATE '2000-01-01'", 15)
 
 
 @register("wf_two_mode")
 def _(spark, d):
-    a = _walk(spark, d, _FS, WF.ridge_cv_fit).withColumnRenamed("pred", "pred_nlp")
-    b = _walk(spark, d, _FX, WF.ridge_cv_fit).select("tenor", "fold", F.col("pred").alias("pred_regime"))
+    a = _ridge(spark, d, _FS).withColumnRenamed("pred", "pred_nlp")
+    b = _ridge(spark, d, _FX).select("tenor", "fold", F.col("pred").alias("pred_regime"))
     return a.join(b, ["tenor", "fold"]).withColumns({"err_nlp": F.col("pred_nlp") - F.col("actual"), "err_regime": F.col("pred_regime") - F.col("actual")})
 
 
@@ -226,25 +232,25 @@ def _(spark, d):
 
 @register("wf_full_history", sql("panel", f"WITH f AS ({_FEAT}) " + _N.format(least=20, start="1995-01-01")), dates="fold")
 def _(spark, d):
-    return _frame(_walk(spark, d, _FS, WF.ridge_cv_fit, test="true", min_train=20))
+    return _frame(spark, d, None, 20)
 
 
 @register("wf_iv_era")
 def _(spark, d):
-    x = _walk(spark, d, _FS, WF.ridge_cv_fit, test="m >= DATE '1999-01-01'", min_train=20)
+    x = _ridge(spark, d, _FS, test="m >= DATE '1999-01-01'", min_train=20)
     return x.join(panel(spark, d).select("tenor", F.col("m").alias("fold"), "iv", "rv"), ["tenor", "fold"]).withColumns({"iv_gap": F.col("pred") - F.col("iv"), "rv_gap": F.col("pred") - F.col("rv")})
 
 
 @register("wf_forward_once")
 def _(spark, d):
-    a = _walk(spark, d, _FS, WF.ridge_cv_fit, test="m = DATE '2001-06-01'")
-    b = _walk(spark, d, _FX, WF.ridge_cv_fit, test="m = DATE '2001-06-01'")
+    a = _ridge(spark, d, _FS, test="m = DATE '2001-06-01'")
+    b = _ridge(spark, d, _FX, test="m = DATE '2001-06-01'")
     return a.withColumn("mode", F.lit("nlp")).unionByName(b.withColumn("mode", F.lit("regime")))
 
 
 @register("wf_forward_locked")
 def _(spark, d):
-    x = _walk(spark, d, _FS, WF.ridge_cv_fit, test="m = DATE '2001-06-01'")
+    x = _ridge(spark, d, _FS, test="m = DATE '2001-06-01'")
     return x.withColumn("pct_error", (F.col("pred") - F.col("actual")) / F.nullif(F.abs("actual"), F.lit(0.0)) * 100)
 
 
@@ -252,7 +258,7 @@ def _(spark, d):
 def _(spark, d):
     out = None
     for name, feats in (("all", _FX), ("no_regime", _FS), ("no_level", ["r1", "r2", "iv_odd"]), ("no_rv", ["iv_lag1", "r1", "r2"])):
-        x = _walk(spark, d, feats, WF.ridge_cv_fit, test="m >= DATE '2001-01-01'").where("pred IS NOT NULL AND actual IS NOT NULL")
+        x = _ridge(spark, d, feats, test="m >= DATE '2001-01-01'").where("pred IS NOT NULL AND actual IS NOT NULL")
         s = x.agg(F.lit(name).alias("config"), F.count("*").alias("n"), F.avg(((F.col("pred") > F.col("baseline")) == (F.col("actual") > F.col("baseline"))).cast("double")).alias("shr"))
         out = s if out is None else out.unionByName(s)
     return out
