@@ -20,7 +20,8 @@ are the same.
 shingles and a similarity of 0.8, where fingerprints of 64 bits differ in about 10. No covering reaches that far,
 so texts meet by a second signature that near copies hardly change: 256 bits over distinct words, in eight sections.
 Texts of which some section agrees up to one bit are certain to meet at an anchor, others may; where two meet, that is
-where an anchor in reach of one is the home of the other, they are compared by 128 bits over distinct shingles.
+where an anchor in reach of one is the home of the other, they are compared by 128 bits over distinct shingles. Such
+candidates are then verified on their sets of shingles, in ``near_verify``, so nothing goes that is not alike enough.
 
 Anchors with more than ``hot`` members are not compared at once. They come out of the first pass as they are; where the
 threshold allows it, their members are dealt again by parts of the fingerprint, of which one at least is equal, and
@@ -49,6 +50,7 @@ from pyspark.sql import functions as F
 
 from eventide.llm.base import buffered, discard, keep_owners, materialise
 from eventide.llm.components import connected_components
+from eventide.llm.near_verify import verified_links
 
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
@@ -419,7 +421,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 # ---- near copies of texts --------------------------------------------------------------------------
 
 _WORDS, _CHECKS = ["w0", "w1", "w2", "w3"], ["c0", "c1"]
-_SIGNED = pa.schema([("id", pa.int64()), ("digest", pa.binary()), *[(c, pa.int64()) for c in _WORDS + _CHECKS]])
+_SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("shape", pa.binary()), *[(c, pa.int64()) for c in _WORDS + _CHECKS]])
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -434,13 +437,33 @@ def _majority(items: set[bytes], seeds: tuple[int, ...]) -> np.ndarray:
     return np.concatenate(out).view("<i8")
 
 
-def signature(text: str | None, shingle: int = 5) -> list[int]:
-    """Four words over the distinct words of a text, two over its distinct shingles; case and punctuation do not count."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().translate(None, _PUNCTUATION).split()
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's distinct shingles; case and punctuation do not count."""
+    import xxhash
+
+    return np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, _shingles(_tokens(text), shingle)), dtype=np.uint64)).view(np.int64)
+
+
+def _tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().translate(None, _PUNCTUATION).split()
+
+
+def _shingles(tokens: list[bytes], shingle: int) -> set[bytes]:
+    if not tokens:
+        return set()
+    return set(map(b" ".join, zip(*(tokens[i:] for i in range(shingle))))) or {b" ".join(tokens)}
+
+
+def signature(text: str | None, shingle: int = 5) -> tuple[list[int], bytes]:
+    """Four words over the distinct words of a text, two over its distinct shingles, and a digest of the set of shingles."""
+    import xxhash
+
+    tokens = _tokens(text)
     if not tokens:
-        return [0] * 6
-    shingles = set(map(b" ".join, zip(*(tokens[i:] for i in range(shingle))))) or {b" ".join(tokens)}
-    return [*_majority(set(tokens), (1, 2)).tolist(), *_majority(shingles, (3,)).tolist()]
+        return [0] * 6, b""
+    shingles = _shingles(tokens, shingle)
+    shape = xxhash.xxh3_128_digest(b"\n".join(sorted(shingles)))
+    return [*_majority(set(tokens), (1, 2)).tolist(), *_majority(shingles, (3,)).tolist()], shape
 
 
 def bits_apart(similarity: float, bits: int = 128) -> int:
@@ -455,24 +478,49 @@ def _signature_batches(shingle: int):
             for b in batches:
                 texts, digests = b.column("text"), b.column("digest").to_pylist()
                 for k, ident in enumerate(b.column("id").to_pylist()):
-                    yield ident, digests[k], *signature(texts[k].as_py(), shingle)
+                    words, shape = signature(texts[k].as_py(), shingle)
+                    yield ident, digests[k], shape, *words
 
         yield from buffered(rows(), _SIGNED)
 
     return run
 
 
+def _set_batches(shingle: int):
+    def run(batches):
+        def rows():
+            for b in batches:
+                texts = b.column("text")
+                for k, node in enumerate(b.column("node").to_pylist()):
+                    yield node, shingle_hashes(texts[k].as_py(), shingle)
+
+        yield from buffered(rows(), _SETS, size=512)
+
+    return run
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, hot: int = 50_000) -> DataFrame:
-    """One row of each group of near copies, columns as they came; groups are the components of ``bits_apart(similarity)``."""
+    """One row of each group of near copies, columns as they came.
+
+    Groups are the components of links between texts whose sets of shingles are at least ``similarity`` alike (Jaccard), which is verified; candidates
+    are texts that meet at an anchor and differ in at most ``bits_apart(similarity)`` bits.
+    """
     ident, digest = df[id_col].cast("long"), F.unhex(F.sha2(F.coalesce(df[text_col].cast("string"), F.lit("")), 256))
     source = df.select(ident.alias("id"), df[text_col].cast("string").alias("text"), digest.alias("digest"))
-    signed = materialise(source.mapInArrow(_signature_batches(shingle), "id long, digest binary, " + ", ".join(f"{c} long" for c in _WORDS + _CHECKS)), "prints")
-    texts = signed.groupBy("id", "digest", *_WORDS, *_CHECKS).agg(F.count(F.lit(1)).alias("rows"))
+    signed = materialise(source.mapInArrow(_signature_batches(shingle), "id long, digest binary, shape binary, " + ", ".join(f"{c} long" for c in _WORDS + _CHECKS)), "prints")
+    texts = signed.groupBy("id", "digest", "shape", *_WORDS, *_CHECKS).agg(F.count(F.lit(1)).alias("rows"))
     owner = F.struct(F.col("id").isNull().alias("none"), "id", "digest", "rows")
-    nodes = texts.groupBy(*_WORDS, *_CHECKS).agg(F.min(owner).alias("owner")).withColumn("node", F.monotonically_increasing_id())
-    nodes = materialise(nodes, "nodes")
-    links = near_links(nodes, _WORDS, _CHECKS, bits_apart(similarity), excess=1, refine=False, hot=hot)
+    # texts with the same set of shingles are one node
+    nodes = texts.groupBy("shape", *_WORDS, *_CHECKS).agg(F.min(owner).alias("owner")).withColumn("node", F.monotonically_increasing_id())
+    nodes = materialise(nodes.drop("shape"), "nodes")
+    threshold = bits_apart(similarity)
+    met = connected_components(near_links(nodes, _WORDS, _CHECKS, threshold, excess=1, refine=False, hot=hot), "u", "v").toDF("node", "component")
+    members = materialise(met.join(nodes.select("node", *_CHECKS, "owner"), "node"), "members")
+    wanted = members.select("node", F.col("owner.id").alias("w_id"), F.col("owner.digest").alias("w_digest"))
+    of_members = source.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest"))).select("node", "text")
+    sets = materialise(of_members.mapInArrow(_set_batches(shingle), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    links = materialise(verified_links(members.drop("owner"), sets, similarity, threshold), "links")
     owners = _named(nodes.select("node", "owner"), links).groupBy("component").agg(F.min("owner").alias("owner"))
     owners = materialise(owners.select("owner.id", "owner.digest", "owner.rows"), "owners")
-    discard(signed, nodes)
+    discard(signed, nodes, members, sets, links)
     return keep_owners(df, [ident, digest], owners)

@@ -111,8 +111,9 @@ def test_near_dedup_edges(spark):
 
 
 def slow_near(rows):
-    """Kept rows of (id, text, other) by the definition: links of signatures, components, smallest row of each."""
-    signed = [[w & (2**64 - 1) for w in simhash.signature(t)] for _, t, _ in rows]
+    """Kept rows of (id, text, other) by the definition: candidates by signatures, links by sets of shingles, components, smallest row of each."""
+    signed = [[w & (2**64 - 1) for w in simhash.signature(t)[0]] for _, t, _ in rows]
+    sets = [set(simhash.shingle_hashes(t).tolist()) for _, t, _ in rows]
     homes, reach = [], []
     for k in range(8):
         section = np.array([s[k // 2] >> 32 * (k % 2) & 0xFFFFFFFF for s in signed], dtype=np.uint64)
@@ -129,7 +130,8 @@ def slow_near(rows):
     for i in range(len(rows)):
         for j in range(i):
             apart = sum((signed[i][k] ^ signed[j][k]).bit_count() for k in (4, 5))
-            if apart <= simhash.bits_apart(0.8) and any((i, h[j]) in r or (j, h[i]) in r for h, r in zip(homes, reach)):
+            alike = sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            if alike and apart <= simhash.bits_apart(0.8) and any((i, h[j]) in r or (j, h[i]) in r for h, r in zip(homes, reach)):
                 group[find(i)] = find(j)
     best = {}
     rank = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest(), r[2])
@@ -174,7 +176,7 @@ def test_signatures_find_near_copies_and_leave_other_texts_apart():
         a, b = (set(zip(*(x[i:] for i in range(5)))) for x in (words, edited))
         if len(a & b) / len(a | b) < 0.8:
             continue
-        s, t = simhash.signature(" ".join(words)), simhash.signature(" ".join(edited).upper() + ".")
+        s, t = simhash.signature(" ".join(words))[0], simhash.signature(" ".join(edited).upper() + ".")[0]
         near += 1
         caught += linked(s, t)
         originals.append(s)
@@ -240,3 +242,51 @@ def test_line_dedup_matches_brute_force(spark):
     assert got[5].removed_chunks > 0 and got[2].removed_chunks == 0
     assert line_dedup.dedup_lines(df.where("false")).count() == 0
     assert line_dedup.dedup_lines(spark.createDataFrame([(None, "a"), (None, "a")], "doc_id long, text string")).count() == 2
+
+
+def test_verified_links_are_alike_and_connect_what_is_alike(spark, monkeypatch):
+    """Groups with several originals, copies of copies and a crowd: every link holds, and no alike pair of near fingerprints stays apart."""
+    from eventide.llm import near_verify
+
+    monkeypatch.setattr(near_verify, "TILE", 8)
+    rng = random.Random(2)
+    rows = []
+    for group in range(4):
+        for _ in range(3):
+            base = [rng.randrange(10**9) for _ in range(100)] if rng.random() < 0.5 or not rows else list(rows[-1][2])
+            for copy in range(rng.randrange(1, 25)):
+                s = list(base)
+                for _ in range(rng.randrange(0, 24)):
+                    s[rng.randrange(100)] = rng.randrange(10**9)
+                if copy % 7 == 6:
+                    base = s
+                rows.append((len(rows), group, s, rng.getrandbits(3), rng.getrandbits(3)))
+    members = spark.createDataFrame([(n, g, c0, c1) for n, g, _, c0, c1 in rows], "node long, component long, c0 long, c1 long").repartition(3)
+    sets = spark.createDataFrame([(n, sorted(set(s))) for n, _, s, _, _ in rows], "node long, shingles array<long>")
+    for threshold in (128, 3):
+        got = {tuple(sorted((r.u, r.v))) for r in near_verify.verified_links(members, sets, 0.8, threshold).collect()}
+        of = [set(s) for _, _, s, _, _ in rows]
+        like = lambda a, b: len(of[a] & of[b]) / len(of[a] | of[b])
+        assert all(rows[a][1] == rows[b][1] and like(a, b) >= 0.8 for a, b in got)
+        parent = list(range(len(rows)))
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in got:
+            parent[find(a)] = find(b)
+        near = lambda a, b: sum((rows[a][k] ^ rows[b][k]).bit_count() for k in (3, 4)) <= threshold
+        pairs = [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][1] == rows[b][1] and near(a, b) and like(a, b) >= 0.8]
+        assert len(pairs) > 30 and all(find(a) == find(b) for a, b in pairs)
+
+
+def test_majority_of_bits(spark):
+    from eventide.llm import near_verify
+
+    rng = random.Random(8)
+    values = [rng.getrandbits(64) - (1 << 63) for _ in range(31)]
+    got = spark.createDataFrame([(v,) for v in values], "c long").agg(near_verify._majority("c").alias("m")).first().m
+    want = sum(1 << i for i in range(64) if 2 * sum(v >> i & 1 for v in values) > len(values))
+    assert got & (2**64 - 1) == want
