@@ -264,15 +264,15 @@ def _link(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = above
 
 
-def _stars(node: np.ndarray, bits: list[np.ndarray], home: np.ndarray, threshold: int, tile: int = 256, pivots: int = 32) -> Iterator[tuple[int, int]]:
-    """Star rows (member, root) that connect every home with all members within ``threshold`` bits of it.
+def _stars(node: np.ndarray, bits: list[np.ndarray], home: np.ndarray, threshold: int, tile: int = 256, pivots: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Star rows, members and their roots, that connect every home with all members within ``threshold`` bits of it.
 
     Tiles are of bounded size. In a crowd a few homes are pivots first: whoever is near one joins its group, and
     members of one group need no further comparison with each other.
     """
     homes = np.nonzero(home)[0]
     if len(node) < 2 or not len(homes):
-        return
+        return node[:0], node[:0]
     parent = np.arange(len(node))
     words = [c.view(np.uint64) for c in bits]
 
@@ -299,59 +299,69 @@ def _stars(node: np.ndarray, bits: list[np.ndarray], home: np.ndarray, threshold
     for label in crowds:
         compare(homes[group == label], everyone[parent != parent[label]])
     compare(homes[~np.isin(group, crowds)], everyone)
-    for i in np.nonzero(parent != everyone)[0]:
-        yield int(node[i]), int(node[parent[i]])
+    moved = np.nonzero(parent != everyone)[0]
+    return node[moved], node[parent[moved]]
 
 
 def _compare(keys: int, checks: int, threshold: int, hot: int | None):
     """Members arrive sorted by key. Keys of at most ``hot`` members give stars (u, v); members of others pass through with u null."""
 
-    def run(batches):
-        def links(parts):
-            columns = [np.concatenate(c) for c in zip(*parts)]
-            return [(*s, None, None, *[None] * checks, None) for s in _stars(columns[0], columns[1:-1], columns[-1], threshold)]
+    schema = _found(checks)
 
-        def through(key, parts):
-            for part in parts:
-                for row in zip(*(c.tolist() for c in part)):
-                    yield None, None, key[0], *row
+    def batch(n: int, given: dict[str, pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
-        def rows():
-            last, parts, held = None, [], 0
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                ks = [b.column(i).to_numpy() for i in range(keys)]
-                data = [b.column(keys + i).to_numpy(zero_copy_only=False) for i in range(checks + 2)]
-                cut = np.ones(b.num_rows, dtype=bool)
-                cut[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in ks])
-                starts = np.nonzero(cut)[0]
-                for a, z in zip(starts, np.append(starts[1:], b.num_rows)):
-                    key = tuple(k[a].item() for k in ks)
-                    if key != last:
-                        if parts:
-                            yield from links(parts)
-                        last, parts, held = key, [], 0
-                    part = [c[a:z] for c in data]
-                    held += int(z - a)
-                    if hot is not None and held > hot:
-                        yield from through(key, [*parts, part])
-                        parts = []
-                    else:
-                        parts.append(part)
-            if parts:
-                yield from links(parts)
-
-        yield from buffered(rows(), _found(checks))
+    def links(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        member, root = _stars(columns[0], columns[1:-1], columns[-1], threshold)
+        for at in range(0, len(member), _EMIT):
+            some = slice(at, at + _EMIT)
+            yield batch(len(member[some]), {"u": pa.array(member[some]), "v": pa.array(root[some])})
+
+    def through(anchor: int, part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Members of a crowd, as they came, in slices of columns."""
+        names = ["node", *[f"c{i}" for i in range(checks)], "home"]
+        for at in range(0, len(part[0]), _EMIT):
+            some = [pa.array(c[at : at + _EMIT]) for c in part]
+            yield batch(len(some[0]), dict(zip(names, some)) | {"anchor": pa.array(np.full(len(some[0]), anchor, dtype=np.int64))})
+
+    def run(batches):
+        last, parts, held = None, [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ks = [b.column(i).to_numpy() for i in range(keys)]
+            data = [b.column(keys + i).to_numpy(zero_copy_only=False) for i in range(checks + 2)]
+            cut = np.ones(b.num_rows, dtype=bool)
+            cut[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in ks])
+            starts = np.nonzero(cut)[0]
+            for a, z in zip(starts, np.append(starts[1:], b.num_rows)):
+                key = tuple(k[a].item() for k in ks)
+                if key != last:
+                    if parts:
+                        yield from links(parts)
+                    last, parts, held = key, [], 0
+                parts.append([c[a:z].copy() for c in data])  # a copy, or a few rows would keep their whole batch
+                held += int(z - a)
+                if hot is not None and held > hot:
+                    for part in parts:
+                        yield from through(key[0], part)
+                    parts = []
+        if parts:
+            yield from links(parts)
 
     return run
 
 
+#: Rows of a batch that goes back to Spark.
+_EMIT = 4096
+
+
 def _found(checks: int) -> pa.Schema:
     return pa.schema([("u", pa.int64()), ("v", pa.int64()), ("anchor", pa.int64()), ("node", pa.int64()), *[(f"c{i}", pa.int64()) for i in range(checks)], ("home", pa.bool_())])
 
 
-def near_links(points: DataFrame, words: list[str], checks: list[str], threshold: int, sections: int = 2, excess: int | None = None, refine: bool = True, hot: int = 50_000, per_task: int = 8192) -> DataFrame:
+def near_links(points: DataFrame, words: list[str], checks: list[str], threshold: int, sections: int = 2, excess: int | None = None, refine: bool = True, hot: int = 16_384, per_task: int = 8192) -> DataFrame:
     """(u, v): star rows over ``node`` of ``points``.
 
     They connect every two nodes whose ``checks`` differ in at most ``threshold`` bits and of whose ``words`` some section
@@ -407,7 +417,7 @@ def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(member, F.col("node") == F.col("m_node"), "left").withColumn("component", F.coalesce("m_component", "node")).drop("m_node", "m_component")
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = 3, sections: int = 2, seed: int = 42, hot: int = 50_000) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = 3, sections: int = 2, seed: int = 42, hot: int = 16_384) -> DataFrame:
     """One row per input row: doc_id, fingerprint, component_id."""
     prints = materialise(fingerprints(df, id_col, text_col, words, seed), "prints")
     nodes = materialise(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least_id")), "nodes")
@@ -467,9 +477,9 @@ def signature(text: str | None, shingle: int = 5) -> tuple[list[int], bytes]:
 
 
 def bits_apart(similarity: float, bits: int = 128) -> int:
-    """Bits by which fingerprints of two shingle sets of this Jaccard similarity differ: the expected number and one standard deviation."""
+    """Bits by which fingerprints of two shingle sets of this Jaccard similarity differ at most, but for one pair in forty: the expected number and two standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+    return round(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
 
 
 def _signature_batches(shingle: int):
@@ -499,7 +509,7 @@ def _set_batches(shingle: int):
     return run
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, hot: int = 50_000) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, hot: int = 16_384) -> DataFrame:
     """One row of each group of near copies, columns as they came.
 
     Groups are the components of links between texts whose sets of shingles are at least ``similarity`` alike (Jaccard), which is verified; candidates
