@@ -5,12 +5,12 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from eventide.adapters import panel, sql, table
+from eventide.adapters import calendar, panel, series, sql, table
 from eventide.catalog import register
 from eventide.functions import options as O
 from eventide.functions.scalar import r6
-from eventide.operators import simulate as S
-from eventide.operators.steepener import SteepenerConfig, run_steepener
+from eventide.operators import sizing as Z
+from eventide.operators import windows as W
 
 # ---- SQL fragments -----------------------------------------------------------------------------------
 
@@ -41,7 +41,6 @@ def quotes(spark, d):
 
 
 
-
 @register("opt_norm_cdf", f"SELECT k, round({cdf('z')}, 6) AS cdf FROM (SELECT p_partkey AS k, (p_partkey % 81 - 40) / 10.0 AS z FROM part)")
 def _(spark, d):
     z = (F.col("p_partkey") % 81 - 40) / 10.0
@@ -237,210 +236,76 @@ def _(spark, d):
     return a.select(rows).select("step", "strategy", F.round("v", 5).alias("mean_pnl"), F.round(F.col("v") - F.col("base"), 5).alias("delta"))
 
 
-# ---- simulation ---------------------------------------------------------------------------------------
-def znorm(seed: int, parts: str) -> str:
-    h = f"md5('{seed}:' || {parts})"
-    u = lambda at: f"((CAST('0x' || substr({h}, {at}, 8) AS BIGINT) + 0.5) / 4294967296.0)"
-    return f"(sqrt(-2 * ln({u(1)})) * cos(2 * pi() * {u(9)}))"
+# ---- payoffs, stops and sizes over observed paths ------------------------------------------------------
+# Two keys of the daily series are the legs; paths are the rows that follow each event of the calendar.
+
+_FRONT, _BACK, _DAYS = "1-URGENT", "5-LOW", 15
+_JUMP = f"r AS (SELECT tenor, d, abs(px - lag(px) OVER (PARTITION BY tenor ORDER BY d)) AS jump FROM series), m AS (SELECT tenor, avg(jump) AS fair FROM r GROUP BY 1), w AS (SELECT d, max(jump - fair) FILTER (r.tenor = '{_FRONT}') AS front, max(fair - jump) FILTER (r.tenor = '{_BACK}') AS back FROM r JOIN m ON m.tenor = r.tenor WHERE jump IS NOT NULL GROUP BY 1), j AS (SELECT * FROM w WHERE front IS NOT NULL AND back IS NOT NULL)"
 
 
-N_EVENT, N_VOL, N_HEDGE = 15_000, 2_000, 2_000
-_EC = S.EventConfig()
-_JUMP = f"z AS (SELECT p, {znorm(42, chr(39).join(['p || ', ':0', '']))} AS z1, {znorm(42, chr(39).join(['p || ', ':1', '']))} AS e FROM range({N_EVENT}) r(p)), j AS (SELECT p, abs(z1 * {_EC.sd_front} * {_EC.dv_front} / 10000) * 0.01 * {_EC.n_front} - {_EC.premium_front} - {_EC.cost_front} AS front, {_EC.premium_back} - abs(({_EC.rho} * z1 + {math.sqrt(1 - _EC.rho**2)} * e) * {_EC.sd_back} * {_EC.dv_back} / 10000) * 0.01 * {_EC.n_back} - {_EC.cost_back} AS back FROM z)"
+def payoffs(spark, d):
+    return Z.straddle_payoffs(Z.moves(series(spark, d), "tenor", "d", "px"), "tenor", "d", _FRONT, _BACK)
 
 
-@register("sim_event_mc", f"WITH {_JUMP}, u AS (SELECT 'front' AS leg, front AS x FROM j UNION ALL SELECT 'back', back FROM j UNION ALL SELECT 'net', front + back FROM j), q AS (SELECT leg, quantile_cont(x, 0.01) AS v FROM u GROUP BY 1) SELECT u.leg, round(avg(x), 2) AS mean, round(avg(CAST(x > 0 AS INTEGER)), 5) AS p_profit, round(quantile_cont(x, 0.05), 2) AS p5, round(quantile_cont(x, 0.95), 2) AS p95, round(any_value(v), 2) AS var99, round(avg(x) FILTER (x <= v), 2) AS es99 FROM u JOIN q ON q.leg = u.leg GROUP BY 1")
+@register("sim_event_mc", sql("series", f"WITH {_JUMP}, u AS (SELECT 'front' AS leg, front AS x FROM j UNION ALL SELECT 'back', back FROM j UNION ALL SELECT 'net', front + back FROM j), q AS (SELECT leg, quantile_cont(x, 0.01) AS v FROM u GROUP BY 1) SELECT u.leg, round(avg(x), 5) + 0 AS mean, round(avg(CAST(x > 0 AS INTEGER)), 5) AS p_profit, round(quantile_cont(x, 0.05), 5) AS p5, round(quantile_cont(x, 0.95), 5) AS p95, round(any_value(v), 5) AS var99, round(avg(x) FILTER (x <= v), 5) AS es99 FROM u JOIN q ON q.leg = u.leg GROUP BY 1"))
 def _(spark, d):
-    u = S.event_jumps(spark, _EC, N_EVENT, 42).unpivot([], ["front", "back", "net"], "leg", "x")
+    """Distribution of each leg's gain over all observed periods."""
+    u = payoffs(spark, d).unpivot([], ["front", "back", "net"], "leg", "x")
     q = u.groupBy("leg").agg(F.percentile("x", F.lit(0.01)).alias("v"))
-    r = lambda c, n: F.round(c, 2).alias(n)
-    return u.join(q, "leg").groupBy("leg").agg(r(F.avg("x"), "mean"), F.round(F.avg((F.col("x") > 0).cast("int")), 5).alias("p_profit"), r(F.percentile("x", F.lit(0.05)), "p5"), r(F.percentile("x", F.lit(0.95)), "p95"), r(F.first("v"), "var99"), r(F.avg(F.when(F.col("x") <= F.col("v"), F.col("x"))), "es99"))
+    r = lambda c, n: F.round(c, 5).alias(n)
+    return u.join(q, "leg").groupBy("leg").agg(r(F.avg("x"), "mean"), r(F.avg((F.col("x") > 0).cast("int")), "p_profit"), r(F.percentile("x", F.lit(0.05)), "p5"), r(F.percentile("x", F.lit(0.95)), "p95"), r(F.first("v"), "var99"), r(F.avg(F.when(F.col("x") <= F.col("v"), F.col("x"))), "es99"))
 
 
-@register("tkt_sweep", f"WITH {_JUMP}, s AS (SELECT alpha, front * alpha + back * (1 - alpha) AS x FROM j, (VALUES (0.2::DOUBLE), (0.4), (0.6), (0.8)) a(alpha)), g AS (SELECT alpha, avg(x) AS mean, avg(x) / stddev_pop(x) AS sharpe FROM s GROUP BY 1) SELECT alpha, round(mean, 2) AS mean, round(sharpe, 5) AS sharpe, alpha = (SELECT arg_max(alpha, sharpe) FROM g) AS best FROM g")
+@register("tkt_sweep", sql("series", f"WITH {_JUMP}, s AS (SELECT i / 10.0 AS share, front * (i / 10.0) + back * (1 - i / 10.0) AS x FROM j, range(11) t(i)), g AS (SELECT share, avg(x) AS mean, avg(x) / stddev_pop(x) AS ratio FROM s GROUP BY 1) SELECT share::DOUBLE AS share, round(mean, 5) + 0 AS mean, round(ratio, 5) + 0 AS ratio FROM g"))
 def _(spark, d):
-    a = F.broadcast(spark.createDataFrame([(0.2,), (0.4,), (0.6,), (0.8,)], "alpha double"))
-    x = S.event_jumps(spark, _EC, N_EVENT, 42).crossJoin(a).withColumn("x", F.col("front") * F.col("alpha") + F.col("back") * (1 - F.col("alpha")))
-    g = x.groupBy("alpha").agg(F.avg("x").alias("mean"), (F.avg("x") / F.stddev_pop("x")).alias("sharpe"))
-    b = F.broadcast(g.agg(F.max_by("alpha", "sharpe").alias("b")))
-    return g.crossJoin(b).select("alpha", F.round("mean", 2).alias("mean"), F.round("sharpe", 5).alias("sharpe"), (F.col("alpha") == F.col("b")).alias("best"))
+    """Mixes of the two legs, share by share."""
+    x = payoffs(spark, d).withColumn("share", F.explode(F.expr("transform(sequence(0, 10), i -> i / 10.0D)")))
+    x = x.withColumn("x", F.col("front") * F.col("share") + F.col("back") * (1 - F.col("share")))
+    return x.groupBy("share").agg(F.round(F.avg("x"), 5).alias("mean"), F.round(F.avg("x") / F.stddev_pop("x"), 5).alias("ratio"))
 
 
-@register("siz_kelly_var", f"WITH {_JUMP}, s AS (SELECT avg(front + back) AS mu, stddev_samp(front + back) AS sd, quantile_cont(front + back, 0.01) AS q01 FROM j), k AS (SELECT *, least(greatest((mu / 60000) / pow(sd / 60000, 2), 0), 0.25) AS f, CASE WHEN -q01 > 0 THEN 50000 / -q01 ELSE 999 END AS v FROM s) SELECT round(f, 6) AS kelly_f, round(f * 1e6 / 60000, 5) AS kelly_lots, round(v, 6) AS var_lots, CAST(greatest(1, round_even(least(f * 1e6 / 60000, v) * 1.3, 0)) AS BIGINT) AS final_lots FROM k")
+@register("siz_kelly_var", sql("series", f"WITH {_JUMP}, s AS (SELECT avg(front + back) AS mu, stddev_samp(front + back) AS sd, quantile_cont(front + back, 0.01) AS q01 FROM j), k AS (SELECT *, least(greatest(mu / nullif(sd * sd, 0), 0), 0.2) AS f, CASE WHEN q01 < 0 THEN 900 / -q01 END AS v FROM s) SELECT round(f, 6) AS kelly_f, round(v, 6) AS var_lots, CAST(greatest(1, round_even(coalesce(v * f / 0.2, 1), 0)) AS BIGINT) AS final_lots FROM k"))
 def _(spark, d):
-    s = S.event_jumps(spark, _EC, N_EVENT, 42).agg(F.avg("net").alias("mu"), F.stddev_samp("net").alias("sd"), F.percentile("net", F.lit(0.01)).alias("q01"))
-    return S.kelly_var(s, 60_000.0, mult=1.3).select(r6("kelly_f").alias("kelly_f"), F.round("kelly_lots", 5).alias("kelly_lots"), r6("var_lots").alias("var_lots"), "final_lots")
-
+    s = payoffs(spark, d).agg(F.avg("net").alias("mu"), F.stddev_samp("net").alias("sd"), F.percentile("net", F.lit(0.01)).alias("q01"))
+    return Z.kelly_var(s, cap=0.2, budget=900.0).select(r6("kelly_f").alias("kelly_f"), r6("var_lots").alias("var_lots"), "final_lots")
 
-_VC = S.VolConfig()
 
+_PATH = f"n AS (SELECT meeting_date, tenor, px, row_number() OVER (PARTITION BY meeting_date, tenor ORDER BY d) AS day FROM cal JOIN series ON d > meeting_date), v AS (SELECT meeting_date, day, max(px) FILTER (tenor = '{_FRONT}') AS vf, max(px) FILTER (tenor = '{_BACK}') AS vb FROM n WHERE day <= {_DAYS} GROUP BY 1, 2 HAVING vf IS NOT NULL AND vb IS NOT NULL)"
 
-def _zz(k: int) -> str:
-    return znorm(7, f"p || ':' || d || ':{k}'")
 
+def paths(spark, d):
+    """meeting_date, day (from 1), vf, vb: both legs' prices on the rows after each event."""
+    x = W.event_rows(calendar(spark, d), series(spark, d), "tenor", "meeting_date", "d", 0, _DAYS).where("pos > 0").withColumnRenamed("pos", "day")
+    leg = lambda key: F.max(F.when(F.col("tenor") == key, F.col("px")))
+    return x.groupBy("meeting_date", "day").agg(leg(_FRONT).alias("vf"), leg(_BACK).alias("vb")).where("vf IS NOT NULL AND vb IS NOT NULL")
 
-_VOL = f"e AS (SELECT p, d, {_zz(0)} AS z0, {_zz(1)} AS z1, CAST(d = {_VC.event_day} AS DOUBLE) AS ev, {_zz(2)} AS j0, {_zz(3)} AS j1 FROM range({N_VOL}) a(p), range({_VC.days}) b(d)), x AS (SELECT p, d, {_VC.sd_front} * z0 + ev * {_VC.jump_front} * j0 AS df, {_VC.sd_back} * ({_VC.rho} * z0 + {math.sqrt(1 - _VC.rho**2)} * z1) + ev * {_VC.jump_back} * j1 AS db FROM e), v AS (SELECT p, d, greatest({_VC.front} + sum(df) OVER w, {_VC.floor}) AS vf, greatest({_VC.back} + sum(db) OVER w, {_VC.floor}) AS vb FROM x WINDOW w AS (PARTITION BY p ORDER BY d ROWS UNBOUNDED PRECEDING))"
 
-
-@register("sim_vol_paths", f"WITH {_VOL} SELECT d AS day, round(avg(vf), 5) AS mean_front, round(stddev_samp(vf), 5) AS sd_front, round(avg(vf - vb), 5) AS mean_spread, round(quantile_cont(vf - vb, 0.05), 5) AS p5_spread FROM v GROUP BY 1")
+@register("sim_vol_paths", sql("cal series", f"WITH {_PATH} SELECT day, count(*) AS n, round(avg(vf), 5) AS mean_front, round(stddev_samp(vf), 5) AS sd_front, round(avg(vf - vb), 5) AS mean_spread, round(quantile_cont(vf - vb, 0.05), 5) AS p5_spread FROM v GROUP BY 1"))
 def _(spark, d):
-    return S.vol_paths(spark, _VC, N_VOL, 7).groupBy("day").agg(F.round(F.avg("vol_front"), 5).alias("mean_front"), F.round(F.stddev_samp("vol_front"), 5).alias("sd_front"), F.round(F.avg("spread"), 5).alias("mean_spread"), F.round(F.percentile("spread", F.lit(0.05)), 5).alias("p5_spread"))
+    s = F.col("vf") - F.col("vb")
+    return paths(spark, d).groupBy("day").agg(F.count("*").alias("n"), F.round(F.avg("vf"), 5).alias("mean_front"), F.round(F.stddev_samp("vf"), 5).alias("sd_front"), F.round(F.avg(s), 5).alias("mean_spread"), F.round(F.percentile(s, F.lit(0.05)), 5).alias("p5_spread"))
 
 
-_SLIP = "s AS (SELECT *, vf - vb AS spread, 0.8 + 0.5 * (abs(vf - coalesce(lag(vf, 3) OVER w, first_value(vf) OVER w)) / 3 + abs(vb - coalesce(lag(vb, 3) OVER w, first_value(vb) OVER w)) / 3) AS slip FROM v WINDOW w AS (PARTITION BY p ORDER BY d))"
+_LEGSLIP = lambda c: f"0.25 + 0.6 * coalesce(abs({c} - coalesce(lag({c}, 2) OVER w, first_value({c}) OVER w)) / nullif(least(row_number() OVER w - 1, 2), 0), 0)"
+_SLIP = f"s AS (SELECT *, vf - vb AS spread, {_LEGSLIP('vf')} + {_LEGSLIP('vb')} AS slip FROM v WINDOW w AS (PARTITION BY meeting_date ORDER BY day))"
 
 
-@register("sim_slippage", f"WITH {_VOL}, {_SLIP} SELECT d AS day, round(avg(slip), 5) AS mean_slip, round(max(slip), 5) AS worst FROM s GROUP BY 1")
-def _(spark, d):
-    return S.slippage(S.vol_paths(spark, _VC, N_VOL, 7)).groupBy("day").agg(F.round(F.avg("slip"), 5).alias("mean_slip"), F.round(F.max("slip"), 5).alias("worst"))
+def slipped(spark, d):
+    x = Z.slippage(paths(spark, d), "meeting_date", "day", ["vf", "vb"], base=0.25, speed=0.6, lookback=2)
+    return x.withColumn("spread", F.col("vf") - F.col("vb"))
 
 
-@register("sim_stop_first", f"WITH {_VOL}, {_SLIP}, l(level) AS (VALUES (3.0::DOUBLE), (6.0), (9.0), (12.0)), t AS (SELECT level, p, min(d) FILTER (spread - 15 <= -level) AS d0 FROM s, l GROUP BY 1, 2), f AS (SELECT t.level, t.p, d0, CASE WHEN d0 IS NULL THEN e.spread - 15 ELSE h.spread - 15 - h.slip END AS pnl FROM t JOIN s e ON e.p = t.p AND e.d = {_VC.days - 1} LEFT JOIN s h ON h.p = t.p AND h.d = d0), g AS (SELECT level, round(avg(CAST(d0 IS NOT NULL AS INTEGER)), 6) AS stop_rate, round(avg(d0), 5) AS mean_day, round(avg(pnl), 5) AS mean_pnl, round(avg(pnl) FILTER (d0 IS NOT NULL), 5) AS mean_stopped FROM f GROUP BY 1) SELECT *, level = (SELECT arg_max(level, mean_pnl) FROM g) AS recommended FROM g")
+@register("sim_slippage", sql("cal series", f"WITH {_PATH}, {_SLIP} SELECT day, round(avg(slip), 5) AS mean_slip, round(max(slip), 5) AS worst FROM s GROUP BY 1"))
 def _(spark, d):
-    levels = spark.createDataFrame([(3.0,), (6.0,), (9.0,), (12.0,)], "level double")
-    s = S.first_stop(S.slippage(S.vol_paths(spark, _VC, N_VOL, 7)), _VC.front - _VC.back, levels, F.col("spread") - (_VC.front - _VC.back))
-    g = s.groupBy("level").agg(r6(F.avg(F.col("stopped").cast("int"))).alias("stop_rate"), F.round(F.avg("day"), 5).alias("mean_day"), F.round(F.avg("pnl"), 5).alias("mean_pnl"), F.round(F.avg(F.when(F.col("stopped"), F.col("pnl"))), 5).alias("mean_stopped"))
-    b = F.broadcast(g.agg(F.max_by("level", "mean_pnl").alias("b")))
-    return g.crossJoin(b).select("level", "stop_rate", "mean_day", "mean_pnl", "mean_stopped", (F.col("level") == F.col("b")).alias("recommended"))
-
-
-#: Example schedule: (label, move, implied change, policy, expiry); scenarios change one day each.
-SCHEDULE = [("quiet1", 0.03, -0.01, "band", False), ("quiet2", -0.05, 0.0, "band", False), ("quiet3", 0.04, 0.01, "band", False), ("quiet4", -0.02, 0.0, "band", False), ("auction5", 0.06, 0.0, "bracket", False), ("auction7", -0.08, 0.03, "bracket", False), ("event", 0.55, -0.25, "none", True)]
-SCENARIOS = {"base": {}, "double": {6: (1.10, -0.25)}, "rally": {6: (-1.00, -0.25)}, "squib": {6: (0.08, -0.25)}, "tail": {5: (-0.45, 0.03)}, "crush": {6: (0.55, -0.55)}, "shock": {2: (-0.70, 0.01)}}
-
-
-def schedules(spark):
-    rows = []
-    for name, changes in SCENARIOS.items():
-        days = [(*(changes.get(i, (m, s))), p, x) for i, (_, m, s, p, x) in enumerate(SCHEDULE)]
-        rows.append((name, days))
-    return spark.createDataFrame(rows, "scenario string, days array<struct<move: double, d_sig: double, policy: string, expiry: boolean>>")
-
-
-# Folds over days have a recursive twin in SQL: one row for each path and day, state columns beside it.
-
-
-def _hedged_sql(c: S.HedgeConfig, keys: str, days: str, band: str = "") -> str:
-    """WITH ctes up to ``out`` (keys, option, hedge, costs, total) from a SELECT of (keys, i, move, d_sig, policy, expiry)."""
-    strike, t0 = round(c.f0 * 4) / 4, c.days_to_expiry / 252
-    live = "t > 0 AND sig > 0"
-    d = f"(f - {strike}) / (sig * sqrt(t))"
-    priced = lambda src: f"SELECT *, CASE WHEN {live} THEN (f - {strike}) * {cdf('d')} + sig * sqrt(t) * {pdf('d')} ELSE greatest(f - {strike}, 0) END AS call, CASE WHEN {live} THEN {cdf('d')} WHEN f > {strike} THEN 1 ELSE 0 END AS delta FROM (SELECT *, CASE WHEN {live} THEN {d} ELSE 0 END AS d FROM ({src}))"
-    start = priced(f"SELECT CAST({c.f0} AS DOUBLE) AS f, CAST({t0} AS DOUBLE) AS t, CAST({c.sigma} AS DOUBLE) AS sig")
-    moved = f"SELECT s.* EXCLUDE (f, t, sig, i), days.i, days.move, days.policy, days.expiry, s.f + days.move AS f, greatest(s.t - CAST(1 AS DOUBLE) / 252, 0) AS t_real, CASE WHEN days.expiry THEN 0 ELSE greatest(s.t - CAST(1 AS DOUBLE) / 252, 0) END AS t, greatest(s.sig + days.d_sig, 1e-6) AS sig FROM s JOIN days USING ({keys}) WHERE days.i = s.i + 1"
-    net = f"SELECT *, (2 * delta - 1) * {c.contracts} + fut AS net FROM ({priced(moved)})"
-    trade = f"SELECT *, CASE WHEN policy = 'bracket' OR (policy = 'band' AND abs(net) > {band or c.band} * {c.contracts}) THEN -net ELSE 0 END AS trade FROM ({net})"
-    carried = keys
-    return f"""
-    days AS ({days}), start AS ({start}),
-    s AS (SELECT {carried}, -1 AS i, f, t, sig, -(2 * delta - 1) * {c.contracts} AS fut, CAST(0 AS DOUBLE) AS hedge, abs((2 * delta - 1) * {c.contracts}) * {c.cost_ticks * c.tick} AS costs, false AS done FROM start, (SELECT DISTINCT {keys} FROM days)
-      UNION ALL SELECT {carried}, i, f, t_real, sig, fut + trade, hedge + fut * move * {c.point}, costs + abs(trade) * {c.cost_ticks * c.tick}, expiry FROM ({trade})),
-    last AS (SELECT * REPLACE (CASE WHEN done THEN 0 ELSE t END AS t) FROM s WHERE i = (SELECT max(i) FROM days)),
-    out AS (SELECT {keys}, option, hedge, costs, option + hedge - costs AS total FROM (SELECT {keys}, hedge, costs, (2 * e.call - (e.f - {strike}) - (SELECT 2 * call - (f - {strike}) FROM start)) * {c.contracts} * {c.point} AS option FROM ({priced('SELECT * FROM last')}) e))"""
-
-
-def _schedule_sql() -> str:
-    rows = [f"('{name}', {i}, {m}::DOUBLE, {v}::DOUBLE, '{p}', {str(x).lower()})" for name, changes in SCENARIOS.items() for i, (_, m0, v0, p, x) in enumerate(SCHEDULE) for m, v in [changes.get(i, (m0, v0))]]
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) v(scenario, i, move, d_sig, policy, expiry)"
-
-
-def _drawn_sql(c: S.HedgeConfig, seed: int, name: str, values: tuple[float, ...], mult: str) -> str:
-    daily = c.sigma * math.sqrt(1 / 252)
-    sd = {"diffuse": f"{daily}", "auction": f"{c.auction_mult * daily}", "fomc": f"({mult} * {c.event_sd})"}
-    pick = lambda what: "CASE i " + " ".join(f"WHEN {i} THEN {what(k)}" for i, k in enumerate(c.calendar)) + " END"
-    z = znorm(seed, "path || ':' || i")
-    policy = {"diffuse": "'band'", "auction": "'bracket'", "fomc": "'none'"}
-    return f"SELECT {name}, path, i, {z} * {pick(lambda k: sd[k])} AS move, CAST({pick(lambda k: str(-c.crush if k == 'fomc' else 0.0))} AS DOUBLE) AS d_sig, {pick(lambda k: policy[k])} AS policy, false AS expiry FROM (SELECT unnest([{', '.join(f'{v}::DOUBLE' for v in values)}]) AS {name}) a, range({N_HEDGE}) p(path), range({len(c.calendar)}) d(i)"
+    return slipped(spark, d).groupBy("day").agg(F.round(F.avg("slip"), 5).alias("mean_slip"), F.round(F.max("slip"), 5).alias("worst"))
 
 
-def _summary_sql(by: str) -> str:
-    return f"q AS (SELECT {by}, quantile_cont(total, 0.05) AS p5 FROM out GROUP BY 1) SELECT {by}, round(avg(total), 2) AS mean, round(quantile_cont(total, 0.5), 2) AS median, round(any_value(p5), 2) AS p5, round(quantile_cont(total, 0.95), 2) AS p95, round(avg(CAST(total > 0 AS INTEGER)), 6) AS prob_profit, round(min(total), 2) AS worst, round(max(total), 2) AS best, round(avg(total) FILTER (total <= p5), 2) AS es5 FROM out JOIN q USING ({by}) GROUP BY 1"
-
-
-def _cents(df, by):
-    """Money to cents, shares to 1e-6."""
-    return df.select(by, *[F.round(c, 2).alias(c) for c in ("mean", "median", "p5", "p95")], F.round("prob_profit", 6).alias("prob_profit"), *[F.round(c, 2).alias(c) for c in ("worst", "best", "es5")])
-
-
-_C9 = S.HedgeConfig(days_to_expiry=9)
-
-
-@register("sim_path", f"WITH RECURSIVE {_hedged_sql(_C9, 'scenario', _schedule_sql())} SELECT round(option, 2) AS option, round(hedge, 2) AS hedge, round(costs, 2) AS costs, round(total, 2) AS total FROM out WHERE scenario = 'base'")
-def _(spark, d):
-    x = schedules(spark).where("scenario = 'base'").select(S.fold_hedged(F.col("days"), _C9).alias("r"))
-    return x.select(*[F.round(f"r.{c}", 2).alias(c) for c in ("option", "hedge", "costs", "total")])
-
-
-@register("sim_event_study", f"WITH RECURSIVE {_hedged_sql(_C9, 'scenario', _schedule_sql())} SELECT scenario, round(option, 2) AS option, round(hedge, 2) AS hedge, round(costs, 2) AS costs, round(total, 2) AS total, round(total - (SELECT total FROM out WHERE scenario = 'base'), 2) + 0 AS vs_base FROM out")
-def _(spark, d):
-    x = schedules(spark).select("scenario", S.fold_hedged(F.col("days"), _C9).alias("r")).select("scenario", "r.*")
-    base = F.broadcast(x.where("scenario = 'base'").select(F.col("total").alias("base")))  # one row
-    return x.crossJoin(base).select("scenario", *[F.round(c, 2).alias(c) for c in ("option", "hedge", "costs", "total")], F.round(F.col("total") - F.col("base"), 2).alias("vs_base"))
-
-
-_MULTS, _BANDS, _SIGNALS = (0.8, 1.0, 1.2, 1.5, 2.0), (0.01, 0.02, 0.05, 0.10, 0.15, 0.20, 0.30), (-1.0, 0.0, 1.0, 2.0)
-
-
-@register("sim_mc_hedged", f"WITH RECURSIVE {_hedged_sql(S.HedgeConfig(), 'signal_mult, path', _drawn_sql(S.HedgeConfig(), 11, 'signal_mult', _MULTS, 'signal_mult'))}, {_summary_sql('signal_mult')}")
-def _(spark, d):
-    sweep = spark.createDataFrame([(m,) for m in _MULTS], "signal_mult double")
-    return _cents(S.summary(S.run_hedged(spark, S.HedgeConfig(), N_HEDGE, 11, sweep, "signal_mult"), ["signal_mult"]), "signal_mult")
-
-
-def _steepener_sql(c, seed: int) -> str:
-    """WITH ctes up to ``out`` (z, path, total): both legs of every path, a row a day."""
-    kinds = ["quiet"] * c.quiet_days + ["auction"] * c.auction_days + ["event"] + ["quiet"] * c.exit_days
-    left = [max(0.0, c.t_entry - i / 252) for i in range(len(kinds) + 1)]
-    kind = "['" + "', '".join(kinds) + "'][i + 1]"
-    times = "[" + ", ".join(f"{t!r}::DOUBLE" for t in left) + "]"
-
-    def priced(src: str, leg, t: str, iv: float, name: str) -> str:
-        """Straddle and delta of f over t."""
-        w = f"({iv} * sqrt({t}))"
-        d1 = f"((ln(f / {leg.f0}) + {w} * {w} / 2) / {w})"
-        return (
-            f"SELECT *, CASE WHEN {t} > 0 THEN 2 * (f * {name}_a - {leg.f0} * {name}_b) - (f - {leg.f0}) ELSE abs(f - {leg.f0}) END AS {name}_price, CASE WHEN {t} > 0 THEN 2 * {name}_a - 1 ELSE sign(f - {leg.f0}) END AS {name}_delta "
-            f"FROM (SELECT *, {cdf(f'{name}_d')} AS {name}_a, {cdf(f'({name}_d - {w})')} AS {name}_b FROM (SELECT *, CASE WHEN {t} > 0 THEN {d1} ELSE 0 END AS {name}_d FROM ({src})))"
-        )
-
-    def leg_sql(name: str, leg, side: int) -> str:
-        spare = leg.iv_entry**2 * c.t_entry - leg.sigma_auction**2 * c.auction_days / 252 - leg.sigma_event**2 / 252
-        quiet = math.sqrt(spare * 252 / (c.quiet_days + c.exit_days)) if spare > 0 else max(0.001, leg.iv_entry * 0.5)
-        mult = f"(1 + {c.kappa} * greatest(0, z))" if side > 0 else f"greatest(0.01, 1 - {c.kappa} * greatest(0, z))"
-        sigma = f"(CASE {kind} WHEN 'auction' THEN {leg.sigma_auction} WHEN 'event' THEN {leg.sigma_event} * {mult} ELSE {quiet!r} END)"
-        draw = "z1" if side > 0 else f"({c.rho} * z1 + {math.sqrt(1 - c.rho**2)!r} * z2)"
-        entry = f"(SELECT e_price FROM {name}0)"
-        day = f"SELECT s.* EXCLUDE (i), w.i, {times}[w.i + 1] AS t, {times}[w.i + 2] AS t_next, s.f * {sigma.replace('[i + 1]', '[w.i + 1]').replace('z)', 's.z)')} * {math.sqrt(1 / 252)!r} * {draw} AS df FROM {name}s s JOIN draws w ON w.path = s.path AND w.i = s.i + 1"
-        before = priced(day, leg, "t", leg.iv_entry, "b")
-        after = priced(f"SELECT * EXCLUDE (f), f + df AS f FROM ({before})", leg, "t_next", leg.iv_entry, "a")
-        pre, post = f"({-side} * b_delta * {leg.lots})", f"({-side} * a_delta * {leg.lots})"
-        held = f"({kind} = 'event' OR i > {c.quiet_days + c.auction_days})"
-        h = f"(CASE WHEN {kind} = 'auction' THEN {post} WHEN {held} OR abs(h - {post}) <= {c.band * leg.lots} THEN h ELSE {post} END)"
-        traded = f"(CASE WHEN {kind} = 'auction' THEN abs({pre} - h) + abs({post} - {pre}) ELSE abs({h} - h) END)"
-        settled = f"SELECT z, path, i, f, {h} AS h2, hedge + h * df AS hedge2, cost - {traded} * {c.half_spread} AS cost2, a_price, closed FROM ({after})"
-        value = f"({side} * (a_price - {entry}) * {leg.lots} + hedge2 + cost2)"
-        closing = "closed" if side > 0 else f"coalesce(closed, CASE WHEN {value} < {-c.stop} * {entry} * {leg.lots} THEN {value} END)"
-        ends = priced(f"SELECT * FROM {name}s WHERE i = {len(kinds) - 1}", leg, f"{left[-1]!r}", leg.iv_exit, "e")
-        first = priced(f"SELECT {leg.f0}::DOUBLE AS f", leg, f"{c.t_entry!r}", leg.iv_entry, "e")
-        return f"""{name}0 AS ({first}),
-    {name}s AS (SELECT z, path, CAST(-1 AS BIGINT) AS i, {leg.f0}::DOUBLE AS f, 0::DOUBLE AS h, 0::DOUBLE AS hedge, 0::DOUBLE AS cost, CAST(NULL AS DOUBLE) AS closed FROM sweep, range({N_HEDGE}) p(path)
-      UNION ALL SELECT z, path, i, f, h2, hedge2, cost2, {closing} FROM ({settled})),
-    {name} AS (SELECT z, path, coalesce(closed, {side} * (e_price - {entry}) * {leg.lots} + hedge + cost - abs(h) * {c.half_spread}) * {leg.point} AS money FROM ({ends}))"""
-
-    return f"""sweep AS (SELECT unnest([{', '.join(f'{z}::DOUBLE' for z in _SIGNALS)}]) AS z),
-    draws AS (SELECT path, i, {znorm(seed, "path || ':' || i || ':0'")} AS z1, {znorm(seed, "path || ':' || i || ':1'")} AS z2 FROM range({N_HEDGE}) p(path), range({len(kinds)}) d(i)),
-    {leg_sql("front", c.front, 1)},
-    {leg_sql("back", c.back, -1)},
-    out AS (SELECT z, path, front.money + back.money AS total FROM front JOIN back USING (z, path))"""
-
-
-@register("sim_mc_black76", f"WITH RECURSIVE {_steepener_sql(SteepenerConfig(), 42)}, {_summary_sql('z')}")
-def _(spark, d):
-    sweep = spark.createDataFrame([(z,) for z in _SIGNALS], "z double")
-    return _cents(S.summary(run_steepener(spark, SteepenerConfig(), N_HEDGE, 42, sweep), ["z"]), "z")
+_LEVELS = [5.0, 10.0, 20.0, 40.0]
 
 
-@register("sim_band_sweep", f"WITH RECURSIVE {_hedged_sql(S.HedgeConfig(), 'band, path', _drawn_sql(S.HedgeConfig(), 11, 'band', _BANDS, str(S.HedgeConfig().signal_mult)), 'band')}, {_summary_sql('band')}")
+@register("sim_stop_first", sql("cal series", f"WITH {_PATH}, {_SLIP}, b AS (SELECT *, spread - first_value(spread) OVER (PARTITION BY meeting_date ORDER BY day) AS pnl FROM s), l AS (SELECT unnest([{', '.join(f'{v}::DOUBLE' for v in _LEVELS)}]) AS level), t AS (SELECT level, meeting_date, min(day) FILTER (pnl <= -level) AS d0, max(day) AS d1 FROM b, l GROUP BY 1, 2), f AS (SELECT t.level, t.meeting_date, d0, CASE WHEN d0 IS NULL THEN e.pnl ELSE h.pnl - h.slip END AS pnl FROM t JOIN b e ON e.meeting_date = t.meeting_date AND e.day = d1 LEFT JOIN b h ON h.meeting_date = t.meeting_date AND h.day = d0) SELECT level, round(avg(CAST(d0 IS NOT NULL AS INTEGER)), 6) AS stop_rate, round(avg(d0), 5) AS mean_day, round(avg(pnl), 5) AS mean_pnl, round(avg(pnl) FILTER (d0 IS NOT NULL), 5) AS mean_stopped FROM f GROUP BY 1"))
 def _(spark, d):
-    sweep = spark.createDataFrame([(b,) for b in _BANDS], "band double")
-    return _cents(S.summary(S.run_hedged(spark, S.HedgeConfig(), N_HEDGE, 11, sweep, band="band"), ["band"]), "band")
+    x = slipped(spark, d)
+    x = x.withColumn("pnl", F.col("spread") - F.first("spread").over(Window.partitionBy("meeting_date").orderBy("day")))  # at most _DAYS rows each
+    s = Z.first_stop(x, "meeting_date", "day", "pnl", _LEVELS)
+    return s.groupBy("level").agg(r6(F.avg(F.col("stopped").cast("int"))).alias("stop_rate"), F.round(F.avg("day"), 5).alias("mean_day"), F.round(F.avg("pnl"), 5).alias("mean_pnl"), F.round(F.avg(F.when(F.col("stopped"), F.col("pnl"))), 5).alias("mean_stopped"))

@@ -11,7 +11,7 @@ from eventide.functions import scalar as SC
 from eventide.functions import stats as ST
 from eventide.functions import text as T
 from eventide.functions import volatility as V
-from eventide.operators import fits, models, simulate, walkforward
+from eventide.operators import fits, models, ranges, walkforward
 from eventide.operators import windows as W
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ GAPS = [3.0, 1.0, 4.0, 1.0, 5.0, None, 9.0, 2.0]
 
 
 def test_ewma_over_gaps(spark):
-    df = series(spark, [None, *GAPS]).withColumn("y", W.ewma("x", "k", "d", 3))
+    df = ranges.ewma(series(spark, [None, *GAPS]), "x", "k", "d", 3, "y")
     want = pd.Series([None, *GAPS], dtype=float).ewm(span=3, adjust=False).mean()
     assert column(df) == [None if math.isnan(v) else round(v, 4) for v in want]
 
@@ -39,7 +39,7 @@ def test_expanding_rank_median_and_trailing_std(spark):
     df = series(spark, GAPS)
     assert column(W.expanding_rank(df, "x", "k", "d", "y")) == [1, 0.5, 1, 0.375, 1, None, 1, 0.4286]
     assert column(df.withColumn("y", F.percentile("x", F.lit(0.5)).over(W.expanding("k", "d")))) == [3, 2, 3, 2, 3, 3, 3.5, 3]
-    assert column(df.withColumn("y", W.trailing("x", "k", "d", 4)[1])) == [None, None, 1.4142, 1.5275, 1.5, 2.0616, 2.0817, 4]
+    assert column(ranges.bounded(df, "k", "d", 4, lambda w: {"y": W.trailing("x", w, 4)[1]})) == [None, None, 1.4142, 1.5275, 1.5, 2.0616, 2.0817, 4]
 
 
 @pytest.mark.parametrize("how,want", [("lt", [None, 1, 2]), ("le", [1, 1, 3]), ("ge", [1, 2, 3])])
@@ -238,40 +238,22 @@ def scalar_straddle(f, k, t, s):
     return 2 * ((f - k) * cdf + s * math.sqrt(t) * pdf) - (f - k), 2 * cdf - 1
 
 
-def test_hedged_fold_matches_a_scalar_walk(spark):
-    c = simulate.HedgeConfig(days_to_expiry=9)
-    days = [(0.03, -0.01, "band", False), (0.4, 0.0, "band", False), (-0.08, 0.03, "bracket", False), (0.55, -0.25, "none", True)]
-    df = spark.createDataFrame([(days,)], "days array<struct<move: double, d_sig: double, policy: string, expiry: boolean>>")
-    got = df.select(simulate.fold_hedged(F.col("days"), c).alias("r")).first().r
-    f, k, t, s, n = c.f0, round(c.f0 * 4) / 4, 9 / 252, c.sigma, c.contracts
-    price0, delta = scalar_straddle(f, k, t, s)
-    fut, hedge = -delta * n, 0.0
-    costs = abs(fut) * c.cost_ticks * c.tick
-    for move, d_sig, policy, expiry in days:
-        hedge += fut * move * c.point
-        f, t, s = f + move, max(t - 1 / 252, 0), max(s + d_sig, 1e-6)
-        price, delta = scalar_straddle(f, k, 0 if expiry else t, s)
-        net = delta * n + fut
-        trade = -net if policy == "bracket" or policy == "band" and abs(net) > c.band * n else 0.0
-        fut += trade
-        costs += abs(trade) * c.cost_ticks * c.tick
-    assert got.option == pytest.approx((price - price0) * n * c.point, rel=1e-4)
-    assert (got.hedge, got.costs) == (pytest.approx(hedge, rel=1e-4), pytest.approx(costs, rel=1e-4))
-    assert got.total == pytest.approx(got.option + got.hedge - got.costs)
-
-
-def test_draws_are_standard_normal_and_partition_free(spark):
-    z = lambda df: df.select("id", simulate.normal(3, F.col("id"), F.lit(1)).alias("z"))
-    a, b = z(spark.range(20_000)), z(spark.range(20_000).repartition(7))
-    s = a.agg(F.avg("z").alias("m"), F.stddev("z").alias("s")).first()
-    assert abs(s.m) < 0.03 and abs(s.s - 1) < 0.03
-    assert a.exceptAll(b).count() == 0
-
-
-def test_more_signal_never_hurts_the_long_leg(spark):
-    sweep = spark.createDataFrame([(m,) for m in (0.5, 1.0, 2.0)], "m double")
-    rows = simulate.summary(simulate.run_hedged(spark, simulate.HedgeConfig(), 400, 5, sweep, "m"), ["m"]).orderBy("m").collect()
-    assert [r["mean"] for r in rows] == sorted(r["mean"] for r in rows)
+def test_payoffs_stops_and_sizes_of_observed_moves(spark):
+    from eventide.operators import sizing
+
+    days = lambda n: DAY + dt.timedelta(n)
+    prices = {"a": [10.0, 13.0, 12.0, 16.0], "b": [5.0, 5.0, 9.0, 8.0]}
+    df = spark.createDataFrame([(k, days(i), v) for k, vs in prices.items() for i, v in enumerate(vs)] + [("a", days(9), 20.0)], "k string, d date, x double")
+    got = sizing.straddle_payoffs(sizing.moves(df, "k", "d", "x"), "k", "d", "a", "b").orderBy("d").collect()
+    fair = {"a": (3 + 1 + 4 + 4) / 4, "b": (0 + 4 + 1) / 3}
+    assert [(r.front, r.back) for r in got] == [pytest.approx((p - fair["a"], fair["b"] - q)) for p, q in [(3, 0), (1, 4), (4, 1)]]
+    paths = spark.createDataFrame([("p", i, v, 0.0) for i, v in enumerate([0.0, -2.0, -6.0, 1.0])] + [("q", 0, 0.0, 1.0), ("q", 1, 2.0, 1.0)], "path string, day int, pnl double, other double")
+    slipped = sizing.slippage(paths, "path", "day", ["pnl", "other"], base=0.5, speed=1.0, lookback=2)
+    assert [round(r.slip, 6) for r in slipped.orderBy("path", "day").collect()] == [1, 3, 4, 2.5, 1, 3]
+    stops = sizing.first_stop(slipped, "path", "day", "pnl", [2.0, 5.0, 9.0])
+    assert sorted((r.level, r.path, r.day, r.pnl) for r in stops.collect() if r.path == "p") == [(2.0, "p", 1, -5.0), (5.0, "p", 2, -10.0), (9.0, "p", None, 1.0)]
+    stats = spark.createDataFrame([(0.1, 1.0, -3.0), (-1.0, 1.0, -3.0), (9.0, 1.0, 2.0)], "mu double, sd double, q01 double")
+    assert [(r.kelly_f, r.var_lots, r.final_lots) for r in sizing.kelly_var(stats, cap=0.2, budget=30.0).collect()] == [(0.1, 10.0, 5), (0.0, 10.0, 1), (0.2, None, 1)]
 
 
 def test_observation_source(spark, tmp_path):
