@@ -1,4 +1,4 @@
-"""Evaluation: metrics, tails, sign hits, bootstrap tables."""
+"""Evaluation: metrics, tails, sign hits, percentiles of an event."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.functions import stats as ST
-from eventide.operators.windows import number_rows
 
 
 def priority_pick(df: DataFrame, by: list[str], priority: str, cols: list[str]) -> DataFrame:
@@ -60,36 +59,6 @@ def centroid_distances(centroids: DataFrame, label: str, vec: str) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.sqrt(diff).alias("dist"))
 
 
-def draw_index(seed: int, rep: Column, i: Column, n: Column) -> Column:
-    """Reproducible draw with replacement: the first 8 hex digits of md5('seed:rep:i') modulo n."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), rep.cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long") % n
-
-
-def bootstrap(df: DataFrame, x: list[str], order: str, reps: int, seed: int, stat: list[Column]) -> DataFrame:
-    """One row per replicate: ``stat`` over n draws with replacement of the n rows, by an equi-join on row number.
-
-    Rows are numbered bucket by bucket, replicates are dealt over the cluster by their number, and draws are
-    aggregated before they are shuffled.
-    """
-    numbered = number_rows(df.select(*x, order), order, "_i")
-    n = F.broadcast(df.agg(F.count("*").alias("_n")))  # one row
-    draws = df.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(n).select("rep", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k"))
-    draws = draws.withColumn("_i", draw_index(seed, F.col("rep"), F.col("_k"), F.col("_n")))
-    return draws.join(numbered, "_i").groupBy("rep").agg(*stat)
-
-
-def permuted_hits(df: DataFrame, y: str, hit: Column, order: str, reps: int, seed: int) -> DataFrame:
-    """(rep, mean): mean of |y| signed by a random mask with as many hits as the model has.
-
-    The replicates are broadcast: ``reps`` bounds them. Rows of a replicate are ranked by hash in a task of their own.
-    """
-    rows = number_rows(df.select(y, order, hit.alias("_hit")), order, "_i")
-    h = F.broadcast(df.agg(F.count_if(hit).alias("_h")))  # one row
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("_i").cast("string"))), 1, 8), 16, 10).cast("long")
-    x = rows.crossJoin(F.broadcast(df.sparkSession.range(reps).withColumnRenamed("id", "rep"))).withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy(key, "_i")))
-    return x.crossJoin(h).groupBy("rep").agg(F.avg(F.when(F.col("_r") <= F.col("_h"), F.abs(y)).otherwise(-F.abs(y))).alias("mean"))
-
-
 def sign_hits(df: DataFrame, by: list[str], pred: str, actual: str, strict: bool = True, empty: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
     """Hits, rate and Wilson interval; signs compare by signum, or by (> 0) where not ``strict``."""
     hit = (F.signum(pred) == F.signum(actual)) if strict else ((F.col(pred) > 0) == (F.col(actual) > 0))

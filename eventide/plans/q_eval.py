@@ -10,6 +10,7 @@ from eventide.functions import volatility as V
 from eventide.functions.scalar import r6
 from eventide.operators import evaluate as E
 from eventide.operators import regression as R
+from eventide.operators import resample as RS
 from eventide.operators import windows as W
 from eventide.plans.q_aggs import FC, forecasts
 
@@ -65,51 +66,61 @@ def _(spark, d):
     return u.groupBy("strategy").agg(F.count("*").alias("n"), r6(F.avg("pnl")).alias("mean"), r6(F.avg("pnl") / F.when(sd > 0, sd).otherwise(1.0)).alias("sharpe"))
 
 
-# Bootstraps run over the event panel; indices come from md5, so both engines draw the same rows.
-_B = "e AS (SELECT y, p, p2, CAST(row_number() OVER (ORDER BY m) - 1 AS BIGINT) AS i FROM (SELECT m, avg(gap) - 12 AS y, avg(iv) - 26.5 AS p, avg(rv) - 14 AS p2 FROM panel WHERE gap IS NOT NULL GROUP BY m)), n AS (SELECT count(*) AS n FROM e)"
-_DRAW = lambda seed: f"(CAST('0x' || substr(md5('{seed}:' || rep || ':' || k), 1, 8) AS BIGINT) % n)"
+# Bootstraps run over the event panel; weights come from md5, so both engines draw the same rows.
+_B = "e AS (SELECT m, avg(gap) - 12 AS y, avg(iv) - 26.5 AS p, avg(rv) - 14 AS p2 FROM panel WHERE gap IS NOT NULL GROUP BY m)"
+
+
+def _U(seed: int) -> str:
+    return f"CAST('0x' || substr(md5('{seed}:' || (rep // 4) || ':' || CAST(m AS VARCHAR)), 1 + 8 * (rep % 4), 8) AS BIGINT)"
+
+
+def _drawn(seed: int, reps: int, cells: str) -> str:
+    """A SELECT of rep, n and sums of cells ``name=expression``, each row counted Poisson(1) times."""
+    weight = " + ".join(f"CAST(u >= {s} AS INTEGER)" for s in RS.poisson_steps())
+    sums = ", ".join(f"sum(w * ({c.split('=')[1]})) AS {c.split('=')[0]}" for c in cells.split("; "))
+    return f"SELECT rep, sum(w) AS n, {sums} FROM (SELECT *, {weight} AS w FROM (SELECT e.*, rep, {_U(seed)} AS u FROM e, range({reps}) r(rep))) WHERE w > 0 GROUP BY rep"
 
 
 def event_panel(spark, d):
     return panel(spark, d).where("gap IS NOT NULL").groupBy("m").agg((F.avg("gap") - 12).alias("y"), (F.avg("iv") - 26.5).alias("p"), (F.avg("rv") - 14).alias("p2"))
 
 
-@register("ev_bootstrap_coef", sql("panel", f"WITH {_B}, d AS (SELECT rep, {_DRAW(7)} AS i FROM range(300) r(rep), n, range((SELECT n FROM n)) x(k)), b AS (SELECT rep, regr_slope(y, p) AS slope FROM d JOIN e ON e.i = d.i GROUP BY 1) SELECT round(quantile_cont(slope, 0.05), 5) AS p5, round(quantile_cont(slope, 0.5), 5) AS p50, round(quantile_cont(slope, 0.95), 5) AS p95, quantile_cont(slope, 0.05) > 0 OR quantile_cont(slope, 0.95) < 0 AS sig FROM b"))
+@register("ev_bootstrap_coef", sql("panel", f"WITH {_B}, s AS ({_drawn(7, 300, 'y=y; p=p; yp=y * p; pp=p * p')}), b AS (SELECT (n * yp - y * p) / nullif(n * pp - p * p, 0) AS slope FROM s) SELECT round(quantile_cont(slope, 0.05), 5) AS p5, round(quantile_cont(slope, 0.5), 5) AS p50, round(quantile_cont(slope, 0.95), 5) AS p95, quantile_cont(slope, 0.05) > 0 OR quantile_cont(slope, 0.95) < 0 AS sig FROM b"))
 def _(spark, d):
-    b = E.bootstrap(event_panel(spark, d), ["y", "p"], "m", 300, 7, [F.regr_slope("y", "p").alias("slope")])
+    y, p = F.col("y"), F.col("p")
+    b = RS.bootstrap_sums(event_panel(spark, d), "m", {"y": y, "p": p, "yp": y * p, "pp": p * p}, 300, 7)
+    b = b.select(((F.col("n") * F.col("yp") - y * p) / F.nullif(F.col("n") * F.col("pp") - p * p, F.lit(0.0))).alias("slope"))
     q = lambda p: F.percentile("slope", F.lit(p))
     return b.agg(q(0.05).alias("a"), q(0.5).alias("b"), q(0.95).alias("c")).select(F.round("a", 5).alias("p5"), F.round("b", 5).alias("p50"), F.round("c", 5).alias("p95"), ((F.col("a") > 0) | (F.col("c") < 0)).alias("sig"))
 
 
-@register("ev_bootstrap_rmse", sql("panel", f"WITH {_B}, a AS (SELECT rep, sqrt(avg(pow(y - p, 2))) AS r FROM (SELECT rep, {_DRAW(11)} AS i FROM range(400) r(rep), n, range((SELECT n FROM n)) x(k)) d JOIN e ON e.i = d.i GROUP BY 1), b AS (SELECT rep, sqrt(avg(pow(y - p2, 2))) AS r FROM (SELECT rep, {_DRAW(12)} AS i FROM range(400) r(rep), n, range((SELECT n FROM n)) x(k)) d JOIN e ON e.i = d.i GROUP BY 1) SELECT round(quantile_cont(a.r - b.r, 0.05), 5) AS p5, round(quantile_cont(a.r - b.r, 0.95), 5) AS p95, round(avg(CAST(a.r - b.r > 0 AS INTEGER)), 6) AS win FROM a JOIN b ON a.rep = b.rep"))
+@register("ev_bootstrap_rmse", sql("panel", f"WITH {_B}, a AS ({_drawn(11, 400, 'ss=pow(y - p, 2)')}), b AS ({_drawn(12, 400, 'ss=pow(y - p2, 2)')}), x AS (SELECT sqrt(a.ss / a.n) - sqrt(b.ss / b.n) AS diff FROM a JOIN b ON a.rep = b.rep) SELECT round(quantile_cont(diff, 0.05), 5) AS p5, round(quantile_cont(diff, 0.95), 5) AS p95, round(avg(CAST(diff > 0 AS INTEGER)), 6) AS win FROM x"))
 def _(spark, d):
     """Difference of two models' RMSE with independent (unpaired) draws for each."""
     e = event_panel(spark, d)
-    rmse = lambda c: F.sqrt(F.avg(F.pow(F.col("y") - F.col(c), 2)))
-    a, b = E.bootstrap(e, ["y", "p"], "m", 400, 11, [rmse("p").alias("a")]), E.bootstrap(e, ["y", "p2"], "m", 400, 12, [rmse("p2").alias("b")])
-    x = a.join(b, "rep").withColumn("diff", F.col("a") - F.col("b"))
+    rmse = lambda c, seed: RS.bootstrap_sums(e, "m", {"ss": F.pow(F.col("y") - F.col(c), 2)}, 400, seed).select("rep", F.sqrt(F.col("ss") / F.col("n")).alias(c))
+    x = rmse("p", 11).join(rmse("p2", 12), "rep").withColumn("diff", F.col("p") - F.col("p2"))
     return x.agg(F.round(F.percentile("diff", F.lit(0.05)), 5).alias("p5"), F.round(F.percentile("diff", F.lit(0.95)), 5).alias("p95"), r6(F.avg((F.col("diff") > 0).cast("int"))).alias("win"))
 
 
-@register("ev_bootstrap_sharpe", sql("panel", f"WITH {_B}, d AS (SELECT rep, {_DRAW(21)} AS i FROM range(500) r(rep), n, range((SELECT n FROM n)) x(k)), b AS (SELECT rep, avg(y) / nullif(stddev_samp(y), 0) * sqrt(8) AS s FROM d JOIN e ON e.i = d.i GROUP BY 1 HAVING count(*) >= 6) SELECT round(quantile_cont(s, 0.025), 5) AS lo, round(quantile_cont(s, 0.975), 5) AS hi FROM b"))
+@register("ev_bootstrap_sharpe", sql("panel", f"WITH {_B}, s AS ({_drawn(21, 500, 'y=y; yy=y * y')}), b AS (SELECT y / n / nullif(sqrt(greatest(yy - y * y / n, 0) / (n - 1)), 0) * sqrt(8) AS s FROM s WHERE n >= 6) SELECT round(quantile_cont(s, 0.025), 5) AS lo, round(quantile_cont(s, 0.975), 5) AS hi FROM b"))
 def _(spark, d):
-    b = E.bootstrap(event_panel(spark, d), ["y"], "m", 500, 21, [(F.avg("y") / F.nullif(F.stddev_samp("y"), F.lit(0.0)) * F.sqrt(F.lit(8.0))).alias("s"), F.count("*").alias("n")]).where("n >= 6")
+    y, n = F.col("y"), F.col("n")
+    b = RS.bootstrap_sums(event_panel(spark, d), "m", {"y": y, "yy": y * y}, 500, 21).where("n >= 6")
+    b = b.select((y / n / F.nullif(F.sqrt(F.greatest(F.col("yy") - y * y / n, F.lit(0.0)) / (n - 1)), F.lit(0.0)) * F.sqrt(F.lit(8.0))).alias("s"))
     return b.agg(F.round(F.percentile("s", F.lit(0.025)), 5).alias("lo"), F.round(F.percentile("s", F.lit(0.975)), 5).alias("hi"))
 
 
-@register("ev_bootstrap_hit", sql("panel", f"WITH {_B}, d AS (SELECT rep, {_DRAW(31)} AS i FROM range(300) r(rep), n, range((SELECT n FROM n)) x(k)), b AS (SELECT rep, avg(CAST(sign(p) = sign(y) AS INTEGER)) AS h FROM d JOIN e ON e.i = d.i GROUP BY 1) SELECT round(quantile_cont(h, 0.05), 6) AS lo, round(quantile_cont(h, 0.95), 6) AS hi FROM b"))
+@register("ev_bootstrap_hit", sql("panel", f"WITH {_B}, s AS ({_drawn(31, 300, 'hits=CAST(sign(p) IS NOT DISTINCT FROM sign(y) AS INTEGER)')}), b AS (SELECT hits / n AS h FROM s) SELECT round(quantile_cont(h, 0.05), 6) AS lo, round(quantile_cont(h, 0.95), 6) AS hi FROM b"))
 def _(spark, d):
-    b = E.bootstrap(event_panel(spark, d), ["y", "p"], "m", 300, 31, [F.avg((F.signum("p") == F.signum("y")).cast("int")).alias("h")])
+    b = RS.bootstrap_sums(event_panel(spark, d), "m", {"hits": (F.signum("p") == F.signum("y")).cast("int")}, 300, 31).select((F.col("hits") / F.col("n")).alias("h"))
     return b.agg(r6(F.percentile("h", F.lit(0.05))).alias("lo"), r6(F.percentile("h", F.lit(0.95))).alias("hi"))
 
 
-_MASK = "(CAST('0x' || substr(md5('41:' || rep || ':' || i), 1, 8) AS BIGINT))"
-
-
-@register("ev_permutation", sql("panel", f"WITH {_B}, h AS (SELECT count(*) FILTER (sign(p) = sign(y)) AS h FROM e), d AS (SELECT rep, y, row_number() OVER (PARTITION BY rep ORDER BY {_MASK}, i) AS r FROM range(300) x(rep), e), b AS (SELECT rep, avg(CASE WHEN r <= h THEN abs(y) ELSE -abs(y) END) AS mean FROM d, h GROUP BY 1) SELECT round(quantile_cont(mean, 0.5), 5) AS p50, round(quantile_cont(mean, 0.95), 5) AS p95 FROM b"))
+@register("ev_permutation", sql("panel", f"WITH {_B}, h AS (SELECT count(*) FILTER (sign(p) = sign(y)) AS h FROM e), d AS (SELECT rep, y, row_number() OVER (PARTITION BY rep ORDER BY {_U(41)}, m) AS r FROM range(300) x(rep), e), b AS (SELECT rep, avg(CASE WHEN r <= h THEN abs(y) ELSE -abs(y) END) AS mean FROM d, h GROUP BY 1) SELECT round(quantile_cont(mean, 0.5), 5) AS p50, round(quantile_cont(mean, 0.95), 5) AS p95 FROM b"))
 def _(spark, d):
     """Random masks with as many hits as the model has."""
-    b = E.permuted_hits(event_panel(spark, d), "y", F.signum("p") == F.signum("y"), "m", 300, 41)
+    b = RS.permuted_hits(event_panel(spark, d), "y", F.signum("p") == F.signum("y"), "m", 300, 41)
     return b.agg(F.round(F.percentile("mean", F.lit(0.5)), 5).alias("p50"), F.round(F.percentile("mean", F.lit(0.95)), 5).alias("p95"))
 
 
