@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.functions import text as T
+from eventide.functions.scalar import let
 from eventide.operators.ranges import bounded, numbered
+from eventide.session import stored
 
 
 def term_counts(df: DataFrame, doc: list[str], tokens: Column) -> DataFrame:
@@ -28,18 +30,27 @@ def tfidf(counts: DataFrame, doc: list[str], n_docs: DataFrame, min_df: int = 2,
     return x.select(*doc, "term", (F.col("w") / norm).alias("w"))
 
 
+def counted(tokens: Column) -> Column:
+    """array<struct<term, tf>>: how often each token occurs in an array, from runs of the sorted array, without leaving the row."""
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda p, k: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - p).alias("tf"))))
+
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), runs)).otherwise(F.array().cast("array<struct<term: string, tf: int>>"))
+
+
 def tfidf_rows(docs: DataFrame, doc: str, tokens: Column, min_df: int = 2, max_features: int = 3000) -> DataFrame:
     """``tfidf`` where each row is one document.
 
-    Document frequencies come from each row's distinct tokens, so the vocabulary is a map-side combined count by
-    term alone; only tokens of the chosen vocabulary (broadcast: at most ``max_features`` rows) are shuffled by document.
+    Texts are tokenised once: a row's tokens become its terms and their counts inside the row, which are stored. The vocabulary is a
+    map-side combined count of them by term; only terms of the chosen vocabulary (broadcast: at most ``max_features`` rows) are shuffled by document.
     """
-    t = docs.select(doc, tokens.alias("_t"))
-    seen = t.select(T.each(F.col("_t")).alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d")).union(t.select(T.each(F.array_distinct("_t")), F.lit(0), F.lit(1)))
-    vocab = seen.groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("total")).where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_features).select("term", "df")
-    n = F.broadcast(docs.agg(F.count("*").alias("_n")))
-    counts = t.select(doc, T.each(F.col("_t")).alias("term")).join(F.broadcast(vocab), "term").groupBy(doc, "term").agg(F.count("*").alias("tf"), F.first("df").alias("df"))
-    x = counts.crossJoin(n).withColumn("w", (1 + F.ln("tf")) * (F.ln((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1))
+    rows = stored(docs.select(doc, counted(F.filter(tokens, lambda w: w.isNotNull())).alias("_c")), "counts")
+    each = rows.select(doc, F.explode("_c").alias("_t")).select(doc, "_t.term", "_t.tf")
+    vocab = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+    vocab = vocab.orderBy(F.desc("total"), "term").limit(max_features).select("term", "df")
+    n = F.broadcast(rows.agg(F.count(F.lit(1)).alias("_n")))
+    x = each.join(F.broadcast(vocab), "term").crossJoin(n).withColumn("w", (1 + F.ln("tf")) * (F.ln((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return x.select(doc, "term", (F.col("w") / norm).alias("w"))
 
