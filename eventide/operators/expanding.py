@@ -1,9 +1,13 @@
 """Ranks and medians among all values so far, for series of any length.
 
 A frame that grows with every row would keep a whole history for each. Here a key's rows are cut into time buckets and
-value buckets by quantiles. A table of counts, one cell for each pair of buckets, says how many earlier values lie in
-whole value buckets below; what is left is compared inside one time bucket and inside one value bucket, so no task holds more
-than a bucket of rows, however long a key's series is. Keys shorter than a bucket are one group each.
+value buckets by quantiles. Value buckets are the quantiles themselves and the open intervals between them, so a value that
+very many rows share has a bucket of its own. A table of counts, one cell for each pair of buckets, says how many earlier values lie in
+whole value buckets below, and how many equal a shared value; what is left is compared inside one time bucket and inside one
+interval, so no task holds more than a bucket of rows, whatever values repeat. Keys shorter than a bucket are one group each.
+
+A key has as many buckets as its rows need, but beyond ``MANY_BUCKETS`` no more than the cube root of its rows, since cells are their
+square: a billion rows of one key are 1,000 buckets of a million, a trillion 10,000 of a hundred million.
 
 Rows are ordered by ``at``; rows of one time are in one bucket, in no particular order. Null values have no rank and are
 not counted; keys may be null.
@@ -19,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that one task holds at least before a key is cut, and the most buckets a key is cut into (cells are their square).
-BUCKET_ROWS, MAX_BUCKETS = 50_000, 1000
+#: Rows that one task holds at least before a key is cut, and the number of buckets from which they grow.
+BUCKET_ROWS, MANY_BUCKETS = 50_000, 1000
 
 
 def _ordinal(df: DataFrame, c: str) -> Column:
@@ -36,14 +40,16 @@ def _bucketed(df: DataFrame, x: str, by: list[str], at: str, bucket_rows: int) -
     """Rows with _key, _t, _x and, where keys are cut, time bucket _tb and value bucket _vb; and the number of buckets."""
     rows = df.withColumns({"_key": F.to_json(F.struct(*by)), "_t": _ordinal(df, at), "_x": F.nanvl(F.col(x).cast("double"), F.lit(None).cast("double"))})
     longest = rows.groupBy("_key").count().agg(F.max("count")).first()[0] or 0
-    n = min(MAX_BUCKETS, -(-longest // bucket_rows))
+    n = min(-(-longest // bucket_rows), max(MANY_BUCKETS, round(longest ** (1 / 3))))
     if n <= 1:
         return rows, 1
     inner = [i / n for i in range(1, n)]
     marks = rows.groupBy(F.col("_key").alias("_mk")).agg(F.percentile_approx("_t", inner, 100_000).alias("_tm"), F.percentile_approx("_x", inner, 100_000).alias("_vm"))
     placed = rows.join(marks, F.col("_key") == F.col("_mk"))
     below = lambda m, v: F.size(F.filter(m, lambda q: q < v))
-    return placed.withColumns({"_tb": below(F.col("_tm"), F.col("_t")), "_vb": F.when(F.col("_x").isNotNull(), below(F.col("_vm"), F.col("_x")))}).drop("_mk", "_tm", "_vm"), n
+    # even buckets are open intervals, odd ones a value
+    value = 2 * below(F.col("_vm"), F.col("_x")) + F.array_contains("_vm", F.col("_x")).cast("int")
+    return placed.withColumns({"_tb": below(F.col("_tm"), F.col("_t")), "_vb": F.when(F.col("_x").isNotNull(), value)}).drop("_mk", "_tm", "_vm"), n
 
 
 def _cells(rows: DataFrame) -> DataFrame:
@@ -118,12 +124,12 @@ def _across(pdf: pd.DataFrame) -> dict:
 
 
 def _below(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each cell, how many earlier values lie in lower value buckets, and how many earlier values there are."""
+    """For each cell, how many earlier values lie in lower value buckets, how many in its own, and how many earlier values there are."""
     m = _matrix(pdf)
     before = np.vstack([np.zeros((1, m.shape[1]), dtype=np.int64), np.cumsum(m, axis=0)[:-1]])
     under = np.cumsum(before, axis=1) - before
     tb, vb = pdf["_tb"].to_numpy(), pdf["_vb"].to_numpy()
-    return pd.DataFrame({"_k": pdf["_key"], "_ctb": tb, "_cvb": vb, "_under": under[tb, vb], "_seen": before.sum(1)[tb]})
+    return pd.DataFrame({"_k": pdf["_key"], "_ctb": tb, "_cvb": vb, "_under": under[tb, vb], "_own": before[tb, vb], "_seen": before.sum(1)[tb]})
 
 
 def expanding_rank(df: DataFrame, x: str, by: str | list[str], at: str, out: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -135,12 +141,15 @@ def expanding_rank(df: DataFrame, x: str, by: str | list[str], at: str, out: str
     if n == 1:
         rows = _add(rows, ["_key"], counts, _inside)
     else:
-        under = _cells(rows).groupBy("_key").applyInPandas(_below, "_k string, _ctb int, _cvb int, _under long, _seen long")
+        under = _cells(rows).groupBy("_key").applyInPandas(_below, "_k string, _ctb int, _cvb int, _under long, _own long, _seen long")
         rows = _add(rows, ["_key", "_tb"], counts, _inside)
-        known = _add(rows.where(F.col("_x").isNotNull()), ["_key", "_vb"], {"_less2": "long", "_equal2": "long"}, _across)
+        known = _add(rows.where("_vb % 2 = 0"), ["_key", "_vb"], {"_less2": "long", "_equal2": "long"}, _across)
+        known = known.unionByName(rows.where("_vb % 2 = 1"), allowMissingColumns=True)
         known = known.alias("known").join(under, (F.col("_key") == F.col("_k")) & (F.col("_tb") == F.col("_ctb")) & (F.col("_vb") == F.col("_cvb")))
         rows = known.unionByName(rows.where(F.col("_x").isNull()), allowMissingColumns=True)
-        less, equal, seen = less + F.col("_less2") + F.col("_under"), equal + F.col("_equal2"), seen + F.col("_seen")
+        of_value = F.col("_vb") % 2 == 1
+        less = less + F.col("_under") + F.when(of_value, 0).otherwise(F.col("_less2"))
+        equal, seen = equal + F.when(of_value, F.col("_own")).otherwise(F.col("_equal2")), seen + F.col("_seen")
     rank = F.when(F.col("_x").isNotNull(), (less + (equal + 2) / 2) / seen)
     return rows.select(*df.columns, rank.alias(out))
 
@@ -171,6 +180,15 @@ def _medians(rows: pd.DataFrame, known: list[float], seen: int, under: int) -> n
     return out
 
 
+def _ranked(values: pd.DataFrame, own: int, seen: int, under: int) -> tuple[list[float], int]:
+    """The earlier values, from (value, count), that may be a median while ``own`` more come in, sorted, and the rank of the first."""
+    counts = values.groupby("_hx")["_hn"].sum()
+    end = under + counts.cumsum().to_numpy()
+    low, high = max(under, (seen - 1) // 2 - own - 1), (seen + own) // 2 + 1
+    kept = np.minimum(end, high + 1) - np.maximum(end - counts.to_numpy(), low)
+    return np.repeat(counts.index.to_numpy(dtype=float), np.maximum(kept, 0)).tolist(), low
+
+
 def expanding_median(df: DataFrame, x: str, by: str | list[str], at: str, out: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Median of all values of the key so far, the row's own included; null before the first value."""
     by = [by] if isinstance(by, str) else list(by)
@@ -181,8 +199,8 @@ def expanding_median(df: DataFrame, x: str, by: str | list[str], at: str, out: s
         windows = _cells(rows).groupBy("_key").applyInPandas(_windows, "_k string, _wtb int, _seen long, _lo int, _hi int, _under long")
         rows = rows.join(windows.select("_k", "_wtb", "_seen", "_under"), (F.col("_key") == F.col("_k")) & (F.col("_tb") == F.col("_wtb"))).drop("_k", "_wtb")
         asked = windows.where("_lo <= _hi").select(F.col("_k").alias("_ak"), F.col("_wtb").alias("_atb"), F.explode(F.sequence("_lo", "_hi")).alias("_avb"))
-        values = rows.where(F.col("_x").isNotNull()).select("_key", "_tb", "_vb", "_x")
-        history = values.join(asked, (F.col("_key") == F.col("_ak")) & (F.col("_vb") == F.col("_avb")) & (F.col("_tb") < F.col("_atb"))).select(F.col("_key").alias("_hk"), F.col("_atb").alias("_htb"), F.col("_x").alias("_hx"))
+        values = rows.where(F.col("_x").isNotNull()).groupBy("_key", "_tb", "_vb", "_x").agg(F.count(F.lit(1)).alias("_n"))  # equal values travel as one row
+        history = values.join(asked, (F.col("_key") == F.col("_ak")) & (F.col("_vb") == F.col("_avb")) & (F.col("_tb") < F.col("_atb"))).select(F.col("_key").alias("_hk"), F.col("_atb").alias("_htb"), F.col("_x").alias("_hx"), F.col("_n").alias("_hn"))
         schema = _with(rows, _median="double")
         names = [c.name for c in schema]
 
@@ -190,7 +208,8 @@ def expanding_median(df: DataFrame, x: str, by: str | list[str], at: str, out: s
             if not len(own):
                 return pd.DataFrame(columns=names)
             seen, under = (int(own[c].iloc[0]) for c in ("_seen", "_under"))
-            return own.assign(_median=_medians(own, sorted(old["_hx"]), seen, under))[names]
+            known, under = _ranked(old, len(own), seen, under)
+            return own.assign(_median=_medians(own, known, seen, under))[names]
 
         rows = rows.groupBy("_key", "_tb").cogroup(history.groupBy("_hk", "_htb")).applyInPandas(run, schema)
     return rows.select(*df.columns, F.nanvl("_median", F.lit(None).cast("double")).alias(out))

@@ -59,6 +59,23 @@ def test_no_group_grows_with_its_key(spark):
     assert "Window" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_a_value_that_most_rows_share_is_counted_and_not_compared(spark):
+    """Zeros are nine of ten rows: none is sent to a group of its value bucket, and a median's history holds few of them."""
+    rng = random.Random(9)
+    data = [("a", dt.date(2000, 1, 1) + dt.timedelta(days=i), 0.0 if rng.random() < 0.9 else rng.gauss(0, 1), "r") for i in range(400)]
+    df = spark.createDataFrame(data, "k string, at date, x double, other string")
+    want = slow(data)
+    for f, i in ((expanding.expanding_rank, 0), (expanding.expanding_median, 1)):
+        got = {(r.k, r.at): r.out for r in f(df, "x", "k", "at", "out", 25).collect()}
+        assert all(got[k] == pytest.approx(w[i]) for k, w in want.items())
+    cut, _ = expanding._bucketed(df, "x", ["k"], "at", 25)
+    inside = cut.where("_vb % 2 = 0").groupBy("_vb").count().collect()
+    assert sum(r[1] for r in inside) < 60
+    pdf = __import__("pandas").DataFrame({"_hx": [0.0, 1.0, 0.0], "_hn": [10**9, 5, 10**9]})
+    known, low = expanding._ranked(pdf, 20, 2 * 10**9 + 5, 0)
+    assert len(known) < 50 and set(known) == {0.0} and low == 10**9 + 2 - 20 - 1
+
+
 @pytest.mark.parametrize("ties", [False, True])
 def test_earlier_counts(ties):
     rng = np.random.default_rng(1)
