@@ -7,6 +7,8 @@ the standardised Gram matrix follow from them, and so do, for any penalty, coeff
 The penalty is the one with the least leave-one-out error, which needs each training row's residual and leverage under the fold's
 own equations. Rows are packed by parts of the key's time and folds by blocks; a pair of a block and an earlier part gives, for each
 fold and penalty, one partial sum of squares, which an aggregate adds up. No frame holds more than one part and one block.
+
+Where every key is one part, which is counted, a key's rows and folds are one frame, and its prefix sums a running sum inside it.
 """
 
 from __future__ import annotations
@@ -86,8 +88,25 @@ class Equations:
         return (x - self.mu[fold]) * self.scale[fold] @ self.v[fold]
 
 
+def loo_errors(eq: Equations, fold: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of squared leave-one-out residuals of some of a fold's training rows, for each penalty."""
+    z = eq.turned(fold, x)
+    shrink = 1 / (eq.lam[fold][:, None] + ALPHAS)
+    rest = y[:, None] - eq.my[fold] - z @ (eq.g[fold][:, None] * shrink)
+    leverage = 1 / eq.n[fold] + (z * z) @ shrink
+    return ((rest / np.maximum(1e-12, 1 - leverage)) ** 2).sum(0)
+
+
+def solved(eq: Equations, errors: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Predictions and error scales of folds with features ``x``, each at its best penalty."""
+    w = eq.g / (eq.lam + ALPHAS[errors.argmin(axis=1)][:, None])
+    pred = eq.my + np.array([eq.turned(f, x[f]) @ w[f] for f in range(len(x))])
+    left = eq.yy - 2 * (w * eq.g).sum(1) + (w * w * eq.lam).sum(1)
+    return pred, np.sqrt(np.maximum(left, 0) / eq.n)
+
+
 def _errors(k: int, keys: list[str]):
-    """Sums of squared leave-one-out residuals of a part's rows, for each later fold of a block and each penalty."""
+    """Partial sums of a part's rows for each later fold of a block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -98,12 +117,7 @@ def _errors(k: int, keys: list[str]):
                     train = t < when
                     if not train.any():
                         continue
-                    z = eq.turned(fold, x[train])
-                    shrink = 1 / (eq.lam[fold][:, None] + ALPHAS)
-                    rest = y[train][:, None] - eq.my[fold] - z @ (eq.g[fold][:, None] * shrink)
-                    leverage = 1 / eq.n[fold] + (z * z) @ shrink
-                    errors = ((rest / np.maximum(1e-12, 1 - leverage)) ** 2).sum(0)
-                    out.append((*key, float(when), errors))
+                    out.append((*key, float(when), loo_errors(eq, fold, x[train], y[train])))
             yield pd.DataFrame(out, columns=[*keys, "_t", "errors"])
 
     return run
@@ -117,18 +131,43 @@ def _finish(k: int, names: list[str]):
             pred, sigma = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
             fit = np.flatnonzero(pdf["errors"].notna().to_numpy())
             if len(fit):
-                eq = Equations(np.stack(pdf["gram"].iloc[fit].to_numpy()), k)
-                alpha = ALPHAS[np.stack(pdf["errors"].iloc[fit].to_numpy()).argmin(axis=1)]
-                w = eq.g / (eq.lam + alpha[:, None])
-                x = np.stack(pdf["x"].iloc[fit].to_numpy())
-                pred[fit] = eq.my + np.array([eq.turned(f, x[f]) @ w[f] for f in range(len(fit))])
-                left = eq.yy - 2 * (w * eq.g).sum(1) + (w * w * eq.lam).sum(1)
-                sigma[fit] = np.sqrt(np.maximum(left, 0) / eq.n)
+                stack = lambda c: np.stack(pdf[c].iloc[fit].to_numpy())
+                pred[fit], sigma[fit] = solved(Equations(stack("gram"), k), stack("errors"), stack("x"))
             yield pdf.assign(pred=pred, sigma=sigma)[names]
 
     return run
 
 
+def _whole_key(k: int, keys: list[str], min_train: int, names: list[str]):
+    """All folds of keys of one part each."""
+
+    def folds(t, fold, x, y, test):
+        t, y, x = np.asarray(t, dtype=float), np.asarray(y, dtype=float), np.asarray(x, dtype=float).reshape(-1, k)
+        able = np.isfinite(x).all(1)
+        train = able & ~np.isnan(y)
+        z = np.column_stack([np.ones(train.sum()), x[train], y[train]])
+        sums = np.vstack([np.zeros(len(_pairs(k))), np.cumsum(np.column_stack([z[:, i] * z[:, j] for i, j in _pairs(k)]), axis=0)])
+        first = np.r_[True, t[1:] != t[:-1]] if len(t) else np.zeros(0, dtype=bool)
+        asked = np.flatnonzero(first & np.asarray(test, dtype=bool))
+        upto = np.searchsorted(t[train], t[asked], "left")
+        n = len(asked)
+        pred, base, sigma = (np.full(n, np.nan) for _ in range(3))
+        fit = np.flatnonzero((upto >= max(1, min_train)) & able[asked])
+        if len(fit):
+            eq, tx, ty = Equations(sums[upto[fit]], k), x[train], y[train]
+            errors = np.array([loo_errors(eq, f, tx[:m], ty[:m]) for f, m in enumerate(upto[fit])])
+            pred[fit], sigma[fit] = solved(eq, errors, x[asked[fit]])
+            base[fit] = eq.my
+        return pd.DataFrame({"fold": [fold[i] for i in asked], "actual": y[asked], "pred": pred, "baseline": base, "sigma": sigma, "n_train": upto})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for *key, t, fold, x, y, test in zip(*[pdf[c] for c in [*keys, "_t", "_fold", "_x", "_y", "_test"]]):
+                yield folds(t, fold, x, y, test).assign(**dict(zip(keys, key)))[names]
+
+    return run
+
+
 def ridge_walk_forward(df: DataFrame, by: list[str], at: str, features: list[str], y: str, min_train: int = 15, test: str | None = None, part_rows: int | None = None, pack_rows: int | None = None, pack_folds: int | None = None) -> DataFrame:
     """(by, fold, actual, pred, baseline, sigma, n_train): ridge on standardised features, its penalty by leave-one-out errors.
 
@@ -137,6 +176,16 @@ def ridge_walk_forward(df: DataFrame, by: list[str], at: str, features: list[str
     """
     k, kinds = len(features), {f.name: f.dataType.simpleString() for f in df.schema.fields}
     keyed = "".join(f"{b} {kinds[b]}, " for b in by)
+    names = [*by, "fold", "actual", "pred", "baseline", "sigma", "n_train"]
+    schema = f"{keyed}fold {kinds[at]}, actual double, pred double, baseline double, sigma double, n_train long"
+    none = F.lit(None).cast("double")
+    if part_rows is None and parts_needed(df, by, pack_rows or PACK_ROWS) == 1:
+        nan = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
+        row = F.struct(ordinal(df, at).alias("_t"), F.col(at).alias("_fold"), F.array(*[nan(f) for f in features]).alias("_x"), nan(y).alias("_y"), (F.expr(test) if test else F.lit(True)).alias("_test"))
+        packed = df.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+        packed = packed.select(*by, "_rows._t", "_rows._fold", F.flatten("_rows._x").alias("_x"), "_rows._y", F.transform("_rows._test", lambda v: F.coalesce(v, F.lit(False))).alias("_test"))
+        out = packed.mapInPandas(_whole_key(k, by, min_train, names), schema)
+        return out.withColumns({c: F.nanvl(c, none) for c in ("actual", "pred", "baseline", "sigma")})
     folds = fold_sums(df, by, at, features, y, test, part_rows)
     able = folds.where(_fits(k, min_train))
 
@@ -156,9 +205,7 @@ def ridge_walk_forward(df: DataFrame, by: list[str], at: str, features: list[str
     chosen = lookup(folds, total, [*by, "_t"], "left")
     base = F.when(F.col("errors").isNotNull(), F.col("gram")[_pairs(k).index((0, k + 1))] / F.col("gram")[0])
     ready = chosen.select(*by, "fold", "actual", base.alias("baseline"), F.col("gram")[0].cast("long").alias("n_train"), "x", "gram", "errors")
-    names = [*by, "fold", "actual", "pred", "baseline", "sigma", "n_train"]
-    out = ready.mapInPandas(_finish(k, names), f"{keyed}fold {kinds[at]}, actual double, pred double, baseline double, sigma double, n_train long")
-    none = F.lit(None).cast("double")
+    out = ready.mapInPandas(_finish(k, names), schema)
     return out.withColumns({c: F.nanvl(c, none) for c in ("pred", "sigma")})
 
 
