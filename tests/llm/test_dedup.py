@@ -290,3 +290,34 @@ def test_majority_of_bits(spark):
     got = spark.createDataFrame([(v,) for v in values], "c long").agg(near_verify._majority("c").alias("m")).first().m
     want = sum(1 << i for i in range(64) if 2 * sum(v >> i & 1 for v in values) > len(values))
     assert got & (2**64 - 1) == want
+
+
+def test_near_stage_on_real_tables_drops_only_what_is_alike_and_finds_it(spark):
+    """Every dropped text has a chain of links at 0.8 or more to a kept one, and of the pairs at 0.8 or more hardly one is kept whole."""
+    docs = exact_dedup.keep_first(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("doc_id", "text")
+    rows = docs.collect()
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    sets = {r.doc_id: set(simhash.shingle_hashes(r.text).tolist()) for r in rows}
+    holders, pairs = {}, set()
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    for i, s in sets.items():
+        near = {}
+        for x in s:
+            for j in holders[x]:
+                near[j] = near.get(j, 0) + 1
+        pairs |= {(i, j) for j, n in near.items() if j < i and n >= 0.8 * (len(s) + len(sets[j]) - n)}
+    group = {i: i for i in sets}
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a, b in pairs:
+        group[find(a)] = find(b)
+    found = {find(i) for i in kept}
+    dropped = set(sets) - kept
+    assert dropped and all(find(i) in found for i in dropped) and all(sum(find(k) == find(i) for k in sets) > 1 for i in dropped)
+    assert sum(a in kept and b in kept for a, b in pairs) <= 0.05 * len(pairs)

@@ -1,7 +1,7 @@
 """Nulls in every column, empty and very long texts, ties, repeated rows, empty tables, clashing extra columns."""
 
 import pytest
-from eventide.llm import bpe_table, chat, exact_dedup, langid, line_dedup, merkle, packing, simhash, url_rules, warc
+from eventide.llm import bpe_table, chat, divergence, exact_dedup, langid, line_dedup, merkle, packing, simhash, token_counts, url_rules, warc
 
 LONG = "mot clé " * 120_000  # about a million characters
 TEXTS = [(1, "same text"), (1, "same text"), (2, "same text"), (3, None), (4, ""), (5, LONG), (6, "\n" * 5000), (7, "x" * 300_000), (None, "same text"), (None, None), (2**62, "end"), (-5, "a\x00b ퟿")]
@@ -23,6 +23,7 @@ OPERATORS = {
     "packing": packing.pack,
     "line dedup": line_dedup.dedup_lines,
     "SimHash": simhash.near_dedup,
+    "token counts": token_counts.count_tokens,
 }
 
 
@@ -41,6 +42,13 @@ def test_documents(spark, name):
     assert again == sorted(map(str, out.drop("sequence_id", "offset").collect()))
 
 
+def test_divergence_of_hostile_documents(spark):
+    df = hostile(spark).selectExpr("* EXCEPT (source)", "CASE WHEN doc_id = 5 THEN 'long' END AS source")
+    rows = divergence.audit(df, min_docs=1, k=3).collect()
+    assert {(r.lang, r.source, r.part, r.item) for r in rows} >= {("en", "", "pair", "long"), ("en", "long", "pair", ""), ("en", "long", "term", "clé"), ("en", "long", "term", "mot")}
+    assert divergence.audit(df.where("false")).count() == 0
+
+
 def test_stages_keep_clashing_columns(spark):
     df = hostile(spark)
     for stage in (lambda d: langid.keep_identified(d, langid.train(d), 0.1), exact_dedup.keep_first, simhash.keep_one):
