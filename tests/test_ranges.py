@@ -11,7 +11,7 @@ from eventide.operators import windows as W
 from pyspark.sql import functions as F
 
 DAY = dt.date(2020, 1, 1)
-PARTS = [None, 7, 40]
+PARTS = [None, 17]
 
 
 def series(spark, seed=0, n=150, gaps=0.2, kind="date"):
