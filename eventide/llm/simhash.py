@@ -431,7 +431,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 # ---- near copies of texts --------------------------------------------------------------------------
 
 _WORDS, _CHECKS = ["w0", "w1", "w2", "w3"], ["c0", "c1"]
-_SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+_SETS = pa.schema([("node", pa.int64()), ("component", pa.int64()), ("copies", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 _SIGNED = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("shape", pa.binary()), *[(c, pa.int64()) for c in _WORDS + _CHECKS]])
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
@@ -501,8 +501,8 @@ def _set_batches(shingle: int):
         def rows():
             for b in batches:
                 texts = b.column("text")
-                for k, node in enumerate(b.column("node").to_pylist()):
-                    yield node, shingle_hashes(texts[k].as_py(), shingle)
+                for k, held in enumerate(zip(*(b.column(c).to_pylist() for c in ("node", "component", "copies")))):
+                    yield *held, shingle_hashes(texts[k].as_py(), shingle)
 
         yield from buffered(rows(), _SETS, size=512)
 
@@ -526,11 +526,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     threshold = bits_apart(similarity)
     met = connected_components(near_links(nodes, _WORDS, _CHECKS, threshold, excess=1, refine=False, hot=hot), "u", "v").toDF("node", "component")
     members = materialise(met.join(nodes.select("node", *_CHECKS, "owner"), "node"), "members")
-    wanted = members.select("node", F.col("owner.id").alias("w_id"), F.col("owner.digest").alias("w_digest"))
-    of_members = source.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest"))).select("node", "text")
-    sets = materialise(of_members.mapInArrow(_set_batches(shingle), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    wanted = members.select("node", "component", F.col("owner.rows").alias("copies"), F.col("owner.id").alias("w_id"), F.col("owner.digest").alias("w_digest"))
+    of_members = source.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest"))).select("node", "component", "copies", "text")
+    read = materialise(of_members.mapInArrow(_set_batches(shingle), "node long, component long, copies long, shingles array<long>"), "sets")
+    sets = read.where("copies = 1").unionAll(read.where("copies > 1").dropDuplicates(["node"])).drop("copies")  # repeated rows have one text
     links = materialise(verified_links(members.drop("owner"), sets, similarity, threshold), "links")
     owners = _named(nodes.select("node", "owner"), links).groupBy("component").agg(F.min("owner").alias("owner"))
     owners = materialise(owners.select("owner.id", "owner.digest", "owner.rows"), "owners")
-    discard(signed, nodes, members, sets, links)
+    discard(signed, nodes, members, read, links)
     return keep_owners(df, [ident, digest], owners)

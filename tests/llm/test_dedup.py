@@ -262,7 +262,7 @@ def test_verified_links_are_alike_and_connect_what_is_alike(spark, monkeypatch):
                     base = s
                 rows.append((len(rows), group, s, rng.getrandbits(3), rng.getrandbits(3)))
     members = spark.createDataFrame([(n, g, c0, c1) for n, g, _, c0, c1 in rows], "node long, component long, c0 long, c1 long").repartition(3)
-    sets = spark.createDataFrame([(n, sorted(set(s))) for n, _, s, _, _ in rows], "node long, shingles array<long>")
+    sets = spark.createDataFrame([(n, g, sorted(set(s))) for n, g, s, _, _ in rows], "node long, component long, shingles array<long>")
     for threshold in (128, 3):
         got = {tuple(sorted((r.u, r.v))) for r in near_verify.verified_links(members, sets, 0.8, threshold).collect()}
         of = [set(s) for _, _, s, _, _ in rows]
