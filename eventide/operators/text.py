@@ -122,6 +122,24 @@ def cached_scores(docs: DataFrame, cache: DataFrame, text: str, version: str) ->
     return docs.withColumn("key", key).join(cache, "key", "left")
 
 
+def score_through_cache(docs: DataFrame, path: str, text: str, version: str, load) -> DataFrame:
+    """``docs`` with ``key``, ``score`` and ``cached``: whether the score was in the cache, a Parquet folder of (key, score), before.
+
+    Each distinct text that the cache lacks is scored once, by the callable that ``load()`` builds once per task, and written back before
+    the result is read. A run that fails may be repeated: what it wrote is found then. A null text has no score.
+    """
+    spark = docs.sparkSession
+    schema = "key string, score double"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    known = lambda: spark.read.schema(schema).parquet(path).groupBy("key").agg(F.first("score").alias("score"))  # noqa: E731  writers at one time may add a key twice
+    rows = docs.withColumn("key", F.sha2(F.concat(F.col(text), F.lit(version)), 256))
+    before = stored(rows.select("key").distinct().join(known().select("key", F.lit(True).alias("cached")), "key"), "cached")
+    misses = rows.where(F.col(text).isNotNull()).select("key", F.col(text).alias("_text")).dropDuplicates(["key"]).join(before, "key", "left_anti")
+    model_scores(misses, "key", "_text", load).write.mode("append").parquet(path)
+    return rows.join(known(), "key", "left").join(before, "key", "left").select(*docs.columns, "key", "score", F.coalesce("cached", F.lit(False)).alias("cached"))
+
+
 def json_cache(df: DataFrame, payload: str) -> DataFrame:
     """(key, value) rows of JSON dictionaries, a keyed lookup table."""
     return df.select(F.explode(F.from_json(payload, "map<string, double>")).alias("key", "value"))

@@ -146,13 +146,12 @@ def _(spark, d):
 @register("src_wrds", "WITH a AS (SELECT o_custkey, o_orderkey, o_totalprice, abs(o_totalprice - (SELECT avg(o_totalprice) FROM orders)) AS dist FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0) SELECT o_custkey, o_orderkey, round(dist, 4) AS dist FROM a QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY dist, o_orderkey) = 1")
 def _(spark, d):
     """The remote query's shape (equi-join, scalar subquery, nearest by absolute distance) on local tables."""
-    for t in ("orders", "customer"):
-        table(spark, d, t).createOrReplaceTempView(f"wrds_{t}")
-    return spark.sql("""
-        WITH a AS (SELECT o_custkey, o_orderkey, abs(o_totalprice - (SELECT avg(o_totalprice) FROM wrds_orders)) AS dist
-                   FROM wrds_orders JOIN wrds_customer ON c_custkey = o_custkey WHERE c_acctbal > 0)
+    query = """
+        WITH a AS (SELECT o_custkey, o_orderkey, abs(o_totalprice - (SELECT avg(o_totalprice) FROM {orders})) AS dist
+                   FROM {orders} JOIN {customer} ON c_custkey = o_custkey WHERE c_acctbal > 0)
         SELECT o_custkey, k.o_orderkey, round(k.dist, 4) AS dist
-        FROM (SELECT o_custkey, min(struct(dist, o_orderkey)) AS k FROM a GROUP BY o_custkey)""")
+        FROM (SELECT o_custkey, min(struct(dist, o_orderkey)) AS k FROM a GROUP BY o_custkey)"""
+    return spark.sql(query, orders=table(spark, d, "orders"), customer=table(spark, d, "customer"))  # no view of the session is touched
 
 
 @register("snk_html", sql("panel", "SELECT '<tr><td>' || tenor || '</td><td>' || CAST(m AS VARCHAR) || '</td><td>' || coalesce(CAST(n AS VARCHAR), '') || '</td></tr>' AS row_html FROM panel"))

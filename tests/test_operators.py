@@ -256,6 +256,26 @@ def test_payoffs_stops_and_sizes_of_observed_moves(spark):
     assert [(r.kelly_f, r.var_lots, r.final_lots) for r in sizing.kelly_var(stats, cap=0.2, budget=30.0).collect()] == [(0.1, 10.0, 5), (0.0, 10.0, 1), (0.2, None, 1)]
 
 
+def test_scores_are_cached_and_misses_written_back(spark, tmp_path):
+    from eventide.operators import text as X
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def score(texts):
+            calls.add(len(texts))
+            return [float(len(t)) for t in texts]
+
+        return score
+
+    first = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None)], "i int, t string")
+    again = spark.createDataFrame([(1, "a"), (2, "ccc"), (3, "bb"), (4, None)], "i int, t string")
+    path = str(tmp_path / "scores")
+    run = lambda df: sorted((r.i, r.score, r.cached) for r in X.score_through_cache(df, path, "t", "|v1", load).collect())
+    assert run(first) == [(1, 1.0, False), (2, 2.0, False), (3, 1.0, False), (4, None, False)] and calls.value == 2
+    assert run(again) == [(1, 1.0, True), (2, 3.0, False), (3, 2.0, True), (4, None, False)] and calls.value == 3
+
+
 def test_observation_source(spark, tmp_path):
     from eventide.sources import fred
 
