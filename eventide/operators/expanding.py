@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventide.session import stored
+
 #: Rows that one task holds at least before a key is cut, and the number of buckets from which they grow.
 BUCKET_ROWS, MANY_BUCKETS = 50_000, 1000
 
@@ -45,6 +47,7 @@ def _bucketed(df: DataFrame, x: str, by: list[str], at: str, bucket_rows: int) -
         return rows, 1
     inner = [i / n for i in range(1, n)]
     marks = rows.groupBy(F.col("_key").alias("_mk")).agg(F.percentile_approx("_t", inner, 100_000).alias("_tm"), F.percentile_approx("_x", inner, 100_000).alias("_vm"))
+    marks = stored(marks, "marks")  # approximate quantiles depend on the order of merging: all readers must see the same ones
     placed = rows.join(marks, F.col("_key") == F.col("_mk"))
     below = lambda m, v: F.size(F.filter(m, lambda q: q < v))
     # even buckets are open intervals, odd ones a value

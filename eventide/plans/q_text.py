@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from eventide.adapters import sql, table, texts
 from eventide.catalog import register
 from eventide.functions import text as T
-from eventide.functions.scalar import r6
+from eventide.functions.scalar import r6, r6_scaled
 from eventide.operators import ranges as R
 from eventide.operators import text as X
 from eventide.operators import windows as W
@@ -109,8 +109,9 @@ _DEN = lambda ws: f"{hits(ws)}::DOUBLE / nullif(len({W_}), 0)"
 def _(spark, d):
     t = F.col("text")
     x = docs(spark, d).select("lang", "doc_id", T.token_density(t, HEDGE).alias("u"), T.token_density(t, MODAL).alias("w"), T.token_density(t, HAWK).alias("g"))
-    x = W.expanding_median(x, "u", "lang", "doc_id", "med")
-    return x.select("doc_id", r6("u").alias("uncertainty"), r6("w").alias("weak_modal"), r6("g").alias("guidance"), (F.col("u") > F.col("med")).cast("double").alias("present"), r6(F.col("u") - F.lag("u").over(Window.partitionBy("lang").orderBy("doc_id"))).alias("change"))
+    x = W.expanding_median(stored(x, "densities"), "u", "lang", "doc_id", "med")  # words are searched once, though the median reads its rows several times
+    change = F.col("u") - F.lag("u").over(Window.partitionBy("lang").orderBy("doc_id"))
+    return x.select("doc_id", *[r6_scaled(F.col(c)).alias(name) for c, name in (("u", "uncertainty"), ("w", "weak_modal"), ("g", "guidance"))], (F.col("u") > F.col("med")).cast("double").alias("present"), r6_scaled(change).alias("change"))
 
 
 @register("txt_family_d", f"WITH x AS (SELECT item_id, {_DEN(HAWK)} AS s FROM benchmark), p AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN {_DEN(HAWK)} END AS s FROM documents) SELECT x.item_id, round(x.s + 0.5 * coalesce(p.s, 0), 6) AS score FROM x LEFT JOIN p ON p.doc_id = x.item_id")

@@ -28,3 +28,12 @@ def test_garman_klass_of_invalid_bars(spark, tmp_path):
     assert got == want
     first = got[min(got)]
     assert first["gk"] is None and first["gk_floor"] == 0.0
+
+
+def test_family_c_rounds_as_its_sql(spark, tmp_path):
+    # 11 / 384 and 1 / 300 differ by 0.0253125; as doubles by an ulp less
+    text = lambda hits, n: " ".join(["with"] * hits + ["x"] * (n - hits))
+    documents = pd.DataFrame([(i, text(h, n), "en", "s", n) for i, (h, n) in enumerate([(11, 384), (1, 300), (11, 384), (0, 5), (1, 640)])], columns=["doc_id", "text", "lang", "source", "n_chars"])
+    got, want = both(spark, tmp_path, "txt_family_c", "doc_id", documents=documents)
+    assert got == want
+    assert got[1]["change"] == -0.025313 and got[2]["change"] == 0.025313
