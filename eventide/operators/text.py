@@ -39,6 +39,12 @@ def counted(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), runs)).otherwise(F.array().cast("array<struct<term: string, tf: int>>"))
 
 
+def vocabulary(each: DataFrame, min_df: int, max_features: int) -> DataFrame:
+    """(term, df) of the ``max_features`` commonest terms of (term, tf) rows, one for each term of a document."""
+    vocab = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+    return vocab.orderBy(F.desc("total"), "term").limit(max_features).select("term", "df")
+
+
 def tfidf_rows(docs: DataFrame, doc: str, tokens: Column, min_df: int = 2, max_features: int = 3000) -> DataFrame:
     """``tfidf`` where each row is one document.
 
@@ -47,8 +53,7 @@ def tfidf_rows(docs: DataFrame, doc: str, tokens: Column, min_df: int = 2, max_f
     """
     rows = stored(docs.select(doc, counted(F.filter(tokens, lambda w: w.isNotNull())).alias("_c")), "counts")
     each = rows.select(doc, F.explode("_c").alias("_t")).select(doc, "_t.term", "_t.tf")
-    vocab = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
-    vocab = vocab.orderBy(F.desc("total"), "term").limit(max_features).select("term", "df")
+    vocab = vocabulary(each, min_df, max_features)
     n = F.broadcast(rows.agg(F.count(F.lit(1)).alias("_n")))
     x = each.join(F.broadcast(vocab), "term").crossJoin(n).withColumn("w", (1 + F.ln("tf")) * (F.ln((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
