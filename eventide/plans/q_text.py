@@ -69,7 +69,7 @@ _NPREV = "n AS (SELECT p.lang, p.doc_id, CASE WHEN p.prev IS NOT NULL THEN 1 - c
 
 @register("txt_novelty_prev", f"{_NOV}, {_NPREV} SELECT doc_id, round(novelty, 6) AS novelty FROM n")
 def _(spark, d):
-    return X.novelty_previous(stored(weights(spark, d), "weights"), docs(spark, d), "lang", "doc_id", "doc_id").select("doc_id", r6("novelty").alias("novelty"))
+    return N.novelty_previous(*N.tfidf_vectors(docs(spark, d), "doc_id", "text", 2), docs(spark, d), "lang", "doc_id", "doc_id").select("doc_id", r6("novelty").alias("novelty"))
 
 
 @register("txt_novelty_window", f"{_NOV}, r AS (SELECT p.lang, p.rn, w.* FROM p JOIN w ON p.doc_id = w.doc_id), cc AS (SELECT p.doc_id, r.term, sum(r.w) AS c FROM p JOIN r ON r.lang = p.lang AND r.rn BETWEEN p.rn - 4 AND p.rn - 1 GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(c * c)) AS norm FROM cc GROUP BY 1), t AS (SELECT cc.doc_id, sum(cc.c * w.w) AS dot FROM cc JOIN w ON w.doc_id = cc.doc_id AND w.term = cc.term GROUP BY 1) SELECT p.doc_id, CASE WHEN p.rn > 1 THEN round(1 - coalesce(dot / nullif(norm, 0), 0), 6) END AS novelty FROM p LEFT JOIN n ON n.doc_id = p.doc_id LEFT JOIN t ON t.doc_id = p.doc_id")
