@@ -79,7 +79,7 @@ def _(spark, d):
 
 @register("txt_novelty_z", f"{_NOV}, {_NPREV} SELECT doc_id, round((novelty - avg(novelty) OVER o) / nullif(stddev_samp(novelty) OVER o, 0), 4) AS z FROM n WINDOW o AS (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING)")
 def _(spark, d):
-    x = X.novelty_previous(stored(weights(spark, d), "weights"), docs(spark, d), "lang", "doc_id", "doc_id")
+    x = stored(N.novelty_previous(*N.tfidf_vectors(docs(spark, d), "doc_id", "text", 2), docs(spark, d), "lang", "doc_id", "doc_id"), "novelty")
     x = R.running(x, "lang", "doc_id", {"mean": ("avg", "novelty"), "std": ("std", "novelty")})
     return x.select("doc_id", F.round((F.col("novelty") - F.col("mean")) / F.nullif("std", F.lit(0.0)), 4).alias("z"))
 

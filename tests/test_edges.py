@@ -56,7 +56,7 @@ def corpus(n, words, seed):
     return pd.DataFrame({"doc_id": np.arange(n, dtype=np.int64) * 3, "text": texts, "lang": lang, "source": "s", "n_chars": [len(t or "") for t in texts]})
 
 
-@pytest.mark.parametrize("name,column,digits", [("txt_novelty_window", "novelty", 6), ("txt_novelty_prev", "novelty", 6)])
+@pytest.mark.parametrize("name,column,digits", [("txt_novelty_window", "novelty", 6), ("txt_novelty_prev", "novelty", 6), ("txt_novelty_z", "z", 4)])
 def test_novelty_over_chunks_and_blocks(spark, tmp_path, monkeypatch, name, column, digits):
     monkeypatch.setattr(vectors, "CHUNK", 20_000)
     monkeypatch.setattr(vectors, "BLOCK", 7)
